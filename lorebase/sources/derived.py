@@ -92,6 +92,15 @@ select 'agent' || cast(s_suppkey as string) as agent_name, 't' || cast(s_suppkey
   'role ' || cast(s_nationkey as string) as role, '1.' || cast(s_suppkey % 10 as string) as version, s_suppkey as state_sig,
   cast('2024-03-0' || cast(1 + s_suppkey % 9 as string) || ' 12:00:00' as timestamp) as updated_at
 from supplier""",
+    "agent_identity": "select agent_name, tenant_id, callsign, primary_domain, voice_anchor from agents",
+    "chunk_catalog": """
+select id, tenant_id, 'document_chunks' as source_table, cast(id as string) as source_id, source_type as entity_type, content as summary_text,
+  embedding, model_version, embedded_at, embedding_stale, 'operational' as authority_tier
+from document_chunks""",
+    "chunks_after": """
+select id, source_type, source_id, chunk_index, case when source_type = 'user' then content || ' (edited)' else content end as content,
+  source_name, tenant_id, embedding, model_version, embedded_at, embedding_stale
+from document_chunks where not (source_type = 'assistant' and embedding is null)""",
     # --- work -----------------------------------------------------------------
     "tasks": """
 select o_orderkey as id, 't' || cast(o_orderkey % 3 as string) as tenant_id,
