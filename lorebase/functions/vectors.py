@@ -33,15 +33,15 @@ def distances(queries: np.ndarray, corpus: np.ndarray) -> np.ndarray:
     return np.round(1.0 - queries @ corpus.T, DISTANCE_DECIMALS)
 
 
-def merge_smallest(best_d, best_ids, new_d, new_ids, k: int):
-    """Per row, the k smallest of two distance blocks, ties by id, NaN last."""
-    d = np.concatenate([best_d, new_d], axis=1)
-    ids = np.concatenate([best_ids, np.broadcast_to(new_ids, new_d.shape)], axis=1)
-    if d.shape[1] > k:
-        # Take everything up to the k-th distance first: cheaper than a full sort.
+def smallest(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Column order of the k smallest distances per row, ties by id."""
+    near = None
+    if d.shape[1] > 2 * k:
+        # Keep everything up to the k-th distance, ties included, before sorting.
         cut = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-        width = int(np.max(np.sum((d <= cut) | np.isnan(cut), axis=1)))
-        near = np.argpartition(np.where(np.isnan(d), np.inf, d), min(width, d.shape[1]) - 1, axis=1)[:, :width]
-        d, ids = np.take_along_axis(d, near, 1), np.take_along_axis(ids, near, 1)
+        width = int((d <= cut).sum(axis=1).max())
+        if width < d.shape[1]:
+            near = np.argpartition(d, width - 1, axis=1)[:, :width]
+            d, ids = np.take_along_axis(d, near, 1), np.take_along_axis(ids, near, 1)
     order = np.lexsort((ids, d), axis=1)[:, :k]
-    return np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
+    return order if near is None else np.take_along_axis(near, order, 1)

@@ -2,9 +2,10 @@
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from lorebase.functions.text import lexemes
+from lorebase.sources.scratch import kept
 
 # Fixed values of the source's text rank.
 WEIGHT = 0.1
@@ -73,6 +74,9 @@ def fts_match(terms: DataFrame, index: DataFrame) -> DataFrame:
         .withColumn("scarce", F.row_number().over(per_query.orderBy("docs", "lexeme")))
         .drop("known", "docs")
     )
+    # As a stored table its true size is known, so that the joins below broadcast
+    # it when it is small and keep the index, the large side, spread out.
+    known = kept(known, "terms")
     first = known.filter("scarce = 1").select("qid", "tenant_id", "lexeme")
     seeds = first.join(index.select("tenant_id", "lexeme", "id"), ["tenant_id", "lexeme"]).select("qid", "id")
     needed = seeds.join(known, "qid").select("qid", "tenant_id", "id", "lexeme", "terms")
@@ -86,51 +90,53 @@ def fts_match(terms: DataFrame, index: DataFrame) -> DataFrame:
 
 
 @F.arrow_udf(T.DoubleType())
-def _proximity(positions: pa.Array) -> pa.Array:
-    """Rank of two or more words from all near pairs, many documents at once.
-
-    Positions of one document are laid out in order, with the word that stands
-    at each.  Comparing every entry with its k-th follower, k = 1, 2, ..., meets
-    each pair once; positions are distinct, so k never exceeds FAR.
+def _text_rank(positions: pa.Array) -> pa.Array:
+    """Text rank of many matches at once, from the positions of each query word.
+
+    One word: the sum of 1/j^2 over its occurrences.  More words: all near pairs
+    of different words.  Positions of one document are laid out in order, with
+    the word that stands at each.  Comparing every entry with its k-th follower,
+    k = 1, 2, ..., meets each pair once; positions are distinct, so k never
+    exceeds FAR, and an entry whose k-th follower is too far has no later one
+    that is near.
     """
     rows = len(positions)
+    words_of_row = positions.value_lengths().to_numpy(zero_copy_only=False)
     words = positions.flatten()
-    word_row = np.repeat(np.arange(rows), positions.value_lengths().to_numpy(zero_copy_only=False))
     lengths = words.value_lengths().to_numpy(zero_copy_only=False)
     word = np.repeat(np.arange(len(words)), lengths)
-    row = word_row[word]
+    row = np.repeat(np.arange(rows), words_of_row)[word]
     at = words.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+    single = words_of_row == 1
+    occurrences = np.bincount(row, minlength=rows)
+    squares = np.cumsum(1.0 / np.arange(1, max(1, occurrences.max(initial=1)) + 1, dtype=np.float64) ** 2)
+    alone = squares[np.maximum(occurrences, 1) - 1] * WEIGHT / SERIES_LIMIT
+
+    many = ~single[row]
+    word, row, at = word[many], row[many], at[many]
     order = np.lexsort((at, row))
     word, row, at = word[order], row[order], at[order]
-
+    gaps = np.arange(FAR + 1, dtype=np.float64)
+    table = np.log1p(-WEIGHT * np.sqrt(1.0 / (1.005 + 0.05 * np.exp(gaps / 1.5 - 2.0))))
     log_rest = np.zeros(rows)
     near = np.zeros(rows, dtype=bool)
+    left = np.arange(len(at))  # entries whose k-th follower may still be near
     for k in range(1, FAR + 1):
-        if k >= len(at):
+        left = left[left < len(at) - k]
+        gap = at[left + k] - at[left]
+        inside = (row[left + k] == row[left]) & (gap <= FAR)
+        left, gap = left[inside], gap[inside]
+        if not len(left):
             break
-        gap = at[k:] - at[:-k]
-        inside = (row[k:] == row[:-k]) & (gap <= FAR)
-        if not inside.any():
-            break
-        pair = inside & (word[k:] != word[:-k])
-        distance = gap[pair].astype(np.float64)
-        score = WEIGHT * np.sqrt(1.0 / (1.005 + 0.05 * np.exp(distance / 1.5 - 2.0)))
-        hit = row[:-k][pair]
-        log_rest += np.bincount(hit, weights=np.log1p(-score), minlength=rows)
+        pair = word[left + k] != word[left]
+        hit = row[left[pair]]
+        log_rest += np.bincount(hit, weights=table[gap[pair]], minlength=rows)
         near[hit] = True
-    return pa.array(np.where(near, -np.expm1(log_rest), FAR_SCORE), pa.float64())
-
-
-def rank_of(positions: Column) -> Column:
-    """Text rank of one match, as a 32-bit float like the source's."""
-    occurrences = F.size(positions[0])
-    single = (
-        F.aggregate(F.sequence(F.lit(1), occurrences), F.lit(0.0), lambda acc, j: acc + 1 / (j * j).cast("double"))
-        * WEIGHT / SERIES_LIMIT
-    )
-    return F.when(F.size(positions) == 1, single).otherwise(_proximity(positions)).cast("float")
+    together = np.where(near, -np.expm1(log_rest), FAR_SCORE)
+    return pa.array(np.where(single, alone, together), pa.float64())
 
 
 def fts_rank(matches: DataFrame) -> DataFrame:
-    """``(qid, id, r)`` for the rows of :func:`fts_match`."""
-    return matches.select("qid", "id", rank_of(F.col("positions")).alias("r"))
+    """``(qid, id, r)`` for the rows of :func:`fts_match`; a 32-bit float like the source's."""
+    return matches.select("qid", "id", _text_rank("positions").cast("float").alias("r"))

@@ -1,49 +1,70 @@
 """Nearest-neighbour candidates for a batch of query vectors.
 
-Exact search scans the corpus once per block of queries.  A block of query
-vectors goes to every task (its size is checked first); each task keeps only
-its best ``k`` per query, so the shuffle carries ``k`` rows per query and task
-and never a pair list.  More queries than one block may hold are split by a
-hash of their id into as many blocks as needed.
+Exact search scans the corpus once.  The query vectors go to every task when
+their size, which is counted first, fits one block; each task keeps only its best
+``k`` per query, so the shuffle carries at most ``k`` rows per query and task and
+never a list of pairs.  A larger batch is searched block against block: queries
+and corpus are both cut into blocks by a hash of their id, and every pair of
+blocks is one unit of work of bounded size.
 """
 
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from lorebase.functions.columns import top_per_key
-from lorebase.functions.vectors import distances, merge_smallest, unit_rows
+from lorebase.functions.vectors import distances, smallest, unit_rows
 
-# Most bytes of query vectors, or of running best lists, held by one task.
+# Most bytes of vectors, or of running best lists, in one block.
 BLOCK_BYTES = 64 << 20
 _SLICE_ROWS = 2048  # corpus rows multiplied at a time
+_UNDEFINED = 3.0  # distance to an all-zero vector while sorting: after all others
+
+_FOUND = "qid string, id long, tenant_id string, d double"
+
+
+def candidate_limit(limit: int) -> int:
+    """Fixed rule of the source: 50 candidates per wanted hit, 200 at least."""
+    return max(50 * limit, 200)
 
 
 @dataclass
 class SignCells:
-    """Sign pattern of random projections: near vectors share most signs."""
+    """Cells of the approximate search: the sign pattern of random projections.
+
+    Near vectors share most signs.  A query looks only into cells within
+    ``radius`` differing signs; vectors in other cells are never compared.
+    """
 
-    bits: int = 8
-    radius: int = 2  # a query looks at cells within this many differing signs
+    bits: int = 6
+    radius: int = 2
     seed: int = 7
 
-    def signs(self, matrix: np.ndarray) -> np.ndarray:
+    def of(self, matrix: np.ndarray) -> np.ndarray:
         planes = np.random.default_rng(self.seed).standard_normal((matrix.shape[1], self.bits))
-        return np.where(matrix @ planes > 0, 1.0, -1.0)
+        return ((matrix @ planes > 0) << np.arange(self.bits)).sum(axis=1)
 
-    def near(self, query_signs: np.ndarray, corpus_signs: np.ndarray) -> np.ndarray:
-        differing = (self.bits - query_signs @ corpus_signs.T) / 2
-        return differing <= self.radius
+    def looked_into(self, query_cells: np.ndarray) -> np.ndarray:
+        """Queries down, all cells across: does the query look into the cell?"""
+        differing = query_cells[:, None] ^ np.arange(1 << self.bits)[None, :]
+        count = ((differing[..., None] >> np.arange(self.bits)) & 1).sum(axis=-1)
+        return count <= self.radius
 
 
-def candidate_limit(limit: int) -> int:
-    """Fixed rule of the source: 50 candidates per wanted hit, 200 at least."""
-    return max(50 * limit, 200)
+def with_cells(corpus: DataFrame, cells: SignCells) -> DataFrame:
+    """Corpus with its cell number; written ``partitionBy('cell')`` a search reads
+    only the folders its queries look into."""
+
+    @F.arrow_udf(T.IntegerType())
+    def cell(vectors: pa.Array) -> pa.Array:
+        return pa.array(cells.of(_matrix(vectors)), pa.int32())
+
+    return corpus.filter("embedding is not null").withColumn("cell", cell("embedding"))
 
 
-def _matrix(column: pa.ListArray) -> np.ndarray:
+def _matrix(column: pa.Array) -> np.ndarray:
     """Vectors of one Arrow column as rows; vectors of unequal length are an error."""
     sizes = column.value_lengths().to_numpy(zero_copy_only=False)
     if len(np.unique(sizes)) > 1:
@@ -52,52 +73,129 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
-def _block_search(qids, tenants, vectors, k: int, same_tenant: bool, cells):
-    """Task function: best ``k`` corpus rows of this partition for each query."""
-    units = unit_rows(vectors)
-    query_signs = cells.signs(vectors) if cells else None
+class _BestLists:
+    """Running best ``k`` corpus rows for each query of one block."""
 
-    def run(batches):
-        best_d = np.empty((len(qids), 0))
-        best_ids = np.empty((len(qids), 0), dtype=np.int64)
-        names: dict[int, str] = {}
-        for batch in batches:
-            for start in range(0, batch.num_rows, _SLICE_ROWS):
-                rows = batch.slice(start, _SLICE_ROWS)
-                corpus = _matrix(rows.column("embedding"))
-                if corpus.shape[1] != vectors.shape[1]:
-                    raise ValueError(
-                        f"query vectors have {vectors.shape[1]} dimensions, corpus {corpus.shape[1]}"
-                    )
-                d = distances(units, unit_rows(corpus))
-                row_tenants = np.array(rows.column("tenant_id").to_pylist(), dtype=object)
-                allowed = None
-                if same_tenant:
-                    allowed = tenants[:, None] == row_tenants[None, :]
-                if cells:
-                    near = cells.near(query_signs, cells.signs(corpus))
-                    allowed = near if allowed is None else allowed & near
-                ids = rows.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-                row_ids = np.broadcast_to(ids, d.shape)
-                if allowed is not None:
-                    d = np.where(allowed, d, np.inf)  # inf marks "not a candidate"
-                best_d, best_ids = merge_smallest(best_d, best_ids, d, row_ids, k)
-                kept = set(np.unique(best_ids).tolist())
-                names.update((i, t) for i, t in zip(ids.tolist(), row_tenants) if i in kept)
-        keep = ~np.isposinf(best_d)
-        which, slot = np.nonzero(keep)
-        ids = best_ids[which, slot]
-        yield pa.RecordBatch.from_arrays(
+    def __init__(self, qids, tenants, vectors, k, same_tenant, cells):
+        self.qids, self.tenants, self.k = qids, tenants, k
+        self.units, self.same_tenant, self.cells = unit_rows(vectors), same_tenant, cells
+        self.looks = cells.looked_into(cells.of(vectors)) if cells else None
+        self.tenant_names: list[str] = []
+        self.tenant_code: dict[str, int] = {}
+        shape = (len(qids), k)
+        self.d = np.full(shape, np.inf)  # inf: place not taken
+        self.ids = np.full(shape, np.iinfo(np.int64).max)
+        self.codes = np.zeros(shape, dtype=np.int32)
+
+    def _code(self, tenants) -> np.ndarray:
+        out = np.empty(len(tenants), dtype=np.int32)
+        for i, t in enumerate(tenants):
+            if t not in self.tenant_code:
+                self.tenant_code[t] = len(self.tenant_names)
+                self.tenant_names.append(t)
+            out[i] = self.tenant_code[t]
+        return out
+
+    def _distances(self, corpus: np.ndarray) -> np.ndarray:
+        unit = unit_rows(corpus)
+        if self.cells is None:
+            d = distances(self.units, unit)
+        else:
+            d = np.full((len(self.qids), len(corpus)), np.inf)
+            cell = self.cells.of(corpus)
+            for c in np.unique(cell):
+                asking, rows = np.nonzero(self.looks[:, c])[0], np.nonzero(cell == c)[0]
+                if len(asking):
+                    d[np.ix_(asking, rows)] = distances(self.units[asking], unit[rows])
+        return np.where(np.isnan(d), _UNDEFINED, d)
+
+    def scan(self, batch) -> None:
+        for start in range(0, batch.num_rows, _SLICE_ROWS):
+            part = batch.slice(start, _SLICE_ROWS)
+            corpus = _matrix(part.column("embedding"))
+            if corpus.shape[1] != self.units.shape[1]:
+                raise ValueError(f"query vectors have {self.units.shape[1]} dimensions, corpus {corpus.shape[1]}")
+            tenants = part.column("tenant_id").to_pylist()
+            d = self._distances(corpus)
+            if self.same_tenant:
+                own = self.tenants[:, None] == np.array(tenants, dtype=object)[None, :]
+                d = np.where(own, d, np.inf)
+            ids = part.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
+            self._merge(d, ids, self._code(tenants))
+
+    def _merge(self, d, ids, codes) -> None:
+        better = (d <= self.d[:, -1:]) & (d < np.inf)
+        queries = np.nonzero(better.any(axis=1))[0]
+        if not len(queries):
+            return
+        columns = np.nonzero(better[queries].any(axis=0))[0]
+        grid = np.ix_(queries, columns)
+        new_d = np.where(better[grid], d[grid], np.inf)
+        all_d = np.concatenate([self.d[queries], new_d], axis=1)
+        all_ids = np.concatenate([self.ids[queries], np.broadcast_to(ids[columns], new_d.shape)], axis=1)
+        all_codes = np.concatenate([self.codes[queries], np.broadcast_to(codes[columns], new_d.shape)], axis=1)
+        order = smallest(all_d, all_ids, self.k)
+        self.d[queries] = np.take_along_axis(all_d, order, 1)
+        self.ids[queries] = np.take_along_axis(all_ids, order, 1)
+        self.codes[queries] = np.take_along_axis(all_codes, order, 1)
+
+    def found(self) -> pa.RecordBatch:
+        which, place = np.nonzero(self.d < np.inf)
+        d = self.d[which, place]
+        names = np.array(self.tenant_names or [""], dtype=object)
+        return pa.RecordBatch.from_arrays(
             [
-                pa.array(qids[which], pa.string()),
-                pa.array(ids, pa.int64()),
-                pa.array([names[i] for i in ids.tolist()], pa.string()),
-                pa.array(best_d[which, slot], pa.float64(), from_pandas=False),
+                pa.array(self.qids[which], pa.string()),
+                pa.array(self.ids[which, place], pa.int64()),
+                pa.array(names[self.codes[which, place]], pa.string()),
+                pa.array(np.where(d == _UNDEFINED, np.nan, d), pa.float64(), from_pandas=False),
             ],
             names=["qid", "id", "tenant_id", "d"],
         )
 
-    return run
+
+def _one_block(asked: DataFrame, rows: DataFrame, k: int, same_tenant: bool, cells) -> DataFrame:
+    block = asked.toPandas()  # at most one block, by the count before
+    vectors = np.stack(block["query_vector"].to_numpy()).astype(np.float64)
+    qids, tenants = block["qid"].to_numpy(dtype=object), block["tenant_id"].to_numpy(dtype=object)
+    if cells and "cell" in rows.columns:
+        looked = cells.looked_into(cells.of(vectors)).any(axis=0)
+        rows = rows.filter(F.col("cell").isin(np.nonzero(looked)[0].tolist()))
+
+    def run(batches):
+        best = _BestLists(qids, tenants, vectors, k, same_tenant, cells)
+        for batch in batches:
+            best.scan(batch)
+        yield best.found()
+
+    return rows.select("id", "tenant_id", "embedding").mapInArrow(run, _FOUND)
+
+
+def _block_grid(asked, rows, k, same_tenant, cells, query_blocks, corpus_blocks) -> DataFrame:
+    """All pairs of a query block and a corpus block, each one bounded unit of work."""
+    def spread(df, own, own_blocks, other, other_blocks):
+        numbered = df.withColumn(own, F.pmod(F.xxhash64(df.columns[0]), F.lit(own_blocks)).cast("int"))
+        return numbered.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))))
+
+    queries = spread(asked, "qb", query_blocks, "cb", corpus_blocks)
+    corpus = spread(rows.select("id", "tenant_id", "embedding"), "cb", corpus_blocks, "qb", query_blocks)
+
+    def run(block: pa.Table, part: pa.Table) -> pa.Table:
+        if not block.num_rows or not part.num_rows:
+            return pa.Table.from_batches([], pa.schema(
+                [("qid", pa.string()), ("id", pa.int64()), ("tenant_id", pa.string()), ("d", pa.float64())]
+            ))
+        vectors = _matrix(block.column("query_vector").combine_chunks())
+        best = _BestLists(
+            np.array(block.column("qid").to_pylist(), dtype=object),
+            np.array(block.column("tenant_id").to_pylist(), dtype=object),
+            vectors, k, same_tenant, cells,
+        )
+        for batch in part.to_batches():
+            best.scan(batch)
+        return pa.Table.from_batches([best.found()])
+
+    return queries.groupBy("qb", "cb").cogroup(corpus.groupBy("qb", "cb")).applyInArrow(run, _FOUND)
 
 
 def vec_candidates(
@@ -120,34 +218,23 @@ def vec_candidates(
     asked = queries.filter("query_vector is not null").select(
         F.col("qid").cast("string").alias("qid"), "tenant_id", "query_vector"
     )
+    extra = ["cell"] if "cell" in corpus.columns else []
+    rows = corpus.filter("embedding is not null").select(
+        F.col("id").cast("long").alias("id"), F.col("tenant_id").cast("string").alias("tenant_id"), "embedding", *extra
+    )
     size = asked.agg(
         F.count("*").alias("n"), F.coalesce(F.max(F.size("query_vector")), F.lit(0)).alias("dim")
     ).first()
-    per_query = max(8 * size["dim"], 16 * k)
-    blocks = max(1, -(-size["n"] * per_query // block_bytes))
-    rows = corpus.filter("embedding is not null").select(
-        F.col("id").cast("long").alias("id"), F.col("tenant_id").cast("string").alias("tenant_id"), "embedding"
-    )
-    schema = "qid string, id long, tenant_id string, d double"
-
-    found = None
-    for b in range(blocks):
-        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        block = part.toPandas()  # at most about block_bytes, by the count above
-        if block.empty:
-            continue
-        run = _block_search(
-            block["qid"].to_numpy(dtype=object),
-            block["tenant_id"].to_numpy(dtype=object),
-            np.stack(block["query_vector"].to_numpy()).astype(np.float64),
-            k,
-            tenant_filter == "pre",
-            cells,
-        )
-        local = rows.mapInArrow(run, schema)
-        found = local if found is None else found.unionByName(local)
-    if found is None:
-        return queries.sparkSession.createDataFrame([], schema)
+    if size["n"] == 0:
+        return queries.sparkSession.createDataFrame([], _FOUND)
+    same_tenant = tenant_filter == "pre"
+    vector_bytes = 8 * size["dim"]
+    query_blocks = -(-size["n"] * max(vector_bytes, 20 * k) // block_bytes)
+    if query_blocks == 1:
+        found = _one_block(asked, rows, k, same_tenant, cells)
+    else:
+        corpus_blocks = max(1, -(-rows.count() * vector_bytes // block_bytes))
+        found = _block_grid(asked, rows, k, same_tenant, cells, query_blocks, corpus_blocks)
     return top_per_key(found, ["qid"], ["d", "id"], k, rank="place").drop("place")
 
 
@@ -158,11 +245,10 @@ def vec_ranks(candidates: DataFrame, queries: DataFrame, limit: int = 10) -> Dat
     return top_per_key(own, ["qid"], ["d", "id"], 4 * limit, rank="vec_rk").select("qid", "id", "d", "vec_rk")
 
 
-def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
-    """Share of the exact candidates that the approximate search found."""
-    hits = exact.select("qid", "id").join(
-        approximate.select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left"
-    )
+def recall(approximate: DataFrame, exact: DataFrame, k: int = 10) -> DataFrame:
+    """Share of each query's ``k`` nearest rows that the approximate search found."""
+    nearest = top_per_key(exact, ["qid"], ["d", "id"], k, rank="place").select("qid", "id")
+    hits = nearest.join(approximate.select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left")
     return hits.agg(
         F.count("*").alias("exact_rows"),
         F.count("hit").alias("found_rows"),

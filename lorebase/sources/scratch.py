@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: dict[str, str] = {}  # fallback folder per local-mode application
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -18,9 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    fallback = tempfile.mkdtemp(prefix="lorebase-")
-    spark.conf.set("spark.lorebase.scratch", spark.conf.get("spark.lorebase.scratch", fallback))
-    return spark.conf.get("spark.lorebase.scratch")
+    app = spark.conf.get("spark.app.id", "app")
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="lorebase-")
+    return _LOCAL[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -38,28 +42,25 @@ def kept(df: DataFrame, label: str = "kept") -> DataFrame:
 class Snapshots:
     """Versions of one dataset under ``root``: ``v=1``, ``v=2``, ...
 
-    A new version is complete once its ``_SUCCESS`` marker is there; readers take
-    the newest complete one, so a plan that still reads version n is not disturbed
-    by the writing of n + 1.  One writer per dataset.
+    A version counts once it is marked ready, after it was written and checked.
+    Readers take the newest ready one, so a plan that still reads version n is
+    not disturbed by the writing of n + 1.  One writer per dataset.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path
-        self._path = jvm_path
-        self._fs = jvm_path(root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def exists(self, path: str) -> bool:
+        return self._fs.exists(self._path(path))
+
+    def matching(self, pattern: str) -> list[str]:
+        return [s.getPath().toString() for s in self._fs.globStatus(self._path(pattern)) or []]
 
     def versions(self) -> list[int]:
-        root = self._path(self.root)
-        if not self._fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(root)]
-        done = []
-        for name in names:
-            m = re.fullmatch(r"v=(\d+)", name)
-            if m and self._fs.exists(self._path(f"{self.root}/{name}/_SUCCESS")):
-                done.append(int(m.group(1)))
-        return sorted(done)
+        ready = self.matching(f"{self.root}/v=*/_READY")
+        return sorted(int(re.search(r"/v=(\d+)/", p).group(1)) for p in ready)
 
     def latest(self) -> int | None:
         found = self.versions()
@@ -68,11 +69,16 @@ class Snapshots:
     def read(self, version: int | None = None) -> DataFrame:
         version = self.latest() if version is None else version
         if version is None:
-            raise FileNotFoundError(f"no complete version under {self.root}")
+            raise FileNotFoundError(f"no ready version under {self.root}")
         return self.spark.read.parquet(f"{self.root}/v={version}")
 
-    def write(self, df: DataFrame, partition_by=()) -> int:
+    def write(self, df: DataFrame, partition_by=(), check=None) -> int:
+        """Write the next version; ``check`` gets the written rows and may raise."""
         version = (self.latest() or 0) + 1
+        folder = f"{self.root}/v={version}"
         # An unfinished attempt at this version may be there: overwrite replaces it.
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.root}/v={version}")
+        df.write.mode("overwrite").partitionBy(*partition_by).parquet(folder)
+        if check is not None:
+            check(self.spark.read.schema(df.schema).parquet(folder))
+        self._fs.create(self._path(f"{folder}/_READY"), True).close()
         return version
