@@ -71,14 +71,14 @@ select 'SOP-' || cast(item_id as string) as sop_id, 't' || cast(item_id % 3 as s
   case when item_id % 4 = 0 then null else split('run ' || cast(item_id as string) || ',start', ',') end as trigger_phrases
 from benchmark""",
     "sop_steps": """
-select item_id * 10 + k.step as id, 'SOP-' || cast(item_id as string) as sop_id, k.step as step_number,
-  'Step ' || cast(k.step as string) as title, text as content
-from benchmark cross join (select r_regionkey as step from region) k""",
+select item_id * 10 + 1 as id, 'SOP-' || cast(item_id as string) as sop_id, 1 as step_number, 'Read' as title, text as content from benchmark
+union all select item_id * 10 + 2, 'SOP-' || cast(item_id as string), 2, 'Do', text from benchmark""",
     "decommissioned_terms": """
 select term, tenant_id from (values ('onesen', 't0'), ('onesen', 't1'), ('ERBLEST', 't1'), ('le', 't2'), ('er_', 't0')) x(term, tenant_id)""",
     "decommissioned_term_allowlist": """
-select 't' || cast(l.doc_id % 3 as string) as tenant_id, s.source_table, cast(l.doc_id as string) as source_id, 'onesen' as term
-from labels l cross join (values ('project_knowledge'), ('known_rules')) s(source_table) where l.quality = 1""",
+select 't' || cast(doc_id % 3 as string) as tenant_id, 'project_knowledge' as source_table, cast(doc_id as string) as source_id, 'onesen' as term
+from labels where quality = 1
+union all select 't' || cast(doc_id % 3 as string), 'known_rules', cast(doc_id as string), 'onesen' from labels where quality = 1""",
     "factory_agreements": """
 select n_nationkey as id, 't' || cast(n_nationkey % 3 as string) as tenant_id, 'agent' || cast(n_nationkey as string) as agent_name, '1.0' as agreement_version,
   case n_nationkey % 3 when 0 then split('sop,gate', ',') when 1 then split('routing,voice,behavior', ',') else split('brand', ',') end as required_rule_types,
@@ -155,9 +155,11 @@ select 'c' || cast(n_nationkey as string) as connector_id, 't' || cast(n_nationk
   case n_nationkey % 4 when 0 then 'connected' when 1 then 'blocked' when 2 then 'unknown' else null end as probe_status
 from nation""",
     "session_status": """
-select s.id as session_id, 'c' || cast(n.n_nationkey as string) as connector_id, s.tenant_id,
-  case (s.id + n.n_nationkey) % 4 when 1 then 'connected' when 2 then 'blocked' else 'unavailable' end as probe_result, false as fallback_active
-from sessions s join nation n on (s.id + n.n_nationkey) % 4 <> 0""",
+select session_id, 'c' || cast(connector_no as string) as connector_id, tenant_id,
+  case (session_id + connector_no) % 4 when 1 then 'connected' when 2 then 'blocked' else 'unavailable' end as probe_result, false as fallback_active
+from (select distinct s.id as session_id, s.tenant_id, e.user_id % 25 as connector_no
+  from events e join sessions s on s.session_date = cast(e.ts as date) and s.tenant_id = 't' || cast(e.user_id % 3 as string) where e.event_type = 'error') z""",
+
     # --- retrieval evaluation ---------------------------------------------------
     "eval_cases": """
 select 'case-' || cast(id as string) as case_id, tenant_id, regexp_extract(summary_text, '^([^ ]+ [^ ]+ [^ ]+)', 1) as query_text,

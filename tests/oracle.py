@@ -5,6 +5,7 @@
 
 import os
 import sys
+import tempfile
 import time
 from decimal import Decimal
 
@@ -27,6 +28,7 @@ def make_spark(cpus: int = 8):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="lorebase-test-"))
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
