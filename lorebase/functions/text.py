@@ -1,6 +1,7 @@
 """Text analysis: tokens, stop words and English stems as Spark columns."""
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 # Fixed value: a token is a run of letters and digits.
@@ -167,16 +168,14 @@ def english_lexeme(token: str) -> str | None:
     return stem(token) if token.isalpha() else token
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _english_lexemes(tokens: pd.Series) -> pd.Series:
-    seen: dict[str, str | None] = {}  # words repeat: stem each once per batch
-
-    def one(token):
-        if token not in seen:
-            seen[token] = english_lexeme(token)
-        return seen[token]
-
-    return tokens.map(lambda row: [one(t) for t in row])
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _english_lexemes(tokens: pa.Array) -> pa.Array:
+    """Lexeme of every token; each distinct token of a batch is stemmed once."""
+    words = tokens.flatten().dictionary_encode()
+    stems = pa.array([english_lexeme(w) for w in words.dictionary.to_pylist()], pa.string())
+    ends = np.cumsum(tokens.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int32)
+    offsets = pa.array(np.concatenate([np.zeros(1, dtype=np.int32), ends]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, stems.take(words.indices))
 
 
 def tokens(text: Column) -> Column:

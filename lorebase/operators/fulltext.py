@@ -37,6 +37,15 @@ def postings(df: DataFrame, text: str, config: str = "english", vocabulary: Data
     )
 
 
+def index_for(terms: DataFrame, df: DataFrame, text: str, config: str = "english") -> DataFrame:
+    """Postings of just the lexemes in ``terms``, for a corpus without a stored index.
+
+    Written once and read back, as a search reads it several times.
+    """
+    words = terms.select("tenant_id", "lexeme").distinct()
+    return kept(postings(df, text, config, vocabulary=words), "postings")
+
+
 def write_postings(index: DataFrame, path: str) -> None:
     """Store the index so that a search reads only the row groups of its lexemes.
 
@@ -77,12 +86,13 @@ def fts_match(terms: DataFrame, index: DataFrame) -> DataFrame:
     # As a stored table its true size is known, so that the joins below broadcast
     # it when it is small and keep the index, the large side, spread out.
     known = kept(known, "terms")
-    first = known.filter("scarce = 1").select("qid", "tenant_id", "lexeme")
-    seeds = first.join(index.select("tenant_id", "lexeme", "id"), ["tenant_id", "lexeme"]).select("qid", "id")
-    needed = seeds.join(known, "qid").select("qid", "tenant_id", "id", "lexeme", "terms")
+    first = known.filter("scarce = 1").drop("scarce")
+    seeds = first.join(index, ["tenant_id", "lexeme"]).select("qid", "tenant_id", "id", "terms", "positions")
+    others = known.filter("scarce > 1").select("qid", "lexeme")
+    needed = seeds.select("qid", "tenant_id", "id", "terms").join(others, "qid")
+    hits = needed.join(index, ["tenant_id", "lexeme", "id"]).select(*seeds.columns).unionByName(seeds)
     return (
-        needed.join(index, ["tenant_id", "lexeme", "id"])
-        .groupBy("qid", "id", "terms")
+        hits.groupBy("qid", "id", "terms")
         .agg(F.count("*").alias("hits"), F.collect_list("positions").alias("positions"))
         .filter("hits = terms")
         .select("qid", "id", "positions")

@@ -10,6 +10,8 @@ RULE_TARGET = 21
 GOVERNANCE_TARGET = 28
 PREVIEW = 200
 
+BROADCAST_TERMS = 50_000  # retired terms: short strings, a few megabytes at this number
+
 
 def rules_by_agent(T, roster) -> DataFrame:
     """One row per rule and agent it applies to; a rule for everyone gets the roster."""
@@ -95,7 +97,10 @@ def _retired_hits(T, rows: DataFrame, table: str, key: str, texts, keep) -> Data
     inside the row and no pair of text and term is ever shuffled.  The allow list
     joins afterwards, against the few rows with a hit.
     """
-    terms = T["decommissioned_terms"].groupBy("tenant_id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    listed = T["decommissioned_terms"]
+    terms = listed.groupBy("tenant_id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    if listed.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        terms = F.broadcast(terms)  # else Spark chooses, and may shuffle the texts
 
     def found(term):
         wild = term.rlike(r"[%_\\]")  # LIKE signs inside a term act as such

@@ -96,8 +96,7 @@ def text_query_terms(T):
 
 def _ranked(T, table, text, config):
     terms = fulltext.query_terms(T["search_queries"], config)
-    index = fulltext.postings(T[table], text, config, vocabulary=terms.select("tenant_id", "lexeme").distinct())
-    return fulltext.fts_match(terms, index)
+    return fulltext.fts_match(terms, fulltext.index_for(terms, T[table], text, config))
 
 
 @query("text_match", f"with {_fts_sql('semantic_index', 'summary_text')} select qid, id from matched", ["semantic_index", "search_queries"])

@@ -5,6 +5,7 @@ engine, so that both sides read the same rows.  A text may read raw parquet
 tables and other derived tables; ``with_clause`` strings them together.
 """
 
+import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -272,15 +273,28 @@ def with_clause(names) -> str:
     return ",\n".join(f"{n} as ({DERIVED[n]})" for n in closure(names))
 
 
+# A local file of one row group is read by one task.  Up to this size its rows are
+# dealt out to all cores before the text work; larger inputs have many row groups.
+_SPREAD_BYTES = (1 << 20, 256 << 20)
+
+
+def _scan(spark: SparkSession, sf_dir: str, name: str) -> str:
+    path = f"{sf_dir}/{name}.parquet"
+    hint = ""
+    if name == "documents" and os.path.isfile(path) and _SPREAD_BYTES[0] < os.path.getsize(path) < _SPREAD_BYTES[1]:
+        hint = f"/*+ REPARTITION({spark.sparkContext.defaultParallelism}) */ "
+    return f"select {hint}* from parquet.`{path}`"
+
+
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.sql(_scan(spark, sf_dir, name))
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived table over the parquet files of ``sf_dir``."""
     needed = closure([name])
     scans = sorted({r for n in needed for r in _reads(DERIVED[n])} & set(RAW_TABLES))
-    parts = [f"{r} as (select * from parquet.`{sf_dir}/{r}.parquet`)" for r in scans]
+    parts = [f"{r} as ({_scan(spark, sf_dir, r)})" for r in scans]
     parts += [f"{n} as ({DERIVED[n]})" for n in needed]
     return spark.sql("with " + ",\n".join(parts) + f"\nselect * from {name}")
 
