@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from lorebase.sources.scratch import kept
+
 # Fixed values of the source.
 BATCH = 50
 MAX_CHARS = 8000
@@ -79,6 +81,16 @@ def apply_embeddings(df: DataFrame, vectors: DataFrame, text: str, model: str, r
     return joined.select(*[(new[c] if c in new else F.col(c)).alias(c) for c in df.columns])
 
 
+def refresh(df: DataFrame, text: str, embedder: Embedder, model: str, run_ts, **options) -> DataFrame:
+    """Tier snapshot with every pending row embedded.
+
+    The vectors are stored before they are joined in: the loss of an executor
+    later on never repeats a call to the embedder.
+    """
+    vectors = kept(embed(pending(df, text), embedder, **options), "vectors")
+    return apply_embeddings(df, vectors, text, model, run_ts)
+
+
 def pending_counts(T) -> DataFrame:
     """Pending rows per tier and tenant."""
     tiers = [

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from lorebase.functions.columns import latest_per_key
+from lorebase.sources.scratch import kept
 
 
 def _one_per_key(updates: DataFrame, keys, order) -> DataFrame:
@@ -29,11 +30,15 @@ def new_rows(target: DataFrame, updates: DataFrame, keys, order=()) -> DataFrame
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys, order=()) -> DataFrame:
-    """Replace the columns that the updates carry, add the rows whose key is new."""
-    ups = _one_per_key(updates, keys, order)
+    """Replace the columns that the updates carry, add the rows whose key is new.
+
+    The target meets the updates in a left join, which broadcasts a small batch
+    instead of shuffling the table; only key columns are compared to find new rows.
+    """
+    ups = kept(_one_per_key(updates, keys, order), "updates")
     carried = [c for c in ups.columns if c not in keys]
     marked = ups.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in carried], F.lit(True).alias("_hit"))
-    joined = target.join(marked, list(keys), "full")
+    joined = target.join(marked, list(keys), "left")
 
     def pick(c):
         if c in keys or c not in carried:
@@ -41,4 +46,6 @@ def upsert(target: DataFrame, updates: DataFrame, keys, order=()) -> DataFrame:
         return F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
 
     types = dict(target.dtypes)
-    return joined.select(*[pick(c).cast(types[c]).alias(c) for c in target.columns])
+    changed = joined.select(*[pick(c).cast(types[c]).alias(c) for c in target.columns])
+    fresh = ups.join(target.select(*keys), list(keys), "left_anti")
+    return changed.unionByName(_aligned(fresh, target.columns, target))

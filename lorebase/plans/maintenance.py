@@ -271,20 +271,15 @@ counts as (select id, unicode(c) % 64 as slot, cast(count(*) as double) as n fro
 vectors as (select id, slot, n / sqrt(sum(n * n) over (partition by id)) as v from counts)"""
 
 
-def _refreshed(T, table, text):
-    vectors = embedding.embed(
-        embedding.pending(T[table], text), embedding.CodePointEmbedder(), dimensions=64, max_chars=None
-    )
-    return vectors
-
-
 @query(
     "embedding_vectors",
     f"with {_embed_sql('semantic_index', 'summary_text')} select id, slot, round(cast(cast(round(v, 8) as float) as double), 5) as v from vectors",
     ["semantic_index"],
 )
 def embedding_vectors(T):
-    rows = _refreshed(T, "semantic_index", "summary_text").select("id", F.posexplode("vector").alias("slot", "v"))
+    waiting = embedding.pending(T["semantic_index"], "summary_text")
+    vectors = embedding.embed(waiting, embedding.CodePointEmbedder(), dimensions=64, max_chars=None)
+    rows = vectors.select("id", F.posexplode("vector").alias("slot", "v"))
     return rounded(rows.filter("v <> 0"), v=5)
 
 
@@ -300,9 +295,9 @@ from semantic_index c left join first f on f.id = c.id""",
     ["semantic_index"],
 )
 def embedding_applied(T):
-    vectors = _refreshed(T, "semantic_index", "summary_text")
-    out = embedding.apply_embeddings(
-        T["semantic_index"], vectors, "summary_text", "model-new", datetime.datetime(2024, 6, 1)
+    out = embedding.refresh(
+        T["semantic_index"], "summary_text", embedding.CodePointEmbedder(), "model-new", datetime.datetime(2024, 6, 1),
+        dimensions=64, max_chars=None,
     )
     return rounded(
         out.select("id", "tenant_id", "embedding_stale", "model_version", "embedded_at", F.array_max("embedding").alias("peak")),

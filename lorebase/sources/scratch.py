@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_KEPT: list[str] = []
 _LOCAL: dict[str, str] = {}  # fallback folder per local-mode application
 
 
@@ -33,12 +34,28 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def kept(df: DataFrame, label: str = "kept") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut in the lineage
-    that survives the loss of executors, for results that are used many times."""
+    that survives the loss of executors, for results that are used many times.
+
+    Its size is known to the planner, so that a small result is broadcast where an
+    estimate through joins and aggregates would shuffle the large side.
+    """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    _KEPT.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process wrote; frames that read them end here."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for p in _KEPT:
+        path(p).getFileSystem(conf).delete(path(p), True)
+    n = len(_KEPT)
+    _KEPT.clear()
+    return n
+
+
 class Snapshots:
     """Versions of one dataset under ``root``: ``v=1``, ``v=2``, ...
 
