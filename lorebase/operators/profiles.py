@@ -1,62 +1,99 @@
-"""Profile assembly: signatures and rendered documents of all versions at once."""
+"""Profile assembly: signatures and rendered documents of all versions at once.
+
+Formats are data; one small assembler per output reads them.
+"""
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lorebase.functions.columns import capitalised, glue, labelled
+from lorebase.functions.columns import capitalised, labelled
 from lorebase.functions.documents import canonical_json
 
-_PART = "\u001e"  # fixed value: separator of the seven signature parts
+# Parts of the identity signature in order, as tag, table, fields.
+# A field counts "~" when NULL; "[]" marks a list, "{}" a JSON value.
+SIGNED_ROWS = [
+    ("V", "profile_version", "role one_liner summary trigger_phrases[]"),
+    ("B", "profile_bible", "archetype backstory personality character_depth humor seriousness_boundary evolution_history traits[] emoji"),
+    ("VC", "profile_voice", "opening_convention register voice_texture voice_anchors[] sample_lines[] forbidden_phrasings[] emoji_policy"),
+    ("L", "profile_lane", "primary_domain does[] does_not[] handoffs{} suppression_rules"),
+]
+# Ordered child lists, as tag, table, fields; "!" marks a field that
+# must be there.  The first field orders rows of equal sort order.
+SIGNED_LISTS = [
+    ("A", "profile_archetype", "layer! archetype_name! description"),
+    ("D", "profile_dimension", "dimension! content!"),
+    ("S", "profile_strength", "strength! description"),
+]
+PART_END = "\u001e"  # fixed value
+
+# Child lists of the document, as name, table, ordering field, line.
+# In a line "{x}" must be there and "{x?}" may be NULL.
+DOCUMENT_LISTS = [
+    ("archetypes", "profile_archetype", "layer", "- **{layer}** — {archetype_name}: {description?}"),
+    ("dimensions", "profile_dimension", "dimension", "- **{dimension}** — {content}"),
+    ("strengths", "profile_strength", "strength", "- **{strength}** — {description?}"),
+    ("tools", "profile_tool", "tool_name", "- `{tool_name}` — {purpose?}"),
+]
+# Sections of the document, as heading and its paragraphs.  A
+# paragraph is label, field and, for lists, the separator; it is left out when
+# the field is NULL, unless it has no label.
+SECTIONS = [
+    ("## Identity", [("", "summary"), ("**Trigger phrases:** ", "trigger_phrases", ", ")]),
+    ("## Archetype Hierarchy", [("", "archetypes"), ("> Guardrail: ", "archetype")]),
+    ("## Character", [
+        ("**Personality.** ", "personality"), ("**Backstory.** ", "backstory"), ("**Depth.** ", "character_depth"),
+        ("**Humor.** ", "humor"), ("**Seriousness boundary.** ", "seriousness_boundary"), ("**Traits:** ", "traits", ", "),
+    ]),
+    ("### Character Dimensions", [("", "dimensions")]),
+    ("## Voice", [
+        ("**Opening convention.** ", "opening_convention"), ("**Register.** ", "register"), ("**Texture.** ", "voice_texture"),
+        ("**Anchors:** ", "voice_anchors", " · "), ("**Sample lines:**\n\n> ", "sample_lines", "\n> "),
+        ("**Forbidden:**\n\n- ", "forbidden_phrasings", "\n- "), ("**Emoji policy.** ", "emoji_policy"),
+    ]),
+    ("## Lane", [
+        ("**Primary domain:** ", "primary_domain"), ("**Does:** ", "does", ", "),
+        ("**Routes away:**\n\n- ", "does_not", "\n- "), ("**Suppression.** ", "suppression_rules"),
+    ]),
+    ("## Strengths", [("", "strengths")]),
+    ("## Tools", [("", "tools")]),
+]
+GAP = "\n\n"
 
 
 def _ordered_text(rows: DataFrame, order: str, text: Column, separator: str, name: str) -> DataFrame:
-    """Child rows of a version as one text, by sort order and ``order``; a NULL part drops out."""
+    """Child rows of a version as one text, by sort order and ``order``; a NULL line drops out."""
     items = F.array_sort(F.collect_list(F.struct("sort_order", F.col(order).alias("k"), text.alias("text"))))
     return rows.groupBy("version_id").agg(
         F.array_join(F.transform(items, lambda i: i["text"]), separator).alias(name)
     )
 
 
-def _known(column: str) -> Column:
-    return F.coalesce(F.col(column), F.lit("~"))
-
-
-def _listed(column: str) -> Column:
-    return F.array_join(column, "#")
-
+def _signed(tag: str, fields: str) -> Column:
+    """Tag and fields with a bar between; NULL as soon as one is."""
+    def value(field):
+        if field.endswith("[]"):
+            return F.array_join(field[:-2], "#")
+        if field.endswith("!"):
+            return F.col(field[:-1])
+        if field.endswith("{}"):
+            return F.coalesce(canonical_json(field[:-2]), F.lit("~"))
+        return F.coalesce(F.col(field), F.lit("~"))
 
-def _signed(tag: str, *parts: Column) -> Column:
-    """Tag and parts with a bar between; NULL as soon as one part is."""
-    return F.concat(F.lit(tag), *[x for p in parts for x in (F.lit("|"), p)])
+    return F.concat(F.lit(tag), *[x for f in fields.split() for x in (F.lit("|"), value(f))])
 
 
 def identity_signatures(T) -> DataFrame:
     """MD5 over version, bible, voice, lane and the three ordered child lists."""
-    version = T["profile_version"].select(
-        F.col("id").alias("version_id"), "agent_name",
-        _signed("V", _known("role"), _known("one_liner"), _known("summary"), _listed("trigger_phrases")).alias("v"),
-    )
-    bible = T["profile_bible"].select("version_id", _signed(
-        "B", _known("archetype"), _known("backstory"), _known("personality"), _known("character_depth"), _known("humor"),
-        _known("seriousness_boundary"), _known("evolution_history"), _listed("traits"), _known("emoji"),
-    ).alias("b"))
-    voice = T["profile_voice"].select("version_id", _signed(
-        "VC", _known("opening_convention"), _known("register"), _known("voice_texture"), _listed("voice_anchors"),
-        _listed("sample_lines"), _listed("forbidden_phrasings"), _known("emoji_policy"),
-    ).alias("vc"))
-    lane = T["profile_lane"].withColumn("handoffs", canonical_json("handoffs")).select("version_id", _signed(
-        "L", _known("primary_domain"), _listed("does"), _listed("does_not"), _known("handoffs"), _known("suppression_rules"),
-    ).alias("l"))
-
-    archetypes = _ordered_text(
-        T["profile_archetype"], "layer", _signed("A", F.col("layer"), F.col("archetype_name"), _known("description")), "||", "a")
-    dimensions = _ordered_text(T["profile_dimension"], "dimension", _signed("D", F.col("dimension"), F.col("content")), "||", "d")
-    strengths = _ordered_text(T["profile_strength"], "strength", _signed("S", F.col("strength"), _known("description")), "||", "s")
-
-    joined = version
-    for part in (bible, voice, lane, archetypes, dimensions, strengths):
-        joined = joined.join(part, "version_id", "left")
-    parts = [F.coalesce(F.col(c), F.lit("")) for c in ("v", "b", "vc", "l", "a", "d", "s")]
-    text = F.concat(*[x for i, p in enumerate(parts) for x in ([F.lit(_PART)] if i else []) + [p]])
+    joined = T["profile_version"].select(F.col("id").alias("version_id"), "agent_name")
+    for tag, table, fields in SIGNED_ROWS:
+        key = F.col("id" if table == "profile_version" else "version_id").alias("version_id")
+        joined = joined.join(T[table].select(key, _signed(tag, fields).alias(tag)), "version_id", "left")
+    for tag, table, fields in SIGNED_LISTS:
+        first = fields.split()[0].rstrip("!")
+        joined = joined.join(_ordered_text(T[table], first, _signed(tag, fields), "||", tag), "version_id", "left")
+    parts = [F.coalesce(F.col(tag), F.lit("")) for tag, *_ in SIGNED_ROWS + SIGNED_LISTS]
+    text = parts[0]
+    for part in parts[1:]:
+        text = F.concat(text, F.lit(PART_END), part)
     return joined.select("version_id", "agent_name", F.md5(text.cast("binary")).alias("signature"))
 
 
@@ -64,7 +101,7 @@ def signature_drift(T) -> DataFrame:
     """Stored signature and build records against the recomputed signature."""
     now = identity_signatures(T)
     stored = T["profile_version"].select(F.col("id").alias("version_id"), F.col("identity_signature").alias("stored_signature"))
-    builds = T["profile_build"].select(F.col("persona_version").alias("version_id"), F.col("identity_signature").alias("build_signature"))
+    builds = T["profile_build"].select("version_id", F.col("identity_signature").alias("build_signature"))
     return now.join(stored, "version_id").join(builds, "version_id", "left").select(
         "version_id", "agent_name",
         F.when(F.col("stored_signature").isNull(), "UNSIGNED")
@@ -74,70 +111,48 @@ def signature_drift(T) -> DataFrame:
     )
 
 
-_GAP = "\n\n"
+def filled(line: str) -> Column:
+    """A text with ``{field}`` and ``{field?}`` places as a column."""
+    parts = []
+    for piece in line.split("{"):
+        field, _, rest = piece.rpartition("}")
+        if field:
+            name = field.rstrip("?")
+            value = F.col(name).cast("string")
+            parts.append(F.coalesce(value, F.lit("")) if field.endswith("?") else value)
+        parts.append(F.lit(rest))
+    return F.concat(*parts)
+
+
+def _header() -> Column:
+    version = F.coalesce(F.col("identity_version").cast("string"), F.lit("?"))
+    signature = F.coalesce("identity_signature", F.lit("UNSIGNED"))
+    return F.concat(
+        filled("<!-- Generated from the profile record. Do not edit by hand. -->\n<!-- agent: {agent_name} | version: {version}"),
+        F.lit(" | identity_version: "), version, F.lit(" | identity_signature: "), signature, F.lit(" -->" + GAP),
+        F.lit("# "), capitalised(F.col("agent_name")), labelled(" — ", F.col("role")), F.lit(GAP),
+        labelled("> ", F.col("one_liner"), GAP),
+        filled("**Callsign:** {callsign} | **Factory:** {factory_type} | **Status:** {status}"),
+        labelled(" | **Emoji:** ", F.col("emoji")), F.lit(GAP),
+    )
 
 
-def _bullets(T, table: str, name: str, text: str | None, alias: str, mark: str = "**") -> DataFrame:
-    value = F.concat(F.lit(f"- {mark}"), F.col(name), F.lit(f"{mark} — "), F.coalesce(F.col(text), F.lit("")))
-    return _ordered_text(T[table], name, value, "\n", alias)
+def _paragraph(label: str, field: str, separator: str | None = None) -> Column:
+    value = F.col(field) if separator is None else F.array_join(field, separator)
+    if not label:
+        return F.concat(F.coalesce(value, F.lit("")), F.lit(GAP))
+    return labelled(label, value, GAP)
 
 
 def render_documents(T) -> DataFrame:
-    """Markdown text of every version; a NULL in a required part gives a NULL document."""
-    archetype_line = F.concat(
-        F.lit("- **"), F.col("layer"), F.lit("** — "), F.col("archetype_name"), F.lit(": "), F.coalesce("description", F.lit("")))
-    dimension_line = F.concat(F.lit("- **"), F.col("dimension"), F.lit("** — "), F.col("content"))
-    lists = [
-        _ordered_text(T["profile_archetype"], "layer", archetype_line, "\n", "archetypes"),
-        _ordered_text(T["profile_dimension"], "dimension", dimension_line, "\n", "dimensions"),
-        _bullets(T, "profile_strength", "strength", "description", "strengths"),
-        _bullets(T, "profile_tool", "tool_name", "purpose", "tools", mark="`"),
-    ]
-    bible = T["profile_bible"].drop("id")
-    voice = T["profile_voice"].drop("id")
-    lane = T["profile_lane"].drop("id", "handoffs")
+    """Markdown text of every version; a NULL in a required place gives a NULL document."""
     rows = T["profile_version"].withColumnRenamed("id", "version_id").join(
         T["profile"].select("agent_name", "callsign", "factory_type", "status"), "agent_name"
     )
-    for part in (bible, voice, lane, *lists):
-        rows = rows.join(part, "version_id", "left")
-
-    def para(label, value):
-        return labelled(label, value, _GAP)
-
-    def head(text):
-        return F.lit(text + _GAP)
-
-    def listing(column):
-        return F.concat(F.coalesce(F.col(column), F.lit("")), F.lit(_GAP))
-
-    def joined(column, separator=", "):
-        return F.array_join(column, separator)
-
-    c = F.col
-    document = F.concat(
-        F.lit("<!-- Generated from the profile record. Do not edit by hand. -->\n<!-- agent: "), c("agent_name"),
-        F.lit(" | version: "), c("version").cast("string"),
-        F.lit(" | identity_version: "), F.coalesce(c("identity_version").cast("string"), F.lit("?")),
-        F.lit(" | identity_signature: "), F.coalesce("identity_signature", F.lit("UNSIGNED")), F.lit(" -->" + _GAP),
-        F.lit("# "), capitalised(c("agent_name")), labelled(" — ", c("role")), F.lit(_GAP),
-        para("> ", c("one_liner")),
-        F.lit("**Callsign:** "), c("callsign"), F.lit(" | **Factory:** "), c("factory_type"),
-        F.lit(" | **Status:** "), c("status"), labelled(" | **Emoji:** ", c("emoji")), F.lit(_GAP),
-        head("## Identity"), glue(c("summary")), F.lit(_GAP), para("**Trigger phrases:** ", joined("trigger_phrases")),
-        head("## Archetype Hierarchy"), listing("archetypes"), para("> Guardrail: ", c("archetype")),
-        head("## Character"), para("**Personality.** ", c("personality")), para("**Backstory.** ", c("backstory")),
-        para("**Depth.** ", c("character_depth")), para("**Humor.** ", c("humor")),
-        para("**Seriousness boundary.** ", c("seriousness_boundary")), para("**Traits:** ", joined("traits")),
-        head("### Character Dimensions"), listing("dimensions"),
-        head("## Voice"), para("**Opening convention.** ", c("opening_convention")), para("**Register.** ", c("register")),
-        para("**Texture.** ", c("voice_texture")), para("**Anchors:** ", joined("voice_anchors", " · ")),
-        para("**Sample lines:**\n\n> ", joined("sample_lines", "\n> ")),
-        para("**Forbidden:**\n\n- ", joined("forbidden_phrasings", "\n- ")), para("**Emoji policy.** ", c("emoji_policy")),
-        head("## Lane"), para("**Primary domain:** ", c("primary_domain")), para("**Does:** ", joined("does")),
-        para("**Routes away:**\n\n- ", joined("does_not", "\n- ")), para("**Suppression.** ", c("suppression_rules")),
-        head("## Strengths"), listing("strengths"),
-        head("## Tools"), listing("tools"),
-        F.lit("<!-- Platform section: filled by the build, not part of the signature. -->\n"),
-    )
-    return rows.select("version_id", "agent_name", document.alias("document"))
+    for table in ("profile_bible", "profile_voice", "profile_lane"):
+        rows = rows.join(T[table].drop("id", "handoffs"), "version_id", "left")
+    for name, table, order, line in DOCUMENT_LISTS:
+        rows = rows.join(_ordered_text(T[table], order, filled(line), "\n", name), "version_id", "left")
+    body = [F.concat(F.lit(heading + GAP), *[_paragraph(*p) for p in paragraphs]) for heading, paragraphs in SECTIONS]
+    end = F.lit("<!-- Platform section: filled by the build, not part of the signature. -->\n")
+    return rows.select("version_id", "agent_name", F.concat(_header(), *body, end).alias("document"))

@@ -211,7 +211,7 @@ def active_research(T) -> DataFrame:
 def file_rollup(T) -> DataFrame:
     return T["file_registry"].groupBy("category").agg(
         F.count("*").alias("file_count"),
-        F.sum(F.when(F.col("docling_required"), 1).otherwise(0)).alias("needs_conversion"),
+        F.sum(F.when(F.col("conversion_required"), 1).otherwise(0)).alias("needs_conversion"),
     )
 
 

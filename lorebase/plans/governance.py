@@ -1,5 +1,7 @@
 """Governance, connector, data-quality and profile queries."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from lorebase.operators import connectors, governance, profiles, quality, reports
@@ -251,18 +253,26 @@ def _list_sql(table: str, order: str, text: str, separator: str) -> str:
     return f"(select string_agg({text}, {separator} order by sort_order, {order}) from {table} x where x.version_id = pv.id)"
 
 
-_SIGNATURES = f"""signed as (select pv.id as version_id, pv.agent_name, md5(
-  coalesce('V|' || coalesce(role, '~') || '|' || coalesce(one_liner, '~') || '|' || coalesce(summary, '~') || '|' || array_to_string(trigger_phrases, '#'), '') || chr(30) ||
-  coalesce('B|' || coalesce(b.archetype, '~') || '|' || coalesce(b.backstory, '~') || '|' || coalesce(b.personality, '~') || '|' || coalesce(b.character_depth, '~') || '|' ||
-    coalesce(b.humor, '~') || '|' || coalesce(b.seriousness_boundary, '~') || '|' || coalesce(b.evolution_history, '~') || '|' || array_to_string(b.traits, '#') || '|' || coalesce(b.emoji, '~'), '') || chr(30) ||
-  coalesce('VC|' || coalesce(v.opening_convention, '~') || '|' || coalesce(v.register, '~') || '|' || coalesce(v.voice_texture, '~') || '|' || array_to_string(v.voice_anchors, '#') || '|' ||
-    array_to_string(v.sample_lines, '#') || '|' || array_to_string(v.forbidden_phrasings, '#') || '|' || coalesce(v.emoji_policy, '~'), '') || chr(30) ||
-  coalesce('L|' || coalesce(l.primary_domain, '~') || '|' || array_to_string(l.does, '#') || '|' || array_to_string(l.does_not, '#') || '|' ||
-    '{{"n": ' || json_extract_string(l.handoffs, '$.n') || ', "to": "' || json_extract_string(l.handoffs, '$.to') || '"}}' || '|' || coalesce(l.suppression_rules, '~'), '') || chr(30) ||
-  coalesce({_list_sql('profile_archetype', 'layer', "'A|' || layer || '|' || archetype_name || '|' || coalesce(description, '~')", "'||'")}, '') || chr(30) ||
-  coalesce({_list_sql('profile_dimension', 'dimension', "'D|' || dimension || '|' || content", "'||'")}, '') || chr(30) ||
-  coalesce({_list_sql('profile_strength', 'strength', "'S|' || strength || '|' || coalesce(description, '~')", "'||'")}, '')) as signature
-from profile_version pv left join profile_bible b on b.version_id = pv.id left join profile_voice v on v.version_id = pv.id left join profile_lane l on l.version_id = pv.id)"""
+def _signed_sql(tag: str, fields: str, table: str = "") -> str:
+    def value(f):
+        name = table + f.rstrip("[]{}!")
+        if f.endswith("[]"):
+            return f"array_to_string({name}, '#')"
+        if f.endswith("{}"):  # the one JSON value of the test table, in canonical form
+            return f"""'{{"n": ' || json_extract_string({name}, '$.n') || ', "to": "' || json_extract_string({name}, '$.to') || '"}}'"""
+        return name if f.endswith("!") else f"coalesce({name}, '~')"
+
+    return f"'{tag}|' || " + " || '|' || ".join(value(f) for f in fields.split())
+
+
+_PROFILE_JOIN = """from profile_version pv left join profile_bible b on b.version_id = pv.id
+left join profile_voice v on v.version_id = pv.id left join profile_lane l on l.version_id = pv.id"""
+_ALIAS = {"profile_version": "pv.", "profile_bible": "b.", "profile_voice": "v.", "profile_lane": "l."}
+_SIGNED_PARTS = [f"coalesce({_signed_sql(tag, fields, _ALIAS[table])}, '')" for tag, table, fields in profiles.SIGNED_ROWS] + [
+    f"""coalesce({_list_sql(table, fields.split()[0].rstrip('!'), _signed_sql(tag, fields), "'||'")}, '')"""
+    for tag, table, fields in profiles.SIGNED_LISTS
+]
+_SIGNATURES = f"signed as (select pv.id as version_id, pv.agent_name, md5({' || chr(30) || '.join(_SIGNED_PARTS)}) as signature {_PROFILE_JOIN})"
 
 report("profile_signatures", f"with {_SIGNATURES} select * from signed", _PROFILE, profiles.identity_signatures)
 report(
@@ -270,42 +280,39 @@ report(
     f"""with {_SIGNATURES} select s.version_id, s.agent_name,
   case when p.identity_signature is null then 'UNSIGNED' when p.identity_signature = s.signature then 'CURRENT' else 'DRIFTED' end as stored_state,
   case when b.identity_signature is null then 'NOT_BUILT' when b.identity_signature = s.signature then 'CURRENT' else 'OUTDATED' end as build_state
-from signed s join profile_version p on p.id = s.version_id left join profile_build b on b.persona_version = s.version_id""",
+from signed s join profile_version p on p.id = s.version_id left join profile_build b on b.version_id = s.version_id""",
     _PROFILE, profiles.signature_drift,
 )
 
 
-def _para(label: str, value: str) -> str:
-    return f"coalesce('{label}' || {value} || g, '')"
-
-
-_DOCUMENT = " || ".join([
-    "'<!-- Generated from the profile record. Do not edit by hand. -->' || chr(10) || '<!-- agent: ' || p.agent_name || ' | version: ' || pv.version",
-    "' | identity_version: ' || coalesce(cast(pv.identity_version as varchar), '?') || ' | identity_signature: ' || coalesce(pv.identity_signature, 'UNSIGNED') || ' -->' || g",
-    "'# ' || upper(left(p.agent_name, 1)) || lower(substr(p.agent_name, 2)) || coalesce(' — ' || pv.role, '') || g",
-    _para("> ", "pv.one_liner"),
-    "'**Callsign:** ' || p.callsign || ' | **Factory:** ' || p.factory_type || ' | **Status:** ' || p.status || coalesce(' | **Emoji:** ' || b.emoji, '') || g",
-    "'## Identity' || g || coalesce(pv.summary, '') || g", _para("**Trigger phrases:** ", "array_to_string(pv.trigger_phrases, ', ')"),
-    "'## Archetype Hierarchy' || g || coalesce(" + _list_sql("profile_archetype", "layer", "'- **' || layer || '** — ' || archetype_name || ': ' || coalesce(description, '')", "chr(10)") + ", '') || g",
-    _para("> Guardrail: ", "b.archetype"), "'## Character' || g",
-    _para("**Personality.** ", "b.personality"), _para("**Backstory.** ", "b.backstory"), _para("**Depth.** ", "b.character_depth"),
-    _para("**Humor.** ", "b.humor"), _para("**Seriousness boundary.** ", "b.seriousness_boundary"), _para("**Traits:** ", "array_to_string(b.traits, ', ')"),
-    "'### Character Dimensions' || g || coalesce(" + _list_sql("profile_dimension", "dimension", "'- **' || dimension || '** — ' || content", "chr(10)") + ", '') || g",
-    "'## Voice' || g", _para("**Opening convention.** ", "v.opening_convention"), _para("**Register.** ", "v.register"), _para("**Texture.** ", "v.voice_texture"),
-    _para("**Anchors:** ", "array_to_string(v.voice_anchors, ' · ')"),
-    "coalesce('**Sample lines:**' || g || '> ' || array_to_string(v.sample_lines, chr(10) || '> ') || g, '')",
-    "coalesce('**Forbidden:**' || g || '- ' || array_to_string(v.forbidden_phrasings, chr(10) || '- ') || g, '')", _para("**Emoji policy.** ", "v.emoji_policy"),
-    "'## Lane' || g", _para("**Primary domain:** ", "l.primary_domain"), _para("**Does:** ", "array_to_string(l.does, ', ')"),
-    "coalesce('**Routes away:**' || g || '- ' || array_to_string(l.does_not, chr(10) || '- ') || g, '')", _para("**Suppression.** ", "l.suppression_rules"),
-    "'## Strengths' || g || coalesce(" + _list_sql("profile_strength", "strength", "'- **' || strength || '** — ' || coalesce(description, '')", "chr(10)") + ", '') || g",
-    "'## Tools' || g || coalesce(" + _list_sql("profile_tool", "tool_name", "'- `' || tool_name || '` — ' || coalesce(purpose, '')", "chr(10)") + ", '') || g",
-    "'<!-- Platform section: filled by the build, not part of the signature. -->' || chr(10)",
-])
+def _line_sql(line: str) -> str:
+    out = re.sub(r"\{(\w+)\?\}", r"' || coalesce(\1, '') || '", line)
+    return "'" + re.sub(r"\{(\w+)\}", r"' || \1 || '", out) + "'"
+
+
+_LISTS_SQL = {name: _list_sql(table, order, _line_sql(line), "chr(10)") for name, table, order, line in profiles.DOCUMENT_LISTS}
+
+
+def _paragraph_sql(label: str, field: str, separator: str | None = None) -> str:
+    value = _LISTS_SQL.get(field, field) if separator is None else f"array_to_string({field}, '{separator}')"
+    return f"coalesce('{label}' || {value} || g, '')" if label else f"coalesce({value}, '') || g"
+
+
+_DOCUMENT = " || ".join(
+    [
+        "'<!-- Generated from the profile record. Do not edit by hand. -->\n<!-- agent: ' || p.agent_name || ' | version: ' || pv.version",
+        "' | identity_version: ' || coalesce(cast(identity_version as varchar), '?') || ' | identity_signature: ' || coalesce(identity_signature, 'UNSIGNED') || ' -->' || g",
+        "'# ' || upper(left(p.agent_name, 1)) || lower(substr(p.agent_name, 2)) || coalesce(' — ' || role, '') || g",
+        "coalesce('> ' || one_liner || g, '')",
+        "'**Callsign:** ' || callsign || ' | **Factory:** ' || factory_type || ' | **Status:** ' || status || coalesce(' | **Emoji:** ' || emoji, '') || g",
+    ]
+    + [part for heading, paragraphs in profiles.SECTIONS for part in [f"'{heading}' || g", *[_paragraph_sql(*p) for p in paragraphs]]]
+    + ["'<!-- Platform section: filled by the build, not part of the signature. -->\n'"]
+)
 report(
     "profile_documents",
     f"""with gap as (select chr(10) || chr(10) as g)
-select pv.id as version_id, pv.agent_name, {_DOCUMENT} as document from profile_version pv join profile p on p.agent_name = pv.agent_name cross join gap
-left join profile_bible b on b.version_id = pv.id left join profile_voice v on v.version_id = pv.id left join profile_lane l on l.version_id = pv.id""",
+select pv.id as version_id, pv.agent_name, {_DOCUMENT} as document {_PROFILE_JOIN} join profile p on p.agent_name = pv.agent_name cross join gap""",
     _PROFILE, profiles.render_documents,
 )
 

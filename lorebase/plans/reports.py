@@ -136,7 +136,7 @@ from research where status = 'active'""",
 )
 report(
     "file_rollup",
-    "select category, count(*) as file_count, cast(sum(case when docling_required then 1 else 0 end) as bigint) as needs_conversion from file_registry group by category",
+    "select category, count(*) as file_count, cast(sum(case when conversion_required then 1 else 0 end) as bigint) as needs_conversion from file_registry group by category",
     ["file_registry"], reports.file_rollup,
 )
 

@@ -191,7 +191,7 @@ select page_id as id, url as topic, html as summary, case page_id % 3 when 0 the
   cast('2024-04-' || lpad(cast(1 + page_id % 28 as string), 2, '0') || ' 08:00:00' as timestamp) as created_at
 from pages""",
     "file_registry": """
-select page_id as id, url as file_path, 'cat' || cast(page_id % 6 as string) as category, page_id % 2 = 0 as docling_required from pages""",
+select page_id as id, url as file_path, 'cat' || cast(page_id % 6 as string) as category, page_id % 2 = 0 as conversion_required from pages""",
     "factory_config": """
 select case when n_nationkey = 3 then 'openai_embedding_model' else 'key' || cast(n_nationkey as string) end as key,
   '"' || n_name || '"' as value, case when n_nationkey % 4 = 3 then 'embedding' else 'general' end as category,
@@ -240,7 +240,7 @@ select p_partkey as id, cast(floor(p_partkey / 20) as int) as version_id, 'tool'
   case when p_partkey % 3 = 0 then null else p_brand end as purpose, p_size as sort_order
 from part""",
     "profile_build": """
-select s_suppkey as id, 'agent' || cast(s_suppkey as string) as agent_name, s_suppkey as persona_version, 'sig' || cast(s_suppkey % 7 as string) as identity_signature
+select s_suppkey as id, 'agent' || cast(s_suppkey as string) as agent_name, s_suppkey as version_id, 'sig' || cast(s_suppkey % 7 as string) as identity_signature
 from supplier""",
 }
 

@@ -151,7 +151,7 @@ REFERENCES = [
     Reference("profile_tool", "version_id", "profile_version", "id", "cascade"),
     Reference("profile_voice", "version_id", "profile_version", "id", "cascade"),
     Reference("profile_build", "agent_name", "profile", "agent_name", "none"),
-    Reference("profile_build", "persona_version", "profile_version", "id", "none"),
+    Reference("profile_build", "version_id", "profile_version", "id", "none"),
     Reference("session_status", "connector_id", "connectors", "connector_id", "none"),
     Reference("session_status", "session_id", "sessions", "id", "cascade"),
     Reference("sop_steps", "sop_id", "sop_registry", "sop_id", "cascade"),
