@@ -19,7 +19,7 @@ from lorebase.functions.vectors import distances, smallest, unit_rows
 
 # Most bytes of vectors, or of running best lists, in one block.
 BLOCK_BYTES = 64 << 20
-_SLICE_ROWS = 2048  # corpus rows multiplied at a time
+_SLICE_ROWS = 2048  # most corpus rows multiplied at a time
 _UNDEFINED = 3.0  # distance to an all-zero vector while sorting: after all others
 
 _FOUND = "qid string, id long, tenant_id string, d double"
@@ -110,8 +110,10 @@ class _BestLists:
         return np.where(np.isnan(d), _UNDEFINED, d)
 
     def scan(self, batch) -> None:
-        for start in range(0, batch.num_rows, _SLICE_ROWS):
-            part = batch.slice(start, _SLICE_ROWS)
+        # the distances of one slice stay within a block, too
+        step = max(16, min(_SLICE_ROWS, BLOCK_BYTES // (8 * len(self.qids))))
+        for start in range(0, batch.num_rows, step):
+            part = batch.slice(start, step)
             corpus = _matrix(part.column("embedding"))
             if corpus.shape[1] != self.units.shape[1]:
                 raise ValueError(f"query vectors have {self.units.shape[1]} dimensions, corpus {corpus.shape[1]}")
