@@ -197,7 +197,7 @@ def content_workflow(T) -> DataFrame:
         "id", "title", "content_type", "status", "assigned_to",
         F.col("file_path").isNotNull().alias("has_file"),
         F.to_date("created_at").alias("created_date"), F.to_date("published_at").alias("published_date"),
-        F.when(place > 0, place).alias("status_order"),
+        F.when(place > 0, place).cast("int").alias("status_order"),
     )
 
 

@@ -224,22 +224,36 @@ from {r.child} c where c.{r.column} is not null and not exists (select 1 from {r
 )
 
 
+# Deleting the closed profiles reaches versions, their children and, through the
+# versions and export targets, the drift checks.
+_GONE = "select agent_name from profile where factory_type = 'closed'"
+_GONE_VERSIONS = f"select id from profile_version where agent_name in ({_GONE})"
+_BY_VERSION = ["profile_bible", "profile_voice", "profile_lane", "profile_archetype", "profile_dimension", "profile_strength", "profile_tool"]
+_PROPAGATED = (
+    [("profile", "factory_type <> 'closed'"), ("profile_version", f"agent_name not in ({_GONE})"),
+     ("profile_asset", f"agent_name not in ({_GONE})"), ("profile_export_target", f"agent_name not in ({_GONE})"),
+     ("profile_provenance", f"agent_name not in ({_GONE}) and (version_id is null or version_id not in ({_GONE_VERSIONS}))"),
+     ("profile_drift_check", f"agent_name not in ({_GONE}) and export_target_id not in (select id from profile_export_target where agent_name in ({_GONE}))")]
+    + [(t, f"version_id not in ({_GONE_VERSIONS})") for t in _BY_VERSION]
+)
+
+
 @query(
     "delete_propagation",
-    """with gone as (select agent_name from profile where factory_type = 'closed'),
-v as (select * from profile_version where agent_name not in (select agent_name from gone))
-select 'profile' as table_name, count(*) as kept from profile where factory_type <> 'closed'
-union all select 'profile_version', count(*) from v
-union all select 'profile_strength', count(*) from profile_strength where version_id not in (select id from profile_version where agent_name in (select agent_name from gone))
-union all select 'profile_tool', count(*) from profile_tool where version_id not in (select id from profile_version where agent_name in (select agent_name from gone))
-union all select 'profile_bible', count(*) from profile_bible where version_id not in (select id from profile_version where agent_name in (select agent_name from gone))""",
-    ["profile", "profile_version", "profile_strength", "profile_tool", "profile_bible"],
+    " union all ".join(f"select '{t}' as table_name, count(*) as kept from {t} where {c}" for t, c in _PROPAGATED)
+    + f""" union all select 'cleared version of a drift check', count(*) from profile_drift_check
+where {dict(_PROPAGATED)["profile_drift_check"]} and version_id in ({_GONE_VERSIONS})""",
+    [t for t, _ in _PROPAGATED],
 )
 def delete_propagation(T):
     gone = T["profile"].filter("factory_type = 'closed'").select("agent_name")
     after = quality.propagate_deletes(T, "profile", gone)
-    names = ["profile", "profile_version", "profile_strength", "profile_tool", "profile_bible"]
-    return quality._union([after[n].agg(F.count("*").alias("kept")).select(F.lit(n).alias("table_name"), "kept") for n in names])
+    cleared = after["profile_drift_check"].filter("version_id is null").agg(F.count("*").alias("kept")).select(
+        F.lit("cleared version of a drift check").alias("table_name"), "kept"
+    )
+    return quality._union(
+        [after[n].agg(F.count("*").alias("kept")).select(F.lit(n).alias("table_name"), "kept") for n, _ in _PROPAGATED] + [cleared]
+    )
 
 
 # --- profiles --------------------------------------------------------------------------------

@@ -317,8 +317,8 @@ def embedding_pending_counts(T):
 
 @query(
     "embedding_dimensions",
-    """select 'semantic_index' as tier, len(embedding) as dimensions, count(*) as n from semantic_index where embedding is not null group by 2
-union all select 'document_chunks', len(embedding), count(*) from document_chunks where embedding is not null group by 2""",
+    """select 'semantic_index' as tier, cast(len(embedding) as int) as dimensions, count(*) as n from semantic_index where embedding is not null group by 2
+union all select 'document_chunks', cast(len(embedding) as int), count(*) from document_chunks where embedding is not null group by 2""",
     ["semantic_index", "document_chunks"],
 )
 def embedding_dimensions(T):

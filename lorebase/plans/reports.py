@@ -241,7 +241,7 @@ report(
 report(
     "runs_compliance_trend",
     f"""select agent_name, factory_id, layer, cast(run_date as date) as run_date, {_SCORE}, pass, model_tested, agent_version, recency from (
-  select *, row_number() over (partition by agent_name, factory_id order by run_date desc, id desc) as recency from eval_runs) x where recency <= 10""",
+  select *, cast(row_number() over (partition by agent_name, factory_id order by run_date desc, id desc) as int) as recency from eval_runs) x where recency <= 10""",
     _RUNS, runs.compliance_trend, score=2,
 )
 report(

@@ -11,7 +11,7 @@ _WORDS = r"regexp_extract_all(lower(coalesce({0}, '')), '([\p{{L}}\p{{N}}]+)', 1
 
 def _tokens_sql(table: str, text: str) -> str:
     return f"""
-tok as (select tenant_id, id, unnest(l) as lexeme, generate_subscripts(l, 1) as position
+tok as (select tenant_id, id, unnest(l) as lexeme, cast(generate_subscripts(l, 1) as int) as position
         from (select tenant_id, id, {_WORDS.format(text)} as l from {table}))"""
 
 
@@ -19,7 +19,7 @@ def _fts_sql(table: str, text: str, queries: str = "search_queries") -> str:
     """The rows of the text side, straight from the definition."""
     return f"""{_tokens_sql(table, text)},
 qw as (select qid, tenant_id, list_distinct({_WORDS.format('query_text')}) as w from {queries}),
-qt as (select qid, tenant_id, unnest(w) as lexeme, len(w) as terms from qw),
+qt as (select qid, tenant_id, unnest(w) as lexeme, cast(len(w) as int) as terms from qw),
 hit as (select qt.qid, tok.id, qt.lexeme, qt.terms, tok.position from qt join tok using (tenant_id, lexeme)),
 matched as (select qid, id, terms from hit group by qid, id, terms having count(distinct lexeme) = terms),
 one as (select qid, id, sum(1.0 / (j * j)) * 0.1 / 1.64493406685 as r from (
@@ -31,7 +31,7 @@ near as (select a.qid, a.id, sum(ln(1 - 0.1 * sqrt(1 / (1.005 + 0.05 * exp(abs(a
          group by a.qid, a.id),
 ranked as (select m.qid, m.id, cast(case when m.terms = 1 then one.r when near.l is null then 1e-16 else 1 - exp(near.l) end as float) as r
            from matched m left join one on one.qid = m.qid and one.id = m.id left join near on near.qid = m.qid and near.id = m.id),
-fts as (select qid, id, r, row_number() over (partition by qid order by r desc, id) as rk from ranked)"""
+fts as (select qid, id, r, cast(row_number() over (partition by qid order by r desc, id) as int) as rk from ranked)"""
 
 
 def _vec_sql(table: str, queries: str = "search_queries", limit: int = 10, pre: bool = False) -> str:
@@ -42,7 +42,7 @@ cand as (select * from (
     select q.qid, c.id, c.tenant_id, round(list_cosine_distance(cast(c.embedding as double[]), cast(q.query_vector as double[])), 12) as d
     from {queries} q join {table} c on q.query_vector is not null and c.embedding is not null {same}) x) y
   where place <= greatest({limit} * 50, 200)),
-vec as (select * from (select c.qid, c.id, c.d, row_number() over (partition by c.qid order by c.d, c.id) as rk
+vec as (select * from (select c.qid, c.id, c.d, cast(row_number() over (partition by c.qid order by c.d, c.id) as int) as rk
   from cand c join {queries} q on q.qid = c.qid and q.tenant_id = c.tenant_id) z where rk <= 4 * {limit})"""
 
 
@@ -52,7 +52,7 @@ def _hits_sql(table: str, fields, limit: int = 10) -> str:
 select s.qid, c.tenant_id, s.rank, s.id, {cols}, round(cast(coalesce(s.r, 0) as double), 6) as fts_rank,
   round(cast(cast(coalesce(s.d, 1) as float) as double), 6) as vec_distance,
   round(cast(cast(s.score as float) as double), 6) as combined_score
-from (select *, row_number() over (partition by qid order by score desc, id) as rank from (
+from (select *, cast(row_number() over (partition by qid order by score desc, id) as int) as rank from (
     select coalesce(f.qid, v.qid) as qid, coalesce(f.id, v.id) as id, f.r, v.d,
       coalesce(1.0 / cast(60 + f.rk as double), 0) + coalesce(1.0 / cast(60 + v.rk as double), 0) as score
     from fts f full join vec v on f.qid = v.qid and f.id = v.id) x) s
@@ -87,7 +87,7 @@ def text_postings(T):
 @query(
     "text_query_terms",
     f"""with qw as (select qid, tenant_id, list_distinct({_WORDS.format('query_text')}) as w from search_queries)
-select qid, tenant_id, unnest(w) as lexeme, len(w) as terms from qw""",
+select qid, tenant_id, unnest(w) as lexeme, cast(len(w) as int) as terms from qw""",
     ["search_queries"],
 )
 def text_query_terms(T):
@@ -237,8 +237,8 @@ hits as ({_hits_sql('semantic_index', hybrid.CATALOG_FIELDS)})"""
 @query(
     "search_authority_order",
     _SEARCH
-    + """select qid, id, rank, authority_tier, row_number() over (partition by qid order by case authority_tier when 'sacred' then 1 when 'canon' then 2
-  when 'operational' then 3 when 'experimental' then 4 when 'archived' then 5 when 'deprecated' then 6 end nulls last, rank) as authority_rank
+    + """select qid, id, rank, authority_tier, cast(row_number() over (partition by qid order by case authority_tier when 'sacred' then 1 when 'canon' then 2
+  when 'operational' then 3 when 'experimental' then 4 when 'archived' then 5 when 'deprecated' then 6 end nulls last, rank) as int) as authority_rank
 from hits join (select id, authority_tier from semantic_index) using (id)""",
     ["semantic_index", "search_queries"],
 )

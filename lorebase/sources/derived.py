@@ -69,6 +69,7 @@ from documents""",
 select 'SOP-' || cast(item_id as string) as sop_id, 't' || cast(item_id % 3 as string) as tenant_id, 'Procedure ' || cast(item_id as string) as title,
   case when item_id % 5 = 0 then null else text end as summary, text as full_body,
   case item_id % 10 when 7 then 'deprecated' when 8 then 'tombstoned' else 'active' end as status,
+  case item_id % 6 when 0 then null when 1 then 'brand' when 2 then 'finance' else 'operations' end as domain,
   case when item_id % 4 = 0 then null else split('run ' || cast(item_id as string) || ',start', ',') end as trigger_phrases
 from benchmark""",
     "sop_steps": """
@@ -129,6 +130,7 @@ select event_id as id, ts as run_date, case when event_id % 3 = 0 then 'AGENT' e
   case event_type when 'error' then false when 'view' then null else true end as pass,
   case when event_id % 5 = 0 then '{"correction_evidence_found": true, "evidence_samples": 0}' when event_id % 5 = 1 then '{"insufficient_evidence": true}' else props end as criteria_results,
   'f' || cast(user_id % 4 as string) as factory_id, 't' || cast(user_id % 3 as string) as factory_tenant,
+  case when event_id % 3 = 0 then null else cast(event_id % 120 as int) end as session_id,
   'model-' || cast(user_id % 2 as string) as model_tested, 'v' || cast(event_id % 4 as string) as agent_version, event_type as notes
 from events""",
     "retrieval_events": """
@@ -181,13 +183,14 @@ from documents d left join embeddings e on e.vec_id = d.doc_id and d.doc_id % 4
 select page_id as id, url as title, case page_id % 3 when 0 then 'article' when 1 then 'post' else 'email' end as content_type,
   case page_id % 5 when 0 then 'draft' when 1 then 'staged' when 2 then 'approved' when 3 then 'published' else 'archived' end as status,
   case when page_id % 2 = 0 then null else url end as file_path, 'agent' || cast(page_id % 12 as string) as assigned_to,
+  case when page_id % 4 = 0 then null else page_id + 1 end as research_id, cast(page_id % 120 as int) as session_id,
   cast('2024-04-' || lpad(cast(1 + page_id % 28 as string), 2, '0') || ' 08:00:00' as timestamp) as created_at,
   case when page_id % 5 = 3 then cast('2024-05-' || lpad(cast(1 + page_id % 28 as string), 2, '0') || ' 08:00:00' as timestamp) end as published_at
 from pages""",
     "research": """
 select page_id as id, url as topic, html as summary, case page_id % 3 when 0 then 'active' when 1 then 'archived' else 'superseded' end as status,
   'agent' || cast(page_id % 12 as string) as collected_by,
-  case when page_id % 3 = 2 then page_id + 1 else null end as superseded_by,
+  case when page_id % 3 = 2 then page_id + 1 else null end as superseded_by, cast(page_id % 120 as int) as session_id,
   cast('2024-04-' || lpad(cast(1 + page_id % 28 as string), 2, '0') || ' 08:00:00' as timestamp) as created_at
 from pages""",
     "file_registry": """
@@ -209,7 +212,8 @@ from supplier""",
 select s_suppkey as id, 'agent' || cast(s_suppkey as string) as agent_name, 1 as version, case when s_suppkey % 4 = 0 then null else s_name end as role,
   's ' || cast(s_nationkey as string) as one_liner, case when s_suppkey % 3 = 0 then null else s_name end as summary, split('go,run', ',') as trigger_phrases,
   case when s_suppkey % 5 = 0 then null else 'sig' || cast(s_suppkey as string) end as identity_signature,
-  case when s_suppkey % 2 = 0 then null else s_suppkey end as identity_version
+  case when s_suppkey % 2 = 0 then null else s_suppkey end as identity_version,
+  case s_suppkey % 4 when 0 then 'draft' when 1 then 'approved' when 2 then 'lost' else null end as review_status
 from supplier""",
     "profile_bible": """
 select s_suppkey as id, s_suppkey as version_id, case when s_suppkey % 3 = 1 then null else s_name || ' arc' end as archetype, 'back ' || s_name as backstory,
@@ -240,8 +244,45 @@ select p_partkey as id, cast(floor(p_partkey / 20) as int) as version_id, 'tool'
   case when p_partkey % 3 = 0 then null else p_brand end as purpose, p_size as sort_order
 from part""",
     "profile_build": """
-select s_suppkey as id, 'agent' || cast(s_suppkey as string) as agent_name, s_suppkey as version_id, 'sig' || cast(s_suppkey % 7 as string) as identity_signature
+select s_suppkey as id, 'agent' || cast(s_suppkey as string) as agent_name, s_suppkey as version_id, 'sig' || cast(s_suppkey % 7 as string) as identity_signature,
+  case when s_suppkey % 2 = 0 then 'gpt' else 'roster_card' end as target_type
 from supplier""",
+    "profile_asset": """
+select p_partkey as id, 'agent' || cast(cast(floor(p_partkey / 18) as int) as string) as agent_name, case p_partkey % 4 when 0 then 'icon' when 1 then 'badge' when 2 then 'poster' else 'thumbnail' end as asset_type,
+  case when p_partkey % 5 = 0 then null else p_brand end as variant, p_name as path
+from part""",
+    "profile_export_target": """
+select s_suppkey as id, 'agent' || cast(s_suppkey as string) as agent_name, case when s_suppkey % 2 = 0 then 'gpt' else 'l2_agent' end as target_type,
+  case s_suppkey % 3 when 0 then 'pending' when 1 then 'published' else 'gone' end as status, s_suppkey + 1 as generated_from_version
+from supplier""",
+    "profile_drift_check": """
+select p_partkey as id, 'agent' || cast(cast(floor(p_partkey / 20) as int) as string) as agent_name, cast(floor(p_partkey / 19) as int) as version_id,
+  cast(floor(p_partkey / 21) as int) as export_target_id, case p_partkey % 4 when 0 then 'pass' when 1 then 'warn' when 2 then 'fail' else 'skipped' end as result
+from part""",
+    "profile_eval_criteria": """
+select p_partkey as id, 'agent' || cast(cast(floor(p_partkey / 20) as int) as string) as agent_name, p_brand as criterion, p_name as assertion,
+  case when p_partkey % 2 = 0 then 'blocker' else 'warn' end as severity
+from part""",
+    "profile_provenance": """
+select p_partkey as id, 'agent' || cast(cast(floor(p_partkey / 20) as int) as string) as agent_name, case when p_partkey % 3 = 0 then null else cast(floor(p_partkey / 18) as int) end as version_id, p_name as source_path
+from part""",
+    # --- logs and registers ---------------------------------------------------------
+    "agent_memory": "select conv_id * 1000 + turn as id, role as agent_name, 'note' as memory_type, 'turn ' || cast(turn as string) as title, text as content from conversations",
+    "brand_assets": "select page_id as id, url as rel_path, url as filename, length(html) as bytes, 't' || cast(page_id % 3 as string) as tenant_id from pages",
+    "signature_log": "select event_id as id, cast(ts as date) as log_date, 'agent' || cast(user_id % 20 as string) as agent_name, cast(user_id as int) as new_sig from events",
+    "process_changelog": "select event_id as id, 't' || cast(user_id % 3 as string) as tenant_id, ts as changed_at, event_type as change_type, props as details from events",
+    "sample_suite": """
+select event_id as id, 'agent' || cast(user_id % 20 as string) as agent_name, 't' || cast(user_id % 3 as string) as factory_tenant,
+  case event_type when 'click' then 'gold' when 'view' then 'silver' when 'error' then 'tin' else 'bronze' end as quality
+from events""",
+    "eval_batches": """
+select event_id as run_id, 't' || cast(user_id % 3 as string) as tenant_id, case when event_type = 'error' then 'vector_only' when user_id % 2 = 0 then 'hybrid' else 'fts_only' end as embedding_mode
+from events where event_type <> 'view'""",
+    "eval_results": """
+select event_id * 7 as result_id, event_id as run_id, 'case-' || cast(user_id % 100 as string) as case_id, cast(event_id % 11 as int) as top_k,
+  case when event_id % 9 = 0 then '{}' else '[]' end as returned_sources, value > 20 as expected_found,
+  case when value > 20 then cast(event_id % 10 as int) end as first_match_rank, cast(floor(value) - 3 as int) as latency_ms, ts as created_at
+from events""",
 }
 
 

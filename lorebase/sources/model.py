@@ -80,6 +80,18 @@ KEYS: dict[str, list[list[str]]] = {
     "profile_strength": [["id"], ["version_id", "strength"]],
     "profile_tool": [["id"], ["version_id", "tool_name"]],
     "profile_build": [["id"]],
+    "profile_asset": [["id"], ["agent_name", "asset_type", "variant"]],
+    "profile_export_target": [["id"], ["agent_name", "target_type"]],
+    "profile_drift_check": [["id"]],
+    "profile_eval_criteria": [["id"], ["agent_name", "criterion"]],
+    "profile_provenance": [["id"]],
+    "agent_memory": [["id"]],
+    "brand_assets": [["id"], ["rel_path"]],
+    "signature_log": [["id"]],
+    "process_changelog": [["id"]],
+    "sample_suite": [["id"]],
+    "eval_batches": [["run_id"]],
+    "eval_results": [["result_id"]],
 }
 
 # Fixed value: a key that holds only among some rows.
@@ -90,6 +102,8 @@ def _one_of(column: str, values: str) -> str:
     return f"{column} in ({', '.join(repr(v) for v in values.split())})"
 
 
+_TARGETS = "l1_skill plugin_skill gpt l2_agent roster_card voice_avatar"
+
 # Rules a row must not break; NULL breaks none.
 CHECKS: dict[str, dict[str, str]] = {
     "project_knowledge": {"knowledge_type": _one_of(
@@ -125,6 +139,24 @@ CHECKS: dict[str, dict[str, str]] = {
     "work_claims": {"status": _one_of("status", "active released expired")},
     "decisions": {"title_length": "length(title) <= 200"},
     "tasks": {"title_length": "length(title) <= 120"},
+    "sop_registry": {"domain": _one_of("domain", "governance orchestration operations brand product-agents infrastructure")},
+    "profile_version": {"review_status": _one_of("review_status", "draft in_review approved published superseded")},
+    "profile_asset": {"asset_type": _one_of("asset_type", "thumbnail badge icon full_body wordmark")},
+    "profile_build": {"target_type": _one_of("target_type", _TARGETS)},
+    "profile_export_target": {
+        "status": _one_of("status", "pending generated published stale retired"),
+        "target_type": _one_of("target_type", _TARGETS),
+    },
+    "profile_drift_check": {"result": _one_of("result", "pass warn fail untested")},
+    "profile_eval_criteria": {"severity": _one_of("severity", "blocker warn")},
+    "sample_suite": {"quality": _one_of("quality", "gold silver bronze")},
+    "eval_batches": {"embedding_mode": _one_of("embedding_mode", "fts_only hybrid")},
+    "eval_results": {
+        "first_match_rank": "first_match_rank > 0",
+        "latency_ms": "latency_ms >= 0",
+        "returned_sources": "returned_sources like '[%]'",
+        "top_k": "top_k > 0",
+    },
 }
 
 
@@ -139,7 +171,13 @@ class Reference:
 
 # References between tables and what a deleted parent does.
 REFERENCES = [
+    Reference("research", "session_id", "sessions", "id", "null"),
     Reference("research", "superseded_by", "research", "id", "null"),
+    Reference("content_staging", "research_id", "research", "id", "null"),
+    Reference("content_staging", "session_id", "sessions", "id", "null"),
+    Reference("eval_runs", "session_id", "sessions", "id", "null"),
+    Reference("eval_results", "case_id", "eval_cases", "case_id", "cascade"),
+    Reference("eval_results", "run_id", "eval_batches", "run_id", "cascade"),
     Reference("agent_identity", "agent_name", "agents", "agent_name", "none"),
     Reference("profile_version", "agent_name", "profile", "agent_name", "cascade"),
     Reference("profile", "current_version", "profile_version", "id", "none"),
@@ -150,6 +188,15 @@ REFERENCES = [
     Reference("profile_strength", "version_id", "profile_version", "id", "cascade"),
     Reference("profile_tool", "version_id", "profile_version", "id", "cascade"),
     Reference("profile_voice", "version_id", "profile_version", "id", "cascade"),
+    Reference("profile_asset", "agent_name", "profile", "agent_name", "cascade"),
+    Reference("profile_drift_check", "agent_name", "profile", "agent_name", "cascade"),
+    Reference("profile_drift_check", "export_target_id", "profile_export_target", "id", "cascade"),
+    Reference("profile_drift_check", "version_id", "profile_version", "id", "null"),
+    Reference("profile_eval_criteria", "agent_name", "profile", "agent_name", "none"),
+    Reference("profile_export_target", "agent_name", "profile", "agent_name", "cascade"),
+    Reference("profile_export_target", "generated_from_version", "profile_version", "id", "none"),
+    Reference("profile_provenance", "agent_name", "profile", "agent_name", "cascade"),
+    Reference("profile_provenance", "version_id", "profile_version", "id", "cascade"),
     Reference("profile_build", "agent_name", "profile", "agent_name", "none"),
     Reference("profile_build", "version_id", "profile_version", "id", "none"),
     Reference("session_status", "connector_id", "connectors", "connector_id", "none"),

@@ -161,7 +161,9 @@ def test_own_text_finds_the_document(spark):
 
 
 def test_authority_order(spark, frame):
-    hits = frame("qid string, rank int, id long", ("q", 1, 1), ("q", 2, 2), ("q", 3, 3))
+    hits = frame("qid string, rank int, id long, combined_score double", ("q", 1, 1, 0.5), ("q", 2, 2, 0.4), ("q", 3, 3, 0.3))
     tiers = frame("id long, authority_tier string", (1, "deprecated"), (2, None), (3, "sacred"))
     got = hybrid.rerank_by_authority(hits, tiers).orderBy("authority_rank").collect()
     assert [r.id for r in got] == [3, 1, 2]
+    got = hybrid.rerank_by_authority(hits, tiers, {"sacred": 1.5, "deprecated": 0.1}).orderBy("authority_rank").collect()
+    assert [r.id for r in got] == [3, 2, 1]
