@@ -16,6 +16,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from lorebase.plans import REGISTRY  # noqa: E402
+from lorebase.sources.scratch import release  # noqa: E402
 
 HEADLINE = [
     "search_catalog", "search_catalog_english", "search_documents", "search_catalog_text_only",
@@ -52,6 +53,7 @@ def main() -> None:
         start = time.perf_counter()
         REGISTRY[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        release(spark)
     print(json.dumps({
         "metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "cpus": int(cpus), "spark": spark.version,

@@ -286,7 +286,7 @@ def embedding_vectors(T):
 @query(
     "embedding_applied",
     f"""with {_embed_sql('semantic_index', 'summary_text')},
-first as (select id, max(v) as peak from vectors group by id)
+first as (select id, max(cast(cast(round(v, 8) as float) as double)) as peak from vectors group by id)
 select c.id, c.tenant_id, case when f.id is null then c.embedding_stale else false end as embedding_stale,
   case when f.id is null then c.model_version else 'model-new' end as model_version,
   case when f.id is null then c.embedded_at else cast('2024-06-01 00:00:00' as timestamp) end as embedded_at,

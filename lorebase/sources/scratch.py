@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-_KEPT: list[str] = []
+_WRITTEN: list[str] = []
 _LOCAL: dict[str, str] = {}  # fallback folder per local-mode application
 
 
@@ -29,7 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def kept(df: DataFrame, label: str = "kept") -> DataFrame:
@@ -41,18 +43,17 @@ def kept(df: DataFrame, label: str = "kept") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    _KEPT.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> int:
-    """Delete the intermediate tables this process wrote; frames that read them end here."""
+    """Delete the scratch folders of this process; frames that read them end here."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     conf = spark._jsparkSession.sessionState().newHadoopConf()
-    for p in _KEPT:
+    for p in _WRITTEN:
         path(p).getFileSystem(conf).delete(path(p), True)
-    n = len(_KEPT)
-    _KEPT.clear()
+    n = len(_WRITTEN)
+    _WRITTEN.clear()
     return n
 
 

@@ -17,6 +17,14 @@ def test_checkpoint_dir_is_used(spark):
     assert all(f"file://{named}/probe-" in p for p in df.inputFiles())
 
 
+def test_release_deletes_own_folders(spark):
+    import os
+
+    df = scratch.kept(spark.range(5), "probe")
+    folder = os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
+    assert os.path.isdir(folder) and scratch.release(spark) >= 1 and not os.path.exists(folder)
+
+
 def test_snapshot_versions_and_grain(spark, tmp_path):
     s = scratch.Snapshots(spark, str(tmp_path / "s"))
     assert s.latest() is None
