@@ -1,5 +1,7 @@
 """Rule fan-out, agreement coverage, retired-term scans and dead references."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from lorebase.functions.columns import any_of, count_if, words_of
@@ -10,7 +12,7 @@ RULE_TARGET = 21
 GOVERNANCE_TARGET = 28
 PREVIEW = 200
 
-BROADCAST_TERMS = 50_000  # retired terms: short strings, a few megabytes at this number
+BROADCAST_TERMS = 50_000  # retired terms sent out at a time: short strings, a few megabytes
 
 
 def rules_by_agent(T, roster) -> DataFrame:
@@ -90,18 +92,14 @@ def halt_rules_by_agent(T, roster) -> DataFrame:
     )
 
 
-def _retired_hits(T, rows: DataFrame, table: str, key: str, texts, keep) -> DataFrame:
+def _retired_hits(T, rows: DataFrame, table: str, key: str, texts, keep, block: int = BROADCAST_TERMS) -> DataFrame:
     """Rows that contain retired terms of their tenant, minus allowed pairs.
 
-    The term list of a tenant is one small array, so a text meets all its terms
-    inside the row and no pair of text and term is ever shuffled.  The allow list
-    joins afterwards, against the few rows with a hit.
+    The terms of a tenant are one short array, so a text meets them inside its
+    row and no pair of text and term is ever shuffled.  The list is counted
+    first; one that is too long to send out whole goes in blocks, one scan of
+    the texts each.  The allow list joins last, against the few rows with a hit.
     """
-    listed = T["decommissioned_terms"]
-    terms = listed.groupBy("tenant_id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    if listed.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)  # else Spark chooses, and may shuffle the texts
-
     def found(term):
         wild = term.rlike(r"[%_\\]")  # LIKE signs inside a term act as such
         low = F.lower(term)
@@ -112,24 +110,37 @@ def _retired_hits(T, rows: DataFrame, table: str, key: str, texts, keep) -> Data
             for t in texts
         ])
 
-    lowered = rows.withColumns({f"_low_{t}": F.lower(t) for t in texts})
-    hits = lowered.join(terms, "tenant_id").withColumn(
-        "matched", F.filter("terms", lambda t: F.coalesce(found(t), F.lit(False)))
-    ).filter(F.size("matched") > 0).withColumn("_key", F.col(key).cast("string"))
+    listed = T["decommissioned_terms"].select("tenant_id", "term").distinct()
+    blocks = max(1, -(-listed.count() // block))
+    lowered = rows.withColumns({f"_low_{t}": F.lower(t) for t in texts}).withColumn("_key", F.col(key).cast("string"))
+    parts = []
+    for b in range(blocks):
+        mine = listed if blocks == 1 else listed.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b)
+        terms = F.broadcast(mine.groupBy("tenant_id").agg(F.array_sort(F.collect_list("term")).alias("terms")))
+        met = lowered.join(terms, "tenant_id").withColumn(
+            "matched", F.filter("terms", lambda t: F.coalesce(found(t), F.lit(False)))
+        )
+        parts.append(met.filter(F.size("matched") > 0).select("tenant_id", "_key", *keep, "matched"))
+    hits = reduce(DataFrame.unionByName, parts)
+    if blocks > 1:
+        names = [c for c in hits.columns if c not in ("tenant_id", "_key", "matched")]
+        hits = hits.groupBy("tenant_id", "_key").agg(
+            *[F.any_value(c).alias(c) for c in names], F.array_sort(F.flatten(F.collect_list("matched"))).alias("matched")
+        )
     allowed = T["decommissioned_term_allowlist"].filter(F.col("source_table") == table).groupBy(
         "tenant_id", F.col("source_id").alias("_key")
     ).agg(F.collect_set("term").alias("allowed"))
-    left = hits.select("tenant_id", "_key", *keep, "matched").join(allowed, ["tenant_id", "_key"], "left").withColumn(
+    left = hits.join(allowed, ["tenant_id", "_key"], "left").withColumn(
         "matched_terms", F.array_except("matched", F.coalesce("allowed", F.array().cast("array<string>")))
     )
     out = left.filter(F.size("matched_terms") > 0).withColumn("hit_count", F.size("matched_terms").cast("long"))
     return out.drop("_key", "matched", "allowed")
 
 
-def knowledge_with_retired_terms(T) -> DataFrame:
+def knowledge_with_retired_terms(T, **options) -> DataFrame:
     preview = F.left("detail", F.lit(PREVIEW)).alias("detail_preview")
     return _retired_hits(
-        T, T["project_knowledge"], "project_knowledge", "id", ["title", "detail"], ["id", "knowledge_type", "title", preview]
+        T, T["project_knowledge"], "project_knowledge", "id", ["title", "detail"], ["id", "knowledge_type", "title", preview], **options
     )
 
 

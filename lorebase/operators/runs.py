@@ -46,7 +46,7 @@ def compliance_trend(T, n: int = 10) -> DataFrame:
     )
 
 
-def drift(T, bucket: str = "day") -> DataFrame:
+def drift(T, bucket: str = "hour") -> DataFrame:
     """Score against the previous run of the same agent and factory.
 
     The lag is taken inside time buckets; only the first row of a bucket looks
