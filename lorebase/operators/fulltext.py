@@ -150,3 +150,23 @@ def _text_rank(positions: pa.Array) -> pa.Array:
 def fts_rank(matches: DataFrame) -> DataFrame:
     """``(qid, id, r)`` for the rows of :func:`fts_match`; a 32-bit float like the source's."""
     return matches.select("qid", "id", _text_rank("positions").cast("float").alias("r"))
+
+
+def fts_positions(ranked: DataFrame) -> DataFrame:
+    """Position 1..n of every match within its query, best rank first, then id.
+
+    Rows are laid out in ranges of (query, rank, id), so the matches of one query
+    spread over as many ranges as they fill.  A row's position is its place in
+    its range plus the rows of its query in earlier ranges.
+    """
+    order = [F.desc("r"), F.asc("id")]
+    laid = kept(
+        ranked.repartitionByRange("qid", *order).withColumn("range_no", F.spark_partition_id()), "ranges"
+    )
+    before = Window.partitionBy("qid").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    counts = laid.groupBy("qid", "range_no").agg(F.count("*").alias("n"))
+    offsets = counts.select("qid", "range_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("above"))
+    place = F.row_number().over(Window.partitionBy("qid", "range_no").orderBy(*order))
+    return laid.withColumn("place", place).join(offsets, ["qid", "range_no"]).select(
+        "qid", "id", "r", (F.col("above") + F.col("place")).alias("fts_rk")
+    )

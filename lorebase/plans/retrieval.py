@@ -106,15 +106,12 @@ def text_match(T):
 
 @query(
     "text_rank",
-    f"with {_fts_sql('semantic_index', 'summary_text')} select qid, id, round(cast(r as double), 6) as r, rk from fts",
+    f"with {_fts_sql('semantic_index', 'summary_text')} select qid, id, round(cast(r as double), 6) as r, cast(rk as bigint) as rk from fts",
     ["semantic_index", "search_queries"],
 )
 def text_rank(T):
-    from pyspark.sql import Window
-
     ranked = fulltext.fts_rank(_ranked(T, "semantic_index", "summary_text", "simple"))
-    w = Window.partitionBy("qid").orderBy(F.desc("r"), "id")
-    return rounded(ranked.withColumn("rk", F.row_number().over(w)), r=6)
+    return rounded(fulltext.fts_positions(ranked).withColumnRenamed("fts_rk", "rk"), r=6)
 
 
 @query("text_rank_english")
@@ -221,10 +218,7 @@ select qid, id, round(score, 8) as score from (
     ["semantic_index", "search_queries"],
 )
 def search_fusion(T):
-    from pyspark.sql import Window
-
-    ranked = fulltext.fts_rank(_ranked(T, "semantic_index", "summary_text", "simple"))
-    fts = ranked.withColumn("fts_rk", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("r"), "id")))
+    fts = fulltext.fts_positions(fulltext.fts_rank(_ranked(T, "semantic_index", "summary_text", "simple")))
     found = nearest.vec_candidates(T["search_queries"], T["semantic_index"])
     fused = hybrid.rrf(fts, nearest.vec_ranks(found, T["search_queries"]))
     return rounded(fused.select("qid", "id", "score"), score=8)

@@ -1,7 +1,5 @@
 """Typed scans and stored snapshots."""
 
-from pyspark.sql import functions as F
-
 from lorebase.operators import snapshots
 from lorebase.plans.registry import REGISTRY, query
 from lorebase.plans.reports import TENANT

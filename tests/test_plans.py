@@ -2,8 +2,6 @@
 
 import re
 
-from pyspark.sql import functions as F
-
 from lorebase.operators import catalog as rules, hybrid, reports, runs, upsert
 from lorebase.sources import tables
 from lorebase.sources.scratch import kept

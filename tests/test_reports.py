@@ -9,7 +9,6 @@ from conftest import SF_DIR, rows_of
 from lorebase.functions.columns import capitalised
 from lorebase.functions.documents import canonical_text
 from lorebase.operators import governance, profiles, reports, runs
-from lorebase.plans import REGISTRY
 from lorebase.sources import derived
 
 RULES = "id long, tenant_id string, category string, rule string, rule_type string, applies_to string, enforcement string"

@@ -1,9 +1,7 @@
 import math
-import re
+import random
 
 import pytest
-from pyspark.sql import functions as F
-
 from conftest import rows_of
 from lorebase.functions.text import STOP_WORDS, english_lexeme, stem
 from lorebase.operators import fulltext
@@ -51,8 +49,6 @@ def brute_rank(positions):
 
 
 def test_rank_against_all_pairs(spark):
-    import random
-
     rng = random.Random(3)
     rows = []
     for i in range(200):
@@ -82,3 +78,15 @@ def test_stored_index_gives_same_matches(spark, frame, tmp_path):
     fulltext.write_postings(index, str(tmp_path / "index"))
     stored = spark.read.parquet(str(tmp_path / "index"))
     assert rows_of(fulltext.fts_match(terms, stored), "qid", "id") == rows_of(fulltext.fts_match(terms, index), "qid", "id")
+
+
+def test_positions_of_a_hot_query(spark):
+    """Most matches belong to one query and most ranks tie."""
+    rng = random.Random(2)
+    rows = [("hot" if rng.random() < 0.9 else f"q{i % 7}", i, rng.choice([0.1, 0.1, 0.1, 0.2, 0.3])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "qid string, id long, r float").repartition(8)
+    wanted = {}
+    for qid in {q for q, _, _ in rows}:
+        own = sorted((-r, i) for q, i, r in rows if q == qid)
+        wanted.update({(qid, i): n for n, (_, i) in enumerate(own, 1)})
+    assert {(r.qid, r.id): r.fts_rk for r in fulltext.fts_positions(df).collect()} == wanted
