@@ -22,10 +22,25 @@ SCHEMAS = {
     "rationale string, made_by string",
     "known_rules": "id bigint, tenant_id string, category string, rule string, rule_type string, applies_to string, enforcement string",
     "tasks": "id bigint, tenant_id string, category string, title string, description string, status string, owner string, "
-    "priority int, blocked_by bigint, created_at timestamp, ref_id string",
+    "priority int, blocked_by bigint, created_at timestamp_ntz, ref_id string",
     "retrieval_events": "id bigint, tenant_id string, search_function string, used_vector boolean, latency_ms int, "
-    "created_at timestamp, query_text string, result_ids string",
+    "created_at timestamp_ntz, query_text string, result_ids string",
     "eval_cases": "case_id string, tenant_id string, query_text string, target_function string, active boolean, expected_sources string",
+    "eval_results": "result_id bigint, run_id bigint, case_id string, top_k int, returned_sources string, expected_found boolean, "
+    "first_match_rank int, latency_ms int, created_at timestamp_ntz",
+    "eval_runs": "id bigint, run_date timestamp_ntz, agent_name string, layer int, score decimal(5,2), pass boolean, "
+    "criteria_results string, factory_id string, factory_tenant string, session_id int, model_tested string, agent_version string, notes string",
+    "sop_registry": "sop_id string, tenant_id string, title string, summary string, full_body string, status string, domain string, "
+    "trigger_phrases array<string>",
+    "factory_agreements": "id int, tenant_id string, agent_name string, agreement_version string, required_rule_types array<string>, "
+    "enforcement_model string",
+    "sessions": "id int, session_date date, tenant_id string, platform string, session_type string, resume_notes string",
+    "connectors": "connector_id string, tenant_id string, display_name string, criticality string, active boolean, is_blocked boolean, "
+    "block_reason string, platform_availability array<string>, probe_status string",
+    "session_status": "session_id int, connector_id string, tenant_id string, probe_result string, fallback_active boolean",
+    "session_log": "id bigint, tenant_id string, session_id string, event_type string, created_at timestamp_ntz",
+    "work_claims": "id bigint, tenant_id string, resource_type string, resource_id string, claimed_by string, status string, "
+    "claimed_at timestamp_ntz",
 }
 
 # What a missing value stands for.
@@ -39,6 +54,13 @@ DEFAULTS = {
     "tasks": {"status": "open", "priority": 3},
     "retrieval_events": {"tenant_id": DEFAULT_TENANT, "result_ids": "[]"},
     "eval_cases": {"tenant_id": DEFAULT_TENANT, "active": True, "expected_sources": "[]"},
+    "eval_results": {"top_k": 10, "returned_sources": "[]", "expected_found": False},
+    "eval_runs": {"criteria_results": "{}"},
+    "sop_registry": {"tenant_id": DEFAULT_TENANT, "status": "active"},
+    "connectors": {"tenant_id": DEFAULT_TENANT, "active": True, "is_blocked": False, "probe_status": "unknown", "criticality": "standard"},
+    "session_status": {"tenant_id": DEFAULT_TENANT, "fallback_active": False},
+    "session_log": {"tenant_id": DEFAULT_TENANT},
+    "work_claims": {"tenant_id": DEFAULT_TENANT, "status": "active"},
 }
 
 # Primary and unique keys.

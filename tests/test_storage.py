@@ -2,10 +2,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows_of
+from conftest import SF_DIR, rows_of
 from lorebase.operators import connectors, embedding, quality, snapshots
 from lorebase.sources import scratch, tables
-from lorebase.sources.model import Reference
+from lorebase.sources.derived import derived
+from lorebase.sources.model import DEFAULTS, SCHEMAS, Reference
 
 TIER = "id long, tenant_id string, summary_text string, embedding array<float>, embedding_stale boolean, model_version string, embedded_at timestamp"
 
@@ -45,6 +46,18 @@ def test_typed_load_and_defaults(spark, frame, tmp_path):
     assert got.tenant_id == "main" and got.is_active is True
 
 
+@pytest.mark.parametrize("name", list(SCHEMAS))
+def test_declared_schemas_read_their_tables(spark, tmp_path, name):
+    rows = derived(spark, SF_DIR, name)
+    tables.store(rows, str(tmp_path), name)
+    got = tables.load(spark, str(tmp_path), name)
+    assert sorted(got.columns) == sorted(rows.columns)
+    filled = set(DEFAULTS.get(name, {}))
+    same = [c for c in rows.columns if c not in filled]
+    assert rows_of(got, *same) == rows_of(rows, *same)
+    assert all(got.filter(F.col(c).isNull()).isEmpty() for c in filled)
+
+
 def tier(spark, n=120):
     rows = [(i, "ab"[i % 2], None if i == 7 else f"text {i}" * (1 + i), None if i % 3 else [1.0] * 4, i % 5 == 0, None, None) for i in range(n)]
     return spark.createDataFrame(rows, TIER)
