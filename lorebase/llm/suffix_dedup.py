@@ -32,39 +32,29 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
+
+from lorebase.llm.buckets import (
+    BYTE, LAST, ODD, ROW_SQL, Bucket, Owners, from_low_bytes, held, low_bytes, mixed, note, noted, part_of, replies, runs, smaller_elsewhere, table_of,
+)
 
 WINDOW, GRAM = 50, 24
-#: Bytes of text in a bucket of documents, and behind a part of a dictionary.
-BUCKET_BYTES, PART_BYTES = 4 << 20, 32 << 20
 #: Window starts that are parsed at once.
 CHUNK = 1 << 20
 
-_RANDOM = np.random.default_rng(20)
-_BYTE = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
-_ODD = _RANDOM.integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = np.uint64((1 << 24) - 1)
-_LAST = np.iinfo(np.int64).max
-
-
-# ---- parsing -------------------------------------------------------------------------
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(29))) * _ODD[15]
-    return h ^ (h >> np.uint64(32))
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """A hash of the GRAM bytes from each place on."""
-    h, width, at_8 = _BYTE[data], 1, None
+    h, width, at_8 = BYTE[data], 1, None
     while width < 16:
-        h = h[:-width] * _ODD[width.bit_length()] + h[width:]
+        h = h[:-width] * ODD[width.bit_length()] + h[width:]
         width *= 2
         if width == 8:
             at_8 = h
     n = len(data) - GRAM + 1
-    return _mixed(h[:n] * _ODD[7] + at_8[16 : 16 + n])
+    return mixed(h[:n] * ODD[7] + at_8[16 : 16 + n])
 
 
 def _sliding_least(v: np.ndarray, width: int) -> np.ndarray:
@@ -103,10 +93,10 @@ class Parse:
         first, trigger = start[at], trigger[at]
         last = first + count - 1 + WINDOW - GRAM
         phrase = (
-            g[first] * _ODD[8] + g[first + GRAM] * _ODD[9] + g[np.minimum(first + 2 * GRAM, last)] * _ODD[10] + g[last] * _ODD[11]
-            + count.astype(np.uint64) * _ODD[12] + (trigger - first).astype(np.uint64) * _ODD[13]
+            g[first] * ODD[8] + g[first + GRAM] * ODD[9] + g[np.minimum(first + 2 * GRAM, last)] * ODD[10] + g[last] * ODD[11]
+            + count.astype(np.uint64) * ODD[12] + (trigger - first).astype(np.uint64) * ODD[13]
         )
-        return g[trigger], _mixed(phrase), first + a, count, row[at]
+        return g[trigger], mixed(phrase), first + a, count, row[at]
 
 
 def window_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -116,83 +106,14 @@ def window_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         some = data[starts[a : a + CHUNK // 8, None] + np.arange(WINDOW)]
         h = np.zeros(len(some), np.uint64)
         for k in range(WINDOW):
-            h = h * _ODD[14] + _BYTE[some[:, k]]
-        out[a : a + CHUNK // 8] = _mixed(h)
+            h = h * ODD[14] + BYTE[some[:, k]]
+        out[a : a + CHUNK // 8] = mixed(h)
     return out
 
 
-# ---- dictionaries --------------------------------------------------------------------
-
-
-def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Ranges of equal width; sorted keys have sorted parts."""
-    return (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
-
-
-def _low_bytes(x: np.ndarray, n: int) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
-
-
-def _from_low_bytes(b: bytes, n: int) -> np.ndarray:
-    out = np.zeros((len(b) // n, 8), np.uint8)
-    out[:, :n] = np.frombuffer(b, np.uint8).reshape(-1, n)
-    return out.reshape(-1).view("<u8")
-
-
-def _ids_to_bytes(ids: np.ndarray) -> bytes:
-    small = len(ids) == 0 or (ids.min() >= 0 and ids.max() < 2**32 - 1)
-    return (b"4" + ids.astype("<u4").tobytes()) if small else (b"8" + ids.astype("<i8").tobytes())
-
-
-def _ids_from_bytes(b: bytes) -> np.ndarray:
-    return np.frombuffer(b[1:], "<u4" if b[:1] == b"4" else "<i8").astype(np.int64)
-
-
-def _runs(*keys: np.ndarray) -> np.ndarray:
-    """True where a sorted run of equal keys starts."""
-    new = np.ones(len(keys[0]), bool)
-    if len(new):
-        new[1:] = False
-        for k in keys:
-            new[1:] |= k[1:] != k[:-1]
-    return new
-
-
-class Owners:
-    """Distinct (key, more) of a bucket in order, each with its smallest document id."""
-
-    def __init__(self, key: np.ndarray, more: np.ndarray, ids: np.ndarray):
-        order = np.lexsort((ids, more, key))
-        new = _runs(key[order], more[order])
-        first = order[new]
-        self.key, self.more, self.id = key[first], more[first], ids[first]
-        self.of = np.empty(len(key), np.int64)
-        self.of[order] = np.cumsum(new) - 1
-
-    def packs(self, parts: int):
-        edges = np.searchsorted(_part_of(self.key, parts), np.arange(parts + 1))
-        for p, (a, b) in enumerate(zip(edges, edges[1:])):
-            if b > a:
-                yield p, self.key[a:b].tobytes(), _low_bytes(self.more[a:b], 2) + _ids_to_bytes(self.id[a:b])
-
-
-def _smaller_elsewhere(rows) -> list[bytes]:
-    """For packs of ``Owners``: a bit per entry, whether another bucket has a smaller id."""
-    key = np.concatenate([np.frombuffer(a, "<u8") for a, _ in rows])
-    sizes = [len(a) // 8 for a, _ in rows]
-    more = np.concatenate([_from_low_bytes(b[: 2 * n], 2) for (_, b), n in zip(rows, sizes)])
-    ids = np.concatenate([_ids_from_bytes(b[2 * n :]) for (_, b), n in zip(rows, sizes)])
-    order = np.lexsort((ids, more, key))
-    new = _runs(key[order], more[order])
-    least = ids[order][new][np.cumsum(new) - 1]
-    bit = np.empty(len(key), bool)
-    bit[order] = least < ids[order]
-    return [np.packbits(x).tobytes() for x in np.split(bit, np.cumsum(sizes)[:-1])]
-
-
 def _seen_elsewhere(rows) -> list[bytes]:
     """For packs of distinct grams: a bit per entry, whether another bucket has it."""
-    key = np.concatenate([_from_low_bytes(a, 6) for a, _ in rows])
+    key = np.concatenate([from_low_bytes(a, 6) for a, _ in rows])
     _, at, n = np.unique(key, return_inverse=True, return_counts=True)
     sizes = [len(a) // 6 for a, _ in rows]
     return [np.packbits(x).tobytes() for x in np.split((n > 1)[at], np.cumsum(sizes)[:-1])]
@@ -202,11 +123,11 @@ def _several_elsewhere(rows) -> list[bytes]:
     """For packs of grams, each with one of its phrases and a bit for having more: a bit
     per entry, whether the gram has different phrases anywhere."""
     sizes = [len(a) // 6 for a, _ in rows]
-    key = np.concatenate([_from_low_bytes(a, 6) for a, _ in rows])
+    key = np.concatenate([from_low_bytes(a, 6) for a, _ in rows])
     phrase = np.concatenate([np.frombuffer(b[: 8 * n], "<u8") for (_, b), n in zip(rows, sizes)])
     own = np.concatenate([np.unpackbits(np.frombuffer(b[8 * n :], np.uint8), count=n) for (_, b), n in zip(rows, sizes)]).astype(bool)
     order = np.lexsort((phrase, key))
-    new = _runs(key[order])
+    new = runs(key[order])
     group = np.cumsum(new) - 1
     differs = own[order] | (phrase[order] != phrase[order][new][group])
     bit = np.empty(len(key), bool)
@@ -214,16 +135,7 @@ def _several_elsewhere(rows) -> list[bytes]:
     return [np.packbits(x).tobytes() for x in np.split(bit, np.cumsum(sizes)[:-1])]
 
 
-_ANSWERS = {"grams": _seen_elsewhere, "phrases": _smaller_elsewhere, "several": _several_elsewhere, "windows": _smaller_elsewhere}
-_ROW = pa.schema([("to", pa.int64()), ("kind", pa.string()), ("sender", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
-_ROW_SQL = "to bigint, kind string, sender bigint, a binary, b binary"
-
-
-def _table(rows) -> pa.Table:
-    columns = list(zip(*rows)) if rows else [[]] * len(_ROW)
-    return pa.table([pa.array(c, f.type) for c, f in zip(columns, _ROW)], schema=_ROW)
-
-
+_ANSWERS = {"grams": _seen_elsewhere, "phrases": smaller_elsewhere, "several": _several_elsewhere, "windows": smaller_elsewhere}
 def _answered(part: pa.Table) -> pa.Table:
     """One part of the dictionaries: replies to the buckets; notes of a bucket to itself pass."""
     rows = part.to_pylist()
@@ -233,38 +145,11 @@ def _answered(part: pa.Table) -> pa.Table:
         if mine:
             bits = answer([(r["a"], r["b"]) for r in mine])
             out += [(r["sender"], kind, r["to"], bit, None) for r, bit in zip(mine, bits)]
-    return _table(out)
-
-
-# ---- buckets -------------------------------------------------------------------------
+    return table_of(out)
 
 
-class Bucket:
-    """The documents of one bucket in a fixed order, their bytes laid end to end."""
-
-    def __init__(self, blobs: pa.Table):
-        tables = [pa.ipc.open_stream(b.as_buffer()).read_all() for b in blobs["blob"]]
-        rows = pa.concat_tables(tables)
-        if tables:
-            rows = rows.take(pc.sort_indices(rows, sort_keys=[("id_", "ascending"), ("bytes_", "ascending")]))
-        self.rows = rows
-        self.id = rows["id_"].to_numpy()
-        texts = rows["bytes_"].to_pylist()
-        self.data = np.frombuffer(b"".join(texts), np.uint8)
-        self.ends = np.cumsum([len(t) for t in texts])
-
-    def parse(self) -> Parse:
-        return Parse(self.data, self.ends)
-
-
-def _replies(answers: pa.Table, kind: str, parts_of: np.ndarray, parts: int) -> np.ndarray:
-    """The bits for all entries of a bucket, in their order; entries without one are False."""
-    edges = np.searchsorted(parts_of, np.arange(parts + 1))
-    out = np.zeros(len(parts_of), bool)
-    for r in answers.filter(pc.equal(answers["kind"], kind)).to_pylist():
-        a, b = edges[r["sender"]], edges[r["sender"] + 1]
-        out[a:b] = np.unpackbits(np.frombuffer(r["a"], np.uint8), count=b - a).astype(bool)
-    return out
+def _parsed(bucket: Bucket) -> Parse:
+    return Parse(bucket.data, bucket.ends)
 
 
 def _grams(p: Parse):
@@ -272,39 +157,27 @@ def _grams(p: Parse):
     return np.unique(p.gram & ~np.uint64(0xFFFF), return_inverse=True)
 
 
-def _note(bucket: int, parts: int, *arrays: np.ndarray):
-    data = pa.py_buffer(b"".join(a.astype("<i8").tobytes() for a in arrays))
-    return (bucket % parts, "note", bucket, pa.compress(data, codec="zstd", asbytes=True), repr([len(a) for a in arrays]).encode())
-
-
-def _noted(answers: pa.Table) -> list[np.ndarray]:
-    r = answers.filter(pc.equal(answers["kind"], "note")).to_pylist()[0]
-    sizes = [int(x) for x in r["b"].decode()[1:-1].split(",")]
-    flat = np.frombuffer(pa.decompress(r["a"], decompressed_size=8 * sum(sizes), codec="zstd", asbytes=True), "<i8")
-    return np.split(flat, np.cumsum(sizes)[:-1])
-
-
 def _ask_grams(key, blobs: pa.Table, parts: int) -> pa.Table:
-    grams, _ = _grams(Bucket(blobs).parse())
-    edges = np.searchsorted(_part_of(grams, parts), np.arange(parts + 1))
-    return _table([
-        (p, "grams", key[0].as_py(), _low_bytes(grams[a:b] >> np.uint64(16), 6), None)
+    grams, _ = _grams(_parsed(Bucket(blobs)))
+    edges = np.searchsorted(part_of(grams, parts), np.arange(parts + 1))
+    return table_of([
+        (p, "grams", key[0].as_py(), low_bytes(grams[a:b] >> np.uint64(16), 6), None)
         for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a
     ])
 
 
 def _owners(bucket: Bucket, gram, phrase, row) -> Owners:
-    return Owners(phrase ^ _mixed(gram), (gram >> np.uint64(16)) & np.uint64(0xFFFF), bucket.id[row])
+    return Owners(phrase ^ mixed(gram), (gram >> np.uint64(16)) & np.uint64(0xFFFF), bucket.id[row])
 
 
 def _ask_phrases(key, blobs: pa.Table, answers: pa.Table, parts: int) -> pa.Table:
     bucket, me = Bucket(blobs), key[0].as_py()
-    p = bucket.parse()
+    p = _parsed(bucket)
     grams, of = _grams(p)
-    shared = _replies(answers, "grams", _part_of(grams, parts), parts)
+    shared = replies(answers, "grams", part_of(grams, parts), parts)
     # Grams of several documents of this bucket.
     ids = bucket.id[p.row]
-    low, high = np.full(len(grams), _LAST), np.full(len(grams), np.iinfo(np.int64).min)
+    low, high = np.full(len(grams), LAST), np.full(len(grams), np.iinfo(np.int64).min)
     np.minimum.at(low, of, ids)
     np.maximum.at(high, of, ids)
     some = (shared | (low < high))[of]
@@ -312,18 +185,18 @@ def _ask_phrases(key, blobs: pa.Table, answers: pa.Table, parts: int) -> pa.Tabl
     owners = _owners(bucket, gram, phrase, row)
     out = [(q, "phrases", me, a, b) for q, a, b in owners.packs(parts)]
     order = np.lexsort((phrase, gram))
-    new = _runs(gram[order])
+    new = runs(gram[order])
     group = np.cumsum(new) - 1
     one = phrase[order][new]
     many = np.bincount(group, weights=phrase[order] != one[group]) > 0 if len(order) else np.empty(0, bool)
     distinct = gram[order][new]
-    edges = np.searchsorted(_part_of(distinct, parts), np.arange(parts + 1))
+    edges = np.searchsorted(part_of(distinct, parts), np.arange(parts + 1))
     out += [
-        (q, "several", me, _low_bytes(distinct[a:b] >> np.uint64(16), 6), one[a:b].tobytes() + np.packbits(many[a:b]).tobytes())
+        (q, "several", me, low_bytes(distinct[a:b] >> np.uint64(16), 6), one[a:b].tobytes() + np.packbits(many[a:b]).tobytes())
         for q, (a, b) in enumerate(zip(edges, edges[1:])) if b > a
     ]
-    out.append(_note(me, parts, gram.view(np.int64), phrase.view(np.int64), first, count, row))
-    return _table(out)
+    out.append(note(me, parts, gram.view(np.int64), phrase.view(np.int64), first, count, row))
+    return table_of(out)
 
 
 def _windows(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -334,13 +207,13 @@ def _windows(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def _ask_windows(key, blobs: pa.Table, answers: pa.Table, parts: int) -> pa.Table:
     bucket, me = Bucket(blobs), key[0].as_py()
-    gram, phrase, first, count, row = _noted(answers)
+    gram, phrase, first, count, row = noted(answers)
     gram, phrase = gram.view(np.uint64), phrase.view(np.uint64)
     owners = _owners(bucket, gram, phrase, row)
-    smaller = _replies(answers, "phrases", _part_of(owners.key, parts), parts)
+    smaller = replies(answers, "phrases", part_of(owners.key, parts), parts)
     gone = smaller[owners.of] | (owners.id[owners.of] < bucket.id[row])
     distinct, of = np.unique(gram, return_inverse=True)
-    several = _replies(answers, "several", _part_of(distinct, parts), parts)
+    several = replies(answers, "several", part_of(distinct, parts), parts)
     # Copies of a phrase in one document have the same windows, asked for together.
     open_ = ~gone & several[of]
     starts = _windows(first[open_], count[open_])
@@ -349,14 +222,14 @@ def _ask_windows(key, blobs: pa.Table, answers: pa.Table, parts: int) -> pa.Tabl
     asked = Owners(window_hashes(bucket.data, starts), more, bucket.id[mine])
     out = [(q, "windows", me, a, b) for q, a, b in asked.packs(parts)]
     least = asked.id[asked.of] < bucket.id[mine]
-    out.append(_note(me, parts, first[gone], count[gone], starts, asked.of, least.astype(np.int64), _part_of(asked.key, parts)))
-    return _table(out)
+    out.append(note(me, parts, first[gone], count[gone], starts, asked.of, least.astype(np.int64), part_of(asked.key, parts)))
+    return table_of(out)
 
 
 def _spans(bucket: Bucket, answers: pa.Table, parts: int):
     """Row, start and end of the maximal removed runs, within the bucket's bytes."""
-    first, count, starts, of, least, parts_of = _noted(answers)
-    gone = _replies(answers, "windows", parts_of, parts)[of] | (least > 0)
+    first, count, starts, of, least, parts_of = noted(answers)
+    gone = replies(answers, "windows", parts_of, parts)[of] | (least > 0)
     change = np.zeros(len(bucket.data) + 1, np.int32)
     np.add.at(change, first, 1)
     np.add.at(change, first + count - 1 + WINDOW, -1)
@@ -387,41 +260,13 @@ def _cut(blobs: pa.Table, answers: pa.Table, parts: int, finish) -> pa.Table:
 
 def _deduplicated(docs: DataFrame, finish, schema: str) -> DataFrame:
     """Run the three rounds; ``finish`` makes the rows of a bucket's documents."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets, parts = max(1, -(-total // BUCKET_BYTES)), max(1, -(-total // PART_BYTES))
-    key = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))), F.lit(buckets))
-    carried = [c for c in docs.columns if c != "text"]
-    rows = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in carried)).alias("row_"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id_"),
-        F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("bytes_"),
-        F.col("text").isNull().alias("null_"), key.alias("bucket_"),
-    )
-
-    def blobs(batches):
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = t.take(pc.sort_indices(t, sort_keys=[("bucket_", "ascending")]))
-            of = t["bucket_"].to_numpy()
-            t = t.drop_columns(["bucket_"])
-            at = np.flatnonzero(_runs(of))
-            out = []
-            for a, b in zip(at, np.append(at[1:], len(of))):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, t.schema, options=options) as w:
-                    w.write_table(t.slice(a, b - a).combine_chunks())
-                out.append(sink.getvalue().to_pybytes())
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(of[at], pa.int64()), pa.array(out, pa.binary())], ["to", "blob"])
-
-    held = rows.mapInArrow(blobs, "to bigint, blob binary")
+    documents, _, parts = held(docs, [c for c in docs.columns if c != "text"])
     ask = lambda fn: lambda key, left, right: fn(key, left, right, parts)
-    answered = lambda df: df.groupBy("to").applyInArrow(_answered, _ROW_SQL).groupBy("to")
-    asked = held.groupBy("to").applyInArrow(lambda key, t: _ask_grams(key, t, parts), _ROW_SQL)
-    asked = held.groupBy("to").cogroup(answered(asked)).applyInArrow(ask(_ask_phrases), _ROW_SQL)
-    asked = held.groupBy("to").cogroup(answered(asked)).applyInArrow(ask(_ask_windows), _ROW_SQL)
-    return held.groupBy("to").cogroup(answered(asked)).applyInArrow(lambda key, t, r: _cut(t, r, parts, finish), schema)
+    answered = lambda df: df.groupBy("to").applyInArrow(_answered, ROW_SQL).groupBy("to")
+    asked = documents.groupBy("to").applyInArrow(lambda key, t: _ask_grams(key, t, parts), ROW_SQL)
+    asked = documents.groupBy("to").cogroup(answered(asked)).applyInArrow(ask(_ask_phrases), ROW_SQL)
+    asked = documents.groupBy("to").cogroup(answered(asked)).applyInArrow(ask(_ask_windows), ROW_SQL)
+    return documents.groupBy("to").cogroup(answered(asked)).applyInArrow(lambda key, t, r: _cut(t, r, parts, finish), schema)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
