@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lorebase.llm import bpe, language, packing, pivots, quality_classifier, quality_rules, sql, toxicity, url_filter
+from lorebase.llm import bpe, jaccard, language, packing, pivots, quality_classifier, quality_rules, sql, suffix_dedup, toxicity, url_filter
 from lorebase.llm.common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -18,6 +18,10 @@ def op2_exact_top_k(spark, sf_dir):
     return pivots.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = quality_classifier.fit(docs, quality_classifier.grades(table(spark, sf_dir, "labels")))
@@ -35,6 +39,10 @@ def op6_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"), rules, hosts)
 
 
+def op7_ngram_jaccard_join(spark, sf_dir):
+    return jaccard.joined(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -51,8 +59,8 @@ def op10_language_id(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_best_fit_packing, op2_exact_top_k, op4_quality_classifier, op5_toxicity,
-        op6_url_filter, op8_quality_rules, op9_byte_bpe, op10_language_id,
+        op1_best_fit_packing, op2_exact_top_k, op3_suffix_dedup, op4_quality_classifier, op5_toxicity,
+        op6_url_filter, op7_ngram_jaccard_join, op8_quality_rules, op9_byte_bpe, op10_language_id,
     )
 }
 
