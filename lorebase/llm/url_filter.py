@@ -96,7 +96,7 @@ class Cascade:
         answer = F.lit(len(self.levels) % 2 == 1)
         for number in range(len(self.levels), 0, -1):
             answer = F.when(self.levels[number - 1].passes(key, number), answer).otherwise(F.lit(number % 2 == 0))
-        return F.coalesce(answer, F.lit(False))
+        return key.isNotNull() & F.coalesce(answer, F.lit(False))
 
 
 def _level(inside: DataFrame, n: int, rate: float, number: int) -> Level:
