@@ -1,13 +1,14 @@
 """Catalog maintenance, keyed writes, telemetry and embedding refresh queries."""
 
 import datetime
+import re
 
 from pyspark.sql import functions as F
 
 from lorebase.operators import catalog as rules, embedding, upsert
 from lorebase.plans.registry import query, rounded
 from lorebase.sources.scratch import scratch_path
-from lorebase.streaming.changes import CatalogFeed, apply_changes_stream, stamped_events
+from lorebase.streaming.changes import CatalogFeed, apply_changes_stream, record_events
 
 _SOURCES = list(rules.SOURCES)
 _STATE = ["tenant_id", "source_table", "source_id", "entity_type", "summary_text", "model_version", "embedding_stale", "authority_tier"]
@@ -71,30 +72,57 @@ def catalog_snapshot_diff(T):
     return rules.diff(T["tasks_before"], T["tasks_after"], ["id"], rules.SOURCES["tasks"].watched)
 
 
-_TOUCHED = f"""
-touched as (select a.* from tasks_after a join (select * from ({_DIFF}) d where op = 'update') d on d.id = a.id)"""
+# The sources a while later: a quarter of the rows has a revised text, an eighth is gone.
+_NUMBER = "coalesce(cast(nullif(regexp_replace(source_id, '[^0-9]', '', 'g'), '') as bigint), 0)"
+_FLAGGED = f"""flagged as (select s.*, {_NUMBER} % 4 = 1 as revised, {_NUMBER} % 8 = 5 as gone, {_NUMBER} % 8 = 5 and tenant_id = 't0' as again from seeds s)"""
+_REVISED_SEEDS = ",\n".join(
+    f"{t}_r as (select * replace (coalesce({s.watched[0]}, '') || ' (revised)' as {s.watched[0]}) from {t})" for t, s in rules.SOURCES.items()
+) + "," + re.sub(r"\bfrom (\w+)\b(?=\s*(?:\n|\)))", lambda m: f"from {m[1]}_r" if m[1] in rules.SOURCES else m[0], _SEEDS[_SEEDS.index("seeds as") :]).replace("seeds as", "revised_seeds as", 1)
 
 
-def _marked_sql(summary: str) -> str:
-    return f"""with {_TOUCHED}
-select c.id, c.tenant_id, c.source_table, c.source_id, {summary} as summary_text, c.embedding_stale or t.id is not null as embedding_stale
-from semantic_index c left join touched t on c.source_table = 'tasks' and c.source_id = cast(t.id as varchar) and c.tenant_id = t.tenant_id"""
+def row_number(key: str):
+    """The number in a key."""
+    digits = F.regexp_replace(F.col(key).cast("string"), "[^0-9]", "")
+    return F.coalesce(F.nullif(digits, F.lit("")).cast("long"), F.lit(0))
+
+
+def later(T, table: str):
+    """A source table after revisions and deletions."""
+    key, column = rules.SOURCES[table].key, rules.SOURCES[table].watched[0]
+    rows = T[table].filter(row_number(key) % 8 != 5)
+    text = F.concat(F.coalesce(column, F.lit("")), F.lit(" (revised)"))
+    return rows.withColumn(column, F.when(row_number(key) % 4 == 1, text).otherwise(F.col(column)))
 
 
 def _marked(T, **options):
-    out = rules.mark_stale(T["semantic_index"], "tasks", T["tasks_before"], T["tasks_after"], **options)
+    out = T["semantic_index"]
+    for table in _SOURCES:
+        out = rules.mark_stale(out, table, T[table], later(T, table), **options)
     return out.select("id", *rules.KEY, "summary_text", "embedding_stale")
 
 
-@query("catalog_mark_stale", _marked_sql("c.summary_text"), ["semantic_index", "tasks_before", "tasks_after"])
+_ON_KEY = "c.tenant_id = t.tenant_id and c.source_table = t.source_table and c.source_id = t.source_id"
+
+
+@query(
+    "catalog_mark_stale",
+    f"""with {_SEEDS}, {_FLAGGED}
+select c.id, c.tenant_id, c.source_table, c.source_id, c.summary_text, c.embedding_stale or coalesce(t.revised and not t.gone, false) as embedding_stale
+from semantic_index c left join flagged t on {_ON_KEY}""",
+    ["semantic_index", "factory_config", *_SOURCES],
+)
 def catalog_mark_stale(T):
     return _marked(T)
 
 
 @query(
     "catalog_mark_stale_rebuilt",
-    _marked_sql("coalesce('Task ' || coalesce(t.category, '') || ' - ' || t.title || ': ' || coalesce(t.description, ''), c.summary_text)"),
-    ["semantic_index", "tasks_before", "tasks_after"],
+    f"""with {_SEEDS}, {_FLAGGED}, {_REVISED_SEEDS}
+select c.id, c.tenant_id, c.source_table, c.source_id, case when t.revised and not t.gone then r.summary_text else c.summary_text end as summary_text,
+  c.embedding_stale or coalesce(t.revised and not t.gone, false) as embedding_stale
+from semantic_index c left join flagged t on {_ON_KEY}
+left join revised_seeds r on r.tenant_id = t.tenant_id and r.source_table = t.source_table and r.source_id = t.source_id""",
+    ["semantic_index", "factory_config", *_SOURCES],
 )
 def catalog_mark_stale_rebuilt(T):
     return _marked(T, rebuild_summary=True)
@@ -112,14 +140,13 @@ def chunks_mark_stale(T):
 
 @query(
     "catalog_cascade_delete",
-    """select c.id, c.source_table, c.source_id from semantic_index c where not (c.source_table = 'tasks' and exists (
-  select 1 from tasks_before b where cast(b.id as varchar) = c.source_id and b.tenant_id = c.tenant_id
-    and not exists (select 1 from tasks_after a where a.id = b.id)))""",
-    ["semantic_index", "tasks_before", "tasks_after"],
+    f"""with {_SEEDS}, {_FLAGGED}
+select c.id, c.source_table, c.source_id from semantic_index c where not exists (select 1 from flagged t where {_ON_KEY} and t.gone)""",
+    ["semantic_index", "factory_config", *_SOURCES],
 )
 def catalog_cascade_delete(T):
-    gone = T["tasks_before"].join(T["tasks_after"].select("id"), "id", "left_anti")
-    return rules.cascade_delete(T["semantic_index"], {"tasks": gone}).select("id", "source_table", "source_id")
+    gone = {t: T[t].filter(row_number(rules.SOURCES[t].key) % 8 == 5) for t in _SOURCES}
+    return rules.cascade_delete(T["semantic_index"], gone).select("id", "source_table", "source_id")
 
 
 @query(
@@ -164,54 +191,78 @@ def catalog_orphans(T):
 
 
 # --- change log ----------------------------------------------------------------------
-def task_changes(tasks):
-    """Change feed of the task table: every task is created, the most urgent ones get
-    a new title, some closed ones are deleted, and one tenant's are created again."""
-    row = F.struct(*tasks.columns)
-    none = F.lit(None).cast(tasks.select(row.alias("r")).schema["r"].dataType)
-    revised = F.struct(*[F.concat("title", F.lit(" (revised)")).alias(c) if c == "title" else F.col(c) for c in tasks.columns])
-    after = F.when(F.col("priority") == 1, revised).otherwise(row)
-
-    def change(rows, step, op, before, then):
-        return rows.select((F.col("id") * 10 + step).alias("seq"), F.lit(op).alias("op"), before.alias("before"), then.alias("after"))
-
-    gone = tasks.filter("status = 'closed' and priority = 5")
-    return (
-        change(tasks, 0, "insert", none, row)
-        .unionByName(change(tasks, 1, "update", row, after))
-        .unionByName(change(gone, 2, "delete", after, none))
-        .unionByName(change(gone.filter("tenant_id = 't0'"), 3, "insert", none, row))
-    )
-
-
-_FOLDED = """
-with t as (select *, status = 'closed' and priority = 5 as gone, status = 'closed' and priority = 5 and tenant_id = 't0' as again,
-  'Task ' || coalesce(category, '') || ' - ' || coalesce(title, '') || ': ' || coalesce(description, '') as text from tasks)
-select coalesce(c.tenant_id, t.tenant_id) as tenant_id, coalesce(c.source_table, 'tasks') as source_table, coalesce(c.source_id, cast(t.id as varchar)) as source_id,
-  case when c.id is not null and not coalesce(t.gone, false) then c.entity_type else 'task' end as entity_type,
-  case when c.id is not null and not coalesce(t.gone, false) then c.summary_text else t.text end as summary_text,
-  case when c.id is not null and not coalesce(t.gone, false) then c.model_version else 'text-embedding-3-small' end as model_version,
-  case when c.id is not null and not coalesce(t.gone, false) then c.embedding_stale or coalesce(t.priority = 1, false) else true end as embedding_stale,
-  case when c.id is not null and not coalesce(t.gone, false) then c.authority_tier else 'operational' end as authority_tier
-from semantic_index c full join t on c.source_table = 'tasks' and c.source_id = cast(t.id as varchar) and c.tenant_id = t.tenant_id
-where not coalesce(t.gone, false) or t.again"""
+def changes_of(T, table: str):
+    """Change feed of a table: every source row is created, a quarter is revised, half of
+    those are deleted, and one tenant's are created again.  Chunks are there from the start."""
+    chunks = table == rules.CHUNK_TABLE
+    rows = T[table]
+    key, column = ("id", "content") if chunks else (rules.SOURCES[table].key, rules.SOURCES[table].watched[0])
+    rows = rows.withColumn("number_", row_number(key))
+    columns = [c for c in rows.columns if c != "number_"]
+    row = F.struct(*columns)
+    none = F.lit(None).cast(rows.select(row.alias("r")).schema["r"].dataType)
+    text = F.concat(F.coalesce(column, F.lit("")), F.lit(" (revised)")).alias(column)
+    after = F.struct(*[text if c == column else F.col(c) for c in columns])
+
+    def change(of, step, op, before, then):
+        return of.select((F.col("number_") * 10 + step).alias("seq"), F.lit(op).alias("op"), before.alias("before"), then.alias("after"))
+
+    gone = rows.filter("number_ % 8 = 5")
+    out = change(rows.filter("number_ % 4 = 1"), 1, "update", row, after).unionByName(change(gone, 2, "delete", after, none))
+    if chunks:
+        return out
+    return out.unionByName(change(rows, 0, "insert", none, row)).unionByName(change(gone.filter("tenant_id = 't0'"), 3, "insert", none, row))
+
+
+_FED = [*_SOURCES, rules.CHUNK_TABLE]
+_HELD = "c.id is not null and not coalesce(t.gone, false)"
+_FOLDED = f"""
+with {_SEEDS}, {_FLAGGED}
+select coalesce(c.tenant_id, t.tenant_id) as tenant_id, coalesce(c.source_table, t.source_table) as source_table, coalesce(c.source_id, t.source_id) as source_id,
+  case when {_HELD} then c.entity_type else t.entity_type end as entity_type,
+  case when {_HELD} then c.summary_text else t.summary_text end as summary_text,
+  case when {_HELD} then c.model_version else 'text-embedding-3-small' end as model_version,
+  case when {_HELD} then c.embedding_stale or coalesce(t.revised, false) else true end as embedding_stale,
+  case when {_HELD} then c.authority_tier else t.authority_tier end as authority_tier
+from semantic_index c full join flagged t on {_ON_KEY}
+where (not coalesce(t.gone, false) or t.again) and not (coalesce(c.source_table, '') = 'document_chunks' and exists (
+  select 1 from document_chunks g where g.id % 8 = 5 and cast(g.id as varchar) = c.source_id and g.tenant_id = c.tenant_id))"""
+
+
+def _log(T):
+    return rules._union([rules.log_rows(changes_of(T, t), t) for t in _FED])
+
+
+@query("catalog_apply_change_log", _FOLDED, ["semantic_index", "factory_config", *_FED])
+def catalog_apply_change_log(T):
+    return rules.fold(T["semantic_index"], _log(T)).select(*_STATE)
 
 
-@query("catalog_apply_change_log", _FOLDED, ["semantic_index", "tasks"])
-def catalog_apply_change_log(T):
-    log = rules.log_rows(task_changes(T["tasks"]), "tasks")
-    return rules.fold(T["semantic_index"], log).select(*_STATE)
+@query(
+    "chunks_apply_change_log",
+    "select id, embedding_stale or (id % 4 = 1 and id % 8 <> 5) as embedding_stale from document_chunks",
+    ["document_chunks"],
+)
+def chunks_apply_change_log(T):
+    log = rules.log_rows(changes_of(T, rules.CHUNK_TABLE), rules.CHUNK_TABLE)
+    return rules.flag_chunks(T["document_chunks"], log).select("id", "embedding_stale")
 
 
-@query("catalog_change_stream", _FOLDED, ["semantic_index", "tasks"])
+@query("catalog_change_stream", _FOLDED, ["semantic_index", "factory_config", *_FED])
 def catalog_change_stream(T):
-    changes = task_changes(T["tasks"])
-    inbox = scratch_path(T.spark, "changes")
-    changes.write.parquet(inbox)
+    """A stream per table, all into one feed at the same time."""
     feed = CatalogFeed(T.spark, scratch_path(T.spark, "catalog"))
     feed.start(T["semantic_index"])
-    source = T.spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 2).parquet(inbox)
-    apply_changes_stream(source, "tasks", feed, scratch_path(T.spark, "progress")).awaitTermination()
+    running = []
+    for table in _FED:
+        inbox = scratch_path(T.spark, "changes")
+        key = "id" if table == rules.CHUNK_TABLE else rules.SOURCES[table].key
+        by_row = F.coalesce(F.col(f"after.{key}"), F.col(f"before.{key}"))
+        changes_of(T, table).repartition(3, by_row).write.parquet(inbox)
+        source = T.spark.readStream.schema(T.spark.read.parquet(inbox).schema).option("maxFilesPerTrigger", 2).parquet(inbox)
+        running.append(apply_changes_stream(source, table, feed, scratch_path(T.spark, "progress"), compact_after=9))
+    for stream in running:
+        stream.awaitTermination()
     return feed.current().select(*_STATE)
 
 
@@ -246,7 +297,7 @@ from retrieval_events""",
 )
 def telemetry_append(T):
     path = scratch_path(T.spark, "telemetry")
-    stamped_events(T["retrieval_events"]).write.mode("append").partitionBy("tenant_id", "dt").parquet(path)
+    record_events(T["retrieval_events"], path)
     return T.spark.read.parquet(path).select(
         "id", "tenant_id", "search_function", "used_vector", "result_ids", "latency_ms", "created_at", "dt"
     )
