@@ -11,9 +11,21 @@ def latest_per_key(df: DataFrame, keys, order) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def top_per_key(df: DataFrame, keys, order, n: int, rank: str = "rank") -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
+def top_per_key(df: DataFrame, keys, order, n: int, rank: str = "rank", parts: int = 1, spread="id") -> DataFrame:
+    """First ``n`` rows of each key in ``order``, numbered.
+
+    With ``parts`` above one the rows of a key are first cut to ``n`` in that many parts,
+    dealt by the column ``spread``, and then together: no task sorts all rows of a key,
+    whether the planner puts a rank limit before the shuffle or not.
+    """
+    def cut(rows, *by):
+        w = Window.partitionBy(*by).orderBy(*order)
+        return rows.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
+
+    if parts == 1:
+        return cut(df, *keys)
+    dealt = df.withColumn("part_", F.pmod(F.xxhash64(spread), F.lit(parts)))
+    return cut(cut(dealt, *keys, "part_").drop(rank, "part_"), *keys)
 
 
 def same(a, b) -> Column:

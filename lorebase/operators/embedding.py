@@ -10,7 +10,6 @@ from lorebase.sources.scratch import kept
 
 # Fixed values of the source.
 BATCH = 50
-MAX_CHARS = 8000
 DIMENSIONS = 1536
 DECIMALS = 8
 
@@ -33,13 +32,14 @@ def embed(
     *,
     dimensions: int = DIMENSIONS,
     batch: int = BATCH,
-    max_chars: int | None = MAX_CHARS,
+    max_chars: int | None = None,
     parallelism: int | None = None,
 ) -> DataFrame:
     """Vectors for the rows of :func:`pending`: tenant_id, id, text_hash, vector.
 
     The embedder runs in the tasks, ``batch`` texts per call.  A vector of another
-    length fails the job.  ``max_chars=None`` embeds whole texts.  ``parallelism``
+    length fails the job.  Texts are embedded whole; a service with a limit
+    splits them itself, or the caller cuts them at ``max_chars``.  ``parallelism``
     spreads few large partitions over more tasks when calls are slow.
     """
     text = F.coalesce("text", F.lit(""))

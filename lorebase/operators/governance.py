@@ -1,7 +1,5 @@
 """Rule fan-out, agreement coverage, retired-term scans and dead references."""
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from lorebase.functions.columns import any_of, count_if, words_of
@@ -12,7 +10,7 @@ RULE_TARGET = 21
 GOVERNANCE_TARGET = 28
 PREVIEW = 200
 
-BROADCAST_TERMS = 50_000  # retired terms sent out at a time: short strings, a few megabytes
+BROADCAST_BYTES = 8 << 20  # retired terms sent out in one block, about
 
 
 def rules_by_agent(T, roster) -> DataFrame:
@@ -92,13 +90,14 @@ def halt_rules_by_agent(T, roster) -> DataFrame:
     )
 
 
-def _retired_hits(T, rows: DataFrame, table: str, key: str, texts, keep, block: int = BROADCAST_TERMS) -> DataFrame:
+def _retired_hits(T, rows: DataFrame, table: str, key: str, texts, keep, block_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Rows that contain retired terms of their tenant, minus allowed pairs.
 
     The terms of a tenant are one short array, so a text meets them inside its
-    row and no pair of text and term is ever shuffled.  The list is counted
-    first; one that is too long to send out whole goes in blocks, one scan of
-    the texts each.  The allow list joins last, against the few rows with a hit.
+    row and no pair of text and term is ever shuffled.  The list is measured
+    first and sent out in as many blocks as its bytes need; the texts are scanned
+    once and meet the blocks one after the other.  The allow list joins last,
+    against the few rows with a hit.
     """
     def found(term):
         wild = term.rlike(r"[%_\\]")  # LIKE signs inside a term act as such
@@ -111,27 +110,21 @@ def _retired_hits(T, rows: DataFrame, table: str, key: str, texts, keep, block:
         ])
 
     listed = T["decommissioned_terms"].select("tenant_id", "term").distinct()
-    blocks = max(1, -(-listed.count() // block))
-    lowered = rows.withColumns({f"_low_{t}": F.lower(t) for t in texts}).withColumn("_key", F.col(key).cast("string"))
-    parts = []
+    size = listed.agg(F.coalesce(F.sum(F.octet_length("term") + 32), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // block_bytes))
+    none = F.array().cast("array<string>")
+    met = rows.withColumns({f"_low_{t}": F.lower(t) for t in texts}).withColumns({"_key": F.col(key).cast("string"), "matched": none})
     for b in range(blocks):
-        mine = listed if blocks == 1 else listed.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b)
-        terms = F.broadcast(mine.groupBy("tenant_id").agg(F.array_sort(F.collect_list("term")).alias("terms")))
-        met = lowered.join(terms, "tenant_id").withColumn(
-            "matched", F.filter("terms", lambda t: F.coalesce(found(t), F.lit(False)))
-        )
-        parts.append(met.filter(F.size("matched") > 0).select("tenant_id", "_key", *keep, "matched"))
-    hits = reduce(DataFrame.unionByName, parts)
-    if blocks > 1:
-        names = [c for c in hits.columns if c not in ("tenant_id", "_key", "matched")]
-        hits = hits.groupBy("tenant_id", "_key").agg(
-            *[F.any_value(c).alias(c) for c in names], F.array_sort(F.flatten(F.collect_list("matched"))).alias("matched")
-        )
+        mine = listed.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b)
+        terms = F.broadcast(mine.groupBy("tenant_id").agg(F.collect_list("term").alias("terms")))
+        hit = F.filter("terms", lambda t: F.coalesce(found(t), F.lit(False)))
+        met = met.join(terms, "tenant_id", "left").withColumn("matched", F.concat("matched", F.coalesce(hit, none))).drop("terms")
+    hits = met.filter(F.size("matched") > 0).select("tenant_id", "_key", *keep, F.array_sort("matched").alias("matched"))
     allowed = T["decommissioned_term_allowlist"].filter(F.col("source_table") == table).groupBy(
         "tenant_id", F.col("source_id").alias("_key")
     ).agg(F.collect_set("term").alias("allowed"))
     left = hits.join(allowed, ["tenant_id", "_key"], "left").withColumn(
-        "matched_terms", F.array_except("matched", F.coalesce("allowed", F.array().cast("array<string>")))
+        "matched_terms", F.array_except("matched", F.coalesce("allowed", none))
     )
     out = left.filter(F.size("matched_terms") > 0).withColumn("hit_count", F.size("matched_terms").cast("long"))
     return out.drop("_key", "matched", "allowed")

@@ -1,14 +1,13 @@
 """Nearest-neighbour candidates for a batch of query vectors.
 
-Exact search scans the corpus once.  The query vectors go to every task when
-their size, which is counted first, fits one block; each task keeps only its best
-``k`` per query, so the shuffle carries at most ``k`` rows per query and task and
-never a list of pairs.  A larger batch is searched block against block: queries
-and corpus are both cut into blocks by a hash of their id, and every pair of
-blocks is one unit of work of bounded size.
+Exact search scans the corpus once per block of queries.  The queries are counted and
+cut by a hash into blocks of bounded size; a block goes to every task, which keeps only
+its best ``k`` per query.  So the corpus is never shuffled, the shuffle carries at most ``k`` rows
+per query and task, and never a list of pairs; those rows are merged in two steps.
 """
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +18,7 @@ from lorebase.functions.vectors import distances, smallest, unit_rows
 
 # Most bytes of vectors, or of running best lists, in one block.
 BLOCK_BYTES = 64 << 20
+MERGE_PARTS = 32  # parts of a query's rows that are merged first
 _SLICE_ROWS = 2048  # most corpus rows multiplied at a time
 _UNDEFINED = 3.0  # distance to an all-zero vector while sorting: after all others
 
@@ -77,24 +77,23 @@ class _BestLists:
     """Running best ``k`` corpus rows for each query of one block."""
 
     def __init__(self, qids, tenants, vectors, k, same_tenant, cells):
-        self.qids, self.tenants, self.k = qids, tenants, k
+        self.qids, self.k = qids, k
         self.units, self.same_tenant, self.cells = unit_rows(vectors), same_tenant, cells
         self.looks = cells.looked_into(cells.of(vectors)) if cells else None
         self.tenant_names: list[str] = []
         self.tenant_code: dict[str, int] = {}
+        self.own_codes = self._codes(pa.array(tenants.tolist(), pa.string()))
         shape = (len(qids), k)
         self.d = np.full(shape, np.inf)  # inf: place not taken
         self.ids = np.full(shape, np.iinfo(np.int64).max)
         self.codes = np.zeros(shape, dtype=np.int32)
 
-    def _code(self, tenants) -> np.ndarray:
-        out = np.empty(len(tenants), dtype=np.int32)
-        for i, t in enumerate(tenants):
-            if t not in self.tenant_code:
-                self.tenant_code[t] = len(self.tenant_names)
-                self.tenant_names.append(t)
-            out[i] = self.tenant_code[t]
-        return out
+    def _codes(self, tenants: pa.Array) -> np.ndarray:
+        """Numbers of the tenants of one column; only its distinct names are looked up."""
+        coded = tenants.dictionary_encode(null_encoding="encode")
+        numbers = np.array([self.tenant_code.setdefault(t, len(self.tenant_code)) for t in coded.dictionary.to_pylist()], np.int32)
+        self.tenant_names = list(self.tenant_code)
+        return numbers[coded.indices.to_numpy(zero_copy_only=False)] if len(numbers) else np.empty(0, np.int32)
 
     def _distances(self, corpus: np.ndarray) -> np.ndarray:
         unit = unit_rows(corpus)
@@ -117,13 +116,12 @@ class _BestLists:
             corpus = _matrix(part.column("embedding"))
             if corpus.shape[1] != self.units.shape[1]:
                 raise ValueError(f"query vectors have {self.units.shape[1]} dimensions, corpus {corpus.shape[1]}")
-            tenants = part.column("tenant_id").to_pylist()
+            codes = self._codes(part.column("tenant_id"))
             d = self._distances(corpus)
             if self.same_tenant:
-                own = self.tenants[:, None] == np.array(tenants, dtype=object)[None, :]
-                d = np.where(own, d, np.inf)
+                d = np.where(self.own_codes[:, None] == codes[None, :], d, np.inf)
             ids = part.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-            self._merge(d, ids, self._code(tenants))
+            self._merge(d, ids, codes)
 
     def _merge(self, d, ids, codes) -> None:
         better = (d <= self.d[:, -1:]) & (d < np.inf)
@@ -156,8 +154,11 @@ class _BestLists:
         )
 
 
-def _one_block(asked: DataFrame, rows: DataFrame, k: int, same_tenant: bool, cells) -> DataFrame:
-    block = asked.toPandas()  # at most one block, by the count before
+def _scanned(block: DataFrame, rows: DataFrame, k: int, same_tenant: bool, cells) -> DataFrame:
+    """The best rows of each task for one block of queries."""
+    block = block.toPandas()  # of bounded size, by the count before
+    if not len(block):
+        return rows.sparkSession.createDataFrame([], _FOUND)
     vectors = np.stack(block["query_vector"].to_numpy()).astype(np.float64)
     qids, tenants = block["qid"].to_numpy(dtype=object), block["tenant_id"].to_numpy(dtype=object)
     if cells and "cell" in rows.columns:
@@ -173,33 +174,6 @@ def _one_block(asked: DataFrame, rows: DataFrame, k: int, same_tenant: bool, cel
     return rows.select("id", "tenant_id", "embedding").mapInArrow(run, _FOUND)
 
 
-def _block_grid(asked, rows, k, same_tenant, cells, query_blocks, corpus_blocks) -> DataFrame:
-    """All pairs of a query block and a corpus block, each one bounded unit of work."""
-    def spread(df, own, own_blocks, other, other_blocks):
-        numbered = df.withColumn(own, F.pmod(F.xxhash64(df.columns[0]), F.lit(own_blocks)).cast("int"))
-        return numbered.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))))
-
-    queries = spread(asked, "qb", query_blocks, "cb", corpus_blocks)
-    corpus = spread(rows.select("id", "tenant_id", "embedding"), "cb", corpus_blocks, "qb", query_blocks)
-
-    def run(block: pa.Table, part: pa.Table) -> pa.Table:
-        if not block.num_rows or not part.num_rows:
-            return pa.Table.from_batches([], pa.schema(
-                [("qid", pa.string()), ("id", pa.int64()), ("tenant_id", pa.string()), ("d", pa.float64())]
-            ))
-        vectors = _matrix(block.column("query_vector").combine_chunks())
-        best = _BestLists(
-            np.array(block.column("qid").to_pylist(), dtype=object),
-            np.array(block.column("tenant_id").to_pylist(), dtype=object),
-            vectors, k, same_tenant, cells,
-        )
-        for batch in part.to_batches():
-            best.scan(batch)
-        return pa.Table.from_batches([best.found()])
-
-    return queries.groupBy("qb", "cb").cogroup(corpus.groupBy("qb", "cb")).applyInArrow(run, _FOUND)
-
-
 def vec_candidates(
     queries: DataFrame,
     corpus: DataFrame,
@@ -231,13 +205,10 @@ def vec_candidates(
         return queries.sparkSession.createDataFrame([], _FOUND)
     same_tenant = tenant_filter == "pre"
     vector_bytes = 8 * size["dim"]
-    query_blocks = -(-size["n"] * max(vector_bytes, 20 * k) // block_bytes)
-    if query_blocks == 1:
-        found = _one_block(asked, rows, k, same_tenant, cells)
-    else:
-        corpus_blocks = max(1, -(-rows.count() * vector_bytes // block_bytes))
-        found = _block_grid(asked, rows, k, same_tenant, cells, query_blocks, corpus_blocks)
-    return top_per_key(found, ["qid"], ["d", "id"], k, rank="place").drop("place")
+    blocks = -(-size["n"] * max(vector_bytes, 20 * k) // block_bytes)
+    number = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+    found = reduce(DataFrame.unionByName, [_scanned(asked.filter(number == b), rows, k, same_tenant, cells) for b in range(blocks)])
+    return top_per_key(found, ["qid"], ["d", "id"], k, rank="place", parts=MERGE_PARTS).drop("place")
 
 
 def vec_ranks(candidates: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:

@@ -141,6 +141,16 @@ def vector_candidates(T):
     return rounded(nearest.vec_candidates(T["search_queries"], T["semantic_index"]), d=6)
 
 
+@query(
+    "vector_candidates_blocks",
+    f"with {_vec_sql('semantic_index')} select qid, id, tenant_id, round(d, 6) as d from cand",
+    ["semantic_index", "search_queries"],
+)
+def vector_candidates_blocks(T):
+    """The same with queries in small blocks, as a batch too large for one has them."""
+    return rounded(nearest.vec_candidates(T["search_queries"], T["semantic_index"], block_bytes=4 << 20), d=6)
+
+
 @query(
     "vector_ranks_tenant_after",
     f"with {_vec_sql('semantic_index')} select qid, id, round(d, 6) as d, rk as vec_rk from vec",

@@ -45,7 +45,7 @@ def test_retired_terms(frame, store):
     )
     got = rows_of(governance.knowledge_with_retired_terms(T), "id", "matched_terms", "hit_count", F.length("detail_preview"))
     assert got == [(1, ["ol_", "old name"], 2, 200), (2, ["ol_"], 1, 3)]
-    blocked = governance.knowledge_with_retired_terms(T, block=1)
+    blocked = governance.knowledge_with_retired_terms(T, block_bytes=40)
     assert rows_of(blocked, "id", "matched_terms", "hit_count", F.length("detail_preview")) == got
 
 
