@@ -1,61 +1,13 @@
-"""Profile assembly: signatures and rendered documents of all versions at once.
+"""Profile assembly: signatures and rendered documents of all versions at once."""
 
-Formats are data; one small assembler per output reads them.
-"""
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lorebase.functions.columns import capitalised, labelled
 from lorebase.functions.documents import canonical_json
 
-# Parts of the identity signature in order, as tag, table, fields.
-# A field counts "~" when NULL; "[]" marks a list, "{}" a JSON value.
-SIGNED_ROWS = [
-    ("V", "profile_version", "role one_liner summary trigger_phrases[]"),
-    ("B", "profile_bible", "archetype backstory personality character_depth humor seriousness_boundary evolution_history traits[] emoji"),
-    ("VC", "profile_voice", "opening_convention register voice_texture voice_anchors[] sample_lines[] forbidden_phrasings[] emoji_policy"),
-    ("L", "profile_lane", "primary_domain does[] does_not[] handoffs{} suppression_rules"),
-]
-# Ordered child lists, as tag, table, fields; "!" marks a field that
-# must be there.  The first field orders rows of equal sort order.
-SIGNED_LISTS = [
-    ("A", "profile_archetype", "layer! archetype_name! description"),
-    ("D", "profile_dimension", "dimension! content!"),
-    ("S", "profile_strength", "strength! description"),
-]
 PART_END = "\u001e"  # fixed value
-
-# Child lists of the document, as name, table, ordering field, line.
-# In a line "{x}" must be there and "{x?}" may be NULL.
-DOCUMENT_LISTS = [
-    ("archetypes", "profile_archetype", "layer", "- **{layer}** — {archetype_name}: {description?}"),
-    ("dimensions", "profile_dimension", "dimension", "- **{dimension}** — {content}"),
-    ("strengths", "profile_strength", "strength", "- **{strength}** — {description?}"),
-    ("tools", "profile_tool", "tool_name", "- `{tool_name}` — {purpose?}"),
-]
-# Sections of the document, as heading and its paragraphs.  A
-# paragraph is label, field and, for lists, the separator; it is left out when
-# the field is NULL, unless it has no label.
-SECTIONS = [
-    ("## Identity", [("", "summary"), ("**Trigger phrases:** ", "trigger_phrases", ", ")]),
-    ("## Archetype Hierarchy", [("", "archetypes"), ("> Guardrail: ", "archetype")]),
-    ("## Character", [
-        ("**Personality.** ", "personality"), ("**Backstory.** ", "backstory"), ("**Depth.** ", "character_depth"),
-        ("**Humor.** ", "humor"), ("**Seriousness boundary.** ", "seriousness_boundary"), ("**Traits:** ", "traits", ", "),
-    ]),
-    ("### Character Dimensions", [("", "dimensions")]),
-    ("## Voice", [
-        ("**Opening convention.** ", "opening_convention"), ("**Register.** ", "register"), ("**Texture.** ", "voice_texture"),
-        ("**Anchors:** ", "voice_anchors", " · "), ("**Sample lines:**\n\n> ", "sample_lines", "\n> "),
-        ("**Forbidden:**\n\n- ", "forbidden_phrasings", "\n- "), ("**Emoji policy.** ", "emoji_policy"),
-    ]),
-    ("## Lane", [
-        ("**Primary domain:** ", "primary_domain"), ("**Does:** ", "does", ", "),
-        ("**Routes away:**\n\n- ", "does_not", "\n- "), ("**Suppression.** ", "suppression_rules"),
-    ]),
-    ("## Strengths", [("", "strengths")]),
-    ("## Tools", [("", "tools")]),
-]
 GAP = "\n\n"
 
 
@@ -67,34 +19,63 @@ def _ordered_text(rows: DataFrame, order: str, text: Column, separator: str, nam
     )
 
 
-def _signed(tag: str, fields: str) -> Column:
-    """Tag and fields with a bar between; NULL as soon as one is."""
-    def value(field):
-        if field.endswith("[]"):
-            return F.array_join(field[:-2], "#")
-        if field.endswith("!"):
-            return F.col(field[:-1])
-        if field.endswith("{}"):
-            return F.coalesce(canonical_json(field[:-2]), F.lit("~"))
-        return F.coalesce(F.col(field), F.lit("~"))
+def _known(column: str) -> Column:
+    """A field of the signature; NULL counts as "~"."""
+    return F.coalesce(F.col(column), F.lit("~"))
+
+
+def _list(column: str) -> Column:
+    """A list of the signature; a NULL list makes its whole part NULL."""
+    return F.array_join(column, "#")
+
+
+def _part(tag: str, *values: Column) -> Column:
+    return F.concat(F.lit(tag), *[x for v in values for x in (F.lit("|"), v)])
 
-    return F.concat(F.lit(tag), *[x for f in fields.split() for x in (F.lit("|"), value(f))])
+
+def _joined(rows: DataFrame, *others: DataFrame) -> DataFrame:
+    return reduce(lambda a, b: a.join(b, "version_id", "left"), others, rows)
 
 
 def identity_signatures(T) -> DataFrame:
-    """MD5 over version, bible, voice, lane and the three ordered child lists."""
-    joined = T["profile_version"].select(F.col("id").alias("version_id"), "agent_name")
-    for tag, table, fields in SIGNED_ROWS:
-        key = F.col("id" if table == "profile_version" else "version_id").alias("version_id")
-        joined = joined.join(T[table].select(key, _signed(tag, fields).alias(tag)), "version_id", "left")
-    for tag, table, fields in SIGNED_LISTS:
-        first = fields.split()[0].rstrip("!")
-        joined = joined.join(_ordered_text(T[table], first, _signed(tag, fields), "||", tag), "version_id", "left")
-    parts = [F.coalesce(F.col(tag), F.lit("")) for tag, *_ in SIGNED_ROWS + SIGNED_LISTS]
-    text = parts[0]
-    for part in parts[1:]:
-        text = F.concat(text, F.lit(PART_END), part)
-    return joined.select("version_id", "agent_name", F.md5(text.cast("binary")).alias("signature"))
+    """MD5 over version, bible, voice, lane and the three ordered child lists.
+
+    The tags, the order of fields and the separators are fixed values.
+    """
+    version = T["profile_version"].select(
+        F.col("id").alias("version_id"), "agent_name",
+        _part("V", _known("role"), _known("one_liner"), _known("summary"), _list("trigger_phrases")).alias("version_part"),
+    )
+    bible = T["profile_bible"].select(
+        "version_id",
+        _part(
+            "B", _known("archetype"), _known("backstory"), _known("personality"), _known("character_depth"), _known("humor"),
+            _known("seriousness_boundary"), _known("evolution_history"), _list("traits"), _known("emoji"),
+        ).alias("bible_part"),
+    )
+    voice = T["profile_voice"].select(
+        "version_id",
+        _part(
+            "VC", _known("opening_convention"), _known("register"), _known("voice_texture"),
+            _list("voice_anchors"), _list("sample_lines"), _list("forbidden_phrasings"), _known("emoji_policy"),
+        ).alias("voice_part"),
+    )
+    lane = T["profile_lane"].select(
+        "version_id",
+        _part(
+            "L", _known("primary_domain"), _list("does"), _list("does_not"),
+            F.coalesce(canonical_json("handoffs"), F.lit("~")), _known("suppression_rules"),
+        ).alias("lane_part"),
+    )
+    archetypes = _ordered_text(
+        T["profile_archetype"], "layer", _part("A", F.col("layer"), F.col("archetype_name"), _known("description")), "||", "archetype_part"
+    )
+    dimensions = _ordered_text(T["profile_dimension"], "dimension", _part("D", F.col("dimension"), F.col("content")), "||", "dimension_part")
+    strengths = _ordered_text(T["profile_strength"], "strength", _part("S", F.col("strength"), _known("description")), "||", "strength_part")
+    rows = _joined(version, bible, voice, lane, archetypes, dimensions, strengths)
+    parts = ["version_part", "bible_part", "voice_part", "lane_part", "archetype_part", "dimension_part", "strength_part"]
+    text = F.concat_ws(PART_END, *[F.coalesce(p, F.lit("")) for p in parts])
+    return rows.select("version_id", "agent_name", F.md5(text.cast("binary")).alias("signature"))
 
 
 def signature_drift(T) -> DataFrame:
@@ -111,37 +92,72 @@ def signature_drift(T) -> DataFrame:
     )
 
 
-def filled(line: str) -> Column:
-    """A text with ``{field}`` and ``{field?}`` places as a column."""
-    parts = []
-    for piece in line.split("{"):
-        field, _, rest = piece.rpartition("}")
-        if field:
-            name = field.rstrip("?")
-            value = F.col(name).cast("string")
-            parts.append(F.coalesce(value, F.lit("")) if field.endswith("?") else value)
-        parts.append(F.lit(rest))
-    return F.concat(*parts)
+def _text(column: str) -> Column:
+    """A field that may be missing."""
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def _line(*parts) -> Column:
+    """Strings and columns as one text; NULL as soon as a column is."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def _paragraph(label: str, value) -> Column:
+    """A labelled paragraph, left out when its value is NULL."""
+    return labelled(label, F.col(value) if isinstance(value, str) else value, GAP)
 
 
 def _header() -> Column:
-    version = F.coalesce(F.col("identity_version").cast("string"), F.lit("?"))
+    identity = F.coalesce(F.col("identity_version").cast("string"), F.lit("?"))
     signature = F.coalesce("identity_signature", F.lit("UNSIGNED"))
-    return F.concat(
-        filled("<!-- Generated from the profile record. Do not edit by hand. -->\n<!-- agent: {agent_name} | version: {version}"),
-        F.lit(" | identity_version: "), version, F.lit(" | identity_signature: "), signature, F.lit(" -->" + GAP),
-        F.lit("# "), capitalised(F.col("agent_name")), labelled(" — ", F.col("role")), F.lit(GAP),
+    return _line(
+        "<!-- Generated from the profile record. Do not edit by hand. -->\n",
+        "<!-- agent: ", F.col("agent_name"), " | version: ", F.col("version").cast("string"),
+        " | identity_version: ", identity, " | identity_signature: ", signature, " -->" + GAP,
+        "# ", capitalised(F.col("agent_name")), labelled(" — ", F.col("role")), GAP,
         labelled("> ", F.col("one_liner"), GAP),
-        filled("**Callsign:** {callsign} | **Factory:** {factory_type} | **Status:** {status}"),
-        labelled(" | **Emoji:** ", F.col("emoji")), F.lit(GAP),
+        "**Callsign:** ", F.col("callsign"), " | **Factory:** ", F.col("factory_type"), " | **Status:** ", F.col("status"),
+        labelled(" | **Emoji:** ", F.col("emoji")), GAP,
     )
 
 
-def _paragraph(label: str, field: str, separator: str | None = None) -> Column:
-    value = F.col(field) if separator is None else F.array_join(field, separator)
-    if not label:
-        return F.concat(F.coalesce(value, F.lit("")), F.lit(GAP))
-    return labelled(label, value, GAP)
+def _body() -> Column:
+    """The sections of the document; headings and labels are fixed values."""
+    return _line(
+        "## Identity" + GAP,
+        _text("summary"), GAP,
+        _paragraph("**Trigger phrases:** ", F.array_join("trigger_phrases", ", ")),
+        "## Archetype Hierarchy" + GAP,
+        _text("archetypes"), GAP,
+        _paragraph("> Guardrail: ", "archetype"),
+        "## Character" + GAP,
+        _paragraph("**Personality.** ", "personality"),
+        _paragraph("**Backstory.** ", "backstory"),
+        _paragraph("**Depth.** ", "character_depth"),
+        _paragraph("**Humor.** ", "humor"),
+        _paragraph("**Seriousness boundary.** ", "seriousness_boundary"),
+        _paragraph("**Traits:** ", F.array_join("traits", ", ")),
+        "### Character Dimensions" + GAP,
+        _text("dimensions"), GAP,
+        "## Voice" + GAP,
+        _paragraph("**Opening convention.** ", "opening_convention"),
+        _paragraph("**Register.** ", "register"),
+        _paragraph("**Texture.** ", "voice_texture"),
+        _paragraph("**Anchors:** ", F.array_join("voice_anchors", " · ")),
+        _paragraph("**Sample lines:**\n\n> ", F.array_join("sample_lines", "\n> ")),
+        _paragraph("**Forbidden:**\n\n- ", F.array_join("forbidden_phrasings", "\n- ")),
+        _paragraph("**Emoji policy.** ", "emoji_policy"),
+        "## Lane" + GAP,
+        _paragraph("**Primary domain:** ", "primary_domain"),
+        _paragraph("**Does:** ", F.array_join("does", ", ")),
+        _paragraph("**Routes away:**\n\n- ", F.array_join("does_not", "\n- ")),
+        _paragraph("**Suppression.** ", "suppression_rules"),
+        "## Strengths" + GAP,
+        _text("strengths"), GAP,
+        "## Tools" + GAP,
+        _text("tools"), GAP,
+        "<!-- Platform section: filled by the build, not part of the signature. -->\n",
+    )
 
 
 def render_documents(T) -> DataFrame:
@@ -149,10 +165,16 @@ def render_documents(T) -> DataFrame:
     rows = T["profile_version"].withColumnRenamed("id", "version_id").join(
         T["profile"].select("agent_name", "callsign", "factory_type", "status"), "agent_name"
     )
-    for table in ("profile_bible", "profile_voice", "profile_lane"):
-        rows = rows.join(T[table].drop("id", "handoffs"), "version_id", "left")
-    for name, table, order, line in DOCUMENT_LISTS:
-        rows = rows.join(_ordered_text(T[table], order, filled(line), "\n", name), "version_id", "left")
-    body = [F.concat(F.lit(heading + GAP), *[_paragraph(*p) for p in paragraphs]) for heading, paragraphs in SECTIONS]
-    end = F.lit("<!-- Platform section: filled by the build, not part of the signature. -->\n")
-    return rows.select("version_id", "agent_name", F.concat(_header(), *body, end).alias("document"))
+    archetype = _line("- **", F.col("layer"), "** — ", F.col("archetype_name"), ": ", _text("description"))
+    dimension = _line("- **", F.col("dimension"), "** — ", F.col("content"))
+    strength = _line("- **", F.col("strength"), "** — ", _text("description"))
+    tool = _line("- `", F.col("tool_name"), "` — ", _text("purpose"))
+    rows = _joined(
+        rows,
+        *[T[table].drop("id", "handoffs") for table in ("profile_bible", "profile_voice", "profile_lane")],
+        _ordered_text(T["profile_archetype"], "layer", archetype, "\n", "archetypes"),
+        _ordered_text(T["profile_dimension"], "dimension", dimension, "\n", "dimensions"),
+        _ordered_text(T["profile_strength"], "strength", strength, "\n", "strengths"),
+        _ordered_text(T["profile_tool"], "tool_name", tool, "\n", "tools"),
+    )
+    return rows.select("version_id", "agent_name", F.concat(_header(), _body()).alias("document"))

@@ -1,6 +1,5 @@
 """Governance, connector, data-quality and profile queries."""
 
-import re
 
 from pyspark.sql import functions as F
 
@@ -263,30 +262,27 @@ _PROFILE = [
 ]
 
 
-def _list_sql(table: str, order: str, text: str, separator: str) -> str:
-    return f"(select string_agg({text}, {separator} order by sort_order, {order}) from {table} x where x.version_id = pv.id)"
-
-
-def _signed_sql(tag: str, fields: str, table: str = "") -> str:
-    def value(f):
-        name = table + f.rstrip("[]{}!")
-        if f.endswith("[]"):
-            return f"array_to_string({name}, '#')"
-        if f.endswith("{}"):  # the one JSON value of the test table, in canonical form
-            return f"""'{{"n": ' || json_extract_string({name}, '$.n') || ', "to": "' || json_extract_string({name}, '$.to') || '"}}'"""
-        return name if f.endswith("!") else f"coalesce({name}, '~')"
-
-    return f"'{tag}|' || " + " || '|' || ".join(value(f) for f in fields.split())
-
-
 _PROFILE_JOIN = """from profile_version pv left join profile_bible b on b.version_id = pv.id
 left join profile_voice v on v.version_id = pv.id left join profile_lane l on l.version_id = pv.id"""
-_ALIAS = {"profile_version": "pv.", "profile_bible": "b.", "profile_voice": "v.", "profile_lane": "l."}
-_SIGNED_PARTS = [f"coalesce({_signed_sql(tag, fields, _ALIAS[table])}, '')" for tag, table, fields in profiles.SIGNED_ROWS] + [
-    f"""coalesce({_list_sql(table, fields.split()[0].rstrip('!'), _signed_sql(tag, fields), "'||'")}, '')"""
-    for tag, table, fields in profiles.SIGNED_LISTS
-]
-_SIGNATURES = f"signed as (select pv.id as version_id, pv.agent_name, md5({' || chr(30) || '.join(_SIGNED_PARTS)}) as signature {_PROFILE_JOIN})"
+
+_SIGNATURES = f"""signed as (select pv.id as version_id, pv.agent_name, md5(
+  coalesce('V|' || coalesce(pv.role, '~') || '|' || coalesce(pv.one_liner, '~') || '|' || coalesce(pv.summary, '~')
+    || '|' || array_to_string(pv.trigger_phrases, '#'), '')
+  || chr(30) || coalesce('B|' || coalesce(b.archetype, '~') || '|' || coalesce(b.backstory, '~') || '|' || coalesce(b.personality, '~')
+    || '|' || coalesce(b.character_depth, '~') || '|' || coalesce(b.humor, '~') || '|' || coalesce(b.seriousness_boundary, '~')
+    || '|' || coalesce(b.evolution_history, '~') || '|' || array_to_string(b.traits, '#') || '|' || coalesce(b.emoji, '~'), '')
+  || chr(30) || coalesce('VC|' || coalesce(v.opening_convention, '~') || '|' || coalesce(v.register, '~') || '|' || coalesce(v.voice_texture, '~')
+    || '|' || array_to_string(v.voice_anchors, '#') || '|' || array_to_string(v.sample_lines, '#')
+    || '|' || array_to_string(v.forbidden_phrasings, '#') || '|' || coalesce(v.emoji_policy, '~'), '')
+  || chr(30) || coalesce('L|' || coalesce(l.primary_domain, '~') || '|' || array_to_string(l.does, '#') || '|' || array_to_string(l.does_not, '#')
+    || '|' || '{{"n": ' || json_extract_string(l.handoffs, '$.n') || ', "to": "' || json_extract_string(l.handoffs, '$.to') || '"}}'
+    || '|' || coalesce(l.suppression_rules, '~'), '')
+  || chr(30) || coalesce((select string_agg('A|' || layer || '|' || archetype_name || '|' || coalesce(description, '~'), '||' order by sort_order, layer)
+    from profile_archetype x where x.version_id = pv.id), '')
+  || chr(30) || coalesce((select string_agg('D|' || dimension || '|' || content, '||' order by sort_order, dimension)
+    from profile_dimension x where x.version_id = pv.id), '')
+  || chr(30) || coalesce((select string_agg('S|' || strength || '|' || coalesce(description, '~'), '||' order by sort_order, strength)
+    from profile_strength x where x.version_id = pv.id), '')) as signature {_PROFILE_JOIN})"""
 
 report("profile_signatures", f"with {_SIGNATURES} select * from signed", _PROFILE, profiles.identity_signatures)
 report(
@@ -299,34 +295,46 @@ from signed s join profile_version p on p.id = s.version_id left join profile_bu
 )
 
 
-def _line_sql(line: str) -> str:
-    out = re.sub(r"\{(\w+)\?\}", r"' || coalesce(\1, '') || '", line)
-    return "'" + re.sub(r"\{(\w+)\}", r"' || \1 || '", out) + "'"
-
-
-_LISTS_SQL = {name: _list_sql(table, order, _line_sql(line), "chr(10)") for name, table, order, line in profiles.DOCUMENT_LISTS}
-
-
-def _paragraph_sql(label: str, field: str, separator: str | None = None) -> str:
-    value = _LISTS_SQL.get(field, field) if separator is None else f"array_to_string({field}, '{separator}')"
-    return f"coalesce('{label}' || {value} || g, '')" if label else f"coalesce({value}, '') || g"
-
-
-_DOCUMENT = " || ".join(
-    [
-        "'<!-- Generated from the profile record. Do not edit by hand. -->\n<!-- agent: ' || p.agent_name || ' | version: ' || pv.version",
-        "' | identity_version: ' || coalesce(cast(identity_version as varchar), '?') || ' | identity_signature: ' || coalesce(identity_signature, 'UNSIGNED') || ' -->' || g",
-        "'# ' || upper(left(p.agent_name, 1)) || lower(substr(p.agent_name, 2)) || coalesce(' — ' || role, '') || g",
-        "coalesce('> ' || one_liner || g, '')",
-        "'**Callsign:** ' || callsign || ' | **Factory:** ' || factory_type || ' | **Status:** ' || status || coalesce(' | **Emoji:** ' || emoji, '') || g",
-    ]
-    + [part for heading, paragraphs in profiles.SECTIONS for part in [f"'{heading}' || g", *[_paragraph_sql(*p) for p in paragraphs]]]
-    + ["'<!-- Platform section: filled by the build, not part of the signature. -->\n'"]
-)
 report(
     "profile_documents",
-    f"""with gap as (select chr(10) || chr(10) as g)
-select pv.id as version_id, pv.agent_name, {_DOCUMENT} as document {_PROFILE_JOIN} join profile p on p.agent_name = pv.agent_name cross join gap""",
+    f"""with gap as (select chr(10) as n, chr(10) || chr(10) as g)
+select pv.id as version_id, pv.agent_name,
+  '<!-- Generated from the profile record. Do not edit by hand. -->' || n
+  || '<!-- agent: ' || p.agent_name || ' | version: ' || pv.version || ' | identity_version: ' || coalesce(cast(identity_version as varchar), '?')
+  || ' | identity_signature: ' || coalesce(identity_signature, 'UNSIGNED') || ' -->' || g
+  || '# ' || upper(left(p.agent_name, 1)) || lower(substr(p.agent_name, 2)) || coalesce(' — ' || role, '') || g
+  || coalesce('> ' || one_liner || g, '')
+  || '**Callsign:** ' || callsign || ' | **Factory:** ' || factory_type || ' | **Status:** ' || status || coalesce(' | **Emoji:** ' || emoji, '') || g
+  || '## Identity' || g || coalesce(summary, '') || g || coalesce('**Trigger phrases:** ' || array_to_string(trigger_phrases, ', ') || g, '')
+  || '## Archetype Hierarchy' || g
+  || coalesce((select string_agg('- **' || layer || '** — ' || archetype_name || ': ' || coalesce(description, ''), chr(10) order by sort_order, layer)
+      from profile_archetype x where x.version_id = pv.id), '') || g
+  || coalesce('> Guardrail: ' || archetype || g, '')
+  || '## Character' || g
+  || coalesce('**Personality.** ' || personality || g, '') || coalesce('**Backstory.** ' || backstory || g, '')
+  || coalesce('**Depth.** ' || character_depth || g, '') || coalesce('**Humor.** ' || humor || g, '')
+  || coalesce('**Seriousness boundary.** ' || seriousness_boundary || g, '') || coalesce('**Traits:** ' || array_to_string(traits, ', ') || g, '')
+  || '### Character Dimensions' || g
+  || coalesce((select string_agg('- **' || dimension || '** — ' || content, chr(10) order by sort_order, dimension)
+      from profile_dimension x where x.version_id = pv.id), '') || g
+  || '## Voice' || g
+  || coalesce('**Opening convention.** ' || opening_convention || g, '') || coalesce('**Register.** ' || register || g, '')
+  || coalesce('**Texture.** ' || voice_texture || g, '') || coalesce('**Anchors:** ' || array_to_string(voice_anchors, ' · ') || g, '')
+  || coalesce('**Sample lines:**' || g || '> ' || array_to_string(sample_lines, chr(10) || '> ') || g, '')
+  || coalesce('**Forbidden:**' || g || '- ' || array_to_string(forbidden_phrasings, chr(10) || '- ') || g, '')
+  || coalesce('**Emoji policy.** ' || emoji_policy || g, '')
+  || '## Lane' || g
+  || coalesce('**Primary domain:** ' || primary_domain || g, '') || coalesce('**Does:** ' || array_to_string(does, ', ') || g, '')
+  || coalesce('**Routes away:**' || g || '- ' || array_to_string(does_not, chr(10) || '- ') || g, '')
+  || coalesce('**Suppression.** ' || suppression_rules || g, '')
+  || '## Strengths' || g
+  || coalesce((select string_agg('- **' || strength || '** — ' || coalesce(description, ''), chr(10) order by sort_order, strength)
+      from profile_strength x where x.version_id = pv.id), '') || g
+  || '## Tools' || g
+  || coalesce((select string_agg('- `' || tool_name || '` — ' || coalesce(purpose, ''), chr(10) order by sort_order, tool_name)
+      from profile_tool x where x.version_id = pv.id), '') || g
+  || '<!-- Platform section: filled by the build, not part of the signature. -->' || n as document
+{_PROFILE_JOIN} join profile p on p.agent_name = pv.agent_name cross join gap""",
     _PROFILE, profiles.render_documents,
 )
 
