@@ -1,6 +1,8 @@
 """Governance, connector, data-quality and profile queries."""
 
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from lorebase.operators import connectors, governance, profiles, quality, reports
@@ -122,8 +124,9 @@ report(
 # --- connectors --------------------------------------------------------------------------
 _LABEL = """case when coalesce(s.probe_result, 'untested') = 'connected' then 'OK' when coalesce(s.probe_result, 'untested') = 'blocked' then 'BLOCKED'
     when r.criticality = 'critical' then 'CRITICAL-DOWN' when r.criticality = 'standard' then 'DEGRADED' else 'REDUCED' end as status_label"""
-_READY = f"""r.connector_id, r.display_name, r.criticality, array_to_string(r.platform_availability, '|') as platform_availability,
-  coalesce(s.probe_result, 'untested') as probe_result, coalesce(s.fallback_active, false) as fallback_active, {_LABEL}"""
+_READY = f"""r.connector_id, r.display_name, r.criticality, r.category, r.agent_primary, array_to_string(r.platform_availability, '|') as platform_availability,
+  r.fallback_behavior, coalesce(s.probe_result, 'untested') as probe_result, coalesce(s.fallback_active, false) as fallback_active,
+  s.probe_note, s.probed_at, {_LABEL}"""
 
 
 @query(
@@ -146,21 +149,23 @@ def connector_readiness_by_session(T):
     return joined(connectors.readiness_by_session(T), "platform_availability")
 
 
+_RUN = datetime.datetime(2024, 6, 1)
 report(
     "connector_status_seed",
     """with chosen as (select id, coalesce(platform, 'unknown') as platform from sessions order by id desc limit 1)
-select c.id as session_id, r.connector_id, r.tenant_id, c.platform,
+select c.id as session_id, r.connector_id, 'main' as tenant_id, c.platform,
   case when r.probe_status in ('connected', 'unavailable', 'blocked') then r.probe_status else 'untested' end as probe_result,
   case when r.is_blocked then 'Blocked: ' || coalesce(r.block_reason, 'no reason recorded')
     when r.probe_status is null or r.probe_status not in ('connected', 'unavailable', 'blocked') then 'No prior probe on record' end as probe_note,
-  false as fallback_active
+  false as fallback_active, timestamp '2024-06-01 00:00:00' as probed_at
 from connectors r cross join chosen c where r.active and (r.platform_availability is null or len(r.platform_availability) = 0 or list_contains(r.platform_availability, c.platform))
   and not exists (select 1 from session_status s where s.session_id = c.id and s.connector_id = r.connector_id)""",
-    ["connectors", "sessions", "session_status"], connectors.session_status_rows,
+    ["connectors", "sessions", "session_status"], lambda T: connectors.session_status_rows(T, run_ts=_RUN),
 )
 
 _PROBES = """probes as (select event_id as seq, 'c' || cast(user_id % 30 as varchar) as connector_id, cast(1 + user_id as int) as session_id,
-  case event_type when 'error' then 'unavailable' when 'view' then 'blocked' else 'connected' end as result from events)"""
+  case event_type when 'error' then 'unavailable' when 'view' then 'blocked' else 'connected' end as result,
+  case when event_type <> 'view' then 'event ' || cast(event_id as varchar) end as note from events)"""
 
 
 def probes(T):
@@ -169,24 +174,30 @@ def probes(T):
         F.col("event_id").alias("seq"), F.concat(F.lit("c"), (F.col("user_id") % 30).cast("string")).alias("connector_id"),
         (F.col("user_id") + 1).cast("int").alias("session_id"),
         F.when(F.col("event_type") == "error", "unavailable").when(F.col("event_type") == "view", "blocked").otherwise("connected").alias("result"),
+        F.when(F.col("event_type") != "view", F.concat(F.lit("event "), F.col("event_id").cast("string"))).alias("note"),
     )
 
 
 report(
     "connector_registry_after_probes",
     f"""with {_PROBES}, last as (select connector_id, arg_max(result, seq) as result from probes group by connector_id)
-select r.connector_id, r.tenant_id, coalesce(l.result, r.probe_status) as probe_status from connectors r left join last l using (connector_id)""",
-    ["connectors"], lambda T: connectors.record_probes(T, probes(T))[0].select("connector_id", "tenant_id", "probe_status"),
+select r.connector_id, r.tenant_id, coalesce(l.result, r.probe_status) as probe_status,
+  case when l.connector_id is not null then timestamp '2024-06-01 00:00:00' end as last_probed_at from connectors r left join last l using (connector_id)""",
+    ["connectors"], lambda T: connectors.record_probes(T, probes(T), _RUN)[0].select("connector_id", "tenant_id", "probe_status", "last_probed_at"),
 )
 report(
     "session_status_after_probes",
-    f"""with {_PROBES}, last as (select session_id, connector_id, arg_max(result, seq) as result from probes group by session_id, connector_id),
+    f"""with {_PROBES}, last as (select session_id, connector_id, max_by(struct_pack(result := result, note := note), seq) as p from probes group by session_id, connector_id),
 usable as (select * from last l where exists (select 1 from sessions f where f.id = l.session_id)
   or exists (select 1 from session_status s where s.session_id = l.session_id and s.connector_id = l.connector_id))
-select coalesce(s.session_id, u.session_id) as session_id, coalesce(s.connector_id, u.connector_id) as connector_id, coalesce(u.result, s.probe_result) as probe_result
+select coalesce(s.session_id, u.session_id) as session_id, coalesce(s.connector_id, u.connector_id) as connector_id,
+  case when s.session_id is null then 'main' else s.tenant_id end as tenant_id,
+  case when s.session_id is null then (select coalesce(f.platform, 'unknown') from sessions f where f.id = u.session_id) else s.platform end as platform,
+  coalesce(u.p.result, s.probe_result) as probe_result, case when u.session_id is null then s.probe_note else u.p.note end as probe_note,
+  false as fallback_active, case when u.session_id is null then s.probed_at else timestamp '2024-06-01 00:00:00' end as probed_at
 from session_status s full join usable u on u.session_id = s.session_id and u.connector_id = s.connector_id""",
     ["sessions", "session_status"],
-    lambda T: connectors.record_probes(T, probes(T))[1].select("session_id", "connector_id", "probe_result"),
+    lambda T: connectors.record_probes(T, probes(T), _RUN)[1],
 )
 
 # --- data quality -------------------------------------------------------------------------

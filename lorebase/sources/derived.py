@@ -155,11 +155,15 @@ select 'c' || cast(n_nationkey as string) as connector_id, 't' || cast(n_nationk
   case n_nationkey % 3 when 0 then 'critical' when 1 then 'standard' else 'enhancement' end as criticality, n_nationkey % 7 <> 6 as active,
   n_nationkey % 9 = 8 as is_blocked, case when n_nationkey % 2 = 0 then null else 'policy' end as block_reason,
   case when n_nationkey % 5 = 0 then null else split('platform-t' || cast(n_nationkey % 2 as string) || ',console', ',') end as platform_availability,
-  case n_nationkey % 4 when 0 then 'connected' when 1 then 'blocked' when 2 then 'unknown' else null end as probe_status
+  case n_nationkey % 4 when 0 then 'connected' when 1 then 'blocked' when 2 then 'unknown' else null end as probe_status,
+  case n_regionkey when 0 then 'storage' when 1 then 'mail' else 'calendar' end as category, 'agent' || cast(n_nationkey % 12 as string) as agent_primary,
+  case when n_nationkey % 6 = 5 then null else 'ask the owner' end as fallback_behavior, cast(null as timestamp) as last_probed_at
 from nation""",
     "session_status": """
 select session_id, 'c' || cast(connector_no as string) as connector_id, tenant_id,
-  case (session_id + connector_no) % 4 when 1 then 'connected' when 2 then 'blocked' else 'unavailable' end as probe_result, false as fallback_active
+  case (session_id + connector_no) % 4 when 1 then 'connected' when 2 then 'blocked' else 'unavailable' end as probe_result, false as fallback_active,
+  'platform-' || tenant_id as platform, case when connector_no % 3 = 0 then null else 'seen ' || cast(connector_no as string) end as probe_note,
+  cast('2024-05-01 08:00:00' as timestamp) as probed_at
 from (select distinct s.id as session_id, s.tenant_id, e.user_id % 25 as connector_no
   from events e join sessions s on s.session_date = cast(e.ts as date) and s.tenant_id = 't' || cast(e.user_id % 3 as string) where e.event_type = 'error') z""",
 

@@ -36,8 +36,10 @@ SCHEMAS = {
     "enforcement_model string",
     "sessions": "id int, session_date date, tenant_id string, platform string, session_type string, resume_notes string",
     "connectors": "connector_id string, tenant_id string, display_name string, criticality string, active boolean, is_blocked boolean, "
-    "block_reason string, platform_availability array<string>, probe_status string",
-    "session_status": "session_id int, connector_id string, tenant_id string, probe_result string, fallback_active boolean",
+    "block_reason string, platform_availability array<string>, probe_status string, category string, agent_primary string, "
+    "fallback_behavior string, last_probed_at timestamp_ntz",
+    "session_status": "session_id int, connector_id string, tenant_id string, probe_result string, fallback_active boolean, "
+    "platform string, probe_note string, probed_at timestamp_ntz",
     "session_log": "id bigint, tenant_id string, session_id string, event_type string, created_at timestamp_ntz",
     "work_claims": "id bigint, tenant_id string, resource_type string, resource_id string, claimed_by string, status string, "
     "claimed_at timestamp_ntz",

@@ -1,3 +1,5 @@
+import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -120,10 +122,11 @@ def connector_store(frame, store):
     return store(
         sessions=frame("id int, tenant_id string, platform string", (1, "a", "web"), (2, "a", None)),
         connectors=frame(
-            "connector_id string, tenant_id string, display_name string, criticality string, active boolean, is_blocked boolean, block_reason string, platform_availability array<string>, probe_status string",
-            ("c1", "a", "n", "critical", True, False, None, None, "connected"), ("c2", "a", "n", "standard", True, True, None, [], "weird"),
-            ("c3", "a", "n", "enhancement", True, False, None, ["web"], None), ("c4", "a", "n", "critical", False, False, None, None, None)),
-        session_status=frame("session_id int, connector_id string, tenant_id string, probe_result string, fallback_active boolean", (1, "c1", "a", "blocked", True)),
+            "connector_id string, tenant_id string, display_name string, criticality string, active boolean, is_blocked boolean, block_reason string, platform_availability array<string>, probe_status string, last_probed_at timestamp_ntz",
+            ("c1", "a", "n", "critical", True, False, None, None, "connected", None), ("c2", "a", "n", "standard", True, True, None, [], "weird", None),
+            ("c3", "a", "n", "enhancement", True, False, None, ["web"], None, None), ("c4", "a", "n", "critical", False, False, None, None, None, None)),
+        session_status=frame("session_id int, connector_id string, tenant_id string, probe_result string, fallback_active boolean, platform string, probe_note string, probed_at timestamp_ntz",
+                             (1, "c1", "a", "blocked", True, "desk", "old", None)),
     )
 
 
@@ -137,8 +140,11 @@ def test_status_seed(frame, store):
 
 def test_probes(frame, store):
     T = connector_store(frame, store)
-    probes = frame("seq long, connector_id string, session_id int, result string",
-                   (1, "c1", 1, "unavailable"), (2, "c1", 1, "connected"), (3, "c3", 2, "blocked"), (4, "c2", 99, "connected"))
-    registry, status = connectors.record_probes(T, probes)
+    probes = frame("seq long, connector_id string, session_id int, result string, note string",
+                   (1, "c1", 1, "unavailable", "x"), (2, "c1", 1, "connected", None), (3, "c3", 2, "blocked", "why"), (4, "c2", 99, "connected", "y"))
+    ts = datetime.datetime(2024, 6, 1)
+    registry, status = connectors.record_probes(T, probes, ts)
+    assert rows_of(registry, "connector_id", "last_probed_at") == [("c1", ts), ("c2", ts), ("c3", ts), ("c4", None)]
+    assert rows_of(status, "connector_id", "tenant_id", "platform", "probe_note", "probed_at") == [("c1", "a", "desk", None, ts), ("c3", "main", "unknown", "why", ts)]
     assert rows_of(registry, "connector_id", "probe_status") == [("c1", "connected"), ("c2", "connected"), ("c3", "blocked"), ("c4", None)]
     assert rows_of(status, "session_id", "connector_id", "probe_result", "fallback_active") == [(1, "c1", "connected", False), (2, "c3", "blocked", False)]
