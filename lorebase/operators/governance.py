@@ -27,7 +27,7 @@ def startup_rules(T) -> DataFrame:
     plain = F.regexp_replace(F.coalesce("applies_to", F.lit("")), r'[{}\[\]"]', "")
     rows = T["known_rules"].filter("category = 'startup'").select(
         "id", "enforcement", "rule", "category", "rule_type", F.explode(F.split(plain, r"\s*,\s*")).alias("name"),
-        "applies_to", "tenant_id",
+        "applies_to", "tenant_id", "updated_at",
     )
     return rows.withColumn("agent", F.lower(F.trim("name"))).filter("agent <> ''").drop("name")
 

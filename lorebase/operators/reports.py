@@ -177,14 +177,14 @@ def open_tasks_of(T, category: str) -> DataFrame:
 def agent_roster(T) -> DataFrame:
     place = F.when(F.col("factory") == "closed_factory", 1).when(F.col("factory") == "standalone", 2).otherwise(3)
     return T["agents"].select(
-        "agent_name", "factory", "status", "role", "version", "state_sig",
+        "agent_name", "factory", "status", "role", "version", "state_sig", "source_file",
         F.to_date("updated_at").alias("last_updated"), place.alias("roster_group"),
     )
 
 
 def recent_sessions(T, n: int = 5) -> DataFrame:
     newest = T["sessions"].orderBy(F.desc("session_date"), F.desc("id")).limit(n)
-    return newest.select("session_date", "platform", "session_type", "resume_notes")
+    return newest.select("session_date", "platform", "session_type", "summary", "resume_notes", "agents_active")
 
 
 def decisions_log(T) -> DataFrame:
@@ -194,7 +194,7 @@ def decisions_log(T) -> DataFrame:
 def content_workflow(T) -> DataFrame:
     place = F.array_position(F.lit(CONTENT_ORDER), F.col("status"))
     return T["content_staging"].filter("status <> 'archived'").select(
-        "id", "title", "content_type", "status", "assigned_to",
+        "id", "title", "content_type", "status", "assigned_to", "target_page_id",
         F.col("file_path").isNotNull().alias("has_file"),
         F.to_date("created_at").alias("created_date"), F.to_date("published_at").alias("published_date"),
         F.when(place > 0, place).cast("int").alias("status_order"),
@@ -203,7 +203,7 @@ def content_workflow(T) -> DataFrame:
 
 def active_research(T) -> DataFrame:
     return T["research"].filter("status = 'active'").select(
-        "id", "topic", F.left("summary", F.lit(PREVIEW)).alias("summary_preview"), "collected_by",
+        "id", "topic", F.left("summary", F.lit(PREVIEW)).alias("summary_preview"), "tags", "collected_by", "session_id",
         F.to_date("created_at").alias("collected_date"),
     )
 
@@ -216,7 +216,9 @@ def file_rollup(T) -> DataFrame:
 
 
 def active_procedures(T) -> DataFrame:
-    return T["sop_registry"].filter("status = 'active'").select("sop_id", "title", "trigger_phrases", "summary", "status")
+    return T["sop_registry"].filter("status = 'active'").select(
+        "sop_id", "title", "version", "owner", "trigger_condition", "trigger_phrases", "summary", "status", "file_path", "updated_at"
+    )
 
 
 def doctrine(T, tenant: str, source_type: str = DOCTRINE_TYPE) -> DataFrame:
@@ -233,7 +235,7 @@ def doctrine(T, tenant: str, source_type: str = DOCTRINE_TYPE) -> DataFrame:
 
 
 def settings(T, tenant: str) -> DataFrame:
-    return T["factory_config"].filter(F.col("tenant_id") == tenant).select("key", "category", "value")
+    return T["factory_config"].filter(F.col("tenant_id") == tenant).select("key", "category", "value", "notes", "updated_at", "updated_by")
 
 
 def settings_object(T, tenant: str, category: str) -> DataFrame:
@@ -244,11 +246,16 @@ def settings_object(T, tenant: str, category: str) -> DataFrame:
 
 
 def lanes(T) -> DataFrame:
-    return T["factory_lanes"].select("lane", "tenant_id", "owner_agents", "parallel_eligible")
+    return T["factory_lanes"].select(
+        "lane", "tenant_id", "owner_agents", "reviewer_agent", "parallel_eligible", "exclusive_resources", "notes"
+    )
 
 
 def claims(T) -> DataFrame:
-    return T["work_claims"].select("id", "tenant_id", "resource_type", "resource_id", "claimed_by", "claimed_at", "status")
+    return T["work_claims"].select(
+        "id", "tenant_id", "resource_type", "resource_id", "claimed_by", "session_id", "claimed_at", "expires_at",
+        "released_at", "released_by", "status", "factory_id", "platform", "claim_note",
+    )
 
 
 def active_claims(T) -> DataFrame:

@@ -23,7 +23,7 @@ def latest_by_agent(T) -> DataFrame:
 def latest_by_agent_and_factory(T) -> DataFrame:
     last = latest_per_key(T["eval_runs"], ["agent_name", "factory_id"], _newest())
     return last.select(
-        "agent_name", "factory_id", "factory_tenant", "model_tested", "layer", "score", "pass", "agent_version",
+        "agent_name", "factory_id", "factory_tenant", "model_tested", "layer", "score", "pass", "run_mode", "agent_version", "agent_sig",
         F.to_date("run_date").alias("last_run"),
     )
 
@@ -42,7 +42,7 @@ def compliance_trend(T, n: int = 10) -> DataFrame:
     recent = top_per_key(T["eval_runs"], ["agent_name", "factory_id"], _newest(), n, rank="recency")
     return recent.select(
         "agent_name", "factory_id", "layer", F.to_date("run_date").alias("run_date"), "score", "pass",
-        "model_tested", "agent_version", "recency",
+        "model_tested", "agent_version", "agent_sig", "recency",
     )
 
 

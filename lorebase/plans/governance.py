@@ -20,7 +20,7 @@ _FAN_OUT = f"""fan as (select id, tenant_id, trim(name) as agent_name, rule, rul
 report("rules_by_agent", f"with {_FAN_OUT} select * from fan", ["known_rules"], lambda T: governance.rules_by_agent(T, ROSTER))
 report(
     "startup_rules",
-    r"""select id, enforcement, rule, category, rule_type, lower(trim(name)) as agent, applies_to, tenant_id from (
+    r"""select id, enforcement, rule, category, rule_type, lower(trim(name)) as agent, applies_to, tenant_id, updated_at from (
   select *, unnest(regexp_split_to_array(regexp_replace(coalesce(applies_to, ''), '[{}\[\]"]', '', 'g'), '\s*,\s*')) as name
   from known_rules where category = 'startup') x where trim(name) <> ''""",
     ["known_rules"], governance.startup_rules,

@@ -109,31 +109,44 @@ report(
 # --- agents, sessions, content ----------------------------------------------------------
 report(
     "agent_roster",
-    """select agent_name, factory, status, role, version, state_sig, cast(updated_at as date) as last_updated,
+    """select agent_name, factory, status, role, version, state_sig, source_file, cast(updated_at as date) as last_updated,
   case factory when 'closed_factory' then 1 when 'standalone' then 2 else 3 end as roster_group from agents""",
     ["agents"], reports.agent_roster,
 )
-report(
+
+
+@query(
     "recent_sessions",
-    "select session_date, platform, session_type, resume_notes from sessions order by session_date desc, id desc limit 5",
-    ["sessions"], reports.recent_sessions,
+    """select session_date, platform, session_type, summary, resume_notes, coalesce(array_to_string(agents_active, '|'), '') as agents_active
+from sessions order by session_date desc, id desc limit 5""",
+    ["sessions"],
 )
+def recent_sessions(T):
+    return joined(reports.recent_sessions(T), "agents_active").fillna("", "agents_active")
+
+
 report(
     "decisions_log", "select decision_date, category, title, decision, rationale, made_by from decisions", ["decisions"], reports.decisions_log,
 )
 report(
     "content_workflow",
-    """select id, title, content_type, status, assigned_to, file_path is not null as has_file, cast(created_at as date) as created_date,
+    """select id, title, content_type, status, assigned_to, target_page_id, file_path is not null as has_file, cast(created_at as date) as created_date,
   cast(published_at as date) as published_date, case status when 'approved' then 1 when 'staged' then 2 when 'draft' then 3 when 'published' then 4 end as status_order
 from content_staging where status <> 'archived'""",
     ["content_staging"], reports.content_workflow,
 )
-report(
+
+
+@query(
     "active_research",
-    """select id, topic, left(summary, 200) as summary_preview, collected_by, cast(created_at as date) as collected_date
-from research where status = 'active'""",
-    ["research"], reports.active_research,
+    """select id, topic, left(summary, 200) as summary_preview, coalesce(array_to_string(tags, '|'), '') as tags, collected_by, session_id,
+  cast(created_at as date) as collected_date from research where status = 'active'""",
+    ["research"],
 )
+def active_research(T):
+    return joined(reports.active_research(T), "tags").fillna("", "tags")
+
+
 report(
     "file_rollup",
     "select category, count(*) as file_count, cast(sum(case when conversion_required then 1 else 0 end) as bigint) as needs_conversion from file_registry group by category",
@@ -143,7 +156,8 @@ report(
 
 @query(
     "active_procedures",
-    "select sop_id, title, array_to_string(trigger_phrases, '|') as trigger_phrases, summary, status from sop_registry where status = 'active'",
+    """select sop_id, title, version, owner, trigger_condition, array_to_string(trigger_phrases, '|') as trigger_phrases, summary, status, file_path, updated_at
+from sop_registry where status = 'active'""",
     ["sop_registry"],
 )
 def active_procedures(T):
@@ -157,7 +171,7 @@ union all select 'distilled', category || '/' || sub_type, id, content from bran
   and (category in ('origin-story', 'brand-identity') or sub_type in ('voice-canon', 'sideways-language', 'human-cyber-work-teams', 'closing-line', 'hero-claim'))""",
     ["document_chunks", "brand_messaging"], lambda T: reports.doctrine(T, TENANT, source_type="user"),
 )
-report("settings", f"select key, category, value from factory_config where tenant_id = '{TENANT}'", ["factory_config"], lambda T: reports.settings(T, TENANT))
+report("settings", f"select key, category, value, notes, updated_at, updated_by from factory_config where tenant_id = '{TENANT}'", ["factory_config"], lambda T: reports.settings(T, TENANT))
 
 
 @query(
@@ -172,18 +186,23 @@ def settings_object(T):
     return one.select(F.array_join(texts, ";").alias("settings"))
 
 
-@query("lanes", "select lane, tenant_id, array_to_string(owner_agents, '|') as owner_agents, parallel_eligible from factory_lanes", ["factory_lanes"])
+@query(
+    "lanes",
+    """select lane, tenant_id, array_to_string(owner_agents, '|') as owner_agents, reviewer_agent, parallel_eligible,
+  coalesce(array_to_string(exclusive_resources, '|'), '') as exclusive_resources, notes from factory_lanes""",
+    ["factory_lanes"],
+)
 def lanes(T):
-    return joined(reports.lanes(T), "owner_agents")
+    return joined(reports.lanes(T), "owner_agents", "exclusive_resources").fillna("", "exclusive_resources")
 
 
 report(
     "active_claims",
-    "select id, tenant_id, resource_type, resource_id, claimed_by, claimed_at, status from work_claims where status = 'active'",
+    "select id, tenant_id, resource_type, resource_id, claimed_by, session_id, claimed_at, expires_at, released_at, released_by, status, factory_id, platform, claim_note from work_claims where status = 'active'",
     ["work_claims"], reports.active_claims,
 )
 report(
-    "claims", "select id, tenant_id, resource_type, resource_id, claimed_by, claimed_at, status from work_claims", ["work_claims"], reports.claims,
+    "claims", "select id, tenant_id, resource_type, resource_id, claimed_by, session_id, claimed_at, expires_at, released_at, released_by, status, factory_id, platform, claim_note from work_claims", ["work_claims"], reports.claims,
 )
 
 # --- whole system ---------------------------------------------------------------------------
@@ -228,7 +247,7 @@ qualify row_number() over (partition by agent_name order by run_date desc, id de
 _LATEST = """select * from eval_runs qualify row_number() over (partition by agent_name, factory_id order by run_date desc, id desc) = 1"""
 report(
     "runs_latest_by_agent_and_factory",
-    f"""select agent_name, factory_id, factory_tenant, model_tested, layer, {_SCORE}, pass, agent_version, cast(run_date as date) as last_run from ({_LATEST}) x""",
+    f"""select agent_name, factory_id, factory_tenant, model_tested, layer, {_SCORE}, pass, run_mode, agent_version, agent_sig, cast(run_date as date) as last_run from ({_LATEST}) x""",
     _RUNS, runs.latest_by_agent_and_factory, score=2,
 )
 report(
@@ -240,7 +259,7 @@ report(
 )
 report(
     "runs_compliance_trend",
-    f"""select agent_name, factory_id, layer, cast(run_date as date) as run_date, {_SCORE}, pass, model_tested, agent_version, recency from (
+    f"""select agent_name, factory_id, layer, cast(run_date as date) as run_date, {_SCORE}, pass, model_tested, agent_version, agent_sig, recency from (
   select *, cast(row_number() over (partition by agent_name, factory_id order by run_date desc, id desc) as int) as recency from eval_runs) x where recency <= 10""",
     _RUNS, runs.compliance_trend, score=2,
 )

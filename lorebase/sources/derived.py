@@ -46,7 +46,8 @@ select case when doc_id % 40 = 4 then doc_id + 1000000 else doc_id end as id, 't
     when 5 then 'brand' else 'infra' end as rule_type,
   case doc_id % 9 when 0 then 'all' when 1 then 'all-agents' when 2 then 'agent3' when 3 then '{agent1,agent2}'
     when 4 then '{agent4, agent5}' when 5 then '["agent6" , "Agent7"]' when 6 then '' when 7 then null else 'agent8' end as applies_to,
-  case doc_id % 4 when 0 then 'halt' when 1 then 'required' else 'advisory' end as enforcement
+  case doc_id % 4 when 0 then 'halt' when 1 then 'required' else 'advisory' end as enforcement,
+  cast('2024-03-0' || cast(1 + doc_id % 9 as string) || ' 12:00:00' as timestamp) as updated_at
 from documents""",
     "project_knowledge": """
 select case when doc_id % 40 = 0 then doc_id + 1000000 else doc_id end as id, 't' || cast(doc_id % 3 as string) as tenant_id,
@@ -70,7 +71,10 @@ select 'SOP-' || cast(item_id as string) as sop_id, 't' || cast(item_id % 3 as s
   case when item_id % 5 = 0 then null else text end as summary, text as full_body,
   case item_id % 10 when 7 then 'deprecated' when 8 then 'tombstoned' else 'active' end as status,
   case item_id % 6 when 0 then null when 1 then 'brand' when 2 then 'finance' else 'operations' end as domain,
-  case when item_id % 4 = 0 then null else split('run ' || cast(item_id as string) || ',start', ',') end as trigger_phrases
+  case when item_id % 4 = 0 then null else split('run ' || cast(item_id as string) || ',start', ',') end as trigger_phrases,
+  '1.' || cast(item_id % 3 as string) as version, 'agent' || cast(item_id % 12 as string) as owner,
+  case when item_id % 3 = 0 then null else 'on request' end as trigger_condition, 'sops/' || cast(item_id as string) || '.md' as file_path,
+  cast('2024-03-0' || cast(1 + item_id % 9 as string) || ' 12:00:00' as timestamp) as updated_at
 from benchmark""",
     "sop_steps": """
 select item_id * 10 + 1 as id, 'SOP-' || cast(item_id as string) as sop_id, 1 as step_number, 'Read' as title, text as content from benchmark
@@ -92,7 +96,8 @@ select 'agent' || cast(s_suppkey as string) as agent_name, 't' || cast(s_suppkey
   case s_suppkey % 3 when 0 then 'active' when 1 then 'standalone' else 'retired' end as status,
   case s_suppkey % 4 when 0 then 'closed_factory' when 1 then 'standalone' else 'other' end as factory,
   'role ' || cast(s_nationkey as string) as role, '1.' || cast(s_suppkey % 10 as string) as version, s_suppkey as state_sig,
-  cast('2024-03-0' || cast(1 + s_suppkey % 9 as string) || ' 12:00:00' as timestamp) as updated_at
+  cast('2024-03-0' || cast(1 + s_suppkey % 9 as string) || ' 12:00:00' as timestamp) as updated_at,
+  case when s_suppkey % 5 = 4 then null else 'agents/' || cast(s_suppkey as string) || '.md' end as source_file
 from supplier""",
     "agent_identity": "select agent_name, tenant_id, callsign, primary_domain, voice_anchor from agents",
     "chunk_catalog": """
@@ -121,7 +126,10 @@ from tasks where status <> 'closed' or priority <= 3""",
     "work_claims": """
 select o_orderkey as id, 't' || cast(o_custkey % 3 as string) as tenant_id, 'task' as resource_type, cast(o_custkey as string) as resource_id,
   'agent' || cast(o_custkey % 12 as string) as claimed_by,
-  case o_orderstatus when 'O' then 'active' when 'F' then 'released' else 'expired' end as status, o_orderdate as claimed_at
+  case o_orderstatus when 'O' then 'active' when 'F' then 'released' else 'expired' end as status, o_orderdate as claimed_at,
+  cast(o_custkey % 120 as int) as session_id, o_orderdate as expires_at, case o_orderstatus when 'F' then o_orderdate end as released_at,
+  case o_orderstatus when 'F' then 'agent' || cast(o_custkey % 5 as string) end as released_by, 'f' || cast(o_custkey % 4 as string) as factory_id,
+  'platform-t' || cast(o_custkey % 2 as string) as platform, o_orderpriority as claim_note
 from orders""",
     # --- evaluation runs, telemetry, sessions -----------------------------------
     "eval_runs": """
@@ -131,7 +139,8 @@ select event_id as id, ts as run_date, case when event_id % 3 = 0 then 'AGENT' e
   case when event_id % 5 = 0 then '{"correction_evidence_found": true, "evidence_samples": 0}' when event_id % 5 = 1 then '{"insufficient_evidence": true}' else props end as criteria_results,
   'f' || cast(user_id % 4 as string) as factory_id, 't' || cast(user_id % 3 as string) as factory_tenant,
   case when event_id % 3 = 0 then null else cast(event_id % 120 as int) end as session_id,
-  'model-' || cast(user_id % 2 as string) as model_tested, 'v' || cast(event_id % 4 as string) as agent_version, event_type as notes
+  'model-' || cast(user_id % 2 as string) as model_tested, 'v' || cast(event_id % 4 as string) as agent_version, event_type as notes,
+  case event_id % 3 when 0 then 'full' when 1 then 'quick' end as run_mode, cast(event_id % 50 as string) as agent_sig
 from events""",
     "retrieval_events": """
 select event_id as id, 't' || cast(user_id % 3 as string) as tenant_id, case when event_id % 2 = 0 then 'fn_search_semantic' else 'fn_search_documents' end as search_function,
@@ -148,7 +157,8 @@ from events""",
     "sessions": """
 select cast(extract(doy from session_date) * 3 + tenant_no as int) as id, session_date, 't' || cast(tenant_no as string) as tenant_id,
   case when tenant_no = 2 then null else 'platform-t' || cast(tenant_no as string) end as platform, 'build' as session_type,
-  'notes for ' || cast(tenant_no as string) as resume_notes
+  'notes for ' || cast(tenant_no as string) as resume_notes, 'summary ' || cast(tenant_no as string) as summary,
+  case when tenant_no = 1 then null else split('agent1,agent' || cast(tenant_no as string), ',') end as agents_active
 from (select distinct cast(ts as date) as session_date, user_id % 3 as tenant_no from events) z""",
     "connectors": """
 select 'c' || cast(n_nationkey as string) as connector_id, 't' || cast(n_nationkey % 3 as string) as tenant_id, n_name as display_name,
@@ -188,6 +198,7 @@ select page_id as id, url as title, case page_id % 3 when 0 then 'article' when
   case page_id % 5 when 0 then 'draft' when 1 then 'staged' when 2 then 'approved' when 3 then 'published' else 'archived' end as status,
   case when page_id % 2 = 0 then null else url end as file_path, 'agent' || cast(page_id % 12 as string) as assigned_to,
   case when page_id % 4 = 0 then null else page_id + 1 end as research_id, cast(page_id % 120 as int) as session_id,
+  case when page_id % 3 = 0 then null else 'page-' || cast(page_id as string) end as target_page_id,
   cast('2024-04-' || lpad(cast(1 + page_id % 28 as string), 2, '0') || ' 08:00:00' as timestamp) as created_at,
   case when page_id % 5 = 3 then cast('2024-05-' || lpad(cast(1 + page_id % 28 as string), 2, '0') || ' 08:00:00' as timestamp) end as published_at
 from pages""",
@@ -195,6 +206,7 @@ from pages""",
 select page_id as id, url as topic, html as summary, case page_id % 3 when 0 then 'active' when 1 then 'archived' else 'superseded' end as status,
   'agent' || cast(page_id % 12 as string) as collected_by,
   case when page_id % 3 = 2 then page_id + 1 else null end as superseded_by, cast(page_id % 120 as int) as session_id,
+  case when page_id % 4 = 1 then null else split('tag' || cast(page_id % 7 as string) || ',web', ',') end as tags,
   cast('2024-04-' || lpad(cast(1 + page_id % 28 as string), 2, '0') || ' 08:00:00' as timestamp) as created_at
 from pages""",
     "file_registry": """
@@ -202,10 +214,14 @@ select page_id as id, url as file_path, 'cat' || cast(page_id % 6 as string) as
     "factory_config": """
 select case when n_nationkey = 3 then 'openai_embedding_model' else 'key' || cast(n_nationkey as string) end as key,
   '"' || n_name || '"' as value, case when n_nationkey % 4 = 3 then 'embedding' else 'general' end as category,
-  't' || cast(n_nationkey % 3 as string) as tenant_id
+  't' || cast(n_nationkey % 3 as string) as tenant_id,
+  case when n_nationkey % 2 = 0 then 'note ' || n_name end as notes, cast('2024-03-01 12:00:00' as timestamp) as updated_at,
+  'agent' || cast(n_nationkey % 4 as string) as updated_by
 from nation""",
     "factory_lanes": """
-select r_name as lane, 't0' as tenant_id, split('agent' || cast(r_regionkey as string) || ',agent9', ',') as owner_agents, r_regionkey % 2 = 0 as parallel_eligible
+select r_name as lane, 't0' as tenant_id, split('agent' || cast(r_regionkey as string) || ',agent9', ',') as owner_agents, r_regionkey % 2 = 0 as parallel_eligible,
+  'agent' || cast(r_regionkey + 1 as string) as reviewer_agent, case when r_regionkey = 3 then null else split('disk,' || r_name, ',') end as exclusive_resources,
+  'lane ' || r_name as notes
 from region""",
     # --- profiles -----------------------------------------------------------------
     "profile": """

@@ -20,7 +20,8 @@ SCHEMAS = {
     "brand_messaging": "id bigint, tenant_id string, category string, sub_type string, content string",
     "decisions": "id bigint, decision_date date, tenant_id string, category string, title string, decision string, "
     "rationale string, made_by string",
-    "known_rules": "id bigint, tenant_id string, category string, rule string, rule_type string, applies_to string, enforcement string",
+    "known_rules": "id bigint, tenant_id string, category string, rule string, rule_type string, applies_to string, enforcement string, "
+    "updated_at timestamp_ntz",
     "tasks": "id bigint, tenant_id string, category string, title string, description string, status string, owner string, "
     "priority int, blocked_by bigint, created_at timestamp_ntz, ref_id string",
     "retrieval_events": "id bigint, tenant_id string, search_function string, used_vector boolean, latency_ms int, "
@@ -29,12 +30,14 @@ SCHEMAS = {
     "eval_results": "result_id bigint, run_id bigint, case_id string, top_k int, returned_sources string, expected_found boolean, "
     "first_match_rank int, latency_ms int, created_at timestamp_ntz",
     "eval_runs": "id bigint, run_date timestamp_ntz, agent_name string, layer int, score decimal(5,2), pass boolean, "
-    "criteria_results string, factory_id string, factory_tenant string, session_id int, model_tested string, agent_version string, notes string",
+    "criteria_results string, factory_id string, factory_tenant string, session_id int, model_tested string, agent_version string, notes string, "
+    "run_mode string, agent_sig string",
     "sop_registry": "sop_id string, tenant_id string, title string, summary string, full_body string, status string, domain string, "
-    "trigger_phrases array<string>",
+    "trigger_phrases array<string>, version string, owner string, trigger_condition string, file_path string, updated_at timestamp_ntz",
     "factory_agreements": "id int, tenant_id string, agent_name string, agreement_version string, required_rule_types array<string>, "
     "enforcement_model string",
-    "sessions": "id int, session_date date, tenant_id string, platform string, session_type string, resume_notes string",
+    "sessions": "id int, session_date date, tenant_id string, platform string, session_type string, resume_notes string, "
+    "summary string, agents_active array<string>",
     "connectors": "connector_id string, tenant_id string, display_name string, criticality string, active boolean, is_blocked boolean, "
     "block_reason string, platform_availability array<string>, probe_status string, category string, agent_primary string, "
     "fallback_behavior string, last_probed_at timestamp_ntz",
@@ -42,7 +45,19 @@ SCHEMAS = {
     "platform string, probe_note string, probed_at timestamp_ntz",
     "session_log": "id bigint, tenant_id string, session_id string, event_type string, created_at timestamp_ntz",
     "work_claims": "id bigint, tenant_id string, resource_type string, resource_id string, claimed_by string, status string, "
-    "claimed_at timestamp_ntz",
+    "claimed_at timestamp_ntz, session_id int, expires_at timestamp_ntz, released_at timestamp_ntz, released_by string, factory_id string, "
+    "platform string, claim_note string",
+    "agents": "agent_name string, tenant_id string, callsign string, primary_domain string, voice_anchor string, status string, factory string, "
+    "role string, version string, state_sig bigint, updated_at timestamp_ntz, source_file string",
+    "agent_identity": "agent_name string, tenant_id string, callsign string, primary_domain string, voice_anchor string",
+    "content_staging": "id bigint, title string, content_type string, status string, file_path string, assigned_to string, research_id bigint, "
+    "session_id int, target_page_id string, created_at timestamp_ntz, published_at timestamp_ntz",
+    "research": "id bigint, topic string, summary string, status string, collected_by string, superseded_by bigint, session_id int, "
+    "tags array<string>, created_at timestamp_ntz",
+    "file_registry": "id bigint, file_path string, category string, conversion_required boolean",
+    "factory_config": "key string, value string, category string, tenant_id string, notes string, updated_at timestamp_ntz, updated_by string",
+    "factory_lanes": "lane string, tenant_id string, owner_agents array<string>, parallel_eligible boolean, reviewer_agent string, "
+    "exclusive_resources array<string>, notes string",
 }
 
 # What a missing value stands for.
