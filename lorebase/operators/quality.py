@@ -12,18 +12,27 @@ def _union(frames) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def duplicate_keys(rows: DataFrame, table: str, keys) -> DataFrame:
-    """One row: how many keys occur twice or more, and how many rows are too many.
-    A key with a NULL in it equals no other."""
-    complete = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    counts = rows.filter(complete).groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
-    return counts.agg(
-        F.count("*").alias("duplicate_keys"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra_rows")
-    ).select(F.lit(table).alias("table_name"), F.lit(", ".join(keys)).alias("key_columns"), "duplicate_keys", "extra_rows")
+def _value(columns):
+    """Some columns as one text, NULL as soon as one is."""
+    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+    return F.when(complete, F.to_json(F.array(*[F.col(c).cast("string") for c in columns])))
 
 
 def uniqueness_audit(T, keys: dict | None = None) -> DataFrame:
-    return _union([duplicate_keys(T[t], t, k) for t, ks in (keys or KEYS).items() for k in ks])
+    """A row per key: how many of its values occur twice or more, and how many rows are too many.
+
+    A value with a NULL in it equals no other.  A table is read once for all its keys.
+    """
+    frames = []
+    for table, ks in (keys or KEYS).items():
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("key"), _value(k).alias("value")) for i, k in enumerate(ks)])).alias("x")
+        values = T[table].select(each).select("x.*").filter("value is not null").groupBy("key", "value").agg(F.count("*").alias("n"))
+        found = values.filter("n > 1").groupBy("key").agg(F.count("*").alias("duplicate_keys"), F.sum(F.col("n") - 1).alias("extra_rows"))
+        names = T[table].sparkSession.createDataFrame([(i, table, ", ".join(k)) for i, k in enumerate(ks)], "key int, table_name string, key_columns string")
+        frames.append(names.join(found, "key", "left").select(
+            "table_name", "key_columns", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("duplicate_keys", "extra_rows")]
+        ))
+    return _union(frames)
 
 
 def contested_claims(T) -> DataFrame:
@@ -44,19 +53,33 @@ def check_audit(T, checks: dict | None = None) -> DataFrame:
     return _union(frames)
 
 
-def dangling(T, ref: Reference) -> DataFrame:
-    """Child rows whose parent does not exist; NULL needs no parent."""
-    parents = T[ref.parent].select(F.col(ref.parent_column).alias(ref.column))
-    return T[ref.child].filter(F.col(ref.column).isNotNull()).join(parents, ref.column, "left_anti")
-
-
 def reference_audit(T, references=None) -> DataFrame:
-    return _union([
-        dangling(T, r).agg(F.count("*").alias("dangling_rows")).select(
-            F.lit(r.child).alias("child"), F.lit(r.column).alias("column_name"), F.lit(r.parent).alias("parent"), "dangling_rows"
-        )
-        for r in (references or REFERENCES)
+    """A row per reference: how many child rows have a parent value that does not exist.
+
+    A child is read once for all its references and a parent once for all that point to
+    the same column; values are counted before they meet.  NULL needs no parent.
+    """
+    references = list(references or REFERENCES)
+    targets = sorted({(r.parent, r.parent_column) for r in references})
+    children = []
+    for child in sorted({r.child for r in references}):
+        own = [
+            F.struct(F.lit(i).alias("ref"), F.lit(targets.index((r.parent, r.parent_column))).alias("target"), F.col(r.column).cast("string").alias("value"))
+            for i, r in enumerate(references) if r.child == child
+        ]
+        rows = T[child].select(F.explode(F.array(*own)).alias("x")).select("x.*").filter("value is not null")
+        children.append(rows.groupBy("ref", "target", "value").agg(F.count("*").alias("n")))
+    parents = _union([
+        T[table].select(F.lit(k).alias("target"), F.col(column).cast("string").alias("value")).filter("value is not null").distinct()
+        for k, (table, column) in enumerate(targets)
     ])
+    lost = _union(children).join(parents, ["target", "value"], "left_anti").groupBy("ref").agg(F.sum("n").alias("dangling_rows"))
+    names = lost.sparkSession.createDataFrame(
+        [(i, r.child, r.column, r.parent) for i, r in enumerate(references)], "ref int, child string, column_name string, parent string"
+    )
+    return names.join(lost, "ref", "left").select(
+        "child", "column_name", "parent", F.coalesce("dangling_rows", F.lit(0)).cast("long").alias("dangling_rows")
+    )
 
 
 def propagate_deletes(T, table: str, deleted: DataFrame, references=None) -> dict[str, DataFrame]:
