@@ -1,7 +1,7 @@
 """Typed scans and stored snapshots."""
 
 from lorebase.operators import snapshots
-from lorebase.plans.registry import REGISTRY, query
+from lorebase.plans.registry import REGISTRY, query, rounded
 from lorebase.plans.reports import TENANT
 from lorebase.sources import tables
 from lorebase.sources.scratch import scratch_path
@@ -35,7 +35,7 @@ def tenant_scan(T):
     return rows.select("tenant_id", "id", "source_table", "source_id", "authority_tier", "embedding_stale")
 
 
-def _snapshot(name: str, report: str, group: str, columns=None):
+def _snapshot(name: str, report: str, group: str, columns=None, **decimals):
     """A stored snapshot must hold exactly the rows of its report."""
     sql = REGISTRY[report].sql
     if columns:
@@ -44,12 +44,13 @@ def _snapshot(name: str, report: str, group: str, columns=None):
     def run(T):
         root = scratch_path(T.spark, "snapshots")
         snapshots.refresh(T, snapshots.GROUPS[group], root, TENANT)
-        return snapshots.read(T.spark, root, name)
+        return rounded(snapshots.read(T.spark, root, name), **decimals)
 
     query(f"snapshot_{name}", sql)(run)
 
 
 _snapshot("embedding_health", "embedding_health", "dashboards")
 _snapshot("task_dashboard", "task_dashboard", "dashboards")
+_snapshot("agent_status", "runs_readiness", "dashboards", l1_score=2, l2_score=2)
 _snapshot("system_inventory", "system_inventory", "dashboards")
 _snapshot("startup", "startup_summary", "startup", snapshots._STARTUP_COLUMNS)
