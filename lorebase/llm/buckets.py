@@ -6,6 +6,8 @@ in the order of the questions.  The parts are ranges of hashed keys.  A key cost
 part one entry per bucket, however many documents have it.
 """
 
+import json
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -127,15 +129,25 @@ def replies(answers: pa.Table, kind: str, parts_of: np.ndarray, parts: int) -> n
 
 
 def note(bucket: int, parts: int, *arrays: np.ndarray):
-    data = pa.py_buffer(b"".join(a.astype("<i8").tobytes() for a in arrays))
-    return (bucket % parts, "note", bucket, pa.compress(data, codec="zstd", asbytes=True), repr([len(a) for a in arrays]).encode())
+    """A row by which a bucket tells arrays to itself in the next round; truth values as bits."""
+    packed = [np.packbits(a) if a.dtype == bool else a for a in arrays]
+    kinds = [("?" if a.dtype == bool else a.dtype.str, len(a)) for a in arrays]
+    data = pa.py_buffer(b"".join(p.tobytes() for p in packed))
+    return (bucket % parts, "note", bucket, pa.compress(data, codec="zstd", asbytes=True), json.dumps([data.size, kinds]).encode())
 
 
 def noted(answers: pa.Table) -> list[np.ndarray]:
     r = answers.filter(pc.equal(answers["kind"], "note")).to_pylist()[0]
-    sizes = [int(x) for x in r["b"].decode()[1:-1].split(",")]
-    flat = np.frombuffer(pa.decompress(r["a"], decompressed_size=8 * sum(sizes), codec="zstd", asbytes=True), "<i8")
-    return np.split(flat, np.cumsum(sizes)[:-1])
+    size, kinds = json.loads(r["b"])
+    data, at, out = pa.decompress(r["a"], decompressed_size=size, codec="zstd", asbytes=True), 0, []
+    for kind, n in kinds:
+        if kind == "?":
+            out.append(np.unpackbits(np.frombuffer(data, np.uint8, -(-n // 8), at), count=n).astype(bool))
+            at += -(-n // 8)
+        else:
+            out.append(np.frombuffer(data, kind, n, at))
+            at += out[-1].nbytes
+    return out
 
 
 class Bucket:

@@ -96,7 +96,8 @@ class Parse:
             g[first] * ODD[8] + g[first + GRAM] * ODD[9] + g[np.minimum(first + 2 * GRAM, last)] * ODD[10] + g[last] * ODD[11]
             + count.astype(np.uint64) * ODD[12] + (trigger - first).astype(np.uint64) * ODD[13]
         )
-        return g[trigger], mixed(phrase), first + a, count, row[at]
+        # Triggers are small hashes: mixed again they are spread evenly.
+        return mixed(g[trigger]), mixed(phrase), first + a, count, row[at]
 
 
 def window_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -166,75 +167,82 @@ def _ask_grams(key, blobs: pa.Table, parts: int) -> pa.Table:
     ])
 
 
-def _owners(bucket: Bucket, gram, phrase, row) -> Owners:
-    return Owners(phrase ^ mixed(gram), (gram >> np.uint64(16)) & np.uint64(0xFFFF), bucket.id[row])
+class Shared:
+    """The phrases of a bucket whose gram several documents have, with their dictionary entries."""
+
+    def __init__(self, bucket: Bucket, p: Parse, some: np.ndarray):
+        self.gram, self.first, self.count, self.row = p.gram[some] & ~np.uint64(0xFFFF), p.first[some], p.count[some], p.row[some]
+        self.phrase, self.id = p.phrase[some], bucket.id[p.row[some]]
+        self.more = (self.gram >> np.uint64(16)) & np.uint64(0xFFFF)
+
+    def owners(self) -> Owners:
+        return Owners(self.phrase ^ mixed(self.gram), self.more, self.id)
 
 
 def _ask_phrases(key, blobs: pa.Table, answers: pa.Table, parts: int) -> pa.Table:
     bucket, me = Bucket(blobs), key[0].as_py()
     p = _parsed(bucket)
     grams, of = _grams(p)
-    shared = replies(answers, "grams", part_of(grams, parts), parts)
+    elsewhere = replies(answers, "grams", part_of(grams, parts), parts)
     # Grams of several documents of this bucket.
     ids = bucket.id[p.row]
     low, high = np.full(len(grams), LAST), np.full(len(grams), np.iinfo(np.int64).min)
     np.minimum.at(low, of, ids)
     np.maximum.at(high, of, ids)
-    some = (shared | (low < high))[of]
-    gram, phrase, first, count, row = (x[some] for x in (p.gram & ~np.uint64(0xFFFF), p.phrase, p.first, p.count, p.row))
-    owners = _owners(bucket, gram, phrase, row)
-    out = [(q, "phrases", me, a, b) for q, a, b in owners.packs(parts)]
-    order = np.lexsort((phrase, gram))
-    new = runs(gram[order])
+    some = (elsewhere | (low < high))[of]
+    s = Shared(bucket, p, some)
+    out = [(q, "phrases", me, a, b) for q, a, b in s.owners().packs(parts)]
+    order = np.lexsort((s.phrase, s.gram))
+    new = runs(s.gram[order])
     group = np.cumsum(new) - 1
-    one = phrase[order][new]
-    many = np.bincount(group, weights=phrase[order] != one[group]) > 0 if len(order) else np.empty(0, bool)
-    distinct = gram[order][new]
+    one, distinct = s.phrase[order][new], s.gram[order][new]
+    many = np.bincount(group, weights=s.phrase[order] != one[group]) > 0 if len(order) else np.empty(0, bool)
     edges = np.searchsorted(part_of(distinct, parts), np.arange(parts + 1))
     out += [
         (q, "several", me, low_bytes(distinct[a:b] >> np.uint64(16), 6), one[a:b].tobytes() + np.packbits(many[a:b]).tobytes())
         for q, (a, b) in enumerate(zip(edges, edges[1:])) if b > a
     ]
-    out.append(note(me, parts, gram.view(np.int64), phrase.view(np.int64), first, count, row))
+    out.append(note(me, parts, some))
     return table_of(out)
 
 
-def _windows(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+def _window_starts(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """All window starts of some phrases."""
-    total = int(count.sum())
-    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(total)
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
+def _windows(bucket: Bucket, s: Shared, open_: np.ndarray):
+    """Starts of the windows of the phrases left open, their rows, and their dictionary entries."""
+    count = s.count[open_]
+    starts, row = _window_starts(s.first[open_], count), np.repeat(s.row[open_], count)
+    return starts, row, Owners(window_hashes(bucket.data, starts), np.repeat(s.more[open_], count), bucket.id[row])
 
 
 def _ask_windows(key, blobs: pa.Table, answers: pa.Table, parts: int) -> pa.Table:
     bucket, me = Bucket(blobs), key[0].as_py()
-    gram, phrase, first, count, row = noted(answers)
-    gram, phrase = gram.view(np.uint64), phrase.view(np.uint64)
-    owners = _owners(bucket, gram, phrase, row)
+    (some,) = noted(answers)
+    s = Shared(bucket, _parsed(bucket), some)
+    owners = s.owners()
     smaller = replies(answers, "phrases", part_of(owners.key, parts), parts)
-    gone = smaller[owners.of] | (owners.id[owners.of] < bucket.id[row])
-    distinct, of = np.unique(gram, return_inverse=True)
-    several = replies(answers, "several", part_of(distinct, parts), parts)
-    # Copies of a phrase in one document have the same windows, asked for together.
-    open_ = ~gone & several[of]
-    starts = _windows(first[open_], count[open_])
-    mine = np.repeat(row[open_], count[open_])
-    more = np.repeat((gram[open_] >> np.uint64(16)) & np.uint64(0xFFFF), count[open_])
-    asked = Owners(window_hashes(bucket.data, starts), more, bucket.id[mine])
+    gone = smaller[owners.of] | (owners.id[owners.of] < s.id)
+    distinct, of = np.unique(s.gram, return_inverse=True)
+    open_ = ~gone & replies(answers, "several", part_of(distinct, parts), parts)[of]
+    _, _, asked = _windows(bucket, s, open_)
     out = [(q, "windows", me, a, b) for q, a, b in asked.packs(parts)]
-    least = asked.id[asked.of] < bucket.id[mine]
-    out.append(note(me, parts, first[gone], count[gone], starts, asked.of, least.astype(np.int64), part_of(asked.key, parts)))
+    out.append(note(me, parts, some, gone, open_))
     return table_of(out)
 
 
 def _spans(bucket: Bucket, answers: pa.Table, parts: int):
     """Row, start and end of the maximal removed runs, within the bucket's bytes."""
-    first, count, starts, of, least, parts_of = noted(answers)
-    gone = replies(answers, "windows", parts_of, parts)[of] | (least > 0)
+    some, gone, open_ = noted(answers)
+    s = Shared(bucket, _parsed(bucket), some)
+    starts, row, asked = _windows(bucket, s, open_)
+    least = asked.id[asked.of] < bucket.id[row]
+    starts = starts[least | replies(answers, "windows", part_of(asked.key, parts), parts)[asked.of]]
     change = np.zeros(len(bucket.data) + 1, np.int32)
-    np.add.at(change, first, 1)
-    np.add.at(change, first + count - 1 + WINDOW, -1)
-    np.add.at(change, starts[gone], 1)
-    np.add.at(change, starts[gone] + WINDOW, -1)
+    for at, step in ((s.first[gone], 1), (s.first[gone] + s.count[gone] - 1 + WINDOW, -1), (starts, 1), (starts + WINDOW, -1)):
+        np.add.at(change, at, step)
     covered = np.cumsum(change[:-1]) > 0
     # A run ends where its document does.
     edge = np.zeros(len(covered) + 1, bool)
