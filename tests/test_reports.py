@@ -68,7 +68,7 @@ def run_frame(spark, rows):
     base = spark.createDataFrame(rows, "id long, day string, agent_name string, layer int, score double, pass boolean, criteria_results string")
     return base.selectExpr(
         "id", "cast(day as timestamp_ntz) run_date", "agent_name", "layer", "cast(score as decimal(5,2)) score", "pass", "criteria_results",
-        "'f' factory_id", "'a' factory_tenant", "'m' model_tested", "'v' agent_version", "'n' notes")
+        "'f' factory_id", "'a' factory_tenant", "'m' model_tested", "'v' agent_version", "'n' notes", "'full' run_mode", "'s' agent_sig")
 
 
 def test_failures_and_readiness(spark, store):
