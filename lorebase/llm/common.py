@@ -1,5 +1,7 @@
 """Column helpers of the corpus operators."""
 
+import sys
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Words are runs of anything but these: space and the control characters 9 to 13.
@@ -10,6 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def per_process(key, make):
+    """One ``make()`` per Python process, kept across its tasks.
+
+    Functions reach the executors with the values of their module, so a module's own
+    table would be empty again in every task.
+    """
+    held = sys.__dict__.setdefault("_lorebase_held", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def held_out(doc_id: Column) -> Column:
     """A quarter of the ids, never learnt from; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -25,13 +39,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")
 
 
-def sampled(df: DataFrame, key: Column, weight: Column, budget: int) -> DataFrame:
-    """About ``budget`` units of ``weight`` from ``df``, chosen by a hash of ``key``.
+def share_of(df: DataFrame, key: Column, total: int, budget: int) -> DataFrame:
+    """The share ``budget / total`` of the rows, chosen by a hash of ``key``; all rows if that is over 1."""
+    parts = 1 << 40
+    return df if total <= budget else df.filter(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(parts)) < parts * budget // total)
 
-    The fraction follows from the total, so a table below the budget is used whole.
-    """
-    total = df.agg(F.sum(weight)).first()[0] or 0
-    if total <= budget:
-        return df
-    parts = 1_000_000
-    return df.filter(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(parts)) < int(parts * budget / total))
+
+def sampled(df: DataFrame, key: Column, weight: Column, budget: int) -> DataFrame:
+    """About ``budget`` units of ``weight`` from ``df``."""
+    return share_of(df, key, df.agg(F.sum(weight)).first()[0] or 0, budget)

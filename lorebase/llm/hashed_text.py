@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from lorebase.llm.common import sampled
+from lorebase.llm.common import held_out, share_of
 
 BUCKETS = 1 << 18
 #: Distinct words whose features one Python worker remembers.
@@ -97,18 +97,21 @@ def minimised(gradient, size: int, steps: int = 200, rate: float = 0.1, sparse=N
     return x
 
 
-def sample_rows(labelled: DataFrame, label: str, featurise, budget: int) -> pd.DataFrame:
-    """``label, ids, more`` of a sample of ``doc_id, text, label`` of about ``budget`` characters.
+def sample_rows(docs: DataFrame, marks: DataFrame, label: str, featurise, budget: int) -> pd.DataFrame:
+    """``label, ids, more`` of about ``budget`` characters of ``docs`` that ``marks`` labels.
 
-    ``featurise(text)`` gives the feature ids and a list of words to keep.  Texts stay on
-    the executors; what reaches the driver is bounded by the budget.
+    ``featurise(text)`` gives the feature ids and a list of words to keep.  Only lengths
+    are joined to find the share to take, and only the texts of that share to take it; what
+    reaches the driver is bounded by the budget.
     """
-    some = sampled(labelled, F.col("doc_id"), F.length("text"), budget)
+    rows = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    marks = marks.select("doc_id", F.col(label).cast("int").alias("label"))
+    total = rows.select("doc_id", F.length("text").alias("n")).join(marks, "doc_id").agg(F.sum("n")).first()[0]
+    some = share_of(rows, F.col("doc_id"), total or 0, budget).join(marks, "doc_id").select("text", "label")
 
     def run(batches):
         for b in batches:
             found = [featurise(t) for t in b["text"]]
             yield pd.DataFrame({"label": b["label"], "ids": [sorted(f[0]) for f in found], "more": [f[1] for f in found]})
 
-    rows = some.select("text", F.col(label).cast("int").alias("label"))
-    return rows.mapInPandas(run, "label int, ids array<int>, more array<string>").toPandas()
+    return some.mapInPandas(run, "label int, ids array<int>, more array<string>").toPandas()

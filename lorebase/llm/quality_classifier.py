@@ -84,8 +84,7 @@ def fit(docs: DataFrame, ratings: DataFrame, budget: int = BUDGET) -> Model:
     """Learn from the rows of ``ratings`` (``doc_id, grade``) that are not held out."""
     known: dict[str, tuple[int, ...]] = {}
     rated = ratings.filter("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.max("grade").alias("grade_"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(~held_out(F.col("doc_id"))).join(rated, "doc_id")
-    found = sample_rows(rows, "grade_", lambda text: (_ids(text, known), []), budget)
+    found = sample_rows(docs, rated, "grade_", lambda text: (_ids(text, known), []), budget)
     return fit_rows(found["label"].to_numpy(int), [np.asarray(i, np.int64) for i in found["ids"]])
 
 

@@ -118,8 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, budget: int = BUDGET) -> Model:
         return word_ids(text, known), sorted(word_set(text).intersection(_GROUP))
 
     marked = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic_"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(~held_out(F.col("doc_id"))).join(marked, "doc_id")
-    found = sample_rows(rows, "toxic_", featurise, budget)
+    found = sample_rows(docs, marked, "toxic_", featurise, budget)
     terms = found["more"].explode().value_counts().to_dict()
     return fit_rows(found["label"].to_numpy(float), [np.asarray(i, np.int64) for i in found["ids"]], terms)
 
