@@ -17,26 +17,34 @@ packed each by itself; an empty table gives an empty result; columns other than
 import os
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Iterator
+from itertools import chain
+from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lorebase.llm.common import per_process
 from lorebase.sources.scratch import kept
 
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids one Python worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 700_000
+#: Characters of text that are split at once, about, and marks cut off words.
+BATCH_CHARS, MARKS = 2_000_000, "!#$%&*+,-./:;=?@|~"
 #: Pieces of one length that are ranked together, about.
 RANKED_TOGETHER = 50_000
 
 
 class WordTokenizer:
-    """Ids of whole texts, word by word.
+    """Ids of whole texts, word by word, as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and encodes what stands between separately, so
-    the ids of a text are those of its words in order; a word is encoded once.
+    the ids of a text are those of its words in order.  A run of marks after a letter or
+    digit is encoded separately as well, and case does not count: words are encoded
+    once without both.  Only ASCII letters are lowered and only ASCII marks cut off here.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -45,27 +53,72 @@ class WordTokenizer:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        size = self._tokenizer.get_vocab_size()
+        self._ends_word = np.array([self._tokenizer.id_to_token(i).endswith("</w>") for i in range(size)])
         self._known: dict[str, bytes] = {}
+        self._stems: dict[str, bytes] = {"": b""}
         self._remembered = remembered
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        words, known = text.replace("\n", " ").split(" "), self._known
-        if len(known) > self._remembered:
-            known.clear()
-        new = list(set(words).difference(known))
-        for w, e in zip(new, self._tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
-
-
-_TOKENIZERS: dict[str, WordTokenizer] = {}
+    def encode_batch(self, texts) -> Iterator[bytes]:
+        some, size = [], 0
+        for text in texts:
+            some.append(text)
+            size += len(text)
+            if size > BATCH_CHARS:
+                yield from self._encode_some(some)
+                some, size = [], 0
+        yield from self._encode_some(some)
+
+    def _encode_some(self, texts):
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        words = set(chain.from_iterable(split))
+        if len(self._known) > self._remembered:  # what is in use now is likely to come again
+            self._known = {w: self._known[w] for w in words.intersection(self._known)}
+        if len(self._stems) > self._remembered:
+            self._stems = {"": b""}
+        known, stems = self._known, self._stems
+        cut = {w: _cut(w) for w in words.difference(known)}
+        new = set(chain.from_iterable(cut.values())).difference(stems)
+        plain = [x for x in new if _is_one_run(x)]
+        found = self._encode_runs(plain)
+        stems.update(zip(plain, found))
+        rest = list(new.difference(plain)) if found else list(new)
+        for stem, e in zip(rest, self._tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            stems[stem] = np.array(e.ids, "<u4").tobytes()
+        for w, (stem, tail) in cut.items():
+            known[w] = stems[stem] + stems[tail]
+        for own in split:
+            yield b"".join(map(known.__getitem__, own))
+
+    def _encode_runs(self, runs: list[str]) -> list[bytes]:
+        """The ids of runs of letters, all at once: each ends with a token that ends a word."""
+        if not runs:
+            return []
+        ids = np.array(self._tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(self._ends_word[ids]) + 1
+        if len(at) != len(runs):
+            return []
+        data, edges = ids.tobytes(), [0, *(4 * at).tolist()]
+        return [data[a:b] for a, b in zip(edges, edges[1:])]
+
+
+def _is_one_run(stem: str) -> bool:
+    """Letters only, none of which composing or lowering can change into something else."""
+    return stem.isalpha() and (stem.isascii() or (max(stem) < "\u0250" and len(stem.lower()) == len(stem)))
+
+
+def _cut(word: str) -> tuple[str, str]:
+    """A word without case and the marks at its end, and those marks."""
+    stem = word.rstrip(MARKS)
+    if stem.isascii():
+        return (stem.lower(), word[len(stem) :]) if stem and stem[-1].isalnum() else (word, "")
+    # The last character must be a letter or digit once composed and lowered, too.
+    return (stem, word[len(stem) :]) if normalize("NFC", stem).lower()[-1].isalnum() else (word, "")
 
 
 def tokenizer(path: str) -> WordTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+    """The tokenizer of this Python process for one vocabulary file."""
+    return per_process(("tokenizer", path), lambda: WordTokenizer(path))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -75,11 +128,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
 
     def run(batches):
-        encode = tokenizer(path).encode
+        encode = tokenizer(path).encode_batch
         for b in batches:
             rows = []
-            for doc_id, text in zip(b["doc_id"], b["text"]):
-                ids = memoryview(encode(text or "") + end)
+            for doc_id, own in zip(b["doc_id"], encode(text or "" for text in b["text"])):
+                ids = memoryview(own + end)
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     row = (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))
