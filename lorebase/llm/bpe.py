@@ -22,6 +22,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from lorebase.llm.common import per_process
+
 #: Distinct matches whose ids one Python worker remembers.
 REMEMBERED = 400_000
 #: Characters of text that are split at once, about.
@@ -205,14 +207,9 @@ class Encoder:
         return next(self._encode_some([text]))
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str, pattern: str) -> Encoder:
     """The encoder of this Python process for one vocabulary file."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder(Vocabulary.read(path), pattern)
-    return _ENCODERS[path, pattern]
+    return per_process(("encoder", path, pattern), lambda: Encoder(Vocabulary.read(path), pattern))
 
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
