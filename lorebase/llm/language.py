@@ -16,6 +16,7 @@ Columns other than ``doc_id``, ``text`` and, to learn, ``lang`` are not read.
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
@@ -151,7 +152,7 @@ def known_documents(docs: DataFrame, model: Model, least: float = 0.0) -> DataFr
 
     def run(batches):
         for b in batches:
-            found, score = predict(b["text"].tolist(), model)
-            yield b[(np.array(found, object) != UNKNOWN) & (score >= least)]
+            found, score = predict(b.column("text").to_pylist(), model)
+            yield b.filter(pa.array((np.array(found, object) != UNKNOWN) & (score >= least)))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
