@@ -7,7 +7,10 @@ from lorebase.sources.scratch import kept
 
 
 def _one_per_key(updates: DataFrame, keys, order) -> DataFrame:
-    return latest_per_key(updates, keys, order) if order else updates.dropDuplicates(list(keys))
+    """The first row of each key in ``order``; without one, in the order of all other columns,
+    so that a rerun picks the same row."""
+    others = [F.asc_nulls_last(c) for c in updates.columns if c not in keys]
+    return latest_per_key(updates, keys, order or others) if order or others else updates.dropDuplicates(list(keys))
 
 
 def _aligned(df: DataFrame, columns, like: DataFrame) -> DataFrame:
