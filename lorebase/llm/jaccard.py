@@ -7,10 +7,12 @@
    come first and are never shared: a set with fewer than T others has no link.
 3. For each set that is left, l is chosen by cost: a longer prefix meets more sets, but
    a pair must then share l shingles of it before it is verified (the smaller l of the pair).
-4. Verified links first run from sets to one set per shingle, so that a
-   large group of near copies becomes one component by as many links as it has
-   members.  Then all pairs in different components that share enough of their prefixes
-   are verified, which leaves no link out; pairs within a component cannot change it.
+4. Each set is first compared with a centre, the set with the smallest share of its own
+   shingles among those it meets: a large group of near copies becomes one component by as
+   many links as it has members.  Then all pairs in different components that share enough of
+   their prefixes are verified, which leaves no link out; pairs within a component cannot
+   change it.  Pairs that cannot link by their numbers of shared shingles, or by what both
+   lack of a common centre, are not met.
 
 Words are runs of other characters than blanks, A-Z in lower case.  Texts without words have an
 empty set and no links; fewer words than a shingle has count as one shingle.  A null ``doc_id``
@@ -35,8 +37,8 @@ WORDS = 5
 PERCENT = 75
 #: Largest l considered, and what verifying a set costs against meeting it.
 MOST_MATCHES, VERIFY = 4, 20.0
-#: Rounds of links to one set per shingle before all pairs are looked at.
-STAR_ROUNDS = 3
+#: Rounds of links to one chosen set per shingle, after the centres, before all pairs are looked at.
+STAR_ROUNDS = 1
 #: Bytes of text whose shingles are made at once.
 CHUNK = 1 << 20
 
@@ -213,7 +215,6 @@ def _find(key, blobs: pa.Table, answers: pa.Table, parts: int) -> pa.Table:
     bucket = Bucket(blobs)
     s = Shingles(bucket.data, bucket.ends)
     holder, stands = noted(answers)
-    stands = stands.astype(bool)
     keep, keys, of, _ = _counted(s, stands)
     count = np.zeros(len(keys), np.uint8)
     edges = np.searchsorted(part_of(keys << np.uint64(16), parts), np.arange(parts + 1))
@@ -241,40 +242,91 @@ def _find(key, blobs: pa.Table, answers: pa.Table, parts: int) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip((bucket.id, s.n, holder, wanted, prefix, lists), _FOUND)], schema=_FOUND)
 
 
-# Links ---------------------------------------------------------------------------------
-
-
 def _near(a, b):
     """Sizes that a link allows."""
     return (100 * F.least(a, b)) >= (PERCENT * F.greatest(a, b))
 
 
+def _links(both, n_a, n_b):
+    return 100 * both >= PERCENT * (n_a + n_b - both)
+
+
+def _sides(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the sizes and shared shingles of both."""
+    side = lambda x: sets.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("shared").alias(f"s_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that link."""
-    side = lambda x: sets.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("shared").alias(f"s_{x}"))
     both = F.size(F.array_intersect("s_a", "s_b"))
-    return (
-        pairs.join(side("a"), "a").join(side("b"), "b")
-        .filter(100 * both >= PERCENT * (F.col("n_a") + F.col("n_b") - both))
-        .select("a", "b")
+    return _sides(pairs, sets).filter(_links(both, F.col("n_a"), F.col("n_b"))).select("a", "b")
+
+
+def _most_met(met: DataFrame, other) -> DataFrame:
+    """For each set the one of the others that it meets most often: (doc, other)."""
+    times = met.groupBy("doc", other.alias("other")).agg(F.count(F.lit(1)).alias("times"))
+    return times.groupBy("doc").agg(F.max(F.struct("times", "other")).alias("best")).select("doc", F.col("best.other").alias("other"))
+
+
+def _centred(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Each set with a centre, what it has of it, and whether they link.
+
+    A shingle's centre is the set with it that has the smallest share of shingles of its own:
+    among near copies, the text that was copied.  ``low`` and ``high`` are 128 bits, those of the
+    hashes of the centre's shared shingles that the set lacks.
+    """
+    one = F.min(F.struct(((F.col("n") - F.col("s")) / F.col("n")).alias("own"), (-F.col("n")).alias("m"), "doc")).alias("one")
+    tokens = rows.groupBy("token").agg(one, F.count(F.lit(1)).alias("sets")).filter("sets > 1")
+    met = rows.join(tokens.select("token", F.col("one.doc").alias("centre")), "token").filter("doc <> centre")
+    both = F.size(F.array_intersect("s_a", "s_b"))
+
+    def bits(lost, first):
+        place = lambda t: F.pmod(F.shiftrightunsigned(t, 20), F.lit(128)).cast("int") - first
+        one_bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), place(t))
+        none = F.lit(0).cast("long")
+        return F.aggregate(lost, none, lambda m, t: m.bitwiseOR(F.when(place(t).between(0, 63), one_bit(t)).otherwise(none)))
+
+    pairs = _most_met(met, F.col("centre")).select(F.col("doc").alias("a"), F.col("other").alias("b"))
+    found = _sides(pairs, sets).withColumns({"lost": F.array_except("s_b", "s_a"), "inter": both})
+    return found.select(
+        F.col("a").alias("doc"), F.col("b").alias("centre"), "inter", F.size("s_b").alias("centre_s"),
+        bits(F.col("lost"), 0).alias("low"), bits(F.col("lost"), 64).alias("high"), _links(F.col("inter"), F.col("n_a"), F.col("n_b")).alias("link"),
     )
 
 
-def _labelled(prefixes: DataFrame, found: DataFrame | None) -> DataFrame:
+def _possible(x: str, y: str):
+    """Whether two sets can link by what is known of them; ``x`` and ``y`` end their columns' names.
+
+    They share at most the smaller number of shared shingles.  With one centre, they also
+    share at most those of the centre that neither lacks and the smaller rest of theirs.
+    A set and its centre have been compared already.
+    """
+    c = lambda name, end: F.col(name + end)
+    most = F.least(c("s", x), c("s", y))
+    lacked = F.bit_count(c("low", x).bitwiseOR(c("low", y))) + F.bit_count(c("high", x).bitwiseOR(c("high", y)))
+    rest = F.least(c("s", x) - c("inter", x), c("s", y) - c("inter", y))
+    same = F.coalesce(c("centre", x) == c("centre", y), F.lit(False))
+    most = F.when(same, F.least(most, c("centre_s", x) - lacked + rest)).otherwise(most)
+    known = F.coalesce(c("centre", x) == c("doc", y), F.lit(False)) | F.coalesce(c("centre", y) == c("doc", x), F.lit(False))
+    return _near(c("n", x), c("n", y)) & ~known & _links(most, c("n", x), c("n", y))
+
+
+_CARRIED = ["doc", "n", "s", "wanted", "component", "centre", "inter", "centre_s", "low", "high"]
+
+
+def _labelled(prefixes: DataFrame, found: DataFrame) -> DataFrame:
     """Prefix rows with the component of their set."""
-    if found is None:
-        return prefixes.withColumn("component", F.col("doc"))
     return prefixes.join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
 
 
 def _star_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """Each set with the set, among one per shingle, that it meets most often."""
-    one = F.min(F.struct(F.xxhash64("component", F.lit(turn)).alias("h"), F.xxhash64("doc", F.lit(turn)).alias("k"), "doc", "n", "component")).alias("one")
-    tokens = rows.groupBy("token").agg(one, F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    met = rows.join(tokens.select("token", "one"), "token").filter(F.col("component") != F.col("one.component")).filter(_near(F.col("n"), F.col("one.n")))
-    times = met.groupBy("doc", F.col("one.doc").alias("other")).agg(F.count(F.lit(1)).alias("times"))
-    best = times.groupBy("doc").agg(F.max(F.struct("times", "other")).alias("best"))
-    return best.select(F.greatest("doc", "best.other").alias("a"), F.least("doc", "best.other").alias("b")).distinct()
+    """Each set with the set of another component, among one per shingle, that it meets most often."""
+    one = F.min(F.struct(F.xxhash64("component", F.lit(turn)).alias("h"), F.xxhash64("doc", F.lit(turn)).alias("k"), *_CARRIED)).alias("one")
+    tokens = rows.groupBy("token").agg(one, F.min("component").alias("lowest"), F.max("component").alias("highest")).filter("lowest <> highest")
+    met = rows.join(tokens.select("token", *(F.col(f"one.{c}").alias(f"{c}_1") for c in _CARRIED)), "token")
+    met = met.filter(F.col("component") != F.col("component_1")).filter(_possible("", "_1"))
+    return _most_met(met, F.col("doc_1")).select(F.greatest("doc", "other").alias("a"), F.least("doc", "other").alias("b")).distinct()
 
 
 def _open_pairs(rows: DataFrame) -> DataFrame:
@@ -285,11 +337,11 @@ def _open_pairs(rows: DataFrame) -> DataFrame:
     per = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("sets"))
     main = per.groupBy("token").agg(F.max(F.struct("sets", "component")).alias("main"), F.count(F.lit(1)).alias("components")).filter("components > 1")
     open_ = rows.join(main.select("token", F.col("main.component").alias("main")), "token")
-    left = open_.filter("component <> main").select("token", *(F.col(c).alias(f"{c}_l") for c in ("doc", "n", "wanted", "component")))
+    left = open_.filter("component <> main").select("token", *(F.col(c).alias(f"{c}_l") for c in _CARRIED))
     meet = (
         left.join(open_, "token")
         .filter((F.col("component") != F.col("component_l")) & ((F.col("component") == F.col("main")) | (F.col("doc_l") < F.col("doc"))))
-        .filter(_near(F.col("n"), F.col("n_l")))
+        .filter(_possible("", "_l"))
     )
     times = meet.groupBy(F.greatest("doc", "doc_l").alias("a"), F.least("doc", "doc_l").alias("b")).agg(
         F.count(F.lit(1)).alias("times"), F.min(F.least("wanted", "wanted_l")).alias("least_wanted")
@@ -300,16 +352,15 @@ def _open_pairs(rows: DataFrame) -> DataFrame:
 def linked(sets: DataFrame) -> DataFrame:
     """``node, component`` of the sets that have links; ``sets`` has ``doc, n, wanted, prefix, shared``."""
     prefixes = kept(
-        sets.select("doc", "n", "wanted", F.explode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("token")), "prefixes"
+        sets.select("doc", "n", F.size("shared").alias("s"), "wanted", F.explode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("token")), "prefixes"
     )
-    found = None
+    centred = kept(_centred(prefixes, sets), "centred")
+    found = components(centred.filter("link").select(F.col("doc").alias("a"), F.col("centre").alias("b")))
+    prefixes = kept(prefixes.join(centred.drop("link"), "doc", "left"), "prefixes")
     for turn in range(STAR_ROUNDS + 1):
         rows = _labelled(prefixes, found)
-        pairs = _star_pairs(rows, turn) if turn < STAR_ROUNDS else _open_pairs(rows)
-        new = kept(_verified(pairs, sets), "links")
-        if found is None:
-            found = components(new)
-        elif new.limit(1).count():
+        new = kept(_verified(_star_pairs(rows, turn) if turn < STAR_ROUNDS else _open_pairs(rows), sets), "links")
+        if new.limit(1).count():
             found = components(new.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     return found
 
