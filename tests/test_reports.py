@@ -11,11 +11,11 @@ from lorebase.functions.documents import canonical_text
 from lorebase.operators import governance, profiles, reports, runs
 from lorebase.sources import derived
 
-RULES = "id long, tenant_id string, category string, rule string, rule_type string, applies_to string, enforcement string"
+RULES = "id long, tenant_id string, category string, rule string, rule_type string, applies_to string, enforcement string, updated_at timestamp_ntz"
 
 
 def rules_for(frame, *audiences):
-    return frame(RULES, *[(i, "a", "startup", "r", "sop", w, "halt") for i, w in enumerate(audiences)])
+    return frame(RULES, *[(i, "a", "startup", "r", "sop", w, "halt", None) for i, w in enumerate(audiences)])
 
 
 def test_audiences(frame, store):
@@ -51,7 +51,7 @@ def test_retired_terms(frame, store):
 
 def test_dead_references_match_titles_by_prefix(frame, store):
     T = store(
-        known_rules=frame(RULES, (1, "a", "c", "SOP-1 SOP-12 SOP-9 xSOP-77", "sop", None, None)),
+        known_rules=frame(RULES, (1, "a", "c", "SOP-1 SOP-12 SOP-9 xSOP-77", "sop", None, None, None)),
         sop_registry=frame("sop_id string, tenant_id string, title string, status string",
                            ("SOP-1", "a", "t", "active"), ("OTHER", "a", "see sop-123 and SOP-9", "deprecated"), ("SOP-77", "b", "t", "active")),
     )
