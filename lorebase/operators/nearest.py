@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from lorebase.functions.columns import top_per_key
 from lorebase.functions.vectors import distances, smallest, unit_rows
+from lorebase.sources.scratch import kept
 
 # Most bytes of vectors, or of running best lists, in one block.
 BLOCK_BYTES = 64 << 20
@@ -22,6 +23,11 @@ MERGE_PARTS = 32  # parts of a query's rows that are merged first
 _SLICE_ROWS = 2048  # most corpus rows multiplied at a time
 _UNDEFINED = 3.0  # distance to an all-zero vector while sorting: after all others
 
+#: Queries searched exactly to fit the cells, and the share of their nearest rows that the cells must reach.
+FITTED_QUERIES, FITTED_RECALL = 200, 0.93
+#: Rows of a cell, about, as long as the number of signs is within these bounds.
+CELL_ROWS, LEAST_BITS, MOST_BITS = 8, 10, 14
+
 _FOUND = "qid string, id long, tenant_id string, d double"
 
 
@@ -34,23 +40,74 @@ def candidate_limit(limit: int) -> int:
 class SignCells:
     """Cells of the approximate search: the sign pattern of random projections.
 
-    Near vectors share most signs.  A query looks only into cells within
-    ``radius`` differing signs; vectors in other cells are never compared.
+    Near vectors share most signs, and those that differ are mostly signs of small
+    projections.  With ``reach`` a query looks into the cells whose differing signs cost that
+    much at most, a sign costing the square of the unit query's projection; without, into
+    those with up to ``radius`` differing signs.  Vectors in other cells are never
+    compared.  :func:`fitted_cells` chooses ``bits`` and ``reach`` for a corpus.
     """
 
     bits: int = 6
     radius: int = 2
     seed: int = 7
+    reach: float | None = None
 
-    def of(self, matrix: np.ndarray) -> np.ndarray:
-        planes = np.random.default_rng(self.seed).standard_normal((matrix.shape[1], self.bits))
-        return ((matrix @ planes > 0) << np.arange(self.bits)).sum(axis=1)
+    def _projected(self, matrix: np.ndarray) -> np.ndarray:
+        return matrix @ np.random.default_rng(self.seed).standard_normal((matrix.shape[1], self.bits))
 
-    def looked_into(self, query_cells: np.ndarray) -> np.ndarray:
-        """Queries down, all cells across: does the query look into the cell?"""
-        differing = query_cells[:, None] ^ np.arange(1 << self.bits)[None, :]
-        count = ((differing[..., None] >> np.arange(self.bits)) & 1).sum(axis=-1)
-        return count <= self.radius
+    def of(self, matrix: np.ndarray) -> np.ndarray:
+        return ((self._projected(matrix) > 0) << np.arange(self.bits)).sum(axis=1)
+
+    def _prices(self, vectors: np.ndarray) -> np.ndarray:
+        """What each differing sign costs each query; nothing for an all-zero query."""
+        return self._projected(np.nan_to_num(unit_rows(vectors))) ** 2
+
+    def costs(self, vectors: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """The cost of one cell for each query."""
+        differing = ((self.of(vectors) ^ cells)[:, None] >> np.arange(self.bits)) & 1
+        return (differing * self._prices(vectors)).sum(axis=1)
+
+    def _looks(self, vectors: np.ndarray):
+        """256 queries at a time, all cells across: does the query look into the cell?"""
+        own = self.of(vectors)
+        prices = np.ones((len(vectors), self.bits)) if self.reach is None else self._prices(vectors)
+        limit = self.radius if self.reach is None else self.reach
+        signs = ((np.arange(1 << self.bits)[:, None] >> np.arange(self.bits)) & 1).astype(float)
+        for at in range(0, len(vectors), 256):
+            price, sign = prices[at : at + 256], signs[own[at : at + 256]]
+            # A sign costs where the cell has 1 and the query 0, or the other way round.
+            cost = (price * sign).sum(axis=1, keepdims=True) + (price * (1 - 2 * sign)) @ signs.T
+            yield cost <= limit + 1e-9
+
+    def looked_into(self, vectors: np.ndarray) -> np.ndarray:
+        """Queries down, all cells across."""
+        return np.concatenate(list(self._looks(vectors)))
+
+    def looked_into_bits(self, vectors: np.ndarray) -> np.ndarray:
+        """The same as bits, eight queries to a row."""
+        return np.concatenate([np.packbits(x, axis=0) for x in self._looks(vectors)])
+
+
+def fitted_cells(
+    queries: DataFrame, corpus: DataFrame, limit: int = 10, *, tenant_filter: str = "post", share: float = FITTED_RECALL
+) -> SignCells:
+    """Cells that grow with the corpus, and the reach by which a sample of the queries finds
+    ``share`` of its ``limit`` nearest rows.
+
+    The sample, chosen by a hash of the query id, is searched exactly first.
+    """
+    rows = corpus.filter("embedding is not null")
+    bits = min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(max(1, rows.count()) / CELL_ROWS)))))
+    some = queries.filter("query_vector is not null").orderBy(F.xxhash64(F.col("qid").cast("string")), "qid").limit(FITTED_QUERIES)
+    some = kept(some.select("qid", "tenant_id", "query_vector"), "fitted")
+    nearest = top_per_key(vec_candidates(some, rows, limit, tenant_filter=tenant_filter), ["qid"], ["d", "id"], limit, rank="place")
+    found = rows.select(F.col("id").cast("long").alias("id"), "embedding").join(F.broadcast(nearest.select("qid", "id")), "id")
+    pairs = found.join(F.broadcast(some.select(F.col("qid").cast("string").alias("qid"), "query_vector")), "qid").toPandas()
+    cells = SignCells(bits=bits, reach=0.0)
+    if len(pairs):
+        asked, near = (np.stack(pairs[c].to_numpy()).astype(np.float64) for c in ("query_vector", "embedding"))
+        cells.reach = float(np.quantile(cells.costs(asked, cells.of(near)), share, method="higher"))
+    return cells
 
 
 def with_cells(corpus: DataFrame, cells: SignCells) -> DataFrame:
@@ -79,7 +136,7 @@ class _BestLists:
     def __init__(self, qids, tenants, vectors, k, same_tenant, cells):
         self.qids, self.k = qids, k
         self.units, self.same_tenant, self.cells = unit_rows(vectors), same_tenant, cells
-        self.looks = cells.looked_into(cells.of(vectors)) if cells else None
+        self.looks = cells.looked_into_bits(vectors) if cells else None
         self.tenant_names: list[str] = []
         self.tenant_code: dict[str, int] = {}
         self.own_codes = self._codes(pa.array(tenants.tolist(), pa.string()))
@@ -103,7 +160,7 @@ class _BestLists:
             d = np.full((len(self.qids), len(corpus)), np.inf)
             cell = self.cells.of(corpus)
             for c in np.unique(cell):
-                asking, rows = np.nonzero(self.looks[:, c])[0], np.nonzero(cell == c)[0]
+                asking, rows = np.nonzero(np.unpackbits(self.looks[:, c], count=len(self.qids)))[0], np.nonzero(cell == c)[0]
                 if len(asking):
                     d[np.ix_(asking, rows)] = distances(self.units[asking], unit[rows])
         return np.where(np.isnan(d), _UNDEFINED, d)
@@ -162,7 +219,7 @@ def _scanned(block: DataFrame, rows: DataFrame, k: int, same_tenant: bool, cells
     vectors = np.stack(block["query_vector"].to_numpy()).astype(np.float64)
     qids, tenants = block["qid"].to_numpy(dtype=object), block["tenant_id"].to_numpy(dtype=object)
     if cells and "cell" in rows.columns:
-        looked = cells.looked_into(cells.of(vectors)).any(axis=0)
+        looked = cells.looked_into_bits(vectors).any(axis=0)
         rows = rows.filter(F.col("cell").isin(np.nonzero(looked)[0].tolist()))
 
     def run(batches):

@@ -171,15 +171,19 @@ def vector_ranks_tenant_before(T):
     return rounded(nearest.vec_ranks(found, T["search_queries"]), d=6)
 
 
+def _approximate(T):
+    cells = nearest.fitted_cells(T["search_queries"], T["semantic_index"])
+    return nearest.vec_candidates(T["search_queries"], T["semantic_index"], cells=cells)
+
+
 @query("vector_candidates_approximate")
 def vector_candidates_approximate(T):
-    return nearest.vec_candidates(T["search_queries"], T["semantic_index"], cells=nearest.SignCells())
+    return _approximate(T)
 
 
 @query("vector_approximate_recall")
 def vector_approximate_recall(T):
-    near = nearest.vec_candidates(T["search_queries"], T["semantic_index"], cells=nearest.SignCells())
-    return nearest.recall(near, nearest.vec_candidates(T["search_queries"], T["semantic_index"]))
+    return nearest.recall(_approximate(T), nearest.vec_candidates(T["search_queries"], T["semantic_index"]))
 
 
 # --- hybrid ----------------------------------------------------------------------

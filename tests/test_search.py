@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows_of
 from lorebase.functions.text import english_lexeme
@@ -153,6 +154,27 @@ def test_cells_with_full_radius_are_exact(spark):
     assert 0 < r["found_rows"] <= r["exact_rows"]
 
 
+def test_fitted_cells_find_the_nearest(spark):
+    """Recall at 10 on given embeddings that the cells were not fitted on, too."""
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), F.lit("a").alias("tenant_id"), "embedding")
+    asked_ = given.filter("id % 4 = 0").select(F.col("id").cast("string").alias("qid"), "tenant_id", F.col("embedding").alias("query_vector"))
+    cells = nearest.fitted_cells(asked_, given)
+    assert asked_.count() > nearest.FITTED_QUERIES and cells.bits > nearest.SignCells().bits
+    r = nearest.recall(nearest.vec_candidates(asked_, given, cells=cells), nearest.vec_candidates(asked_, given)).first()
+    assert r["exact_rows"] == 10 * asked_.count() and r["recall"] >= 0.9
+    looks = cells.looked_into(np.stack([x.query_vector for x in asked_.limit(50).collect()]).astype(float))
+    assert looks.mean() < 1
+
+
+def test_looked_into_costs_what_differs():
+    rng = np.random.default_rng(4)
+    vectors, others = rng.normal(size=(20, DIM)), rng.normal(size=(20, DIM))
+    cells = nearest.SignCells(bits=5, reach=1.5)
+    of = cells.of(others)
+    assert (cells.looked_into(vectors)[np.arange(20), of] == (cells.costs(vectors, of) <= 1.5)).all()
+    assert cells.looked_into(np.zeros((1, DIM))).all()
+
+
 def test_own_text_finds_the_document(spark):
     docs = [(i, "a", f"token{i} shared words here", None) for i in range(30)]
     q = [(f"q{i}", "a", f"token{i} shared words here", None) for i in range(30)]
