@@ -273,3 +273,26 @@ def search_source_rows(T):
     )
     label = F.coalesce(F.get_json_object("source_row", "$.rule_type"), F.get_json_object("source_row", "$.title"))
     return rows.select("qid", "rank", "source_table", "source_id", label.alias("label"))
+
+
+# What stands for the row of a source table.
+_LABELS = {
+    "project_knowledge": "title", "brand_messaging": "category", "agent_identity": "callsign", "decisions": "title",
+    "known_rules": "rule_type", "sop_registry": "title", "tasks": "title", "document_chunks": "source_name",
+}
+_ALL_SOURCES = " union all ".join(
+    f"select '{t}' as source_table, cast({key} as varchar) as source_id, {_LABELS[t]} as label from {t}" for t, key in hybrid.SOURCE_KEYS.items()
+)
+
+
+@query(
+    "search_source_rows_all",
+    _SEARCH + f""", src as ({_ALL_SOURCES})
+select qid, rank, source_table, source_id, label from hits join src using (source_table, source_id)""",
+    ["semantic_index", "search_queries", *hybrid.SOURCE_KEYS],
+)
+def search_source_rows_all(T):
+    """The source rows of the hits in all eight source tables."""
+    rows = hybrid.fetch_sources(hybrid.search_catalog(T["search_queries"], T, config="simple"), T)
+    label = F.coalesce(*(F.when(F.col("source_table") == t, F.get_json_object("source_row", f"$.{c}")) for t, c in _LABELS.items()))
+    return rows.select("qid", "rank", "source_table", "source_id", label.alias("label"))

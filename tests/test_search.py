@@ -189,3 +189,14 @@ def test_authority_order(spark, frame):
     assert [r.id for r in got] == [3, 1, 2]
     got = hybrid.rerank_by_authority(hits, tiers, {"sacred": 1.5, "deprecated": 0.1}).orderBy("authority_rank").collect()
     assert [r.id for r in got] == [3, 2, 1]
+
+
+def test_hits_of_every_source_table_get_their_row(spark, store):
+    from lorebase.sources.derived import DERIVED
+
+    tables = sorted(set(re.findall(r"(?:then|else) '([a-z_]+)'", DERIVED["semantic_index"].split(" as source_table")[0])))
+    assert len(tables) == 8 and set(hybrid.SOURCE_KEYS) == set(tables)
+    hits = spark.createDataFrame([("q", k, t, f"{k}") for k, t in enumerate(tables)], "qid string, rank int, source_table string, source_id string")
+    T = store(**{t: spark.createDataFrame([(f"{k}", t)], f"{hybrid.SOURCE_KEYS[t]} string, body string") for k, t in enumerate(tables)})
+    got = rows_of(hybrid.fetch_sources(hits, T), "source_table", "source_row")
+    assert [t for t, _ in got] == tables and all(f'"body":"{t}"' in row for t, row in got)
