@@ -1,6 +1,7 @@
 """Column helpers of the corpus operators."""
 
 import sys
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -39,12 +40,52 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")
 
 
-def share_of(df: DataFrame, key: Column, total: int, budget: int) -> DataFrame:
-    """The share ``budget / total`` of the rows, chosen by a hash of ``key``; all rows if that is over 1."""
-    parts = 1 << 40
-    return df if total <= budget else df.filter(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(parts)) < parts * budget // total)
+_PARTS = 1 << 40
 
 
-def sampled(df: DataFrame, key: Column, weight: Column, budget: int) -> DataFrame:
-    """About ``budget`` units of ``weight`` from ``df``."""
-    return share_of(df, key, df.agg(F.sum(weight)).first()[0] or 0, budget)
+def _place(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(7)), F.lit(_PARTS))
+
+
+def budgets(sizes: dict, budget: int) -> dict:
+    """Parts of ``budget`` for classes of these sizes: equal, and what small ones leave goes to the others."""
+    out, left = {}, budget
+    for k, (name, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], str(x[0])))):
+        out[name] = min(n, max(1, left // (len(sizes) - k)))
+        left = max(0, left - out[name])
+    return out
+
+
+@dataclass
+class ClassSample:
+    """Which rows of each class are sampled, and how many characters of a text at most."""
+
+    rows: dict  # rows of each class in the whole table
+    limits: dict  # places below this are taken
+    most: dict
+
+    def _of(self, label: Column, values: dict) -> Column:
+        return F.try_element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), label)
+
+    def takes(self, label: Column, key: Column) -> Column:
+        return F.coalesce(_place(key) < self._of(label, self.limits), F.lit(False)) if self.limits else F.lit(False)
+
+    def cut(self, label: Column, text: Column) -> Column:
+        return F.substring(text, F.lit(1), self._of(label, self.most)) if self.most else text
+
+
+def class_sample(rows: DataFrame, label: str, key: Column, weight: Column, budget: int) -> ClassSample:
+    """A sample of about ``budget`` units of ``weight``, by ``budgets`` for the classes of all rows.
+
+    A class takes its share of the rows by a hash of ``key``, and at least its row of the smallest
+    hash that has any weight, so that every class of the table is in the sample.
+    """
+    place = _place(key)
+    found = rows.filter(F.col(label).isNotNull()).groupBy(label).agg(
+        F.sum(weight).alias("size"), F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.min(F.when(weight > 0, place)), F.min(place)).alias("first"),
+    ).collect()
+    sizes = {r[label]: r["size"] or 0 for r in found}
+    parts = budgets(sizes, budget)
+    limits = {r[label]: _PARTS if parts[r[label]] >= sizes[r[label]] else max(_PARTS * parts[r[label]] // sizes[r[label]], r["first"] + 1) for r in found}
+    return ClassSample({r[label]: r["rows"] for r in found}, limits, {k: max(1, n) for k, n in parts.items()})

@@ -7,7 +7,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from lorebase.llm.common import held_out, share_of
+from lorebase.llm.common import class_sample, held_out
+from lorebase.sources.scratch import kept
 
 BUCKETS = 1 << 18
 #: Distinct words whose features one Python worker remembers.
@@ -98,20 +99,25 @@ def minimised(gradient, size: int, steps: int = 200, rate: float = 0.1, sparse=N
 
 
 def sample_rows(docs: DataFrame, marks: DataFrame, label: str, featurise, budget: int) -> pd.DataFrame:
-    """``label, ids, more`` of about ``budget`` characters of ``docs`` that ``marks`` labels.
+    """``label, ids, more, weight`` of about ``budget`` characters of ``docs`` that ``marks`` labels.
 
-    ``featurise(text)`` gives the feature ids and a list of words to keep.  Only lengths
-    are joined to find the share to take, and only the texts of that share to take it; what
-    reaches the driver is bounded by the budget.
+    ``featurise(text)`` gives the feature ids and a list of words to keep.  Every label is in the
+    sample, with an equal part of the budget; ``weight`` is the number of rows that a row
+    stands for, 1 on average.  Only lengths are joined to find the rows to take, and only these
+    rows' ids meet the texts; what reaches the driver is bounded by the budget.
     """
     rows = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     marks = marks.select("doc_id", F.col(label).cast("int").alias("label"))
-    total = rows.select("doc_id", F.length("text").alias("n")).join(marks, "doc_id").agg(F.sum("n")).first()[0]
-    some = share_of(rows, F.col("doc_id"), total or 0, budget).join(marks, "doc_id").select("text", "label")
+    lengths = kept(rows.select("doc_id", F.length("text").alias("n")).join(marks, "doc_id"), "lengths")
+    sample = class_sample(lengths, "label", F.col("doc_id"), F.col("n"), budget)
+    chosen = lengths.filter(sample.takes(F.col("label"), F.col("doc_id"))).select("doc_id", "label").distinct()
+    some = rows.join(F.broadcast(chosen), "doc_id").select(sample.cut(F.col("label"), F.col("text")).alias("text"), "label")
 
     def run(batches):
         for b in batches:
             found = [featurise(t) for t in b["text"]]
             yield pd.DataFrame({"label": b["label"], "ids": [sorted(f[0]) for f in found], "more": [f[1] for f in found]})
 
-    return some.mapInPandas(run, "label int, ids array<int>, more array<string>").toPandas()
+    found = some.mapInPandas(run, "label int, ids array<int>, more array<string>").toPandas()
+    stands = found["label"].map(sample.rows) / found.groupby("label")["label"].transform("size")
+    return found.assign(weight=(stands / stands.mean()).astype(float))

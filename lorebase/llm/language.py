@@ -20,9 +20,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from lorebase.llm.common import held_out, sampled
+from lorebase.llm.common import class_sample, held_out
 
-#: Characters of the texts learnt from, about, and segments used of them.
+#: Characters of the texts learnt from, about, in equal parts for all languages; and segments used of them.
 BUDGET, LEARNT = 6_000_000, 3000
 LANDMARKS = 160
 RIDGE = 0.01
@@ -110,9 +110,12 @@ def fit_texts(texts: list[bytes], langs: list[str], seed: int = 5) -> Model:
 
 
 def fit(docs: DataFrame, budget: int = BUDGET) -> Model:
-    """Learn from a sample of the rows that have a language and are not held out."""
+    """Learn from the rows that have a language and are not held out, a sample of every language."""
     rows = docs.filter("text is not null and lang is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
-    some = sampled(rows.select("doc_id", "text", "lang"), F.col("doc_id"), F.length("text"), budget).select("text", "lang").orderBy("lang", "text").toPandas()
+    rows = rows.select("doc_id", "text", "lang")
+    sample = class_sample(rows, "lang", F.col("doc_id"), F.length("text"), budget)
+    some = rows.filter(sample.takes(F.col("lang"), F.col("doc_id"))).select(sample.cut(F.col("lang"), F.col("text")).alias("text"), "lang")
+    some = some.orderBy("lang", "text").toPandas()
     return fit_texts([t.encode() for t in some["text"]], some["lang"].tolist())
 
 

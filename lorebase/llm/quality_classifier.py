@@ -2,7 +2,7 @@
 
 Grades are ordered; P(grade <= k) is the logistic of a threshold of k less the text's score, with one
 set of hashed-text weights for all thresholds.  Learnt from a sample of the rated rows of
-about ``BUDGET`` characters; gives the expected grade and the probability of a grade of at
+about ``BUDGET`` characters, in equal parts for all grades and weighted by their rows; gives the expected grade and the probability of a grade of at
 least ``tail``, by which documents are selected.
 
 A null text counts as empty; repeated rows are scored alike; an empty table gives an empty
@@ -47,7 +47,8 @@ class Model:
         return _sigmoid(score - np.array(self.thresholds))
 
 
-def fit_rows(grades: np.ndarray, ids: list[np.ndarray]) -> Model:
+def fit_rows(grades: np.ndarray, ids: list[np.ndarray], weight=1.0) -> Model:
+    """Fit on feature ids; ``weight`` of each row, 1 on average."""
     count = int(grades.max(initial=0)) + 1
     if len(np.unique(grades)) < 2:
         return Model(max(count, 2), only=int(grades.max(initial=0)))
@@ -64,7 +65,7 @@ def fit_rows(grades: np.ndarray, ids: list[np.ndarray]) -> Model:
         edges = np.concatenate([[-np.inf], t, [np.inf]])
         low, high = edges[grades] - score, edges[grades + 1] - score
         below, above = _sigmoid(low), _sigmoid(high)
-        p = np.maximum(above - below, 1e-9)
+        p = np.maximum(above - below, 1e-9) / weight
         d_low, d_high = below * (1 - below), above * (1 - above)
         d_low[~np.isfinite(low)] = 0
         d_high[~np.isfinite(high)] = 0
@@ -85,7 +86,7 @@ def fit(docs: DataFrame, ratings: DataFrame, budget: int = BUDGET) -> Model:
     known: dict[str, tuple[int, ...]] = {}
     rated = ratings.filter("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.max("grade").alias("grade_"))
     found = sample_rows(docs, rated, "grade_", lambda text: (_ids(text, known), []), budget)
-    return fit_rows(found["label"].to_numpy(int), [np.asarray(i, np.int64) for i in found["ids"]])
+    return fit_rows(found["label"].to_numpy(int), [np.asarray(i, np.int64) for i in found["ids"]], found["weight"].to_numpy())
 
 
 def scored(docs: DataFrame, model: Model, tail: int = TAIL, keep: float = KEEP) -> DataFrame:

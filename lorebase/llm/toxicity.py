@@ -1,7 +1,7 @@
 """Counterfactual-regularised toxicity classifier (operator 5).
 
 Logistic regression on hashed words and word beginnings, fitted on a sample of the labelled
-rows of about ``BUDGET`` characters.  Every identity term of a labelled text is swapped for the
+rows of about ``BUDGET`` characters, in equal parts for both labels and weighted by their rows.  Every identity term of a labelled text is swapped for the
 other terms of its group; the squared change of the score is added to the loss, weighted by
 how often the sample has the term, so that the mere mention of a group does not move the score.
 Each swap has a small weight of its own besides; features that the sample lacks have no weight.
@@ -76,22 +76,22 @@ def swaps(terms: dict[str, int], rows: int) -> tuple[list[tuple[str, str]], np.n
     return pairs, np.array([(0.05 + terms.get(a, 0) / max(1, rows)) / len(_GROUP[a]) for a, _ in pairs])
 
 
-def fit_rows(labels: np.ndarray, ids: list[np.ndarray], terms: dict[str, int]) -> Model:
-    """Fit on feature ids; ``terms`` counts the rows that have each identity term."""
+def fit_rows(labels: np.ndarray, ids: list[np.ndarray], terms: dict[str, int], weight=1.0) -> Model:
+    """Fit on feature ids; ``terms`` counts the rows that have each identity term, ``weight`` is that of each row, 1 on average."""
     share = float(labels.mean()) if len(labels) else 0.0
     if share in (0.0, 1.0):
         return Model(-35.0 if share == 0 else 35.0)
     first = Rows(ids, LEAST)
-    w = _solved(first, labels, terms, sparse=SPARSE)
+    w = _solved(first, labels, terms, weight, sparse=SPARSE)
     second = Rows(ids, only=first.features[w[:-1] != 0])
-    w = _solved(second, labels, terms)
+    w = _solved(second, labels, terms, weight)
     return Model(float(w[-1]), {int(f): float(v) for f, v in zip(second.features, w[:-1])})
 
 
-def _solved(x: Rows, labels: np.ndarray, terms: dict[str, int], sparse: float = 0.0) -> np.ndarray:
+def _solved(x: Rows, labels: np.ndarray, terms: dict[str, int], weight=1.0, sparse: float = 0.0) -> np.ndarray:
     """Weights of the features of ``x`` and the intercept."""
     place = {int(f): k for k, f in enumerate(x.features)}
-    pairs, weight = swaps(terms, len(labels))
+    pairs, swap = swaps(terms, len(labels))
     minus = [[place[i] for i in word_features(a) if i in place] for a, _ in pairs]
     plus = [[place[i] for i in word_features(b) if i in place] for _, b in pairs]
     row = np.repeat(np.arange(len(pairs)), [len(m) + len(p) for m, p in zip(minus, plus)])
@@ -100,10 +100,10 @@ def _solved(x: Rows, labels: np.ndarray, terms: dict[str, int], sparse: float =
     n, d = len(labels), len(x.features)
 
     def gradient(w):
-        error = (_sigmoid(x.times(w[:d]) + w[d]) - labels) / n
+        error = weight * (_sigmoid(x.times(w[:d]) + w[d]) - labels) / n
         g = np.append(x.transposed(error) + RIDGE * w[:d], error.sum())
         if len(column):
-            change = np.bincount(row, weights=sign * w[column], minlength=len(pairs)) * weight
+            change = np.bincount(row, weights=sign * w[column], minlength=len(pairs)) * swap
             g[:d] += 2 * SWAP * np.bincount(column, weights=sign * change[row], minlength=d)
         return g
 
@@ -119,8 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, budget: int = BUDGET) -> Model:
 
     marked = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic_"))
     found = sample_rows(docs, marked, "toxic_", featurise, budget)
-    terms = found["more"].explode().value_counts().to_dict()
-    return fit_rows(found["label"].to_numpy(float), [np.asarray(i, np.int64) for i in found["ids"]], terms)
+    terms = found[["more", "weight"]].explode("more").groupby("more")["weight"].sum().to_dict()
+    return fit_rows(found["label"].to_numpy(float), [np.asarray(i, np.int64) for i in found["ids"]], terms, found["weight"].to_numpy())
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -439,6 +439,30 @@ def test_language_edges(odd, none):
     assert known.schema == odd.schema and known.filter("doc_id in (4, 5, 6, 15)").count() == 0
 
 
+def test_every_class_is_learnt_at_every_size(spark):
+    """A language, grade or label of a few rows stays when the sample is far smaller than the table."""
+    rows = [(i, f"the common words of text {i} again", "en", 0) for i in range(3000)] + [(9000, "żółw jęż łódź " * 400, "pl", 2), (9002, "vous êtes là", "fr", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, grade int")
+    free = docs.filter(~language.held_out(F.col("doc_id")))
+    assert free.filter("lang <> 'en'").count() == 2
+    assert language.fit(docs, budget=300).languages == ["en", "fr", "pl"]
+    assert quality_classifier.fit(docs, docs.select("doc_id", "grade"), budget=300).grades == 3
+    toxic = docs.select("doc_id", F.when(F.col("doc_id") == 9002, 1).otherwise(0).alias("toxic"))
+    assert abs(toxicity.fit(docs, toxic, budget=300).intercept) < 35
+    long = spark.createDataFrame([(k, f"{'word ' * 20_000}{k}", "en") for k in range(8)], "doc_id bigint, text string, lang string")
+    assert language.fit(long, budget=500).languages == ["en"]
+
+
+def test_sampled_classes_keep_their_weight(spark):
+    from lorebase.llm.hashed_text import sample_rows
+
+    docs = spark.createDataFrame([(i, f"text {i:05d}") for i in range(4000)], "doc_id bigint, text string")
+    marks = docs.select("doc_id", F.when(F.col("doc_id") % 20 == 0, 1).otherwise(0).alias("mark"))
+    found = sample_rows(docs, marks, "mark", lambda t: ({1}, []), 4000)
+    assert len(found) < 1000 and (found["label"] == 1).mean() > 0.25
+    assert abs(found["weight"].mean() - 1) < 1e-9 and abs((found["weight"] * found["label"]).mean() - 0.05) < 0.01
+
+
 # ---- pipeline
 
 
