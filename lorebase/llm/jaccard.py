@@ -17,7 +17,7 @@
 Words are runs of other characters than blanks, A-Z in lower case.  Texts without words have an
 empty set and no links; fewer words than a shingle has count as one shingle.  A null ``doc_id``
 is larger than every id and stays null where it is all that is reached; rows with one id are
-one document.  An empty table gives an empty result; other columns are not read.  Shingles
+one document, and rows without one are one only where their sets are equal.  An empty table gives an empty result; other columns are not read.  Shingles
 are compared as 64-bit hashes and sets as 128-bit hashes.
 """
 
@@ -210,11 +210,17 @@ _FOUND = pa.schema([
 _FOUND_SQL = "doc_id bigint, n bigint, holder bigint, wanted int, prefix int, shared array<bigint>"
 
 
-def _find(key, blobs: pa.Table, answers: pa.Table, parts: int) -> pa.Table:
-    """A row per document; sets that may have links carry their shared shingles, rarest first."""
+def _find(key, blobs: pa.Table, answers: pa.Table, parts: int, free: int) -> pa.Table:
+    """A row per document; sets that may have links carry their shared shingles, rarest first.
+
+    A set that only rows without an id have is held by a number of its own, from ``free`` on.
+    """
     bucket = Bucket(blobs)
     s = Shingles(bucket.data, bucket.ends)
     holder, stands = noted(answers)
+    a, b = s.sets()
+    own = np.uint64(free) + mixed(a ^ b * ODD[13]) % np.uint64(max(1, int(LAST) - free))
+    holder = np.where((holder == LAST) & (s.n > 0), own.astype(np.int64), holder)
     keep, keys, of, _ = _counted(s, stands)
     count = np.zeros(len(keys), np.uint8)
     edges = np.searchsorted(part_of(keys << np.uint64(16), parts), np.arange(parts + 1))
@@ -368,17 +374,19 @@ def linked(sets: DataFrame) -> DataFrame:
 def joined(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
     documents, _, parts = held(docs.select("doc_id", "text"), ["doc_id"])
-    ask = lambda fn: lambda key, left, right: fn(key, left, right, parts)
+    greatest = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
+    free = 0 if greatest is None else min(max(greatest + 1, 0), int(LAST))
+    ask = lambda fn, *more: lambda key, left, right: fn(key, left, right, parts, *more)
     answered = lambda df: df.groupBy("to").applyInArrow(_answered, ROW_SQL).groupBy("to")
     asked = documents.groupBy("to").applyInArrow(lambda key, t: _ask_sets(key, t, parts), ROW_SQL)
     asked = documents.groupBy("to").cogroup(answered(asked)).applyInArrow(ask(_ask_counts), ROW_SQL)
-    rows = kept(documents.groupBy("to").cogroup(answered(asked)).applyInArrow(ask(_find), _FOUND_SQL), "sets")
-    sets = rows.filter("shared is not null").select(F.col("doc_id").alias("doc"), "n", "wanted", "prefix", "shared")
+    rows = kept(documents.groupBy("to").cogroup(answered(asked)).applyInArrow(ask(_find, free), _FOUND_SQL), "sets")
+    sets = rows.filter("shared is not null").select(F.col("holder").alias("doc"), "n", "wanted", "prefix", "shared")
     found = linked(sets).select(F.col("node").alias("holder"), "component")
     # Documents without words stay by themselves, whatever their id shares.
     out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("holder")).alias("holder")).join(found, "holder", "left")
     component = F.coalesce("component", "holder", "doc_id")
-    real = lambda c: F.nullif(c, F.lit(int(LAST)).cast("long"))
+    real = lambda c: F.when(c < F.lit(free).cast("long"), c)
     return out.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(component).alias("component_id"))
 
 

@@ -235,6 +235,18 @@ def test_components_against_brute_force(odd, none, small_buckets):
     assert jaccard.joined(none).collect() == []
 
 
+def test_rows_without_id_are_not_one_document(spark, small_buckets):
+    """Near copies without an id link to their own document only."""
+    words = lambda x: " ".join(f"{x}{k}" for k in range(60))
+    texts = [(5, words("a")), (9, words("b")), (None, words("a") + " end"), (None, words("b") + " end"), (None, words("c")), (None, words("c") + " end"), (None, words("d"))]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    assert plain(jaccard.joined(df)) == sorted(
+        [(5, 56, 5), (9, 56, 9), (None, 57, 5), (None, 57, 9), (None, 56, None), (None, 57, None), (None, 56, None)], key=repr)
+    assert {5, 9} <= {r.doc_id for r in jaccard.first_documents(df).collect()}
+    alone = spark.createDataFrame([(None, t) for _, t in texts], "doc_id bigint, text string")
+    assert {r.component_id for r in jaccard.joined(alone).collect()} == {None}
+
+
 def test_components_of_edited_copies(spark, small_buckets):
     import random
 
