@@ -67,3 +67,43 @@ counts as (
 )
 select *, broken is null as kept from named
 """ % (", ".join(f"'{w}'" for w in STOP_FORMS), " ".join(_broken(r) for r in THRESHOLDS))
+
+FILTER_AUDIT = r"""
+with texts as (
+    select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents
+), marks as (
+    select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels where doc_id is not null group by doc_id
+), failed as (
+    select t.doc_id, part, coalesce(good, false) as good, coalesce(toxic, false) as toxic, map {
+        'A': len(ws) < 100, 'B': 100 * len(list_distinct(ws)) < 80 * len(ws),
+        'C': 100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text), 'D': regexp_matches(text, '[#$%&*|]'),
+        'E': coalesce(t.doc_id, 9223372036854775807) > min(coalesce(t.doc_id, 9223372036854775807)) over (partition by text)
+    } as fails
+    from texts t left join marks m on t.doc_id = m.doc_id
+), grouped as (
+    select part, fails, good, toxic, count(*) as n from failed group by all
+), letters(f) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+orders as (
+    select a.f || b.f || c.f || d.f || e.f as filter_order from letters a, letters b, letters c, letters d, letters e
+    where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps as (
+    select filter_order, step, substr(filter_order, step, 1) as filter, string_split(substr(filter_order, 1, step - 1), '') as earlier
+    from orders, (select unnest(range(1, 6)) as step)
+), rows as (
+    select part, filter_order, step, filter, good, toxic, n, fails[filter] as fails_it,
+        len(list_filter(earlier, lambda x: x <> '' and fails[x])) > 0 as gone,
+        len(list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: fails[x])) = 1 as once
+    from grouped, steps
+), found as (
+    select part, filter_order, step::int as step, filter,
+        coalesce(sum(n) filter (not gone and not fails_it), 0)::bigint as kept,
+        coalesce(sum(n) filter (not gone and fails_it), 0)::bigint as removed,
+        coalesce(sum(n) filter (gone and fails_it), 0)::bigint as redundant,
+        coalesce(sum(n) filter (fails_it and once), 0)::bigint as unique_fails,
+        coalesce(sum(n) filter (not gone and fails_it and good), 0)::bigint as good_lost,
+        coalesce(sum(n) filter (not gone and fails_it and toxic), 0)::bigint as toxic_lost
+    from rows group by all
+)
+select f.*, (sum(removed) over (partition by part, filter))::bigint as shapley from found f
+"""
