@@ -1,6 +1,7 @@
 """SQL that gives the rows of the queries, for DuckDB."""
 
 from lorebase.llm.quality_rules import STOP_FORMS, THRESHOLDS
+from lorebase.llm.secret_scan import ACCESS, ALLOWED, ASSIGN, ASSIGN_VALUE, CANDIDATE, CLASSES, HEX, IN_URL, N_LOG_N, WINDOW
 from lorebase.llm.url_filter import LISTED_HOSTS
 
 TOP_K = """
@@ -107,3 +108,49 @@ orders as (
 )
 select f.*, (sum(removed) over (partition by part, filter))::bigint as shapley from found f
 """
+
+
+def _literal(form: str) -> str:
+    return "'" + form.replace("'", "''") + "'"
+
+
+def _placed(form: str) -> str:
+    """A subquery of the matches of a form with their places and the text before them."""
+    form = _literal(form)
+    return f"""(
+        select doc, list_sum(list_transform(gaps[:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[:k - 1], lambda x: length(x))), 0) as start,
+            ms[k] as m, gaps[k] as gap
+        from (select doc, regexp_extract_all(text, {form}) as ms, string_split_regex(text, {form}) as gaps from texts where regexp_matches(text, {form})),
+            unnest(range(1, len(ms) + 1)) as t(k))"""
+
+
+SECRET_SCAN = f"""
+with texts as (select row_number() over () as doc, doc_id, coalesce(text, '') as text from documents),
+base as (
+    select doc, 'assign' as kind, 0 as rank, start, start + length(m) as stop from {_placed(ASSIGN)} where length(regexp_extract(m, {_literal(ASSIGN)}, 2)) >= {ASSIGN_VALUE}
+    union all select doc, 'access', 1, start, start + length(m) from {_placed(ACCESS)}
+    union all select doc, 'hex', 2, start, start + length(m) from {_placed(HEX)}
+), windows as (
+    select doc, start, m, list_transform(range(1, length(m) - {WINDOW} + 2), lambda i: substr(m, i, {WINDOW})) as ws
+    from {_placed(CANDIDATE)} where not regexp_matches(gap, {_literal(IN_URL)}) {" ".join(f"and not regexp_matches(m, {_literal(x)})" for x in ALLOWED.values())}
+), sums as (
+    select doc, start, m, list_min(list_transform(ws, lambda w: list_sum(list_transform(
+        list_distinct(string_split(w, '')), lambda c: {N_LOG_N}[len(list_filter(string_split(w, ''), lambda x: x = c)) + 1])))) as least
+    from windows
+), spans as (
+    select * from base
+    union all
+    select doc, 'entropy', 3, start, start + length(m) from sums s
+    where least <= case {" ".join(f"when regexp_matches(m, {_literal(c.form)}) then {c.most()}" for c in CLASSES)} end
+        and not exists (select 1 from base b where b.doc = s.doc and b.start < s.start + length(m) and s.start < b.stop)
+), joined as (
+    select doc, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+        count(*) filter (kind = 'entropy') as n_entropy,
+        string_agg(kind || ':' || start::bigint || ':' || stop::bigint, ',' order by start, rank) filter (kind <> 'entropy') as base,
+        string_agg(kind || ':' || start::bigint || ':' || stop::bigint, ',' order by start, rank) as spans
+    from spans group by doc
+)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,
+    coalesce(n_entropy, 0)::bigint as n_entropy, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from texts left join joined using (doc)
+"""
