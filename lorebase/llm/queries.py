@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lorebase.llm import bpe, filter_audit, jaccard, language, packing, pivots, quality_classifier, quality_rules, secret_scan, sql, suffix_dedup, toxicity, url_filter
+from lorebase.llm import bpe, collocations, filter_audit, jaccard, language, packing, pivots, quality_classifier, quality_rules, secret_scan, sql, suffix_dedup, toxicity, url_filter
 from lorebase.llm.common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -64,16 +64,20 @@ def op12_secret_scan(spark, sf_dir):
     return secret_scan.scanned(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_exact_top_k, op3_suffix_dedup, op4_quality_classifier, op5_toxicity,
         op6_url_filter, op7_ngram_jaccard_join, op8_quality_rules, op9_byte_bpe, op10_language_id,
-        op11_filter_audit, op12_secret_scan,
+        op11_filter_audit, op12_secret_scan, op13_collocations,
     )
 }
 
 SQL = {
     "op2_exact_top_k": sql.TOP_K, "op6_url_filter": sql.URL_FILTER, "op8_quality_rules": sql.QUALITY_RULES,
-    "op11_filter_audit": sql.FILTER_AUDIT, "op12_secret_scan": sql.SECRET_SCAN,
+    "op11_filter_audit": sql.FILTER_AUDIT, "op12_secret_scan": sql.SECRET_SCAN, "op13_collocations": sql.COLLOCATIONS,
 }

@@ -154,3 +154,31 @@ select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0):
     coalesce(n_entropy, 0)::bigint as n_entropy, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
 from texts left join joined using (doc)
 """
+
+COLLOCATIONS = r"""
+with pieces as (
+    select lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from (select coalesce(lang, 'und') as lang, coalesce(text, '') as text from documents)
+), ws as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from pieces),
+spans as (
+    select lang, array_to_string(ws[i:i + m - 1], ' ') as phrase, m
+    from (select lang, ws, m, unnest(range(1, len(ws) - m + 2)) as i from ws, (select unnest(range(1, 5)) as m))
+), f as (select lang, phrase, m, count(*) as a from spans group by all having count(*) >= 30),
+sizes as (select lang, sum(len(ws))::bigint as n from ws group by lang),
+cut as (
+    select c.lang, c.phrase, c.m, c.a, k, array_to_string(string_split(c.phrase, ' ')[:k], ' ') as x, array_to_string(string_split(c.phrase, ' ')[k + 1:], ' ') as y
+    from f c, (select unnest(range(1, 4)) as k) where c.m > 1 and k < c.m
+), scores as (
+    select cut.lang, cut.phrase, cut.m, cut.a, k, x.a as l, y.a as r, ((2000000::hugeint * cut.a) // (x.a + y.a))::bigint as score
+    from cut join f x on x.lang = cut.lang and x.phrase = cut.x join f y on y.lang = cut.lang and y.phrase = cut.y
+), best as (select * from scores qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inside as (
+    select lang, array_to_string(string_split(phrase, ' ')[i:i + s - 1], ' ') as phrase, max(a) as longer
+    from (select lang, phrase, a, s, unnest(range(1, m - s + 2)) as i from f, (select unnest(range(2, 4)) as s) where s < m)
+    group by 1, 2
+)
+select b.lang, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank, b.phrase, a, l, r, n, score, m::int as n_words
+from best b join sizes using (lang) left join inside i on i.lang = b.lang and i.phrase = b.phrase
+where longer is null or 100 * longer < 80 * a
+qualify rank <= 2000
+"""
