@@ -165,13 +165,13 @@ class Bucket:
         self.ends = np.cumsum([len(t) for t in texts])
 
 
-def held(docs: DataFrame, carried) -> tuple[DataFrame, int, int]:
+def held(docs: DataFrame, carried, bucket_bytes: int | None = None) -> tuple[DataFrame, int, int]:
     """The documents as compressed tables keyed by bucket, and the numbers of buckets and parts.
 
     ``carried`` columns travel along as a struct.  All sizes follow from the bytes of text.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets, parts = max(1, -(-total // BUCKET_BYTES)), max(1, -(-total // PART_BYTES))
+    buckets, parts = max(1, -(-total // (bucket_bytes or BUCKET_BYTES))), max(1, -(-total // PART_BYTES))
     key = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))), F.lit(buckets))
     rows = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in carried)).alias("row_"),

@@ -37,6 +37,8 @@ RIGHT_BITS = 28
 HOT_TILES = 64
 #: Rows that share the choice of the best phrases of a language, before the last choice.
 SPREAD = 64
+#: Bytes of text of a bucket, and those whose words are found at once.
+BUCKET_BYTES, CHUNK = 8 << 20, 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -101,8 +103,12 @@ def _sorted_sums(codes: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarr
 
 
 def _packed(*arrays: np.ndarray) -> tuple[bytes, bytes]:
-    """Arrays as compressed bytes, and what is needed to read them."""
-    data = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    """Arrays as compressed bytes, and what is needed to read them.
+
+    The lowest bytes of all numbers stand first, then the next ones: high bytes are mostly
+    zero and cost little.
+    """
+    data = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays if len(a))
     head = ";".join([str(len(data)), *(f"{a.dtype.str},{len(a)}" for a in arrays)])
     return pa.compress(pa.py_buffer(data), codec="zstd", asbytes=True) if data else b"", head.encode()
 
@@ -112,8 +118,10 @@ def _unpacked(a: bytes, b: bytes) -> list[np.ndarray]:
     data, at, out = pa.decompress(a, decompressed_size=int(size), codec="zstd", asbytes=True) if int(size) else b"", 0, []
     for kind in kinds:
         dtype, n = kind.split(",")
-        out.append(np.frombuffer(data, dtype, int(n), at))
-        at += out[-1].nbytes
+        width = np.dtype(dtype).itemsize
+        planes = np.frombuffer(data, np.uint8, width * int(n), at).reshape(width, int(n))
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(dtype))
+        at += planes.nbytes
     return out
 
 
@@ -144,7 +152,8 @@ def _questions(codes: np.ndarray, counts: np.ndarray, me: int, parts: int, level
 def _answered(part: pa.Table, parts: int) -> pa.Table:
     """One part of a dictionary: to each bucket the total, the id, and whether it reports the phrase.
 
-    Infrequent codes have total 0.  What buckets note for themselves goes back to them.
+    A reply has a bit for each code, whether it is frequent, and the rest for frequent ones only.
+    What buckets note for themselves goes back to them.
     """
     rows = sorted(part.to_pylist(), key=lambda r: r["sender"])
     out = [(r["sender"], "note", r["to"], r["a"], r["b"]) for r in rows if r["kind"] == "note"]
@@ -164,26 +173,39 @@ def _answered(part: pa.Table, parts: int) -> pa.Table:
         ids[often] = np.arange(len(often)) * parts + me
         for r, c in zip(asked, codes):
             k = np.searchsorted(distinct, c)
-            total = np.where(sums[k] >= LEAST, sums[k], 0)
-            own = (total > 0) & ~told[k]
+            often = sums[k] >= LEAST
+            k = k[often]
+            out.append((r["sender"], r["kind"], me, *_packed(np.packbits(often), _small(sums[k]), _small(ids[k]), np.packbits(~told[k]))))
             told[k] = True
-            out.append((r["sender"], r["kind"], me, *_packed(_small(total), _small(ids[k][total > 0]), np.packbits(own))))
     return table_of(out)
 
 
-def _told(answers: pa.Table, codes: np.ndarray, parts: int, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Totals, ids and own phrases for the codes of a bucket, from the replies of all parts."""
+class Told:
+    """What a bucket knows of its codes: totals (0: infrequent), ids, and which phrases it reports."""
+
+    def __init__(self, n: int):
+        self.total, self.id, self.own = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+
+    def take(self, at: np.ndarray, often, total, ids, own):
+        """A reply about the codes at these places."""
+        at = at[np.unpackbits(often, count=len(at)).astype(bool)]
+        self.total[at], self.id[at], self.own[at] = total, ids, np.unpackbits(own, count=len(at)).astype(bool)
+
+    def arrays(self):
+        """As one reply about all codes, after their number."""
+        often = self.total > 0
+        return np.array([len(often)]), np.packbits(often), _small(self.total[often]), _small(self.id[often]), np.packbits(self.own[often])
+
+
+def _told(answers: pa.Table, codes: np.ndarray, parts: int, level: int) -> Told:
+    """What the replies of all parts say about the codes of a bucket."""
     part = _part_of(codes, parts, level)
     order = np.argsort(part, kind="stable")
     edges = np.searchsorted(part[order], np.arange(parts + 1))
-    total, ids, own = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
+    out = Told(len(codes))
     for r in answers.filter(pc.equal(answers["kind"], _ROUNDS[level])).to_pylist():
-        mine = order[edges[r["sender"]] : edges[r["sender"] + 1]]
-        t, i, o = _unpacked(r["a"], r["b"])
-        total[mine] = t
-        ids[mine[t > 0]] = i
-        own[mine] = np.unpackbits(o, count=len(mine)).astype(bool)
-    return total, ids, own
+        out.take(order[edges[r["sender"]] : edges[r["sender"] + 1]], *_unpacked(r["a"], r["b"]))
+    return out
 
 
 # ---- buckets of documents
@@ -193,27 +215,42 @@ class Words:
     """The words of a bucket in order: where they are, a hash with their language, and which follow one another in a piece."""
 
     def __init__(self, bucket: Bucket):
-        data = _LOWER[bucket.data]
-        self.data = data
-        langs = [r["lang"] for r in bucket.rows["row_"].to_pylist()]
+        langs = bucket.rows["row_"].combine_chunks().field("lang").to_pylist()
         self.langs = sorted(set(langs))
         number = {x: k for k, x in enumerate(self.langs)}
         of_row = np.array([number[x] for x in langs], np.int64)
-        word = ~(_BLANK[data] | _END[data])
+        salt = np.array([_text_hash(x) for x in self.langs], np.uint64)
+        self.data, ends = bucket.data, bucket.ends
+        begins = np.append(0, ends[:-1]) if len(ends) else ends
+        found, row = [], 0
+        while row < len(ends):  # some rows at a time: their numbers stay in the cache
+            last = max(row + 1, int(np.searchsorted(ends, begins[row] + CHUNK, side="right")))
+            found.append(self._rows(_LOWER[self.data[begins[row] : ends[last - 1]]], ends[row:last] - begins[row], begins[row], of_row[row:last], salt))
+            row = last
+        kinds = (np.int64, np.int64, np.int64, bool, np.uint64)
+        self.start, self.end, self.lang, self.follows, self.hash = (
+            np.concatenate(x) if found else np.empty(0, k) for x, k in zip(zip(*found) if found else [()] * len(kinds), kinds)
+        )
+
+    @staticmethod
+    def _rows(data, ends, first, lang, salt):
+        """For the words of some rows: start, end, language, whether the next word is in the same piece, and hash."""
+        if not len(data):
+            return tuple(np.empty(0, k) for k in (np.int64, np.int64, np.int64, bool, np.uint64))
+        stop = _END[data]
+        word = ~(_BLANK[data] | stop)
         edge = np.zeros(len(data) + 1, bool)
-        edge[bucket.ends] = True
+        edge[ends] = True
         edge[0] = True
-        self.start = np.flatnonzero(word & (np.append(True, ~word[:-1]) | edge[:-1])) if len(data) else np.empty(0, np.int64)
-        self.end = np.flatnonzero(word & (np.append(~word[1:], True) | edge[1:])) + 1 if len(data) else np.empty(0, np.int64)
-        row = np.searchsorted(bucket.ends, self.start, side="right")
-        self.lang = of_row[row]
-        stops = np.cumsum(np.append(False, _END[data]))
-        self.follows = np.zeros(len(self.start), bool)  # the next word is in the same piece
-        if len(self.start) > 1:
-            self.follows[:-1] = (row[1:] == row[:-1]) & (stops[self.start[1:]] == stops[self.end[:-1]])
-        self.hash = self._hashes(data) if len(self.start) else np.empty(0, np.uint64)
-
-    def _hashes(self, data: np.ndarray) -> np.ndarray:
+        start = np.flatnonzero(word & (np.append(True, ~word[:-1]) | edge[:-1]))
+        end = np.flatnonzero(word & (np.append(~word[1:], True) | edge[1:])) + 1
+        row = np.repeat(np.arange(len(ends)), np.diff(np.searchsorted(start, ends), prepend=0))
+        stops = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(stop, out=stops[1:])
+        follows = np.zeros(len(start), bool)
+        if len(start):
+            follows[:-1] = (row[1:] == row[:-1]) & (stops[start[1:]] == stops[end[:-1]])
+        # Hash of a slice as a difference of sums over powers, moved back to power 0.
         power = np.full(len(data), ODD[3])
         power[0] = 1
         np.cumprod(power, out=power)
@@ -222,9 +259,8 @@ class Words:
         back = np.full(len(data), _BACK)
         back[0] = 1
         np.cumprod(back, out=back)
-        words = mixed((total[self.end] - total[self.start]) * back[self.start] + (self.end - self.start).astype(np.uint64) * ODD[4])
-        salt = np.array([int.from_bytes(np.uint64(_text_hash(x)).tobytes(), "little") for x in self.langs], np.uint64)
-        return mixed(words * ODD[6] + salt[self.lang])
+        words = mixed((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64) * ODD[4])
+        return start + first, end + first, lang[row], follows, mixed(words * ODD[6] + salt[lang[row]])
 
 
 def _text_hash(text: str) -> int:
@@ -241,65 +277,55 @@ class Level:
         self.codes, self.counts = count(codes)
         self.of = np.full(n, -1, np.int64)
         self.of[at] = np.searchsorted(self.codes, codes)
-        self.total = self.id = self.own = None
-
-    def tell(self, told):
-        self.total, self.id, self.own = told
+        self.told = None
 
     def frequent(self) -> np.ndarray:
         """Where a frequent phrase starts."""
-        return (self.of >= 0) & (self.total[self.of] > 0) if len(self.total) else np.zeros(len(self.of), bool)
+        return (self.of >= 0) & (self.told.total[self.of] > 0) if len(self.codes) else np.zeros(len(self.of), bool)
 
     def totals(self, at: np.ndarray) -> np.ndarray:
-        return self.total[self.of[at]]
+        return self.told.total[self.of[at]]
+
+
+def _next(words: Words, levels: list[Level]) -> Level:
+    """Phrases of one word more: both shorter phrases are frequent, and the words stand in one piece."""
+    n, size = len(words.start), len(levels)
+    often = levels[-1].frequent()
+    at = np.flatnonzero(often[:-1] & often[1:] & words.follows[:-1])
+    codes = coded(levels[-1].told.id[levels[-1].of[at]], levels[0].told.id[levels[0].of[at + size]])
+    return Level(codes, at, n, tally)
+
 
+def _levels(words: Words, answers: pa.Table | None, parts: int, known: int) -> list[Level]:
+    """The first ``known`` lengths with what was told of them, and the next one, if there is one, to be asked.
 
-def _levels(words: Words, replies: list) -> list[Level]:
-    """The levels that the replies so far allow; the last one has no reply yet if it is to be asked."""
+    The note tells of all but the last of them, the parts of the last.
+    """
     n = len(words.start)
     levels = [Level(words.hash, np.arange(n), n, lambda c: _sorted_sums(c, None))]
-    for size, told in enumerate(replies, 1):
-        levels[-1].tell(told)
-        if size == WORDS:
-            break
-        often = levels[-1].frequent()
-        # Both shorter phrases are frequent, and the words stand in one piece.
-        both = often[:-1] & often[1:] & words.follows[:-1] if n > 1 else np.empty(0, bool)
-        at = np.flatnonzero(both)
-        last = levels[0].of[at + size]
-        codes = coded(levels[-1].id[levels[-1].of[at]], levels[0].id[last])
-        levels.append(Level(codes, at, n, tally))
+    if known:
+        for r in answers.filter(pc.equal(answers["kind"], "note")).to_pylist():
+            arrays = _unpacked(r["a"], r["b"])
+            for size, *reply in zip(*(arrays[k::5] for k in range(5))):
+                levels[-1].told = Told(int(size[0]))
+                levels[-1].told.take(np.arange(int(size[0])), *reply)
+                levels.append(_next(words, levels))
+        levels[-1].told = _told(answers, levels[-1].codes, parts, known - 1)
+        if known < WORDS:
+            levels.append(_next(words, levels))
     return levels
 
 
 def _ask(key, blobs: pa.Table, answers: pa.Table | None, parts: int, level: int) -> pa.Table:
     """Questions of a bucket about its phrases of ``level + 1`` words, and what it was told so far as a note to itself."""
     me, words = key[0].as_py(), Words(Bucket(blobs))
-    replies = _replies(answers, words, parts, level) if level else []
-    last = _levels(words, replies)[-1]
+    *known, last = _levels(words, answers, parts, level)
     out = list(_questions(last.codes, last.counts, me, parts, level))
     if level:
-        arrays = [x for total, ids, own in replies for x in (_small(total), _small(ids[total > 0]), np.packbits(own))]
-        out.append((me % parts, "note", me, *_packed(*arrays)))
+        out.append((me % parts, "note", me, *_packed(*(x for k in known for x in k.told.arrays()))))
     return table_of(out)
 
 
-def _replies(answers: pa.Table, words: Words, parts: int, level: int) -> list:
-    """Totals, ids and own phrases for the first ``level`` lengths: the last from the parts, the others from the note."""
-    out = []
-    for r in answers.filter(pc.equal(answers["kind"], "note")).to_pylist():
-        arrays = _unpacked(r["a"], r["b"])
-        for total, some, own in zip(arrays[::3], arrays[1::3], arrays[2::3]):
-            total = total.astype(np.int64)
-            ids = np.zeros(len(total), np.int64)
-            ids[total > 0] = some
-            out.append((total, ids, np.unpackbits(own, count=len(total)).astype(bool)))
-    if len(out) == level - 1:
-        codes = _levels(words, out)[-1].codes
-        out.append(_told(answers, codes, parts, level - 1))
-    return out
-
-
 _FOUND = pa.schema([
     ("lang", pa.string()), ("words", pa.list_(pa.string())), ("a", pa.int64()), ("first", pa.list_(pa.int64())), ("rest", pa.list_(pa.int64())),
 ])
@@ -309,7 +335,7 @@ _FOUND_SQL = "lang string, words array<string>, a bigint, first array<bigint>, r
 def _report(key, blobs: pa.Table, answers: pa.Table, parts: int) -> pa.Table:
     """The phrases that this bucket reports, with the totals of both sides of each cut; and its words a language (no phrase)."""
     words = Words(Bucket(blobs))
-    levels = _levels(words, _replies(answers, words, parts, WORDS))
+    levels = _levels(words, answers, parts, WORDS)
     n = np.bincount(words.lang, minlength=len(words.langs))
     found = [(x, None, int(k), None, None) for x, k in zip(words.langs, n)]
     for size in range(2, WORDS + 1):
@@ -317,12 +343,12 @@ def _report(key, blobs: pa.Table, answers: pa.Table, parts: int) -> pa.Table:
         starts = np.full(len(level.codes), -1, np.int64)
         at = np.flatnonzero(level.of >= 0)
         starts[level.of[at]] = at
-        own = np.flatnonzero(level.own)
+        own = np.flatnonzero(level.told.own)
         at = starts[own]
         first = np.stack([levels[k - 1].totals(at) for k in range(1, size)], axis=1)
         rest = np.stack([levels[size - k - 1].totals(at + k) for k in range(1, size)], axis=1)
-        for i, a, l, r in zip(at, level.total[own], first.tolist(), rest.tolist()):
-            text = [words.data[words.start[i + k] : words.end[i + k]].tobytes().decode() for k in range(size)]
+        for i, a, l, r in zip(at, level.told.total[own], first.tolist(), rest.tolist()):
+            text = [_LOWER[words.data[words.start[i + k] : words.end[i + k]]].tobytes().decode() for k in range(size)]
             found.append((words.langs[words.lang[i]], text, int(a), l, r))
     columns = list(zip(*found)) if found else [[]] * len(_FOUND)
     return pa.table([pa.array(list(c), f.type) for c, f in zip(columns, _FOUND)], schema=_FOUND)
@@ -335,7 +361,7 @@ def frequent_phrases(docs: DataFrame) -> DataFrame:
     """``lang, words, a, first, rest`` of every phrase of 2 to 4 words that occurs at least ``LEAST`` times,
     and rows without words whose ``a`` add up to the words of a language."""
     rows = docs.select("doc_id", "text", F.coalesce("lang", F.lit("und")).alias("lang"))
-    documents, _, parts = held(rows, ["lang"])
+    documents, _, parts = held(rows, ["lang"], BUCKET_BYTES)
     answered = lambda df: df.groupBy("to").applyInArrow(lambda t: _answered(t, parts), ROW_SQL).groupBy("to")
     asked = documents.groupBy("to").applyInArrow(lambda key, t: _ask(key, t, None, parts, 0), ROW_SQL)
 
