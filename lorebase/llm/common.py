@@ -40,6 +40,25 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")
 
 
+#: Shares of the rows that a key of ``spread_join`` may have before its rows are spread.
+SHARES = 500
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one``, which has a row per ``key`` at most; frequent keys go to several tasks.
+
+    ``many`` is a written table, as it is read twice.  At most ``SHARES`` keys can have more than that share
+    of its rows; only these keys are broadcast, and their rows in ``one`` are repeated once per share.
+    """
+    share = max(1, many.count() // SHARES)
+    often = many.groupBy(key).agg(F.count(F.lit(1)).alias("times_")).filter(F.col("times_") > share)
+    often = F.broadcast(often.select(key, F.ceil(F.col("times_") / share).cast("int").alias("shares_")))
+    of = F.coalesce("shares_", F.lit(1))
+    left = many.join(often, key, "left").withColumn("share_", F.pmod(F.xxhash64(*(c for c in many.columns if c != key)), of).cast("int")).drop("shares_")
+    right = one.join(often, key, "left").withColumn("share_", F.explode(F.sequence(F.lit(0), of - 1))).drop("shares_")
+    return left.join(right, [key, "share_"], how).drop("share_")
+
+
 _PARTS = 1 << 40
 
 

@@ -12,7 +12,7 @@
    many links as it has members.  Then all pairs in different components that share enough of
    their prefixes are verified, which leaves no link out; pairs within a component cannot
    change it.  Pairs that cannot link by their numbers of shared shingles, or by what both
-   lack of a common centre, are not met.
+   lack of a common centre, are not met; those of one centre meet by what they share besides it.
 
 Words are runs of other characters than blanks, A-Z in lower case.  Texts without words have an
 empty set and no links; fewer words than a shingle has count as one shingle.  A null ``doc_id``
@@ -21,6 +21,8 @@ one document, and rows without one are one only where their sets are equal.  An
 are compared as 64-bit hashes and sets as 128-bit hashes.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from lorebase.llm.buckets import (
     BYTE, LAST, ODD, ROW_SQL, Bucket, Owners, from_low_bytes, held, ids_from_bytes, least_anywhere, low_bytes, mixed, note, noted, part_of, runs, table_of,
 )
+from lorebase.llm.common import spread_join
 from lorebase.llm.components import components
 from lorebase.sources.scratch import kept
 
@@ -126,6 +129,14 @@ class Shingles:
         return out[0], out[1]
 
 
+def _written_counts(n: np.ndarray) -> bytes:
+    return pa.compress(pa.py_buffer(np.minimum(n, 2**32 - 1).astype("<u4").tobytes()), codec="zstd", asbytes=True)
+
+
+def _read_counts(b: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(b, decompressed_size=4 * n, codec="zstd", asbytes=True), "<u4")
+
+
 def _answered(part: pa.Table) -> pa.Table:
     """One part of the dictionaries of sets and of shingles."""
     rows = part.to_pylist()
@@ -136,11 +147,11 @@ def _answered(part: pa.Table) -> pa.Table:
     counted = [r for r in rows if r["kind"] == "counts"]
     if counted:
         key = np.concatenate([from_low_bytes(r["a"], 6) for r in counted])
-        n = np.concatenate([np.frombuffer(r["b"], np.uint8) for r in counted])
+        sizes = [len(r["a"]) // 6 for r in counted]
+        n = np.concatenate([_read_counts(r["b"], k) for r, k in zip(counted, sizes)])
         _, at = np.unique(key, return_inverse=True)
-        sums = np.minimum(np.bincount(at, weights=n), 255).astype(np.uint8)[at]
-        sizes = np.cumsum([len(r["b"]) for r in counted])[:-1]
-        out += [(r["sender"], "counts", r["to"], pa.compress(pa.py_buffer(x.tobytes()), codec="zstd", asbytes=True), None) for r, x in zip(counted, np.split(sums, sizes))]
+        sums = np.bincount(at, weights=n)[at]
+        out += [(r["sender"], "counts", r["to"], _written_counts(x), None) for r, x in zip(counted, np.split(sums, np.cumsum(sizes)[:-1]))]
     return table_of(out)
 
 
@@ -184,7 +195,7 @@ def _ask_counts(key, blobs: pa.Table, answers: pa.Table, parts: int) -> pa.Table
     _, keys, _, n = _counted(s, stands)
     edges = np.searchsorted(part_of(keys << np.uint64(16), parts), np.arange(parts + 1))
     out = [
-        (p, "counts", me, low_bytes(keys[a:b], 6), np.minimum(n[a:b], 255).astype(np.uint8).tobytes())
+        (p, "counts", me, low_bytes(keys[a:b], 6), _written_counts(n[a:b]))
         for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a
     ]
     out.append(note(me, parts, holder, stands))
@@ -222,11 +233,11 @@ def _find(key, blobs: pa.Table, answers: pa.Table, parts: int, free: int) -> pa.
     own = np.uint64(free) + mixed(a ^ b * ODD[13]) % np.uint64(max(1, int(LAST) - free))
     holder = np.where((holder == LAST) & (s.n > 0), own.astype(np.int64), holder)
     keep, keys, of, _ = _counted(s, stands)
-    count = np.zeros(len(keys), np.uint8)
+    count = np.zeros(len(keys), np.uint32)
     edges = np.searchsorted(part_of(keys << np.uint64(16), parts), np.arange(parts + 1))
     for r in answers.filter(pc.equal(answers["kind"], "counts")).to_pylist():
         a, b = edges[r["sender"]], edges[r["sender"] + 1]
-        count[a:b] = np.frombuffer(pa.decompress(r["a"], decompressed_size=int(b - a), codec="zstd", asbytes=True), np.uint8)
+        count[a:b] = _read_counts(r["a"], int(b - a))
     hashes, rows, times = s.hash[keep], s.row[keep], count[of]
     shared = times > 1
     hashes, rows, times = hashes[shared], rows[shared], times[shared]
@@ -258,9 +269,9 @@ def _links(both, n_a, n_b):
 
 
 def _sides(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the sizes and shared shingles of both."""
+    """Pairs (a, b) of a written table with the sizes and shared shingles of both; ``b`` may be one set in many pairs."""
     side = lambda x: sets.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("shared").alias(f"s_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b")
+    return spread_join(pairs, side("b"), "b").join(side("a"), "a")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -276,7 +287,7 @@ def _most_met(met: DataFrame, other) -> DataFrame:
 
 
 def _centred(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Each set with a centre, what it has of it, and whether they link.
+    """Each set with a centre, what it has of it, its other shared shingles (``rest``), and whether they link.
 
     A shingle's centre is the set with it that has the smallest share of shingles of its own:
     among near copies, the text that was copied.  ``low`` and ``high`` are 128 bits, those of the
@@ -293,10 +304,10 @@ def _centred(rows: DataFrame, sets: DataFrame) -> DataFrame:
         none = F.lit(0).cast("long")
         return F.aggregate(lost, none, lambda m, t: m.bitwiseOR(F.when(place(t).between(0, 63), one_bit(t)).otherwise(none)))
 
-    pairs = _most_met(met, F.col("centre")).select(F.col("doc").alias("a"), F.col("other").alias("b"))
+    pairs = kept(_most_met(met, F.col("centre")).select(F.col("doc").alias("a"), F.col("other").alias("b")), "centres")
     found = _sides(pairs, sets).withColumns({"lost": F.array_except("s_b", "s_a"), "inter": both})
     return found.select(
-        F.col("a").alias("doc"), F.col("b").alias("centre"), "inter", F.size("s_b").alias("centre_s"),
+        F.col("a").alias("doc"), F.col("b").alias("centre"), "inter", F.size("s_b").alias("centre_s"), F.array_except("s_a", "s_b").alias("rest"),
         bits(F.col("lost"), 0).alias("low"), bits(F.col("lost"), 64).alias("high"), _links(F.col("inter"), F.col("n_a"), F.col("n_b")).alias("link"),
     )
 
@@ -335,26 +346,92 @@ def _star_pairs(rows: DataFrame, turn: int) -> DataFrame:
     return _most_met(met, F.col("doc_1")).select(F.greatest("doc", "other").alias("a"), F.least("doc", "other").alias("b")).distinct()
 
 
-def _open_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs of sets in different components that share enough of their prefixes.
+def _unlike(rows: DataFrame, by: list[str], group: str) -> tuple[DataFrame, DataFrame]:
+    """Rows to be met, and rows to meet them with, for pairs of one ``by`` in different groups.
 
-    For each shingle, the component with most sets is only met by the others.
+    The group with most rows of a ``by`` is only met by the others; columns of the first end in ``_l``.
     """
-    per = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("sets"))
-    main = per.groupBy("token").agg(F.max(F.struct("sets", "component")).alias("main"), F.count(F.lit(1)).alias("components")).filter("components > 1")
-    open_ = rows.join(main.select("token", F.col("main.component").alias("main")), "token")
-    left = open_.filter("component <> main").select("token", *(F.col(c).alias(f"{c}_l") for c in _CARRIED))
-    meet = (
-        left.join(open_, "token")
-        .filter((F.col("component") != F.col("component_l")) & ((F.col("component") == F.col("main")) | (F.col("doc_l") < F.col("doc"))))
-        .filter(_possible("", "_l"))
-    )
-    times = meet.groupBy(F.greatest("doc", "doc_l").alias("a"), F.least("doc", "doc_l").alias("b")).agg(
-        F.count(F.lit(1)).alias("times"), F.min(F.least("wanted", "wanted_l")).alias("least_wanted")
-    )
+    per = rows.groupBy(*by, group).agg(F.count(F.lit(1)).alias("sets"))
+    main = per.groupBy(*by).agg(F.max(F.struct("sets", group)).alias("main"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+    open_ = rows.join(main.select(*by, F.col(f"main.{group}").alias("main")), by)
+    left = open_.filter(F.col(group) != F.col("main"))
+    return left.select(*by, *(F.col(c).alias(f"{c}_l") for c in rows.columns if c not in by)), open_
+
+
+def _once(group: str):
+    """Each pair once: the main group is only on the second side, and others meet in order."""
+    return (F.col(group) != F.col(f"{group}_l")) & ((F.col(group) == F.col("main")) | (F.col("doc_l") < F.col("doc")))
+
+
+def _pair(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(F.greatest("doc", "doc_l").alias("a"), F.least("doc", "doc_l").alias("b"))
+
+
+def _enough(prefix_rows: DataFrame) -> DataFrame:
+    """Pairs that share as much of their prefixes as the smaller l asks for."""
+    times = _pair(prefix_rows).agg(F.count(F.lit(1)).alias("times"), F.min(F.least("wanted", "wanted_l")).alias("least_wanted"))
     return times.filter("times >= least_wanted").select("a", "b")
 
 
+def _partners(inter: str, n: str):
+    """The largest size of a set that can link to a set of size ``n`` by no more than ``inter`` shared shingles."""
+    return F.floor((100 + PERCENT) * F.col(inter) / PERCENT) - F.col(n)
+
+
+def _band(n):
+    """Sizes in steps of a thirty-second."""
+    return F.floor(F.log(n.cast("double")) / math.log(1 + 1 / 32)).cast("int")
+
+
+def _by_centre(rows: DataFrame) -> DataFrame:
+    """Pairs of one centre that may link by what both have of the centre alone.
+
+    Each must have enough of the centre for the other's size.  The smaller one then has enough for
+    its own size too, and meets larger ones by bands of sizes: most sets that do not
+    link to their centre have too little of it for any set of the centre's size, and meet nothing here.
+    """
+    rows = rows.withColumn("most", _partners("inter", "n"))
+    small = rows.filter("most >= n").withColumn("band", _band(F.col("n")))
+    low, high = F.ceil(PERCENT * F.col("n") / 100), F.least("n", "most")
+    large = rows.filter(high >= low).withColumn("band", F.explode(F.sequence(_band(low), _band(high))))
+    by = ["token", "centre", "band"]
+    fits = (F.col("n_l") <= F.col("n")) & (F.col("n_l") <= F.col("most")) & (F.col("n") <= F.col("most_l")) & (F.col("component") != F.col("component_l")) & (F.col("doc") != F.col("doc_l"))
+    fits = fits & ((F.col("n_l") < F.col("n")) | ~F.col("wide") | (F.col("doc_l") < F.col("doc")))  # of two that are both, one order
+    large = large.withColumn("wide", F.col("most") >= F.col("n"))
+    # The component with most rows of a key meets itself on neither side.
+    per = small.select(*by, "component").unionByName(large.select(*by, "component")).groupBy(*by, "component").agg(F.count(F.lit(1)).alias("sets"))
+    main = per.groupBy(*by).agg(F.max(F.struct("sets", "component")).alias("main"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+    main = main.select(*by, F.col("main.component").alias("main"))
+    left = small.join(main, by).select(*by, "main", *(F.col(c).alias(f"{c}_l") for c in [*_CARRIED, "most"]))
+    right = large.join(main, by)
+    others = left.filter("component_l <> main").drop("main").join(right.drop("main"), by).filter(fits & _possible("", "_l"))
+    mains = left.filter("component_l = main").drop("main").join(right.filter("component <> main").drop("main"), by).filter(fits & _possible("", "_l"))
+    return _enough(others.unionByName(mains))
+
+
+def _by_rest(sets: DataFrame) -> DataFrame:
+    """Pairs of one centre that share shingles besides the centre's, enough to link with what both have of it."""
+    left, right = _unlike(sets.select(*_CARRIED, F.explode("rest").alias("token")), ["token", "centre"], "component")
+    meet = left.join(right, ["token", "centre"]).filter(_once("component")).filter(_near(F.col("n"), F.col("n_l")))
+    most = F.least("inter", "inter_l")
+    times = _pair(meet).agg(F.count(F.lit(1)).alias("times"), F.first(most).alias("most"), F.first(F.col("n")).alias("n_a"), F.first(F.col("n_l")).alias("n_b"))
+    return times.filter(_links(F.col("most") + F.col("times"), F.col("n_a"), F.col("n_b"))).select("a", "b")
+
+
+def _open_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs of sets in different components that share enough of their prefixes and can link.
+
+    Pairs of different centres meet by prefix tokens.  Pairs of one centre share at most the smaller
+    part that either has of it, and shingles besides: a pair that needs some of the latter meets by these,
+    the others by prefix tokens among the few that need none.  So a large group of texts that are all
+    alike, but less than linked, does not meet itself.
+    """
+    # A set of the main component of a token is in no pair of that token with its own component.
+    left, right = _unlike(rows, ["token"], "centre")
+    apart = left.join(right, "token").filter(_once("centre") & (F.col("component") != F.col("component_l"))).filter(_possible("", "_l"))
+    return _enough(apart).unionByName(_by_centre(rows)).unionByName(_by_rest(sets)).distinct()
+
+
 def linked(sets: DataFrame) -> DataFrame:
     """``node, component`` of the sets that have links; ``sets`` has ``doc, n, wanted, prefix, shared``."""
     prefixes = kept(
@@ -362,10 +439,18 @@ def linked(sets: DataFrame) -> DataFrame:
     )
     centred = kept(_centred(prefixes, sets), "centred")
     found = components(centred.filter("link").select(F.col("doc").alias("a"), F.col("centre").alias("b")))
-    prefixes = kept(prefixes.join(centred.drop("link"), "doc", "left"), "prefixes")
+    none = F.lit(0).cast("long")
+    alone = {"centre": F.col("doc"), "inter": F.col("s"), "centre_s": F.col("s"), "low": none, "high": none}  # a set without a centre is its own
+    placed = lambda df: df.join(centred.drop("link", "rest"), "doc", "left").withColumns({c: F.coalesce(c, v) for c, v in alone.items()})
+    prefixes = kept(placed(prefixes), "prefixes")
     for turn in range(STAR_ROUNDS + 1):
         rows = _labelled(prefixes, found)
-        new = kept(_verified(_star_pairs(rows, turn) if turn < STAR_ROUNDS else _open_pairs(rows), sets), "links")
+        if turn < STAR_ROUNDS:
+            pairs = _star_pairs(rows, turn)
+        else:
+            rest = placed(sets.select("doc", "n", F.size("shared").alias("s"), "wanted")).join(centred.select("doc", "rest"), "doc")
+            pairs = _open_pairs(rows, _labelled(rest, found))
+        new = kept(_verified(kept(pairs, "pairs"), sets), "links")
         if new.limit(1).count():
             found = components(new.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     return found

@@ -265,6 +265,45 @@ def test_components_of_edited_copies(spark, small_buckets):
     assert len({c for _, _, c in found}) > 12
 
 
+def test_groups_about_the_threshold(spark, small_buckets):
+    """Large groups of which many copies link to no centre, some to each other only, and some by size."""
+    import random
+
+    rng = random.Random(11)
+    texts = []
+    for g in range(3):
+        base = [f"b{g}_{k}" for k in range(150)]
+        for k in range(70):
+            copy = list(base)
+            for _ in range(rng.choice([0, 2, 4, 5, 6, 7])):
+                copy[rng.randrange(len(copy))] = f"e{rng.randint(0, 9999)}"
+            cut = rng.choice([0, 0, 0, 10, 25, 37, 40])
+            texts.append((len(texts), " ".join(copy[cut:])))
+            if rng.random() < 0.3:  # a copy of the copy
+                copy[rng.randrange(len(copy))] = "again"
+                texts.append((len(texts), " ".join(copy)))
+    rng.shuffle(texts)
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(5)
+    found = plain(jaccard.joined(df))
+    assert found == sorted(brute_components(texts), key=repr)
+    assert 12 < len({c for _, _, c in found}) < len(texts)
+
+
+def test_shingles_of_more_than_255_sets_are_counted(spark, small_buckets):
+    texts = [(k, " ".join([f"own{k}_{j}" for j in range(k % 7)] + [f"all{j}" for j in range(40)] + [f"end{k}_{j}" for j in range(3)])) for k in range(300)]
+    found = plain(jaccard.joined(spark.createDataFrame(texts, "doc_id bigint, text string")))
+    assert found == sorted(brute_components(texts), key=repr)
+
+
+def test_spread_join(spark):
+    from lorebase.llm.common import spread_join
+
+    many = spark.createDataFrame([(1, k) for k in range(2000)] + [(k, k) for k in range(2, 40)] + [(None, 5)], "k int, v int")
+    one = spark.createDataFrame([(k, f"x{k}") for k in range(30)] + [(None, "none")], "k int, x string")
+    for how in ("inner", "left"):
+        assert plain(spread_join(many, one, "k", how).select("k", "v", "x")) == plain(many.join(one, "k", how).select("k", "v", "x"))
+
+
 def test_prefix_grows_only_where_it_pays():
     import numpy as np
 
