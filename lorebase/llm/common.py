@@ -93,16 +93,17 @@ class ClassSample:
         return F.substring(text, F.lit(1), self._of(label, self.most)) if self.most else text
 
 
-def class_sample(rows: DataFrame, label: str, key: Column, weight: Column, budget: int) -> ClassSample:
+def class_sample(rows: DataFrame, label: str, key: Column, weight: Column, budget: int, filled: Column | None = None) -> ClassSample:
     """A sample of about ``budget`` units of ``weight``, by ``budgets`` for the classes of all rows.
 
     A class takes its share of the rows by a hash of ``key``, and at least its row of the smallest
-    hash that has any weight, so that every class of the table is in the sample.
+    hash that is ``filled`` (has any weight), so that every class of the table is in the sample.
     """
+    filled = weight > 0 if filled is None else filled
     place = _place(key)
     found = rows.filter(F.col(label).isNotNull()).groupBy(label).agg(
         F.sum(weight).alias("size"), F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.min(F.when(weight > 0, place)), F.min(place)).alias("first"),
+        F.coalesce(F.min(F.when(filled, place)), F.min(place)).alias("first"),
     ).collect()
     sizes = {r[label]: r["size"] or 0 for r in found}
     parts = budgets(sizes, budget)

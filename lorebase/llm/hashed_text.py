@@ -13,6 +13,8 @@ from lorebase.sources.scratch import kept
 BUCKETS = 1 << 18
 #: Distinct words whose features one Python worker remembers.
 REMEMBERED = 400_000
+#: Characters that a sampled row costs at least, so that short texts are bounded in number too.
+SHORT = 32
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 _MARKS = re.compile(r"[^\w\s]+").findall
 
@@ -99,7 +101,7 @@ def minimised(gradient, size: int, steps: int = 200, rate: float = 0.1, sparse=N
 
 
 def sample_rows(docs: DataFrame, marks: DataFrame, label: str, featurise, budget: int) -> pd.DataFrame:
-    """``label, ids, more, weight`` of about ``budget`` characters of ``docs`` that ``marks`` labels.
+    """``label, ids, more, weight`` of about ``budget`` characters of ``docs`` that ``marks`` labels, a row counting as ``SHORT`` at least.
 
     ``featurise(text)`` gives the feature ids and a list of words to keep.  Every label is in the
     sample, with an equal part of the budget; ``weight`` is the number of rows that a row
@@ -109,7 +111,7 @@ def sample_rows(docs: DataFrame, marks: DataFrame, label: str, featurise, budget
     rows = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     marks = marks.select("doc_id", F.col(label).cast("int").alias("label"))
     lengths = kept(rows.select("doc_id", F.length("text").alias("n")).join(marks, "doc_id"), "lengths")
-    sample = class_sample(lengths, "label", F.col("doc_id"), F.col("n"), budget)
+    sample = class_sample(lengths, "label", F.col("doc_id"), F.greatest("n", F.lit(SHORT)), budget, F.col("n") > 0)
     chosen = lengths.filter(sample.takes(F.col("label"), F.col("doc_id"))).select("doc_id", "label").distinct()
     some = rows.join(F.broadcast(chosen), "doc_id").select(sample.cut(F.col("label"), F.col("text")).alias("text"), "label")
 

@@ -1,10 +1,11 @@
 """Counterfactual-regularised toxicity classifier (operator 5).
 
-Logistic regression on hashed words and word beginnings, fitted on a sample of the labelled
-rows of about ``BUDGET`` characters, in equal parts for both labels and weighted by their rows.  Every identity term of a labelled text is swapped for the
-other terms of its group; the squared change of the score is added to the loss, weighted by
-how often the sample has the term, so that the mere mention of a group does not move the score.
-Each swap has a small weight of its own besides; features that the sample lacks have no weight.
+Logistic regression on hashed words and word beginnings, the latter also by how many words of
+the text share them, fitted on a sample of the labelled rows of about ``BUDGET`` characters, in equal parts
+for both labels and weighted by their rows.  In every sampled text that holds an identity term, the
+term is swapped for each other term of its group, and the features of the swapped text are made.
+The squared change of the score, a probability, is added to the loss, so that the mere mention of a group
+does not move the score.  Features that the sample lacks have no weight.
 
 A null text counts as empty and is scored by the intercept; repeated rows are scored alike; an
 empty table gives an empty result; without labels of both kinds every score is the share
@@ -12,6 +13,9 @@ of toxic labels (0 without any).  Columns other than ``doc_id`` and ``text`` are
 null labels and rows with a null ``doc_id`` are not learnt from.
 """
 
+import json
+from collections import Counter
+from itertools import chain
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,13 +23,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from lorebase.llm.common import held_out
-from lorebase.llm.hashed_text import REMEMBERED, Rows, minimised, sample_rows, word_features, word_ids, word_set
+from lorebase.llm.hashed_text import BUCKETS, REMEMBERED, Rows, minimised, sample_rows, word_features, word_set
 
 BUDGET = 10_000_000
 THRESHOLD = 0.3
 #: Rows of the sample that must have a feature.
 LEAST = 4
-RIDGE, SWAP = 0.0001, 1.0
+RIDGE, SWAP = 0.0001, 30.0
+#: Numbers of words from which a shared feature has a weight more.
+LEVELS = (2, 3, 5)
 #: Weight of absolute values in the first fit, which chooses the features of the second.
 SPARSE = 0.002
 
@@ -48,6 +54,28 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
+def _at_level(feature: int, n: int) -> int:
+    return (feature * 40_503 + n * 7_919) % BUCKETS
+
+
+def set_ids(words, known: dict[str, tuple[int, ...]]) -> set[int]:
+    """Features of a set of words; ``known`` remembers those of a word."""
+    if len(known) > REMEMBERED:
+        known.clear()
+    for w in words:
+        if w not in known:
+            known[w] = word_features(w)
+    times = Counter(chain.from_iterable(map(known.__getitem__, words)))
+    return set(times).union(_at_level(f, n) for f, k in times.items() if k > 1 for n in LEVELS if k >= n)
+
+
+def swaps_of(words: set[str], known: dict[str, tuple[int, ...]]) -> list[tuple[list[int], list[int]]]:
+    """Features lost and gained by each swap of an identity term among the words."""
+    ids = set_ids(words, known)
+    swapped = (set_ids(words - {a} | {b}, known) for a in sorted(words.intersection(_GROUP)) for b in _GROUP[a])
+    return [(sorted(ids - s), sorted(s - ids)) for s in swapped]
+
+
 @dataclass
 class Model:
     intercept: float
@@ -57,57 +85,86 @@ class Model:
         """A function of one text; words without a weighted feature are remembered as such."""
         known: dict[str, tuple[int, ...]] = {}
         weights = self.weights
+        steps: dict[int, list[tuple[int, float]]] = {}  # of a feature: from how many words on, and the weight
+
+        def of(word):
+            for f in word_features(word):
+                if f not in steps:
+                    found = [(n, weights.get(f if n == 1 else _at_level(f, n))) for n in (1, *LEVELS)]
+                    steps[f] = [(n, w) for n, w in found if w is not None]
+                if steps[f]:
+                    yield f
 
         def score(text: str) -> float:
             words = word_set(text)
             if len(known) > REMEMBERED:
                 known.clear()
+                steps.clear()
             for w in words.difference(known):
-                known[w] = tuple(i for i in word_features(w) if i in weights)
-            found = set().union(*filter(None, map(known.__getitem__, words)))
-            return float(_sigmoid(self.intercept + sum(weights[i] for i in sorted(found))))
+                known[w] = tuple(of(w))
+            times = Counter(chain.from_iterable(map(known.__getitem__, words)))
+            return float(_sigmoid(self.intercept + sum(w for f in sorted(times) for n, w in steps[f] if times[f] >= n)))
 
         return score
 
 
-def swaps(terms: dict[str, int], rows: int) -> tuple[list[tuple[str, str]], np.ndarray]:
-    """All swaps of a term for another of its group, and the weight of each."""
-    pairs = [(a, b) for a, others in _GROUP.items() for b in others]
-    return pairs, np.array([(0.05 + terms.get(a, 0) / max(1, rows)) / len(_GROUP[a]) for a, _ in pairs])
-
-
-def fit_rows(labels: np.ndarray, ids: list[np.ndarray], terms: dict[str, int], weight=1.0) -> Model:
-    """Fit on feature ids; ``terms`` counts the rows that have each identity term, ``weight`` is that of each row, 1 on average."""
+class Swaps:
+    """Swapped rows as what they lose and gain: ``row`` and ``weight`` of each, over the features of ``x``."""
+
+    def __init__(self, x: Rows, swaps: list[list], weight: np.ndarray):
+        place = {int(f): k for k, f in enumerate(x.features)}
+        self.row = np.repeat(np.arange(len(swaps)), [len(s) for s in swaps]).astype(np.int64)
+        self.weight = weight[self.row] / np.maximum(1, [len(s) for s in swaps])[self.row] if len(self.row) else np.empty(0)
+        changes = [[(place[i], sign) for ids, sign in zip(change, (-1.0, 1.0)) for i in ids if i in place] for s in swaps for change in s]
+        self.swap = np.repeat(np.arange(len(changes)), [len(c) for c in changes]).astype(np.int64)
+        self.column = np.array([i for c in changes for i, _ in c], np.int64)
+        self.sign = np.array([v for c in changes for _, v in c])
+        self.width, self.n = len(x.features), len(swaps)
+
+    def moved(self, w: np.ndarray) -> np.ndarray:
+        """The change of the sum of weights by each swap."""
+        return np.bincount(self.swap, self.sign * w[self.column], minlength=len(self.row))
+
+
+def loss_and_gradient(x: Rows, swaps: Swaps, labels: np.ndarray, weight: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean log loss, ridge, and the mean squared change of the score over the swaps of a row.
+
+    ``w`` ends with the intercept.
+    """
+    n, d = len(labels), swaps.width
+    z = x.times(w[:d]) + w[d]
+    p = _sigmoid(z)
+    loss = -(weight * (labels * np.log(p) + (1 - labels) * np.log(1 - p))).sum() / n + RIDGE / 2 * (w[:d] ** 2).sum()
+    error = weight * (p - labels) / n
+    if len(swaps.row):
+        q = _sigmoid(z[swaps.row] + swaps.moved(w))
+        change, scale = q - p[swaps.row], SWAP * swaps.weight / n
+        loss += (scale * change**2).sum()
+        to_q = 2 * scale * change * q * (1 - q)
+        error = error + np.bincount(swaps.row, to_q - 2 * scale * change * (p * (1 - p))[swaps.row], minlength=n)
+    g = np.append(x.transposed(error) + RIDGE * w[:d], error.sum())
+    if len(swaps.column):
+        g[:d] += np.bincount(swaps.column, swaps.sign * to_q[swaps.swap], minlength=d)
+    return loss, g
+
+
+def fit_rows(labels: np.ndarray, ids: list[np.ndarray], swaps: list[list], weight=None) -> Model:
+    """Fit on feature ids; ``swaps`` has for each row what its swaps lose and gain, ``weight`` is that of each row, 1 on average."""
     share = float(labels.mean()) if len(labels) else 0.0
     if share in (0.0, 1.0):
         return Model(-35.0 if share == 0 else 35.0)
+    weight = np.ones(len(labels)) if weight is None else weight
     first = Rows(ids, LEAST)
-    w = _solved(first, labels, terms, weight, sparse=SPARSE)
+    w = _solved(first, labels, swaps, weight, sparse=SPARSE)
     second = Rows(ids, only=first.features[w[:-1] != 0])
-    w = _solved(second, labels, terms, weight)
+    w = _solved(second, labels, swaps, weight)
     return Model(float(w[-1]), {int(f): float(v) for f, v in zip(second.features, w[:-1])})
 
 
-def _solved(x: Rows, labels: np.ndarray, terms: dict[str, int], weight=1.0, sparse: float = 0.0) -> np.ndarray:
+def _solved(x: Rows, labels: np.ndarray, swaps: list[list], weight: np.ndarray, sparse: float = 0.0) -> np.ndarray:
     """Weights of the features of ``x`` and the intercept."""
-    place = {int(f): k for k, f in enumerate(x.features)}
-    pairs, swap = swaps(terms, len(labels))
-    minus = [[place[i] for i in word_features(a) if i in place] for a, _ in pairs]
-    plus = [[place[i] for i in word_features(b) if i in place] for _, b in pairs]
-    row = np.repeat(np.arange(len(pairs)), [len(m) + len(p) for m, p in zip(minus, plus)])
-    column = np.array([c for m, p in zip(minus, plus) for c in (*m, *p)], np.int64)
-    sign = np.array([s for m, p in zip(minus, plus) for s in (*[-1.0] * len(m), *[1.0] * len(p))])
-    n, d = len(labels), len(x.features)
-
-    def gradient(w):
-        error = weight * (_sigmoid(x.times(w[:d]) + w[d]) - labels) / n
-        g = np.append(x.transposed(error) + RIDGE * w[:d], error.sum())
-        if len(column):
-            change = np.bincount(row, weights=sign * w[column], minlength=len(pairs)) * swap
-            g[:d] += 2 * SWAP * np.bincount(column, weights=sign * change[row], minlength=d)
-        return g
-
-    return minimised(gradient, d + 1, sparse=np.append(np.full(d, sparse), 0.0))
+    swapped, d = Swaps(x, swaps, weight), len(x.features)
+    return minimised(lambda w: loss_and_gradient(x, swapped, labels, weight, w)[1], d + 1, sparse=np.append(np.full(d, sparse), 0.0))
 
 
 def fit(docs: DataFrame, labels: DataFrame, budget: int = BUDGET) -> Model:
@@ -115,12 +172,13 @@ def fit(docs: DataFrame, labels: DataFrame, budget: int = BUDGET) -> Model:
     known: dict[str, tuple[int, ...]] = {}
 
     def featurise(text):
-        return word_ids(text, known), sorted(word_set(text).intersection(_GROUP))
+        words = word_set(text)
+        return set_ids(words, known), [json.dumps(s) for s in swaps_of(words, known)]
 
     marked = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic_"))
     found = sample_rows(docs, marked, "toxic_", featurise, budget)
-    terms = found[["more", "weight"]].explode("more").groupby("more")["weight"].sum().to_dict()
-    return fit_rows(found["label"].to_numpy(float), [np.asarray(i, np.int64) for i in found["ids"]], terms, found["weight"].to_numpy())
+    swaps = [[json.loads(s) for s in more] for more in found["more"]]
+    return fit_rows(found["label"].to_numpy(float), [np.asarray(i, np.int64) for i in found["ids"]], swaps, found["weight"].to_numpy())
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -448,28 +448,83 @@ def test_toxicity_edges(odd, none):
 def test_swapped_terms_keep_the_score():
     import numpy as np
 
-    from lorebase.llm.hashed_text import word_ids
+    from lorebase.llm.hashed_text import word_set
 
     texts = [f"the {g} {w} were here" for g in ("women", "muslims") for w in ("idiot", "neighbours", "teachers")] * 40
     # Labels that lean on one group as well as on the insult.
     labels = np.array([1.0 if "idiot" in t or ("muslims" in t and k % 3) else 0.0 for k, t in enumerate(texts)])
-    ids = [np.array(sorted(word_ids(t, {}))) for t in texts]
-    terms = {"women": 120, "muslims": 120}
+    ids = [np.array(sorted(toxicity.set_ids(word_set(t), {}))) for t in texts]
+    swaps = [toxicity.swaps_of(word_set(t), {}) for t in texts]
 
     def gap(model):
         score = model.scorer()
         return abs(score("the muslims teachers were here") - score("the christians teachers were here"))
 
-    held = toxicity.fit_rows(labels, ids, terms)
+    held = toxicity.fit_rows(labels, ids, swaps)
     old, toxicity.SWAP = toxicity.SWAP, 0.0
     try:
-        free = toxicity.fit_rows(labels, ids, terms)
+        free = toxicity.fit_rows(labels, ids, swaps)
     finally:
         toxicity.SWAP = old
     assert gap(held) < gap(free) / 2
     assert held.scorer()("the idiot") > 0.5
 
 
+def test_toxicity_gradient_and_optimum_against_plain_steps():
+    """The gradient equals differences of the loss, swapped texts built anew; plain descent gets no lower."""
+    import numpy as np
+
+    from lorebase.llm.hashed_text import BUCKETS, Rows, word_set
+
+    rng = np.random.default_rng(8)
+    words = ["muslims", "christians", "idiot", "idiots", "women", "man", "teacher", "teachers", "here"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 6))) for _ in range(30)]
+    labels, weight = rng.integers(0, 2, 30).astype(float), rng.uniform(0.5, 1.5, 30)
+    sets = [word_set(t) for t in texts]
+    ids = [np.array(sorted(toxicity.set_ids(s, {})), np.int64) for s in sets]
+    x = Rows(ids)
+    swaps = toxicity.Swaps(x, [toxicity.swaps_of(s, {}) for s in sets], weight)
+
+    def plain_loss(w):
+        full = np.zeros(BUCKETS)
+        full[x.features] = w[:-1]
+        score = lambda s: 1 / (1 + np.exp(-(w[-1] + full[sorted(toxicity.set_ids(s, {}))].sum())))
+        total = toxicity.RIDGE / 2 * (w[:-1] ** 2).sum()
+        for s, y, k in zip(sets, labels, weight):
+            p = score(s)
+            total -= k * (y * np.log(p) + (1 - y) * np.log(1 - p)) / 30
+            others = [s - {a} | {b} for a in s if a in toxicity._GROUP for b in toxicity._GROUP[a]]
+            total += toxicity.SWAP * k / 30 * sum((score(o) - p) ** 2 for o in others) / max(1, len(others))
+        return total
+
+    w = rng.normal(0, 0.5, len(x.features) + 1)
+    loss, g = toxicity.loss_and_gradient(x, swaps, labels, weight, w)
+    assert abs(loss - plain_loss(w)) < 1e-9
+    for k in range(len(w)):
+        step = np.zeros(len(w))
+        step[k] = 1e-6
+        assert abs((plain_loss(w + step) - plain_loss(w - step)) / 2e-6 - g[k]) < 1e-6
+    model = toxicity._solved(x, labels, [toxicity.swaps_of(s, {}) for s in sets], weight)
+    w = np.zeros(len(x.features) + 1)
+    for _ in range(20_000):
+        w -= 0.05 * toxicity.loss_and_gradient(x, swaps, labels, weight, w)[1]
+    value = lambda v: toxicity.loss_and_gradient(x, swaps, labels, weight, v)[0]
+    assert value(model) < value(w) + 0.005
+
+
+def test_scorer_sums_the_features_of_a_text():
+    import numpy as np
+
+    from lorebase.llm.hashed_text import word_set
+
+    text = "idiots idiotic idiot réeuxelle réeuxen réeuxtion réeuxa réeuxb the women and the men"
+    found = toxicity.set_ids(word_set(text), {})
+    weights = {f: 0.01 * (k % 7 - 3) for k, f in enumerate(sorted(found))}
+    wanted = toxicity._sigmoid(0.2 + sum(weights[f] for f in sorted(found)))
+    assert abs(toxicity.Model(0.2, weights).scorer()(text) - wanted) < 1e-12 and len(found) > len(word_set(text))
+    assert np.isclose(toxicity.Model(0.2, weights).scorer()(""), toxicity._sigmoid(0.2))
+
+
 def test_quality_classifier_edges(odd, none):
     ratings = odd.sparkSession.createDataFrame([(1, 2), (9, 1), (13, 0), (16, 0), (None, 1), (7, None)], "doc_id bigint, grade int")
     found = quality_classifier.scored(odd, quality_classifier.fit(odd, ratings)).collect()
