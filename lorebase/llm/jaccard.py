@@ -379,8 +379,8 @@ def _partners(inter: str, n: str):
 
 
 def _band(n):
-    """Sizes in steps of a thirty-second."""
-    return F.floor(F.log(n.cast("double")) / math.log(1 + 1 / 32)).cast("int")
+    """Sizes in steps of a sixteenth."""
+    return F.floor(F.log(n.cast("double")) / math.log(1 + 1 / 16)).cast("int")
 
 
 def _by_centre(rows: DataFrame) -> DataFrame:
@@ -390,7 +390,8 @@ def _by_centre(rows: DataFrame) -> DataFrame:
     its own size too, and meets larger ones by bands of sizes: most sets that do not
     link to their centre have too little of it for any set of the centre's size, and meet nothing here.
     """
-    rows = rows.withColumn("most", _partners("inter", "n"))
+    open_ = rows.groupBy("token", "centre").agg(F.min("component").alias("lowest"), F.max("component").alias("highest"), F.max(_partners("inter", "n") >= F.col("n")).alias("any"))
+    rows = rows.join(open_.filter("lowest <> highest and any").select("token", "centre"), ["token", "centre"], "left_semi").withColumn("most", _partners("inter", "n"))
     small = rows.filter("most >= n").withColumn("band", _band(F.col("n")))
     low, high = F.ceil(PERCENT * F.col("n") / 100), F.least("n", "most")
     large = rows.filter(high >= low).withColumn("band", F.explode(F.sequence(_band(low), _band(high))))
@@ -411,7 +412,7 @@ def _by_centre(rows: DataFrame) -> DataFrame:
 
 def _by_rest(sets: DataFrame) -> DataFrame:
     """Pairs of one centre that share shingles besides the centre's, enough to link with what both have of it."""
-    left, right = _unlike(sets.select(*_CARRIED, F.explode("rest").alias("token")), ["token", "centre"], "component")
+    left, right = _unlike(sets.select("doc", "n", "inter", "component", "centre", F.explode("rest").alias("token")), ["token", "centre"], "component")
     meet = left.join(right, ["token", "centre"]).filter(_once("component")).filter(_near(F.col("n"), F.col("n_l")))
     most = F.least("inter", "inter_l")
     times = _pair(meet).agg(F.count(F.lit(1)).alias("times"), F.first(most).alias("most"), F.first(F.col("n")).alias("n_a"), F.first(F.col("n_l")).alias("n_b"))
@@ -442,14 +443,16 @@ def linked(sets: DataFrame) -> DataFrame:
     none = F.lit(0).cast("long")
     alone = {"centre": F.col("doc"), "inter": F.col("s"), "centre_s": F.col("s"), "low": none, "high": none}  # a set without a centre is its own
     placed = lambda df: df.join(centred.drop("link", "rest"), "doc", "left").withColumns({c: F.coalesce(c, v) for c, v in alone.items()})
-    prefixes = kept(placed(prefixes), "prefixes")
+    # Only tokens of more than one component are looked at any more.
+    labelled = _labelled(prefixes, found)
+    mixed_ = labelled.groupBy("token").agg(F.min("component").alias("lowest"), F.max("component").alias("highest")).filter("lowest <> highest")
+    rows = kept(placed(labelled.drop("component").join(mixed_.select("token"), "token", "left_semi")), "open")
     for turn in range(STAR_ROUNDS + 1):
-        rows = _labelled(prefixes, found)
         if turn < STAR_ROUNDS:
-            pairs = _star_pairs(rows, turn)
+            pairs = _star_pairs(_labelled(rows, found), turn)
         else:
             rest = placed(sets.select("doc", "n", F.size("shared").alias("s"), "wanted")).join(centred.select("doc", "rest"), "doc")
-            pairs = _open_pairs(rows, _labelled(rest, found))
+            pairs = _open_pairs(kept(_labelled(rows, found), "open"), _labelled(rest, found))
         new = kept(_verified(kept(pairs, "pairs"), sets), "links")
         if new.limit(1).count():
             found = components(new.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
