@@ -110,7 +110,7 @@ def _packed(*arrays: np.ndarray) -> tuple[bytes, bytes]:
     """
     data = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays if len(a))
     head = ";".join([str(len(data)), *(f"{a.dtype.str},{len(a)}" for a in arrays)])
-    return pa.compress(pa.py_buffer(data), codec="zstd", asbytes=True) if data else b"", head.encode()
+    return pa.Codec("zstd", compression_level=6).compress(pa.py_buffer(data), asbytes=True) if data else b"", head.encode()
 
 
 def _unpacked(a: bytes, b: bytes) -> list[np.ndarray]:
@@ -131,6 +131,19 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype("<u1" if most < 256 else "<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<u8")
 
 
+def _falls(totals: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Totals in the order of the ids, as steps: ids are ranks of frequency, so most steps are none or small."""
+    steps = np.diff(totals[np.argsort(ids, kind="stable")], prepend=0)
+    return _small(np.where(steps < 0, -2 * steps - 1, 2 * steps))
+
+
+def _risen(falls: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    steps = falls.astype(np.int64)
+    out = np.empty(len(steps), np.int64)
+    out[np.argsort(ids, kind="stable")] = np.cumsum(np.where(steps % 2, -(steps + 1) // 2, steps // 2))
+    return out
+
+
 def _part_of(codes: np.ndarray, parts: int, level: int) -> np.ndarray:
     """Words by hash; pairs by blocks of cells, so that a tile of frequent words is spread too."""
     place = codes if level == 0 else mixed((codes >> np.uint64(6)) * ODD[1])
@@ -175,7 +188,7 @@ def _answered(part: pa.Table, parts: int) -> pa.Table:
             k = np.searchsorted(distinct, c)
             often = sums[k] >= LEAST
             k = k[often]
-            out.append((r["sender"], r["kind"], me, *_packed(np.packbits(often), _small(sums[k]), _small(ids[k]), np.packbits(~told[k]))))
+            out.append((r["sender"], r["kind"], me, *_packed(np.packbits(often), _falls(sums[k], ids[k]), _small(ids[k]), np.packbits(~told[k]))))
             told[k] = True
     return table_of(out)
 
@@ -189,12 +202,12 @@ class Told:
     def take(self, at: np.ndarray, often, total, ids, own):
         """A reply about the codes at these places."""
         at = at[np.unpackbits(often, count=len(at)).astype(bool)]
-        self.total[at], self.id[at], self.own[at] = total, ids, np.unpackbits(own, count=len(at)).astype(bool)
+        self.total[at], self.id[at], self.own[at] = _risen(total, ids), ids, np.unpackbits(own, count=len(at)).astype(bool)
 
     def arrays(self):
         """As one reply about all codes, after their number."""
         often = self.total > 0
-        return np.array([len(often)]), np.packbits(often), _small(self.total[often]), _small(self.id[often]), np.packbits(self.own[often])
+        return np.array([len(often)]), np.packbits(often), _falls(self.total[often], self.id[often]), _small(self.id[often]), np.packbits(self.own[often])
 
 
 def _told(answers: pa.Table, codes: np.ndarray, parts: int, level: int) -> Told:
