@@ -239,15 +239,17 @@ def vec_candidates(
     tenant_filter: str = "post",
     cells: SignCells | None = None,
     block_bytes: int = BLOCK_BYTES,
+    keep: int | None = None,
 ) -> DataFrame:
     """Nearest rows for each query vector: ``(qid, id, tenant_id, d)``.
 
     ``queries``: qid, tenant_id, query_vector; rows without a vector get nothing.
     ``corpus``: id, tenant_id, embedding.  With ``tenant_filter='post'`` candidates
     of all tenants compete for the places, as in the source; with ``'pre'`` only
-    rows of the query's tenant do.  ``cells`` makes the search approximate.
+    rows of the query's tenant do.  ``cells`` makes the search approximate; ``keep`` is
+    the number of rows per query where it is not that of the source's rule.
     """
-    k = candidate_limit(limit)
+    k = keep or candidate_limit(limit)
     asked = queries.filter("query_vector is not null").select(
         F.col("qid").cast("string").alias("qid"), "tenant_id", "query_vector"
     )

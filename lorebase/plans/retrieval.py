@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from lorebase.functions.columns import top_per_key
 from lorebase.functions.vectors import cosine_distance
-from lorebase.operators import fulltext, hybrid, nearest
+from lorebase.operators import fulltext, hybrid, nearest, quantised
 from lorebase.plans.registry import joined, query, rounded
+from lorebase.sources.scratch import kept
 
 _WORDS = r"regexp_extract_all(lower(coalesce({0}, '')), '([\p{{L}}\p{{N}}]+)', 1)"
 
@@ -186,6 +188,27 @@ def vector_approximate_recall(T):
     return nearest.recall(_approximate(T), nearest.vec_candidates(T["search_queries"], T["semantic_index"]))
 
 
+def _coded(T):
+    coded = kept(quantised.codes(T["semantic_index"]), "codes")
+    return quantised.vec_candidates(T["search_queries"], T["semantic_index"], coded)
+
+
+@query(
+    "vector_candidates_coded",
+    f"""with {_vec_sql('semantic_index')} select qid, id, round(d, 6) as d from cand where place <= 10""",
+    ["semantic_index", "search_queries"],
+)
+def vector_candidates_coded(T):
+    """The ten nearest rows, found on codes and checked exactly."""
+    best = top_per_key(_coded(T).drop("certain"), ["qid"], ["d", "id"], 10, rank="place")
+    return rounded(best.select("qid", "id", "d"), d=6)
+
+
+@query("vector_coded_recall")
+def vector_coded_recall(T):
+    return nearest.recall(_coded(T), nearest.vec_candidates(T["search_queries"], T["semantic_index"]))
+
+
 # --- hybrid ----------------------------------------------------------------------
 @query(
     "search_catalog",
@@ -256,25 +279,6 @@ def search_authority_order(T):
     return ordered.select("qid", "id", "rank", "authority_tier", "authority_rank")
 
 
-@query(
-    "search_source_rows",
-    _SEARCH
-    + """, src as (select 'decisions' as source_table, cast(id as varchar) as source_id, title as label from decisions
-  union all select 'tasks', cast(id as varchar), title from tasks
-  union all select 'known_rules', cast(id as varchar), rule_type from known_rules
-  union all select 'sop_registry', sop_id, title from sop_registry)
-select qid, rank, source_table, source_id, label from hits join src using (source_table, source_id)""",
-    ["semantic_index", "search_queries", "decisions", "tasks", "known_rules", "sop_registry"],
-)
-def search_source_rows(T):
-    hits = hybrid.search_catalog(T["search_queries"], T, config="simple")
-    rows = hybrid.fetch_sources(
-        hits, T, {"decisions": "id", "tasks": "id", "known_rules": "id", "sop_registry": "sop_id"}
-    )
-    label = F.coalesce(F.get_json_object("source_row", "$.rule_type"), F.get_json_object("source_row", "$.title"))
-    return rows.select("qid", "rank", "source_table", "source_id", label.alias("label"))
-
-
 # What stands for the row of a source table.
 _LABELS = {
     "project_knowledge": "title", "brand_messaging": "category", "agent_identity": "callsign", "decisions": "title",
@@ -293,6 +297,22 @@ select qid, rank, source_table, source_id, label from hits join src using (sourc
 )
 def search_source_rows_all(T):
     """The source rows of the hits in all eight source tables."""
-    rows = hybrid.fetch_sources(hybrid.search_catalog(T["search_queries"], T, config="simple"), T)
+    return _source_rows(T)
+
+
+@query(
+    "search_source_rows",
+    _SEARCH + f""", src as ({_ALL_SOURCES})
+select qid, rank, source_table, source_id, label from hits join src using (source_table, source_id) where rank <= 3""",
+    ["semantic_index", "search_queries", *hybrid.SOURCE_KEYS],
+)
+def search_source_rows(T):
+    """Source rows of the three best hits of each query, from any source table."""
+    return _source_rows(T, 3)
+
+
+def _source_rows(T, best: int | None = None):
+    hits = hybrid.search_catalog(T["search_queries"], T, config="simple")
+    rows = hybrid.fetch_sources(hits if best is None else hits.filter(F.col("rank") <= best), T)
     label = F.coalesce(*(F.when(F.col("source_table") == t, F.get_json_object("source_row", f"$.{c}")) for t, c in _LABELS.items()))
     return rows.select("qid", "rank", "source_table", "source_id", label.alias("label"))

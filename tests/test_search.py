@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import rows_of
 from lorebase.functions.text import english_lexeme
 from lorebase.functions.vectors import cosine_distance
-from lorebase.operators import hybrid, nearest
+from lorebase.operators import hybrid, nearest, quantised
 from test_text import brute_rank
 
 DIM = 8
@@ -166,6 +166,36 @@ def test_fitted_cells_find_the_nearest(spark):
     assert looks.mean() < 1
 
 
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_codes_find_the_nearest_and_know_it(spark, sf):
+    """Recall at 10 of the coded search, and no query called certain that is not exact."""
+    given = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.lit("a").alias("tenant_id"), "embedding")
+    asked_ = given.filter("id % 20 = 0").select(F.col("id").cast("string").alias("qid"), "tenant_id", F.col("embedding").alias("query_vector"))
+    found = quantised.vec_candidates(asked_, given, quantised.codes(given))
+    exact = nearest.vec_candidates(asked_, given)
+    assert nearest.recall(found, exact).first()["recall"] >= 0.99
+    one, other = ({q: sorted((r.id, round(r.d, 9)) for r in df.collect() if r.qid == q) for q in [r.qid for r in asked_.limit(20).collect()]} for df in (found, exact))
+    certain = {r.qid: r.certain for r in found.select("qid", "certain").distinct().collect()}
+    assert all(one[q] == other[q] for q in one if certain[q])
+
+
+def test_bound_of_codes_holds(spark):
+    rng = np.random.default_rng(6)
+    vectors = [rng.normal(0, rng.choice([1e-9, 1, 1e9]), 12).tolist() for _ in range(200)] + [[0.0] * 12, [1.0] + [0.0] * 11, None, [float("nan")] * 12]
+    df = spark.createDataFrame([(i, "a", v) for i, v in enumerate(vectors)], "id long, tenant_id string, embedding array<double>")
+    rows = {r.id: r for r in quantised.codes(df).collect()}
+    assert set(rows) == set(range(202)) and rows[200].slack == 0 and abs(rows[201].slack) < 1e-12
+    unit = lambda v: np.array(v, float) / np.linalg.norm(v)
+    for _ in range(300):
+        i, q = int(rng.integers(0, 200)), unit(rng.normal(size=12))
+        assert abs(q @ unit(vectors[i]) - q @ unit(rows[i].embedding)) <= rows[i].slack + 1e-12
+    assert max(r.slack for r in rows.values()) < 0.02
+    asked_ = spark.createDataFrame([("q", "a", vectors[5]), ("z", "a", None)], "qid string, tenant_id string, query_vector array<double>")
+    found = quantised.vec_candidates(asked_, df, quantised.codes(df), 1)
+    assert {r.qid for r in found.collect()} == {"q"} and found.orderBy("d").first().id == 5
+    assert quantised.vec_candidates(asked_, df.limit(0), quantised.codes(df.limit(0))).collect() == []
+
+
 def test_looked_into_costs_what_differs():
     rng = np.random.default_rng(4)
     vectors, others = rng.normal(size=(20, DIM)), rng.normal(size=(20, DIM))
