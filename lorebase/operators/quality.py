@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lorebase.functions.columns import count_if
 from lorebase.sources.model import CHECKS, KEYS, PARTIAL_KEYS, REFERENCES, Reference
+from lorebase.sources.scratch import kept
 
 
 def _union(frames) -> DataFrame:
@@ -85,19 +86,26 @@ def reference_audit(T, references=None) -> DataFrame:
 def propagate_deletes(T, table: str, deleted: DataFrame, references=None) -> dict[str, DataFrame]:
     """Tables after deleting the rows of ``table`` whose keys are in ``deleted``.
 
-    Cascading references delete the children in turn, "null" references clear
-    the column.  The walk is over the short list of references; all row work is
-    joins.  Tables that are not reached are not returned.
+    Cascading references delete the children in turn, "null" references clear the column.  A step
+    takes up only keys that no step before had, and stores them, so references in a circle come to
+    an end when nothing new is reached, and a plan reads stored keys instead of the steps before.  At
+    the end each table meets its deleted keys once per key column.  Tables that are not reached are
+    not returned.
     """
     references = list(references or REFERENCES)
-    after: dict[str, DataFrame] = {}
+    gone: dict[str, dict[tuple, DataFrame]] = {}  # deleted keys by table and key columns
+    cleared: dict[str, dict[str, DataFrame]] = {}  # deleted parents by table and column
     queue = [(table, deleted)]
     while queue:
-        name, gone = queue.pop(0)
-        current = after.get(name, T[name])
-        keys = gone.columns
-        doomed = current.join(gone.distinct(), keys, "left_semi")
-        after[name] = current.join(gone.distinct(), keys, "left_anti")
+        name, keys = queue.pop(0)
+        columns, known = tuple(keys.columns), gone.setdefault(name, {})
+        before = known.get(columns)
+        new = keys.distinct() if before is None else keys.distinct().join(before, list(columns), "left_anti")
+        new = kept(new, "frontier")
+        known[columns] = new if before is None else before.unionByName(new)
+        if before is not None and new.isEmpty():
+            continue
+        doomed = T[name].join(new, list(columns), "left_semi")
         for r in references:
             if r.parent != name or r.on_delete == "none":
                 continue
@@ -105,9 +113,15 @@ def propagate_deletes(T, table: str, deleted: DataFrame, references=None) -> dic
             if r.on_delete == "cascade":
                 queue.append((r.child, parents))
             else:
-                child = after.get(r.child, T[r.child])
-                marked = child.join(parents.withColumn("_gone", F.lit(True)), r.column, "left")
-                after[r.child] = marked.select(*[
-                    F.when(F.col("_gone").isNull(), F.col(c)).alias(c) if c == r.column else F.col(c) for c in child.columns
-                ])
+                some = cleared.setdefault(r.child, {})
+                some[r.column] = some[r.column].unionByName(parents) if r.column in some else parents
+    after = {}
+    for name in [*gone, *(n for n in cleared if n not in gone)]:
+        rows = T[name]
+        for columns, keys in gone.get(name, {}).items():
+            rows = rows.join(keys, list(columns), "left_anti")
+        for column, parents in cleared.get(name, {}).items():
+            marked = rows.join(parents.distinct().withColumn("_gone", F.lit(True)), column, "left")
+            rows = marked.select(*[F.when(F.col("_gone").isNull(), F.col(c)).alias(c) if c == column else F.col(c) for c in rows.columns])
+        after[name] = rows.select(*T[name].columns)
     return after

@@ -95,9 +95,7 @@ def later(T, table: str):
 
 
 def _marked(T, **options):
-    out = T["semantic_index"]
-    for table in _SOURCES:
-        out = rules.mark_stale(out, table, T[table], later(T, table), **options)
+    out = rules.mark_all_stale(T["semantic_index"], {table: (T[table], later(T, table)) for table in _SOURCES}, **options)
     return out.select("id", *rules.KEY, "summary_text", "embedding_stale")
 
 
@@ -182,14 +180,28 @@ def catalog_uncatalogued(T):
 @query(
     "catalog_orphans",
     f"""with {_KEYS_SQL} select c.id, c.tenant_id, c.source_table, c.source_id from semantic_index c
-where c.source_table <> 'document_chunks' and not exists (
-  select 1 from keys k where c.tenant_id = k.tenant_id and c.source_table = k.source_table and c.source_id = k.source_id)""",
-    ["semantic_index", *_SOURCES],
+where not exists (
+  select 1 from keys k where c.tenant_id = k.tenant_id and c.source_table = k.source_table and c.source_id = k.source_id)
+and not exists (select 1 from document_chunks k where c.source_table = 'document_chunks' and c.tenant_id = coalesce(k.tenant_id, 'main') and c.source_id = cast(k.id as varchar))""",
+    ["semantic_index", "document_chunks", *_SOURCES],
 )
 def catalog_orphans(T):
     return rules.orphans(T, T["semantic_index"])
 
 
+@query(
+    "catalog_chunk_orphans",
+    """select c.id, c.tenant_id, c.source_table, c.source_id from semantic_index c where c.source_table = 'document_chunks'
+and not exists (select 1 from chunks_after k where c.tenant_id = coalesce(k.tenant_id, 'main') and c.source_id = cast(k.id as varchar))""",
+    ["semantic_index", "chunks_after"],
+)
+def catalog_chunk_orphans(T):
+    """Catalog rows of chunks that a later snapshot of the chunks no longer has."""
+    held = T["semantic_index"].filter(F.col("source_table") == rules.CHUNK_TABLE)
+    keys = rules.catalog_keys(T["chunks_after"], rules.CHUNK_TABLE, "id", "main")
+    return held.select(*rules.KEY, "id").join(keys, rules.KEY, "left_anti")
+
+
 # --- change log ----------------------------------------------------------------------
 def changes_of(T, table: str):
     """Change feed of a table: every source row is created, a quarter is revised, half of

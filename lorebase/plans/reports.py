@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lorebase.operators import reports, runs
 from lorebase.plans.registry import joined, query, rounded
+from lorebase.sources.scratch import kept
 
 TENANT = "t0"
 
@@ -322,6 +323,9 @@ report(
   max(run_date) as last_eval from eval_runs group by factory_tenant""",
     _RUNS, runs.factory_coverage,
 )
+report(
+    "runs_factory_coverage_estimated", None, _RUNS, lambda T: runs.factory_coverage_estimated(kept(runs.agent_sketches(T), "sketches")),
+)
 report(
     "runs_rewrite_queue",
     f"""select lower(agent_name) as agent_name, cast(score as double) as l1_score, notes as reviewer_notes, run_date from eval_runs

@@ -150,3 +150,23 @@ def test_empty_groups_give_no_rows(spark):
                profiles.identity_signatures, profiles.render_documents, reports.recent_sessions):
         assert fn(T).collect() == []
     assert reports.startup_summary(T, "t0").first()["open_tasks"] is None
+
+
+def test_coverage_sketches_are_near_and_merge(spark, store):
+    """Estimates within four standard errors, from days merged in any parts."""
+    day = F.expr("timestamp_ntz '2024-01-01 08:00:00' + make_interval(0, 0, 0, cast(id % 9 as int))")
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, "t0").otherwise("t1").alias("factory_tenant"), F.concat(F.lit("A"), F.pmod(F.xxhash64("id"), F.lit(20_000))).alias("agent_name"),
+        F.when(F.col("id") % 5 > 0, F.col("id") % 2 == 0).alias("pass"), day.alias("run_date"))
+    T = store(eval_runs=rows)
+    exact = {r.factory_tenant: r for r in runs.factory_coverage(T).collect()}
+    days = runs.agent_sketches(T)
+    assert days.count() == 18 - 9  # a tenant of every third id has three days, the other one six
+    for r in runs.factory_coverage_estimated(days).collect():
+        e = exact[r.factory_tenant]
+        assert r.last_eval == e.last_eval
+        for c in ("agents_tested", "agents_passed", "agents_failed", "agents_unscored"):
+            assert abs(r[c] - e[c]) <= 4 * 1.04 / 2 ** (runs.SKETCH_BITS / 2) * e[c]
+    late = runs.factory_coverage_estimated(days, "2024-01-06").collect()
+    assert sum(r.agents_tested for r in late) < sum(e.agents_tested for e in exact.values())
+    assert runs.factory_coverage_estimated(runs.agent_sketches(store(eval_runs=rows.limit(0)))).collect() == []

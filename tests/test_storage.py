@@ -118,6 +118,33 @@ def test_key_check_and_reference_audits(frame, store):
     assert sorted(after) == ["c", "p"] and rows_of(after["c"], "id", "p_id") == [(1, 9), (2, None), (3, 2)]
 
 
+def test_deletes_run_in_circles_and_meet_again(frame, store):
+    """Self reference, a circle of two tables, and a child reached over two parents."""
+    T = store(
+        n=frame("id int, up int", (1, 4), (2, 1), (3, 2), (4, 3), (5, 5), (6, 5), (7, None)),
+        a=frame("id int, b_id int", (1, 2), (3, 9), (4, 1)), b=frame("id int, a_id int", (2, 1), (1, 3), (9, None)),
+        top=frame("id int", (1,), (2,)), left_=frame("id int, top_id int", (10, 1), (11, 2)), right_=frame("id int, top_id int", (20, 1), (21, 2)),
+        leaf=frame("id int, l int, r int", (1, 10, 20), (2, 10, 21), (3, 11, 21), (4, None, None)),
+    )
+    own = [Reference("n", "up", "n", "id", "cascade")]
+    assert rows_of(quality.propagate_deletes(T, "n", frame("id int", (2,)), own)["n"], "id") == [(5,), (6,), (7,)]
+    assert rows_of(quality.propagate_deletes(T, "n", frame("id int", (5,)), own)["n"], "id") == [(1,), (2,), (3,), (4,), (7,)]
+    circle = [Reference("b", "a_id", "a", "id", "cascade"), Reference("a", "b_id", "b", "id", "cascade")]
+    after = quality.propagate_deletes(T, "a", frame("id int", (1,)), circle)
+    assert rows_of(after["a"], "id") == [(3,), (4,)] and rows_of(after["b"], "id") == [(1,), (9,)]
+    after = quality.propagate_deletes(T, "a", frame("id int", (3,)), circle)
+    assert rows_of(after["a"], "id") == [(1,)] and rows_of(after["b"], "id") == [(2,), (9,)]
+    diamond = [
+        Reference("left_", "top_id", "top", "id", "cascade"), Reference("right_", "top_id", "top", "id", "cascade"),
+        Reference("leaf", "l", "left_", "id", "cascade"), Reference("leaf", "r", "right_", "id", "cascade"),
+    ]
+    after = quality.propagate_deletes(T, "top", frame("id int", (1,)), diamond)
+    assert {t: rows_of(after[t], "id") for t in after} == {"top": [(2,)], "left_": [(11,)], "right_": [(21,)], "leaf": [(3,), (4,)]}
+    clear = [*diamond[:2], Reference("leaf", "l", "left_", "id", "cascade"), Reference("leaf", "r", "right_", "id", "null")]
+    after = quality.propagate_deletes(T, "top", frame("id int", (1,)), clear)
+    assert rows_of(after["leaf"], "id", "r") == [(3, 21), (4, None)]
+
+
 def connector_store(frame, store):
     return store(
         sessions=frame("id int, tenant_id string, platform string", (1, "a", "web"), (2, "a", None)),
