@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from lorebase.operators import reports, runs
-from lorebase.plans.registry import joined, query, rounded
-from lorebase.sources.scratch import kept
+from lorebase.plans.registry import REGISTRY, joined, query, rounded
+from lorebase.sources.scratch import kept, scratch_path
+from lorebase.streaming import health
 
 TENANT = "t0"
 
@@ -43,6 +44,37 @@ report(
 from session_log group by tenant_id, session_id""",
     ["session_log"], reports.memory_usage,
 )
+
+
+def _windows(T, table: str, kind: health.Report):
+    """The windows that a stream of the events of a table keeps, when it has read them all."""
+    path = scratch_path(T.spark, "health")
+    T[table].write.parquet(f"{path}/events")
+    events = T.spark.readStream.schema(T[table].schema).parquet(f"{path}/events")
+    health.health_stream(events, kind, f"{path}/windows", f"{path}/progress").awaitTermination()
+    rows = health.stored_windows(T.spark, f"{path}/windows", kind)
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c, t in rows.dtypes if t == "timestamp"})
+
+
+report(
+    "retrieval_health_windows",
+    """select date_trunc('hour', created_at) as window_start, date_trunc('hour', created_at) + interval 1 hour as window_end, tenant_id,
+  count(*) as event_count, count(*) filter (where used_vector) as vector_event_count, count(*) filter (where not used_vector) as fts_only_event_count,
+  cast(sum(latency_ms) as bigint) as latency_sum, count(latency_ms) as latency_events, max(created_at) as last_event_at,
+  round(cast(sum(latency_ms) as double) / count(latency_ms), 2) as avg_latency_ms
+from retrieval_events group by all""",
+    ["retrieval_events"],
+    lambda T: health.with_derived(_windows(T, "retrieval_events", health.RETRIEVAL), health.RETRIEVAL).withColumn("latency_sum", F.col("latency_sum").cast("long")),
+    avg_latency_ms=2,
+)
+report(
+    "retrieval_health_stream", REGISTRY["retrieval_health"].sql, [],
+    lambda T: health.totals(_windows(T, "retrieval_events", health.RETRIEVAL), health.RETRIEVAL).drop("latency_sum", "latency_events"), avg_latency_ms=2,
+)
+report(
+    "memory_usage_stream", REGISTRY["memory_usage"].sql, [],
+    lambda T: health.totals(_windows(T, "session_log", health.MEMORY), health.MEMORY),
+)
 _EXPECTED = " union all ".join(
     f"select '{name}' as source_table, count(*) as source_rows from {table} where tenant_id = '{TENANT}'{extra}"
     for name, table, extra in [

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lorebase.functions.columns import top_per_key
 from lorebase.functions.vectors import cosine_distance
-from lorebase.operators import fulltext, hybrid, nearest, quantised
+from lorebase.operators import bm25, fulltext, hybrid, nearest, quantised
 from lorebase.plans.registry import joined, query, rounded
 from lorebase.sources.scratch import kept
 
@@ -121,6 +121,40 @@ def text_rank_english(T):
     return fulltext.fts_rank(_ranked(T, "semantic_index", "summary_text", "english"))
 
 
+def _bm25_sql(corpus: str, limit: int = 10) -> str:
+    return f"""{_tokens_sql(corpus, 'summary_text')},
+docs as (select tenant_id, id, count(*) as len from tok group by all),
+size as (select tenant_id, cast(count(*) as double) as n, cast(sum(len) as double) / count(*) as average from docs group by all),
+tf as (select tenant_id, lexeme, id, cast(count(*) as double) as tf from tok group by all),
+df as (select tenant_id, lexeme, cast(count(*) as double) as df from tf group by all),
+qt as (select qid, tenant_id, unnest(list_distinct({_WORDS.format('query_text')})) as lexeme from search_queries),
+scored as (select qid, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / average))), 9) as score
+  from qt join df using (tenant_id, lexeme) join tf using (tenant_id, lexeme) join docs using (tenant_id, id) join size using (tenant_id) group by qid, id)
+select qid, cast(rank as int) as rank, id, round(score, 6) as score
+from (select *, row_number() over (partition by qid order by score desc, id) as rank from scored) r where rank <= {limit}"""
+
+
+@query("text_rank_bm25", f"with {_bm25_sql('semantic_index')}", ["semantic_index", "search_queries"])
+def text_rank_bm25(T):
+    index = bm25.build(T["semantic_index"], "summary_text", "simple")
+    return rounded(bm25.search(T["search_queries"], index, config="simple"), score=6)
+
+
+_CHANGED = """later as (select id, tenant_id, case when id % 7 = 3 then summary_text || ' revised ' || split_part(summary_text, ' ', 1) else summary_text end as summary_text
+  from semantic_index where id % 11 <> 5)"""
+
+
+@query("text_rank_bm25_changed", f"with {_CHANGED},{_bm25_sql('later')}", ["semantic_index", "search_queries"])
+def text_rank_bm25_changed(T):
+    """The same after an eleventh of the documents went and a seventh changed, on the index with these changes."""
+    rows = T["semantic_index"].select("id", "tenant_id", "summary_text")
+    index = bm25.build(rows, "summary_text", "simple")
+    text = F.concat("summary_text", F.lit(" revised "), F.split_part("summary_text", F.lit(" "), F.lit(1)))
+    new = rows.filter("id % 7 = 3 and id % 11 <> 5").withColumn("summary_text", text)
+    index = bm25.changed(index, rows.filter("id % 11 = 5"), new, "summary_text", "simple")
+    return rounded(bm25.search(T["search_queries"], index, config="simple"), score=6)
+
+
 # --- vectors ---------------------------------------------------------------------
 @query(
     "vector_distance",
