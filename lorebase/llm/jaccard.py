@@ -42,8 +42,8 @@ PERCENT = 75
 MOST_MATCHES, VERIFY = 4, 20.0
 #: Rounds of links to one chosen set per shingle, after the centres, before all pairs are looked at.
 STAR_ROUNDS = 1
-#: Bytes of text whose shingles are made at once.
-CHUNK = 1 << 20
+#: Bytes of text whose shingles are made at once, and ranges in which a part adds up counts.
+CHUNK, RANGES = 1 << 20, 16
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -137,6 +137,35 @@ def _read_counts(b: bytes, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(b, decompressed_size=4 * n, codec="zstd", asbytes=True), "<u4")
 
 
+def _sums(keys: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
+    """For lists of sorted keys with counts, the sum over all lists of each entry's key.
+
+    Keys are added up in ``RANGES`` ranges, one after the other: only one is sorted at a time.
+    """
+    out = [np.zeros(len(k), np.uint32) for k in keys]
+    some = [k for k in keys if len(k)]
+    if not some:
+        return out
+    low, high = min(int(k[0]) for k in some), max(int(k[-1]) for k in some) + 1
+    edges = np.array([low + (high - low) * i // RANGES for i in range(RANGES + 1)], np.uint64)
+    at = [np.searchsorted(k, edges) for k in keys]
+    for i in range(RANGES):
+        key = np.concatenate([k[e[i] : e[i + 1]] for k, e in zip(keys, at)])
+        if not len(key):
+            continue
+        n = np.concatenate([c[e[i] : e[i + 1]] for c, e in zip(counts, at)])
+        order = np.argsort(key, kind="stable")
+        new = runs(key[order])
+        total = np.minimum(np.add.reduceat(n[order], np.flatnonzero(new), dtype=np.int64), 2**32 - 1)
+        sums = np.empty(len(key), np.uint32)
+        sums[order] = total[np.cumsum(new) - 1]
+        first = 0
+        for o, e in zip(out, at):
+            o[e[i] : e[i + 1]] = sums[first : first + e[i + 1] - e[i]]
+            first += e[i + 1] - e[i]
+    return out
+
+
 def _answered(part: pa.Table) -> pa.Table:
     """One part of the dictionaries of sets and of shingles."""
     rows = part.to_pylist()
@@ -146,12 +175,9 @@ def _answered(part: pa.Table) -> pa.Table:
         out += [(r["sender"], "sets", r["to"], ids, None) for r, ids in zip(sets, least_anywhere([(r["a"], r["b"]) for r in sets], 8))]
     counted = [r for r in rows if r["kind"] == "counts"]
     if counted:
-        key = np.concatenate([from_low_bytes(r["a"], 6) for r in counted])
-        sizes = [len(r["a"]) // 6 for r in counted]
-        n = np.concatenate([_read_counts(r["b"], k) for r, k in zip(counted, sizes)])
-        _, at = np.unique(key, return_inverse=True)
-        sums = np.bincount(at, weights=n)[at]
-        out += [(r["sender"], "counts", r["to"], _written_counts(x), None) for r, x in zip(counted, np.split(sums, np.cumsum(sizes)[:-1]))]
+        keys = [from_low_bytes(r["a"], 6) for r in counted]
+        sums = _sums(keys, [_read_counts(r["b"], len(k)) for r, k in zip(counted, keys)])
+        out += [(r["sender"], "counts", r["to"], _written_counts(x), None) for r, x in zip(counted, sums)]
     return table_of(out)
 
 
