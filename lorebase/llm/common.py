@@ -44,13 +44,17 @@ def words(text: Column) -> Column:
 SHARES = 500
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", least: int = 1) -> DataFrame:
     """``many`` joined with ``one``, which has a row per ``key`` at most; frequent keys go to several tasks.
 
     ``many`` is a written table, as it is read twice.  At most ``SHARES`` keys can have more than that share
     of its rows; only these keys are broadcast, and their rows in ``one`` are repeated once per share.
+    A share has ``least`` rows at least; a table of no more is joined as it is.
     """
-    share = max(1, many.count() // SHARES)
+    n = many.count()
+    share = max(least, n // SHARES)
+    if n <= share:
+        return many.join(one, key, how)
     often = many.groupBy(key).agg(F.count(F.lit(1)).alias("times_")).filter(F.col("times_") > share)
     often = F.broadcast(often.select(key, F.ceil(F.col("times_") / share).cast("int").alias("shares_")))
     of = F.coalesce("shares_", F.lit(1))

@@ -5,19 +5,22 @@ from pyspark.sql import DataFrame, functions as F
 from lorebase.llm.common import spread_join
 from lorebase.sources.scratch import kept
 
+#: Links of one node that a task takes at least: rows of two numbers.
+SHARE = 10_000
+
 
 def _large_star(e: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to its least neighbour (or itself)."""
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return spread_join(both.filter("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return spread_join(both.filter("b > a"), least, "a", least=SHARE).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the least of them."""
     down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    linked = spread_join(down, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    linked = spread_join(down, least, "a", least=SHARE).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return linked.unionByName(least.select("a", F.col("m").alias("b")))
 
 

@@ -606,3 +606,19 @@ def test_pipeline_against_brute_force(spark):
     for r in rows.collect():
         whole.setdefault(r.doc_id, []).append((r.piece, r.start, r.length))
     assert set(whole) == {r.doc_id for r in cut}
+
+
+def test_sums_of_keys_in_ranges():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 5, 400):
+        keys = [np.unique(rng.integers(0, 1 << 48, rng.integers(0, size + 1)) % 977).astype(np.uint64) for _ in range(7)]
+        counts = [rng.integers(1, 9, len(k)).astype(np.uint32) for k in keys]
+        whole = defaultdict(int)
+        for k, c in zip(keys, counts):
+            for a, b in zip(k.tolist(), c.tolist()):
+                whole[a] += b
+        assert [x.tolist() for x in jaccard._sums(keys, counts)] == [[whole[a] for a in k.tolist()] for k in keys]
+    most = [np.array([5], np.uint64)] * 2, [np.array([2**32 - 1], np.uint32)] * 2
+    assert [x.tolist() for x in jaccard._sums(*most)] == [[2**32 - 1]] * 2
