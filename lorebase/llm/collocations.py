@@ -166,11 +166,8 @@ def _answered(part: pa.Table, parts: int) -> pa.Table:
     """One part of a dictionary: to each bucket the total, the id, and whether it reports the phrase.
 
     A reply has a bit for each code, whether it is frequent, and the rest for frequent ones only.
-    What buckets note for themselves goes back to them.
     """
-    rows = sorted(part.to_pylist(), key=lambda r: r["sender"])
-    out = [(r["sender"], "note", r["to"], r["a"], r["b"]) for r in rows if r["kind"] == "note"]
-    asked = [r for r in rows if r["kind"] != "note"]
+    asked, out = sorted(part.to_pylist(), key=lambda r: r["sender"]), []
     if asked:
         me, level = asked[0]["to"], _ROUNDS.index(asked[0]["kind"])
         codes, counts = [], []
@@ -204,11 +201,6 @@ class Told:
         at = at[np.unpackbits(often, count=len(at)).astype(bool)]
         self.total[at], self.id[at], self.own[at] = _risen(total, ids), ids, np.unpackbits(own, count=len(at)).astype(bool)
 
-    def arrays(self):
-        """As one reply about all codes, after their number."""
-        often = self.total > 0
-        return np.array([len(often)]), np.packbits(often), _falls(self.total[often], self.id[often]), _small(self.id[often]), np.packbits(self.own[often])
-
 
 def _told(answers: pa.Table, codes: np.ndarray, parts: int, level: int) -> Told:
     """What the replies of all parts say about the codes of a bucket."""
@@ -310,33 +302,21 @@ def _next(words: Words, levels: list[Level]) -> Level:
 
 
 def _levels(words: Words, answers: pa.Table | None, parts: int, known: int) -> list[Level]:
-    """The first ``known`` lengths with what was told of them, and the next one, if there is one, to be asked.
-
-    The note tells of all but the last of them, the parts of the last.
-    """
+    """The first ``known`` lengths with what was told of them, and the next one, if there is one, to be asked."""
     n = len(words.start)
     levels = [Level(words.hash, np.arange(n), n, lambda c: _sorted_sums(c, None))]
-    if known:
-        for r in answers.filter(pc.equal(answers["kind"], "note")).to_pylist():
-            arrays = _unpacked(r["a"], r["b"])
-            for size, *reply in zip(*(arrays[k::5] for k in range(5))):
-                levels[-1].told = Told(int(size[0]))
-                levels[-1].told.take(np.arange(int(size[0])), *reply)
-                levels.append(_next(words, levels))
-        levels[-1].told = _told(answers, levels[-1].codes, parts, known - 1)
-        if known < WORDS:
+    for level in range(known):
+        levels[-1].told = _told(answers, levels[-1].codes, parts, level)
+        if level + 1 < WORDS:
             levels.append(_next(words, levels))
     return levels
 
 
 def _ask(key, blobs: pa.Table, answers: pa.Table | None, parts: int, level: int) -> pa.Table:
-    """Questions of a bucket about its phrases of ``level + 1`` words, and what it was told so far as a note to itself."""
+    """Questions of a bucket about its phrases of ``level + 1`` words, after the replies about all shorter ones."""
     me, words = key[0].as_py(), Words(Bucket(blobs))
-    *known, last = _levels(words, answers, parts, level)
-    out = list(_questions(last.codes, last.counts, me, parts, level))
-    if level:
-        out.append((me % parts, "note", me, *_packed(*(x for k in known for x in k.told.arrays()))))
-    return table_of(out)
+    last = _levels(words, answers, parts, level)[-1]
+    return table_of(list(_questions(last.codes, last.counts, me, parts, level)))
 
 
 _FOUND = pa.schema([
@@ -375,15 +355,19 @@ def frequent_phrases(docs: DataFrame) -> DataFrame:
     and rows without words whose ``a`` add up to the words of a language."""
     rows = docs.select("doc_id", "text", F.coalesce("lang", F.lit("und")).alias("lang"))
     documents, _, parts = held(rows, ["lang"], BUCKET_BYTES)
-    answered = lambda df: df.groupBy("to").applyInArrow(lambda t: _answered(t, parts), ROW_SQL).groupBy("to")
-    asked = documents.groupBy("to").applyInArrow(lambda key, t: _ask(key, t, None, parts, 0), ROW_SQL)
+    answers = None  # the replies of all rounds so far; the questions of a round are shuffled once and read again
 
     def ask(level):
         return lambda key, left, right: _ask(key, left, right, parts, level)
 
-    for level in range(1, WORDS):
-        asked = documents.groupBy("to").cogroup(answered(asked)).applyInArrow(ask(level), ROW_SQL)
-    found = documents.groupBy("to").cogroup(answered(asked)).applyInArrow(lambda key, left, right: _report(key, left, right, parts), _FOUND_SQL)
+    for level in range(WORDS):
+        if level:
+            asked = documents.groupBy("to").cogroup(answers.groupBy("to")).applyInArrow(ask(level), ROW_SQL)
+        else:
+            asked = documents.groupBy("to").applyInArrow(lambda key, t: _ask(key, t, None, parts, 0), ROW_SQL)
+        replies = asked.groupBy("to").applyInArrow(lambda t: _answered(t, parts), ROW_SQL)
+        answers = answers.unionAll(replies) if level else replies
+    found = documents.groupBy("to").cogroup(answers.groupBy("to")).applyInArrow(lambda key, left, right: _report(key, left, right, parts), _FOUND_SQL)
     return kept(found, "phrases")
 
 
