@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from lorebase.functions.columns import any_of, count_if, words_of
+from lorebase.functions.terms import contained
 
 EVERYONE = ["all", "all-agents"]  # fixed values
 # Targets shown next to the counters.
@@ -10,7 +11,8 @@ RULE_TARGET = 21
 GOVERNANCE_TARGET = 28
 PREVIEW = 200
 
-BROADCAST_BYTES = 8 << 20  # retired terms sent out in one block, about
+BROADCAST_BYTES = 8 << 20  # patterns sent out in one block, about
+AUTOMATON_BYTES = 1 << 20  # terms of one block of automata, which take some forty times as much
 
 
 def rules_by_agent(T, roster) -> DataFrame:
@@ -93,31 +95,36 @@ def halt_rules_by_agent(T, roster) -> DataFrame:
 def _retired_hits(T, rows: DataFrame, table: str, key: str, texts, keep, block_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Rows that contain retired terms of their tenant, minus allowed pairs.
 
-    The terms of a tenant are one short array, so a text meets them inside its
-    row and no pair of text and term is ever shuffled.  The list is measured
-    first and sent out in as many blocks as its bytes need; the texts are scanned
-    once and meet the blocks one after the other.  The allow list joins last,
-    against the few rows with a hit.
+    The terms of a tenant form one automaton, through which a text of any length
+    passes once, so the work does not grow with the number of terms and no pair of
+    text and term is ever made.  The list is measured first and goes out in as many
+    blocks as its bytes need.  Terms with LIKE signs act as patterns; they are tried
+    one by one inside the row, and cost nothing where there are none.  An empty term
+    is such a pattern too: it is in every text.  The allow list joins last, against
+    the few rows with a hit.
     """
-    def found(term):
-        wild = term.rlike(r"[%_\\]")  # LIKE signs inside a term act as such
-        low = F.lower(term)
-        return any_of([
-            F.when(wild, F.ilike(F.col(t), F.concat(F.lit("%"), term, F.lit("%")))).otherwise(
-                F.contains(F.col(f"_low_{t}"), low)
-            )
-            for t in texts
-        ])
-
-    listed = T["decommissioned_terms"].select("tenant_id", "term").distinct()
-    size = listed.agg(F.coalesce(F.sum(F.octet_length("term") + 32), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
+    listed = T["decommissioned_terms"].select("tenant_id", "term").distinct().filter("tenant_id is not null and term is not null")
+    listed = listed.withColumn("pattern", F.col("term").rlike(r"[%_\\]") | (F.col("term") == ""))
+    size = F.octet_length("term") + 32
+    plain, patterns = listed.agg(*(
+        F.coalesce(F.sum(F.when(F.col("pattern") == of, size)), F.lit(0)) for of in (False, True)
+    )).first()
     none = F.array().cast("array<string>")
     met = rows.withColumns({f"_low_{t}": F.lower(t) for t in texts}).withColumns({"_key": F.col(key).cast("string"), "matched": none})
-    for b in range(blocks):
-        mine = listed.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b)
+
+    def blocks(of: bool, n_bytes: int, most: int):
+        n = -(-n_bytes // most)
+        return [listed.filter((F.col("pattern") == of) & (F.pmod(F.xxhash64("term"), F.lit(n)) == b)) for b in range(n)]
+
+    for mine in blocks(False, plain, min(block_bytes, AUTOMATON_BYTES)):
+        sent = mine.select("tenant_id", F.lower("term"), "term").collect()
+        hit = contained(T.spark, sent, "tenant_id", [f"_low_{t}" for t in texts])
+        met = met.withColumn("matched", F.concat("matched", hit))
+    for mine in blocks(True, patterns, block_bytes):
         terms = F.broadcast(mine.groupBy("tenant_id").agg(F.collect_list("term").alias("terms")))
-        hit = F.filter("terms", lambda t: F.coalesce(found(t), F.lit(False)))
+        hit = F.filter("terms", lambda p: F.coalesce(
+            any_of([F.ilike(F.col(t), F.concat(F.lit("%"), p, F.lit("%"))) for t in texts]), F.lit(False)
+        ))
         met = met.join(terms, "tenant_id", "left").withColumn("matched", F.concat("matched", F.coalesce(hit, none))).drop("terms")
     hits = met.filter(F.size("matched") > 0).select("tenant_id", "_key", *keep, F.array_sort("matched").alias("matched"))
     allowed = T["decommissioned_term_allowlist"].filter(F.col("source_table") == table).groupBy(

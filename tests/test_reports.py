@@ -49,6 +49,35 @@ def test_retired_terms(frame, store):
     assert rows_of(blocked, "id", "matched_terms", "hit_count", F.length("detail_preview")) == got
 
 
+def test_many_retired_terms_equal_plain_search(frame, store):
+    """10,000 terms of two tenants, with repeats, cases, overlaps, an empty and a null one, in several blocks."""
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("abAB é") for _ in range(n))
+    terms = sorted({(word(r.randint(1, 9)), r.choice("ab")) for _ in range(14000)})[:9996] + [("", "b"), (None, "a"), ("a_b", "a"), ("b", None)]
+    texts = [(i, r.choice(["a", "b", "c", None]), "k", r.choice([None, "", word(12)]), word(r.randint(0, 60))) for i in range(60)]
+    T = store(
+        project_knowledge=frame("id long, tenant_id string, knowledge_type string, title string, detail string", *texts),
+        decommissioned_terms=frame("term string, tenant_id string", *terms, *terms[:50]),
+        decommissioned_term_allowlist=frame("tenant_id string, source_table string, source_id string, term string"),
+    )
+
+    def inside(term, text):
+        low = (text or "").lower()
+        if text is None:
+            return False
+        return any(low[i] == "a" and low[i + 2] == "b" for i in range(len(low) - 2)) if term == "a_b" else term.lower() in low
+
+    wanted = {}
+    for i, tenant, _, title, detail in texts:
+        hits = sorted(t for t, of in terms if t is not None and of is not None and of == tenant and (inside(t, title) or inside(t, detail)))
+        if hits:
+            wanted[i] = hits
+    for block in (1 << 20, 100_000):
+        got = governance.knowledge_with_retired_terms(T, block_bytes=block).collect()
+        assert {x.id: x.matched_terms for x in got} == wanted
+        assert all(x.hit_count == len(x.matched_terms) for x in got)
+
+
 def test_dead_references_match_titles_by_prefix(frame, store):
     T = store(
         known_rules=frame(RULES, (1, "a", "c", "SOP-1 SOP-12 SOP-9 xSOP-77", "sop", None, None, None)),
