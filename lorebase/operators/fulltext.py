@@ -23,15 +23,50 @@ def analyze(df: DataFrame, text: str, keys, config: str = "english") -> DataFram
     )
 
 
+@F.arrow_udf(T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))
+def _places(words: pa.Array) -> pa.Array:
+    """For each row's list of words: word to its places, from 1; nulls hold a place."""
+    lengths = np.nan_to_num(words.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    row = np.repeat(np.arange(len(words)), lengths)
+    at = np.arange(1, len(row) + 1) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    coded = words.flatten().dictionary_encode()
+    there = coded.is_valid().to_numpy(zero_copy_only=False)
+    code = coded.indices.drop_null().to_numpy()
+    row, at = row[there], at[there]
+    order = np.lexsort((at, code, row))
+    row, at, code = row[order], at[order], code[order]
+    first = np.flatnonzero(np.diff(row, prepend=-1).astype(bool) | np.diff(code, prepend=-1).astype(bool))
+    places = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.array(at, pa.int32()))
+    starts = np.searchsorted(row[first], np.arange(len(words) + 1))
+    return pa.MapArray.from_arrays(pa.array(starts, pa.int32()), coded.dictionary.take(pa.array(code[first], pa.int32())), places)
+
+
+def by_document(df: DataFrame, text: str, config: str = "english") -> DataFrame:
+    """A row per document: tenant_id, id, places (lexeme to its positions).
+
+    A text is taken apart where it lies.  Only where an id comes twice are rows put together.
+    """
+    twice = df.groupBy("tenant_id", "id").agg(F.count("*").alias("n")).filter("n > 1")
+    if twice.isEmpty():
+        return df.select("tenant_id", "id", _places(lexemes(F.col(text), config)).alias("places"))
+    rows = analyze(df, text, ["tenant_id", "id"], config).groupBy("tenant_id", "lexeme", "id").agg(
+        F.array_sort(F.collect_list("position")).alias("positions")
+    )
+    return rows.groupBy("tenant_id", "id").agg(F.map_from_entries(F.collect_list(F.struct("lexeme", "positions"))).alias("places"))
+
+
 def postings(df: DataFrame, text: str, config: str = "english", vocabulary: DataFrame | None = None) -> DataFrame:
     """Inverted index ``(tenant_id, lexeme, id, positions)``.
 
     With ``vocabulary`` (tenant_id, lexeme) only those lexemes are kept, before
-    the shuffle: the way to search a corpus that has no stored index.
+    the shuffle: the way to search a corpus that has no stored index.  Without,
+    the postings of a document are made from its row and nothing is shuffled.
     """
-    rows = analyze(df, text, ["tenant_id", "id"], config)
-    if vocabulary is not None:
-        rows = rows.join(vocabulary, ["tenant_id", "lexeme"], "left_semi")
+    if vocabulary is None:
+        return by_document(df, text, config).select("tenant_id", F.explode("places").alias("lexeme", "positions"), "id").select(
+            "tenant_id", "lexeme", "id", "positions"
+        )
+    rows = analyze(df, text, ["tenant_id", "id"], config).join(vocabulary, ["tenant_id", "lexeme"], "left_semi")
     return rows.groupBy("tenant_id", "lexeme", "id").agg(
         F.array_sort(F.collect_list("position")).alias("positions")
     )

@@ -90,3 +90,13 @@ def test_positions_of_a_hot_query(spark):
         own = sorted((-r, i) for q, i, r in rows if q == qid)
         wanted.update({(qid, i): n for n, (_, i) in enumerate(own, 1)})
     assert {(r.qid, r.id): r.fts_rk for r in fulltext.fts_positions(df).collect()} == wanted
+
+
+def test_postings_are_made_where_the_texts_lie(frame):
+    """No word is shuffled; rows of one id are put together all the same."""
+    docs = frame("id long, tenant_id string, t string", (1, "a", "red den red"), (2, None, "fox"), (3, "b", None), (4, "b", ""))
+    index = fulltext.postings(docs, "t", "simple")
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    assert rows_of(index) == sorted([("a", "den", 1, [2]), ("a", "red", 1, [1, 3]), (None, "fox", 2, [1])], key=repr)
+    twice = fulltext.postings(docs.unionByName(frame("id long, tenant_id string, t string", (1, "a", "old red"))), "t", "simple")
+    assert ("a", "red", 1, [1, 2, 3]) in rows_of(twice) and ("a", "den", 1, [2]) in rows_of(twice)
