@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from lorebase.functions.text import lexemes
 from lorebase.sources.scratch import kept
 
+#: Word sets that are sent out at once; more are matched in several scans of the corpus.
+BLOCK_SETS = 100_000
+
 # Fixed values of the source's text rank.
 WEIGHT = 0.1
 SERIES_LIMIT = 1.64493406685  # sum of 1/j^2
@@ -134,6 +137,66 @@ def fts_match(terms: DataFrame, index: DataFrame) -> DataFrame:
     )
 
 
+def word_sets(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Queries of one tenant with the same words are answered once.
+
+    Gives ``(sid, tenant_id, words)`` and ``(qid, sid)``.
+    """
+    per_query = kept(terms.groupBy("qid", "tenant_id").agg(F.array_sort(F.collect_set("lexeme")).alias("words")), "query-words")
+    sets = kept(per_query.select("tenant_id", "words").distinct().withColumn("sid", F.monotonically_increasing_id()), "word-sets")
+    return sets.select("sid", "tenant_id", "words"), kept(per_query.join(sets, ["tenant_id", "words"]).select("qid", "sid"), "members")
+
+
+def terms_of(sets: DataFrame) -> DataFrame:
+    """The words of sets as :func:`query_terms` gives them, the set in place of the query."""
+    return sets.select(F.col("sid").alias("qid"), "tenant_id", F.explode("words").alias("lexeme"), F.size("words").alias("terms"))
+
+
+def _with_rarest(sets: DataFrame, df: DataFrame, text: str, config: str) -> DataFrame:
+    """Sets whose words the corpus has: sid, tenant_id, words from the rarest on."""
+    terms = terms_of(sets)
+    words = kept(terms.select("tenant_id", "lexeme").distinct(), "vocabulary")
+    held = df.select("tenant_id", F.explode(F.array_distinct(lexemes(F.col(text), config))).alias("lexeme"))
+    counts = held.join(F.broadcast(words), ["tenant_id", "lexeme"], "left_semi").groupBy("tenant_id", "lexeme").agg(F.count("*").alias("docs"))
+    ordered = terms.join(kept(counts, "counts"), ["tenant_id", "lexeme"]).groupBy("qid", "tenant_id", "terms").agg(
+        F.array_sort(F.collect_list(F.struct("docs", "lexeme"))).alias("words")
+    )
+    return ordered.filter("size(words) = terms").select(F.col("qid").alias("sid"), "tenant_id", F.col("words.lexeme").alias("words"))
+
+
+class Matches:
+    """Documents that hold every word of a set, for a corpus without a stored index.
+
+    A document meets the sets whose rarest word it has, and has their other words or not: the sets
+    are sent to where the documents lie, in blocks, and nothing about a pair is shuffled.
+    """
+
+    def __init__(self, sets: DataFrame, df: DataFrame, text: str, config: str = "english", block_sets: int = BLOCK_SETS):
+        self.docs = by_document(df, text, config)
+        self.sets = kept(_with_rarest(sets, df, text, config), "known-sets")
+        self.blocks = max(1, -(-self.sets.count() // block_sets))
+
+    def pairs(self) -> DataFrame:
+        """``sid, id`` of every match."""
+        words = self.docs.select("tenant_id", "id", "places", F.explode(F.map_keys("places")).alias("rarest"))
+        found = None
+        for block in range(self.blocks):
+            part = self.sets.filter(F.pmod(F.xxhash64("sid"), F.lit(self.blocks)) == block)
+            part = part.select("sid", "tenant_id", "words", F.col("words")[0].alias("rarest"))
+            part = _holding(words.join(F.broadcast(part), ["tenant_id", "rarest"]))
+            found = part if found is None else found.unionByName(part)
+        return found
+
+
+def _holding(met: DataFrame) -> DataFrame:
+    """The rows whose document has all words of the set."""
+    keys = F.map_keys("places")
+    # The second word decides most rows; the hash set of the last test is built for the others.
+    second = F.get("words", F.lit(1))
+    every = (F.size("words") <= 2) | (F.size(F.array_except("words", keys)) == 0)
+    return met.filter((second.isNull() | F.array_contains(keys, second)) & every).select("sid", "id")
+
+
 @F.arrow_udf(T.DoubleType())
 def _text_rank(positions: pa.Array) -> pa.Array:
     """Text rank of many matches at once, from the positions of each query word.

@@ -103,7 +103,8 @@ def _ranked(T, table, text, config):
 
 @query("text_match", f"with {_fts_sql('semantic_index', 'summary_text')} select qid, id from matched", ["semantic_index", "search_queries"])
 def text_match(T):
-    return _ranked(T, "semantic_index", "summary_text", "simple").select("qid", "id")
+    sets, members = fulltext.word_sets(fulltext.query_terms(T["search_queries"], "simple"))
+    return fulltext.Matches(sets, T["semantic_index"], "summary_text", "simple").pairs().join(members, "sid").select("qid", "id")
 
 
 @query(

@@ -100,3 +100,24 @@ def test_postings_are_made_where_the_texts_lie(frame):
     assert rows_of(index) == sorted([("a", "den", 1, [2]), ("a", "red", 1, [1, 3]), (None, "fox", 2, [1])], key=repr)
     twice = fulltext.postings(docs.unionByName(frame("id long, tenant_id string, t string", (1, "a", "old red"))), "t", "simple")
     assert ("a", "red", 1, [1, 2, 3]) in rows_of(twice) and ("a", "den", 1, [2]) in rows_of(twice)
+
+
+def test_sets_meet_documents_where_they_lie(frame):
+    """The same matches as on postings, in several blocks; copies of a query are one set, and no pair is shuffled."""
+    rng = random.Random(4)
+
+    def text(n):
+        return " ".join(rng.choice("abcdefgh") for _ in range(n))
+
+    docs = frame("id long, tenant_id string, t string", *[(i, "xyz"[i % 3], text(rng.randint(0, 40))) for i in range(300)], (900, None, "a b"), (901, "x", None))
+    asked = [("xy"[i % 2], text(rng.randint(1, 5))) for i in range(30)]
+    rows = [(str(i), *asked[i % 30]) for i in range(90)] + [("none", "x", "a unheard"), ("void", "x", "")]
+    terms = fulltext.query_terms(frame("qid string, tenant_id string, query_text string", *rows), "simple")
+    wanted = rows_of(fulltext.fts_match(terms, fulltext.postings(docs, "t", "simple")), "qid", "id")
+    sets, members = fulltext.word_sets(terms)
+    assert sets.count() <= 31
+    matches = fulltext.Matches(sets, docs, "t", "simple", block_sets=7)
+    assert matches.blocks > 2
+    pairs = matches.pairs()
+    assert "Exchange hashpartitioning" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert rows_of(pairs.join(members, "sid"), "qid", "id") == wanted
