@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,3 +231,31 @@ def test_hits_of_every_source_table_get_their_row(spark, store):
     T = store(**{t: spark.createDataFrame([(f"{k}", t)], f"{hybrid.SOURCE_KEYS[t]} string, body string") for k, t in enumerate(tables)})
     got = rows_of(hybrid.fetch_sources(hits, T), "source_table", "source_row")
     assert [t for t, _ in got] == tables and all(f'"body":"{t}"' in row for t, row in got)
+
+
+@pytest.mark.parametrize("same_tenant", [False, True])
+def test_best_lists_in_chunks(same_tenant):
+    """Lists of many queries come in bounded batches and are those of sorting all distances, with ties and undefined ones."""
+    rng = np.random.default_rng(5)
+    corpus = rng.integers(-2, 3, (3000, 6)).astype(np.float32)  # many equal vectors, some all zero
+    asked = corpus[rng.integers(0, 3000, 1300)].astype(np.float64)
+    tenants, homes = np.array([f"t{i % 3}" for i in range(1300)], object), [["t0", "t1", None][i % 3] for i in range(3000)]
+    ids = rng.permutation(3000)
+    lists = nearest._BestLists(np.array([str(i) for i in range(1300)], object), tenants, asked, 20, same_tenant, None)
+    batch = pa.RecordBatch.from_pydict({"id": ids, "tenant_id": pa.array(homes), "embedding": pa.array(list(corpus), pa.list_(pa.float32()))})
+    for start in range(0, 3000, 700):
+        lists.scan(batch.slice(start, 700))
+    batches = list(lists.found())
+    assert max(b.num_rows for b in batches) <= 512 * 20 and len(batches) == 3
+    got = {}
+    for b in batches:
+        for row in b.to_pylist():
+            got.setdefault(row["qid"], []).append((3.0 if np.isnan(row["d"]) else row["d"], row["id"], row["tenant_id"]))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        unit = lambda m: m / np.sqrt((m * m).sum(1))[:, None]
+        d = np.nan_to_num(np.round(1 - unit(asked) @ unit(corpus.astype(float)).T, 12), nan=3.0)
+    for q in range(0, 1300, 13):
+        own = [i for i in range(3000) if not same_tenant or homes[i] == tenants[q]]
+        wanted = sorted(((d[q, i], ids[i], homes[i]) for i in own), key=lambda x: x[:2])[:20]
+        assert [x[1:] for x in got.get(str(q), [])] == [x[1:] for x in wanted]
+        assert np.allclose([x[0] for x in got.get(str(q), [])], [x[0] for x in wanted], atol=1e-11)
