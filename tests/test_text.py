@@ -4,7 +4,7 @@ import random
 import pytest
 from conftest import rows_of
 from lorebase.functions.text import STOP_WORDS, english_lexeme, stem
-from lorebase.operators import fulltext
+from lorebase.operators import fulltext, ranked_sets
 
 # Published examples of the English stemmer.
 STEMS = """consign consign consigned consign consignment consign consistency consist consolatory consolatori
@@ -121,3 +121,33 @@ def test_sets_meet_documents_where_they_lie(frame):
     pairs = matches.pairs()
     assert "Exchange hashpartitioning" not in pairs._jdf.queryExecution().executedPlan().toString()
     assert rows_of(pairs.join(members, "sid"), "qid", "id") == wanted
+
+
+def test_ranks_are_found_with_the_documents(frame, monkeypatch):
+    """The same ranks and positions as on postings, in several blocks and parts, and no match is shuffled."""
+    rng = random.Random(6)
+
+    def text(n):
+        return " ".join(rng.choice("aaabbcdefg") for _ in range(n))
+
+    docs = frame("id long, tenant_id string, t string", *[(i, "xyz"[i % 3], text(rng.choice([0, 9, 40, 300]))) for i in range(200)], (900, None, "a b"), (901, "x", None))
+    rows = [(str(i), "xy"[i % 2], text(i % 15 // 3 + 1)) for i in range(60)] + [("none", "x", "a unheard"), ("void", "x", ""), ("nobody", None, "a")]
+    terms = fulltext.query_terms(frame("qid string, tenant_id string, query_text string", *rows), "simple")
+    ranked = fulltext.fts_rank(fulltext.fts_match(terms, fulltext.postings(docs, "t", "simple")))
+    wanted = {(r.qid, r.id): r.r for r in ranked.collect()}
+    monkeypatch.setattr(ranked_sets, "SLICE_PAIRS", 500)
+    sets = ranked_sets.RankedSets(terms, docs, "t", "simple", block_sets=7)
+    assert sets.blocks > 2
+    found = sets.by_query()
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.qid, r.id): r.r for r in found.collect()}
+    assert set(got) == set(wanted) and all(got[k] == pytest.approx(wanted[k], rel=1e-6) for k in got)
+
+    every = {(r.sid, r.id): r.r for r in sets.ranks().collect()}
+    place = {(s, i): 1 + sum((-x, j) < (-r, i) for (t, j), x in every.items() if t == s) for (s, i), r in every.items() if i % 7 < 4}
+    marks = frame("sid long, id long", *[k for k in place if k[1] % 7 == 3], (next(iter(every))[0], 77777))
+    got = {(r.sid, r.id): r.fts_rk for r in sets.positions(2, marks).collect()}
+    assert all(n == place[k] for k, n in got.items() if k in place)
+    assert {k for k in place if k[1] % 7 == 3} <= set(got) and set(got) - set(place) <= {k for k in every if k[1] % 7 > 3}
+    assert len(got) < len(every)
+    assert {(r.sid, r.id) for r in sets.best(2).collect()} == {(r.sid, r.id) for r in sets.positions(2, marks).filter("fts_rk <= 2").collect()}
