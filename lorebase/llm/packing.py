@@ -18,11 +18,13 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lorebase.llm.common import per_process
@@ -33,7 +35,7 @@ END_ID = 1
 #: Distinct words whose ids one Python worker remembers.
 REMEMBERED = 700_000
 #: Characters of text that are split at once, about, and marks cut off words.
-BATCH_CHARS, MARKS = 2_000_000, "!#$%&*+,-./:;=?@|~"
+BATCH_CHARS, MARKS = 6_000_000, "!#$%&*+,-./:;=?@|~"
 #: Pieces of one length that are ranked together, about.
 RANKED_TOGETHER = 50_000
 
@@ -60,24 +62,41 @@ class WordTokenizer:
         self._remembered = remembered
 
     def encode_batch(self, texts) -> Iterator[bytes]:
-        some, size = [], 0
-        for text in texts:
-            some.append(text)
-            size += len(text)
-            if size > BATCH_CHARS:
-                yield from self._encode_some(some)
-                some, size = [], 0
-        yield from self._encode_some(some)
-
-    def _encode_some(self, texts):
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set(chain.from_iterable(split))
+        """The ids of each text; ``texts`` are strings or an Arrow column without nulls."""
+        texts = texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.large_string())
+        texts = texts.cast(pa.large_string())
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH_CHARS, side="right")))
+            yield from self._encode_some(texts[at:end])
+            at = end
+
+    def _encode_some(self, texts: pa.Array) -> Iterator[bytes]:
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        split = split.combine_chunks() if isinstance(split, pa.ChunkedArray) else split
+        coded = split.flatten().dictionary_encode()
+        own = self._encode_words(coded.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        ids, starts = np.frombuffer(b"".join(own), "<u4"), np.cumsum(lengths) - lengths
+        word = coded.indices.to_numpy()
+        n = lengths[word]
+        ends = np.cumsum(n)
+        # Ids of a word follow one another: each place is the start of its word's ids and how far it is into them.
+        data = memoryview(ids[np.repeat(starts[word] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes())
+        edges = 4 * np.append(0, ends)[np.append(0, np.cumsum(split.value_lengths().to_numpy()))]
+        del split, coded, word, n, ends  # not held while the ids are taken
+        for a, b in pairwise(edges.tolist()):
+            yield bytes(data[a:b])
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of different words."""
         if len(self._known) > self._remembered:  # what is in use now is likely to come again
-            self._known = {w: self._known[w] for w in words.intersection(self._known)}
+            self._known = {w: self._known[w] for w in words if w in self._known}
         if len(self._stems) > self._remembered:
             self._stems = {"": b""}
         known, stems = self._known, self._stems
-        cut = {w: _cut(w) for w in words.difference(known)}
+        cut = {w: _cut(w) for w in words if w not in known}
         new = set(chain.from_iterable(cut.values())).difference(stems)
         plain = [x for x in new if _is_one_run(x)]
         found = self._encode_runs(plain)
@@ -87,8 +106,7 @@ class WordTokenizer:
             stems[stem] = np.array(e.ids, "<u4").tobytes()
         for w, (stem, tail) in cut.items():
             known[w] = stems[stem] + stems[tail]
-        for own in split:
-            yield b"".join(map(known.__getitem__, own))
+        return list(map(known.__getitem__, words))
 
     def _encode_runs(self, runs: list[str]) -> list[bytes]:
         """The ids of runs of letters, all at once: each ends with a token that ends a word."""
@@ -131,16 +149,18 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
         encode = tokenizer(path).encode_batch
         for b in batches:
             rows = []
-            for doc_id, own in zip(b["doc_id"], encode(text or "" for text in b["text"])):
+            for doc_id, own in zip(b.column("doc_id").to_pylist(), encode(b.column("text").fill_null(""))):
                 ids = memoryview(own + end)
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     row = (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))
                     rows.append(row + (np.frombuffer(part, "<u4").astype("int32"),) if with_ids else row)
+            columns = list(zip(*rows)) or [()] * (5 + with_ids)
+            kinds = [b.column("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
             names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-            yield pd.DataFrame(rows, columns=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def _filling(left: np.ndarray, gap: int) -> tuple[int, ...] | None:

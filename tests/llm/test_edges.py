@@ -5,6 +5,9 @@ import hashlib
 import re
 from collections import defaultdict
 
+
+import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from public_tokenizers import PATTERN
@@ -86,6 +89,20 @@ def test_packing_round_trip(odd, capacity):
     assert len(used) <= 1 + 1.125 * sum(r.length for r in rows) / capacity
 
 
+def test_ids_of_an_arrow_column(monkeypatch):
+    """Slices and chunks of a column give the ids of their texts, in batches however small, with few words remembered."""
+    reference = Tokenizer.from_file(WORD_TOKENIZER)
+    reference.encode_special_tokens = True
+    texts = [t or "" for _, t in TEXTS] + ["", "a\nb  c, d!!", "Über-Straße. naïve\n\n", " "] * 3
+    wanted = [reference.encode(t, add_special_tokens=False).ids for t in texts]
+    own = packing.WordTokenizer(WORD_TOKENIZER, remembered=3)
+    for chars in (1, 40, 10**6):
+        monkeypatch.setattr(packing, "BATCH_CHARS", chars)
+        for column in (pa.array(["x", *texts, "y"])[1:-1], pa.chunked_array([texts[:5], texts[5:]])):
+            assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_batch(column)] == wanted
+    assert list(own.encode_batch(pa.array([], pa.string()))) == []
+
+
 def test_packing_of_nothing(none):
     assert packing.packed(none, WORD_TOKENIZER).collect() == []
 
