@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import rows_of
 from lorebase.functions.text import english_lexeme
 from lorebase.functions.vectors import cosine_distance
-from lorebase.operators import hybrid, nearest, quantised
+from lorebase.operators import fulltext, hybrid, nearest, quantised, ranked_sets
 from test_text import brute_rank
 
 DIM = 8
@@ -259,3 +259,22 @@ def test_best_lists_in_chunks(same_tenant):
         wanted = sorted(((d[q, i], ids[i], homes[i]) for i in own), key=lambda x: x[:2])[:20]
         assert [x[1:] for x in got.get(str(q), [])] == [x[1:] for x in wanted]
         assert np.allclose([x[0] for x in got.get(str(q), [])], [x[0] for x in wanted], atol=1e-11)
+
+
+def test_places_are_not_shuffled(spark):
+    queries, docs = random_case(5)
+    sets = ranked_sets.RankedSets(fulltext.query_terms(asked(spark, queries), "simple"), corpus(spark, docs), "summary_text", "simple")
+    plan = sets.ranks()._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("seed,limit,block_bytes", [(6, 1, 1 << 26), (7, 2, 20_000), (8, 5, 1 << 26)])
+def test_own_ranks_are_those_of_all_candidates(spark, seed, limit, block_bytes):
+    """Ties, vectors of zeros and ids that come twice among them; one tenant has few rows."""
+    queries, docs = random_case(seed, 320)
+    zeros = [0.0] * DIM
+    docs = [(i, "c" if i % 40 == 0 else t, text, zeros if i % 16 == 3 else e) for i, t, text, e in docs] + [(i, t, text, e) for i, t, text, e in docs[:9]]
+    queries = queries + [("z", "a", "fox", zeros), ("c", "c", "fox", [1.0] * DIM), ("n", None, "fox", [1.0] * DIM), ("d", "none", "fox", [1.0] * DIM)]
+    q, rows = asked(spark, queries), corpus(spark, docs)
+    kept_ = lambda df: sorted(map(str, df.select("qid", "id", F.round("d", 12).alias("d"), "vec_rk").collect()))
+    assert kept_(nearest.own_ranks(q, rows, limit, block_bytes=block_bytes)) == kept_(nearest.vec_ranks(nearest.vec_candidates(q, rows, limit), q, limit))
