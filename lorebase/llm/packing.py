@@ -33,9 +33,11 @@ from lorebase.sources.scratch import kept
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids one Python worker remembers.
-REMEMBERED = 700_000
+REMEMBERED = 600_000
 #: Characters of text that are split at once, about, and marks cut off words.
-BATCH_CHARS, MARKS = 6_000_000, "!#$%&*+,-./:;=?@|~"
+BATCH_CHARS, MARKS = 4_000_000, "!#$%&*+,-./:;=?@|~"
+#: Words whose ids are gathered at once, about.
+GATHERED = 1 << 17
 #: Pieces of one length that are ranked together, about.
 RANKED_TOGETHER = 50_000
 
@@ -57,8 +59,7 @@ class WordTokenizer:
         self._tokenizer.encode_special_tokens = True
         size = self._tokenizer.get_vocab_size()
         self._ends_word = np.array([self._tokenizer.id_to_token(i).endswith("</w>") for i in range(size)])
-        self._known: dict[str, bytes] = {}
-        self._stems: dict[str, bytes] = {"": b""}
+        self._known: dict[str, bytes] = {"": b""}
         self._remembered = remembered
 
     def encode_batch(self, texts) -> Iterator[bytes]:
@@ -75,37 +76,44 @@ class WordTokenizer:
     def _encode_some(self, texts: pa.Array) -> Iterator[bytes]:
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         split = split.combine_chunks() if isinstance(split, pa.ChunkedArray) else split
+        ends_of = np.cumsum(split.value_lengths().to_numpy())
         coded = split.flatten().dictionary_encode()
-        own = self._encode_words(coded.dictionary.to_pylist())
+        del split  # not held while its words are encoded
+        word, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        del coded
+        own = self._encode_words(names)
         lengths = np.fromiter(map(len, own), np.int64, len(own)) // 4
         ids, starts = np.frombuffer(b"".join(own), "<u4"), np.cumsum(lengths) - lengths
-        word = coded.indices.to_numpy()
-        n = lengths[word]
-        ends = np.cumsum(n)
-        # Ids of a word follow one another: each place is the start of its word's ids and how far it is into them.
-        data = memoryview(ids[np.repeat(starts[word] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes())
-        edges = 4 * np.append(0, ends)[np.append(0, np.cumsum(split.value_lengths().to_numpy()))]
-        del split, coded, word, n, ends  # not held while the ids are taken
-        for a, b in pairwise(edges.tolist()):
-            yield bytes(data[a:b])
+        del names, own
+        at = first = 0
+        while at < len(ends_of):  # some texts at a time: their numbers stay in the cache
+            end = max(at + 1, int(np.searchsorted(ends_of, first + GATHERED, side="right")))
+            some = word[first : ends_of[end - 1]]
+            n = lengths[some]
+            ends = np.cumsum(n)
+            # Ids of a word follow one another: each place is the start of its word's ids and how far it is into them.
+            data = memoryview(ids[np.repeat(starts[some] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes())
+            edges = 4 * np.append(0, ends)[np.append(0, ends_of[at:end] - first)]
+            for a, b in pairwise(edges.tolist()):
+                yield bytes(data[a:b])
+            at, first = end, int(ends_of[end - 1])
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """The ids of different words."""
         if len(self._known) > self._remembered:  # what is in use now is likely to come again
-            self._known = {w: self._known[w] for w in words if w in self._known}
-        if len(self._stems) > self._remembered:
-            self._stems = {"": b""}
-        known, stems = self._known, self._stems
+            self._known = {"": b""} | {w: self._known[w] for w in words if w in self._known}
+        known = self._known
         cut = {w: _cut(w) for w in words if w not in known}
-        new = set(chain.from_iterable(cut.values())).difference(stems)
+        # A word and its marks are words themselves: what is known of them serves both.
+        new = set(chain.from_iterable(cut.values())).difference(known)
         plain = [x for x in new if _is_one_run(x)]
         found = self._encode_runs(plain)
-        stems.update(zip(plain, found))
+        known.update(zip(plain, found))
         rest = list(new.difference(plain)) if found else list(new)
         for stem, e in zip(rest, self._tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            stems[stem] = np.array(e.ids, "<u4").tobytes()
+            known[stem] = np.array(e.ids, "<u4").tobytes()
         for w, (stem, tail) in cut.items():
-            known[w] = stems[stem] + stems[tail]
+            known[w] = known[stem] + known[tail]
         return list(map(known.__getitem__, words))
 
     def _encode_runs(self, runs: list[str]) -> list[bytes]:
@@ -146,6 +154,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
 
     def run(batches):
+        pa.default_memory_pool().release_unused()  # what earlier tasks of this process left
         encode = tokenizer(path).encode_batch
         for b in batches:
             rows = []

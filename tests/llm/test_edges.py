@@ -103,6 +103,14 @@ def test_ids_of_an_arrow_column(monkeypatch):
     assert list(own.encode_batch(pa.array([], pa.string()))) == []
 
 
+def test_words_are_remembered_once():
+    """A word that is the stem of another, and marks, have one entry for both uses."""
+    own = packing.WordTokenizer(WORD_TOKENIZER)
+    list(own.encode_batch(["Fox fox fox, fox"]))
+    tables = [x for x in vars(own).values() if isinstance(x, dict)]
+    assert sorted(k for t in tables for k in t) == sorted({"", "Fox", "fox", "fox,", ","})
+
+
 def test_packing_of_nothing(none):
     assert packing.packed(none, WORD_TOKENIZER).collect() == []
 
