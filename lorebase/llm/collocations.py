@@ -281,7 +281,9 @@ class Level:
     def __init__(self, codes: np.ndarray, at: np.ndarray, n: int, count):
         self.codes, self.counts = count(codes)
         self.of = np.full(n, -1, np.int64)
-        self.of[at] = np.searchsorted(self.codes, codes)
+        coded = pa.array(codes).dictionary_encode()  # only distinct codes are searched
+        place = np.searchsorted(self.codes, coded.dictionary.to_numpy())
+        self.of[at] = place[coded.indices.to_numpy()]
         self.told = None
 
     def frequent(self) -> np.ndarray:

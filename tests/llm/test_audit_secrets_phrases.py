@@ -236,3 +236,14 @@ def test_scores_beyond_64_bits(spark):
 def test_more_ids_than_a_code_holds():
     with pytest.raises(OverflowError):
         collocations.coded(np.array([1]), np.array([1 << collocations.RIGHT_BITS]))
+
+
+def test_places_search_distinct_codes_only(monkeypatch):
+    """A bucket looks up each of its codes once, however many words have it."""
+    searched, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *more, **named: searched.append(np.size(v)) or search(a, v, *more, **named))
+    codes = np.array([9, 4, 4, 7, 9, 4] * 50, np.uint64)
+    level = collocations.Level(codes, np.arange(300) + 5, 310, lambda c: collocations._sorted_sums(c, None))
+    assert level.codes.tolist() == [4, 7, 9] and level.counts.tolist() == [150, 50, 100]
+    assert level.of.tolist() == [-1] * 5 + [2, 0, 0, 1, 2, 0] * 50 + [-1] * 5
+    assert max(searched) <= 3
