@@ -44,15 +44,17 @@ def _places(words: pa.Array) -> pa.Array:
     return pa.MapArray.from_arrays(pa.array(starts, pa.int32()), coded.dictionary.take(pa.array(code[first], pa.int32())), places)
 
 
-def by_document(df: DataFrame, text: str, config: str = "english", parts: int | None = None) -> DataFrame:
+def by_document(df: DataFrame, text: str, config: str = "english", parts=None) -> DataFrame:
     """A row per document: tenant_id, id, places (lexeme to its positions).
 
     A text is taken apart where it lies.  Only where an id comes twice are rows put together.
-    With ``parts`` the documents lie in that many ranges of tenant and id; texts are dealt out for it, not places.
+    With ``parts``, a function of the number of documents, they lie in that many ranges of tenant and id and in
+    their order; texts are dealt out for it, not places.
     """
-    dealt = lambda rows: rows if parts is None else rows.repartitionByRange(parts, "tenant_id", "id")
-    twice = df.groupBy("tenant_id", "id").agg(F.count("*").alias("n")).filter("n > 1")
-    if twice.isEmpty():
+    size = df.groupBy("tenant_id", "id").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.count("*").alias("docs")).first()
+    order = ["tenant_id", "id"]
+    dealt = lambda rows: rows if parts is None else rows.repartitionByRange(parts(size["docs"]), *order).sortWithinPartitions(*order)
+    if (size["most"] or 0) <= 1:
         return dealt(df.select("tenant_id", "id", text)).select("tenant_id", "id", _places(lexemes(F.col(text), config)).alias("places"))
     rows = analyze(df, text, ["tenant_id", "id"], config).groupBy("tenant_id", "lexeme", "id").agg(
         F.array_sort(F.collect_list("position")).alias("positions")
@@ -154,49 +156,26 @@ def terms_of(sets: DataFrame) -> DataFrame:
     return sets.select(F.col("sid").alias("qid"), "tenant_id", F.explode("words").alias("lexeme"), F.size("words").alias("terms"))
 
 
-def _with_rarest(sets: DataFrame, df: DataFrame, text: str, config: str) -> DataFrame:
-    """Sets whose words the corpus has: sid, tenant_id, words from the rarest on."""
-    terms = terms_of(sets)
-    words = kept(terms.select("tenant_id", "lexeme").distinct(), "vocabulary")
-    held = df.select("tenant_id", F.explode(F.array_distinct(lexemes(F.col(text), config))).alias("lexeme"))
-    counts = held.join(F.broadcast(words), ["tenant_id", "lexeme"], "left_semi").groupBy("tenant_id", "lexeme").agg(F.count("*").alias("docs"))
-    ordered = terms.join(kept(counts, "counts"), ["tenant_id", "lexeme"]).groupBy("qid", "tenant_id", "terms").agg(
-        F.array_sort(F.collect_list(F.struct("docs", "lexeme"))).alias("words")
-    )
-    return ordered.filter("size(words) = terms").select(F.col("qid").alias("sid"), "tenant_id", F.col("words.lexeme").alias("words"))
-
-
 class Matches:
     """Documents that hold every word of a set, for a corpus without a stored index.
 
-    A document meets the sets whose rarest word it has, and has their other words or not: the sets
-    are sent to where the documents lie, in blocks, and nothing about a pair is shuffled.
+    The sets are sent to where the documents lie, in blocks: a row of bits per word says which documents
+    have it, their AND gives the matches, and nothing about a pair is shuffled.
     """
 
     def __init__(self, sets: DataFrame, df: DataFrame, text: str, config: str = "english", block_sets: int = BLOCK_SETS):
-        self.docs = by_document(df, text, config)
-        self.sets = kept(_with_rarest(sets, df, text, config), "known-sets")
-        self.blocks = max(1, -(-self.sets.count() // block_sets))
+        from lorebase.operators.ranked_sets import RankedSets  # which is built on this module
+
+        self._sets = RankedSets.of(sets, df, text, config, block_sets)
+        self.blocks = self._sets.blocks
 
     def pairs(self) -> DataFrame:
         """``sid, id`` of every match."""
-        words = self.docs.select("tenant_id", "id", "places", F.explode(F.map_keys("places")).alias("rarest"))
-        found = None
-        for block in range(self.blocks):
-            part = self.sets.filter(F.pmod(F.xxhash64("sid"), F.lit(self.blocks)) == block)
-            part = part.select("sid", "tenant_id", "words", F.col("words")[0].alias("rarest"))
-            part = _holding(words.join(F.broadcast(part), ["tenant_id", "rarest"]))
-            found = part if found is None else found.unionByName(part)
-        return found
-
-
-def _holding(met: DataFrame) -> DataFrame:
-    """The rows whose document has all words of the set."""
-    keys = F.map_keys("places")
-    # The second word decides most rows; the hash set of the last test is built for the others.
-    second = F.get("words", F.lit(1))
-    every = (F.size("words") <= 2) | (F.size(F.array_except("words", keys)) == 0)
-    return met.filter((second.isNull() | F.array_contains(keys, second)) & every).select("sid", "id")
+        return self._sets.pairs()
+
+    def by_query(self, members: DataFrame) -> DataFrame:
+        """``qid, id`` of every match of every query; ``members`` come with the sets."""
+        return self._sets.pairs(members).select("qid", "id")
 
 
 @F.arrow_udf(T.DoubleType())

@@ -110,7 +110,7 @@ def _positions(T):
 @query("text_match", f"with {_fts_sql('semantic_index', 'summary_text')} select qid, id from matched", ["semantic_index", "search_queries"])
 def text_match(T):
     sets, members = fulltext.word_sets(fulltext.query_terms(T["search_queries"], "simple"))
-    return fulltext.Matches(sets, T["semantic_index"], "summary_text", "simple").pairs().join(members, "sid").select("qid", "id")
+    return fulltext.Matches(sets, T["semantic_index"], "summary_text", "simple").by_query(members)
 
 
 @query(

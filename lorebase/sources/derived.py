@@ -307,6 +307,16 @@ select event_id * 7 as result_id, event_id as run_id, 'case-' || cast(user_id %
 from events""",
 }
 
+#: Raw tables that others are left-joined with, and their key.
+JOINED = {"embeddings": "vec_id"}
+
+#: Forms of the same rows for Spark: the words of a text are cut out before the join, which moves all that it reads.
+SPARK_FORMS = {
+    "search_queries": """
+select 'q' || cast(d.doc_id as string) as qid, 't' || cast(d.doc_id % 3 as string) as tenant_id, d.query_text, e.embedding as query_vector
+from (select doc_id, regexp_extract(text, '^([^ ]+ [^ ]+ [^ ]+)', 1) as query_text from documents) d
+left join embeddings e on e.vec_id = d.doc_id and d.doc_id % 4 <> 1""",
+}
 
 
 def closure(names) -> list[str]:
@@ -344,12 +354,22 @@ def raw(spark: SparkSession, sf_dir: str, name: str, paths: dict[str, str] = {})
     return spark.sql(_scan(sf_dir, name, paths))
 
 
-def derived(spark: SparkSession, sf_dir: str, name: str, paths: dict[str, str] = {}) -> DataFrame:
-    """One derived table over the parquet files of ``sf_dir``, or of ``paths`` for the tables named there."""
+def derived(spark: SparkSession, sf_dir: str, name: str, paths: dict[str, str] = {}, unique=frozenset()) -> DataFrame:
+    """One derived table over the parquet files of ``sf_dir``, or of ``paths`` for the tables named there.
+
+    Tables in ``unique`` hold each key of ``JOINED`` once.  Grouped by it the planner knows that, too, and leaves out a left
+    join whose columns are not asked for, so that no text is moved to meet them.
+    """
     needed = closure([name])
     scans = sorted({r for n in needed for r in _reads(DERIVED[n])} & set(RAW_TABLES))
-    parts = [f"{r} as ({_scan(sf_dir, r, paths)})" for r in scans]
-    parts += [f"{n} as ({DERIVED[n]})" for n in needed]
+    parts = []
+    for r in scans:
+        scan = _scan(sf_dir, r, paths)
+        if r in unique:
+            others = "".join(f", first({c}) as {c}" for c in spark.sql(scan).columns if c != JOINED[r])
+            scan = f"select {JOINED[r]}{others} from ({scan}) group by {JOINED[r]}"
+        parts.append(f"{r} as ({scan})")
+    parts += [f"{n} as ({SPARK_FORMS.get(n, DERIVED[n])})" for n in needed]
     return spark.sql("with " + ",\n".join(parts) + f"\nselect * from {name}")
 
 
@@ -360,14 +380,25 @@ class Store(dict):
         super().__init__()
         self.spark, self.sf_dir = spark, sf_dir
         self.paths: dict[str, str] = {}
+        self.single: dict[str, bool] = {}  # joined tables: does each key come once?
 
     def __missing__(self, name):
-        read, reads = (derived, set().union(*(_reads(DERIVED[n]) for n in closure([name])))) if name in DERIVED else (raw, {name})
+        reads = set().union(*(_reads(DERIVED[n]) for n in closure([name]))) if name in DERIVED else {name}
         if "documents" in reads and "documents" not in self.paths:
             self.paths["documents"] = self._dealt("documents")
-        self[name] = read(self.spark, self.sf_dir, name, self.paths)
+        if name in DERIVED:
+            unique = {r for r in reads & set(JOINED) if self._single(r)}
+            self[name] = derived(self.spark, self.sf_dir, name, self.paths, unique)
+        else:
+            self[name] = raw(self.spark, self.sf_dir, name, self.paths)
         return self[name]
 
+    def _single(self, name: str) -> bool:
+        if name not in self.single:
+            rows = raw(self.spark, self.sf_dir, name, self.paths)
+            self.single[name] = rows.groupBy(JOINED[name]).count().filter("count > 1").isEmpty()
+        return self.single[name]
+
     def _dealt(self, name: str) -> str:
         """Files of a table of texts, as many as tasks run at once at least.
 
