@@ -133,3 +133,36 @@ def test_only_named_source_rows_are_moved(spark, store, monkeypatch):
     monkeypatch.setattr(hybrid, "SENT_KEYS", 2)
     many = hybrid.fetch_sources(hits, store(tasks=rows), {"tasks": "id"})
     assert "LeftSemi" not in plan(many) and rows_of(many, "qid", "source_id", "source_row") == got
+
+
+def test_vectors_are_made_once_for_all_blocks(spark, monkeypatch):
+    """Blocks of queries are collected together, the corpus is not derived for each, and long plans are cut."""
+    from lorebase.operators import nearest
+
+    queries, docs = random_case(4, n_queries=60)
+    q, rows = asked(spark, queries), corpus(spark, docs)
+    wanted = rows_of(nearest.vec_candidates(q, rows, 2))
+    monkeypatch.setattr(nearest, "MOST_BLOCKS", 3)
+    collected, whole = [], type(q).toPandas
+    monkeypatch.setattr(type(q), "toPandas", lambda self: collected.append(1) or whole(self))
+    found = nearest.vec_candidates(q, rows, 2, block_bytes=20_000)
+    assert len(collected) == 1
+    assert "LocalTableScan" not in plan(found) and "Scan ExistingRDD" not in plan(found)
+    assert rows_of(found) == wanted
+    assert rows_of(nearest.own_ranks(q, rows, 2, block_bytes=3_000)) == rows_of(nearest.own_ranks(q, rows, 2))
+
+
+def test_exact_distances_move_no_vector(spark):
+    from lorebase.functions.vectors import cosine_distance
+    from lorebase.operators import nearest
+
+    queries, docs = random_case(8)
+    docs = docs + [(900, None, "x", [0.0] * len(docs[0][3] or docs[1][3] or docs[2][3]))]
+    q, rows = asked(spark, queries), corpus(spark, docs)
+    pairs = spark.createDataFrame([(x[0], i) for x in queries for i in (1, 2, 3, 50, 900, 77777)], "qid string, id long")
+    plain = rows.filter("embedding is not null").join(pairs, "id").join(q.select("qid", "query_vector").filter("query_vector is not null"), "qid")
+    wanted = str(rows_of(plain.select("qid", "id", "tenant_id", F.round(cosine_distance("query_vector", "embedding"), 12).alias("d"))))
+    for size in (1 << 26, 2_000):
+        found = nearest.distances(q, rows, pairs, block_bytes=size)
+        assert "Exchange" not in plan(found)
+        assert str(rows_of(found)) == wanted and "nan" in wanted
