@@ -8,6 +8,9 @@ one-versus-rest kernel ridge regression is solved there.  N-grams are numbered b
 hash, so a segment is a row of 0 and 1, and its scores are that row times one matrix:
 the landmarks' rows combined by the solution.  The scores of a text are the mean over its segments.
 
+Where only texts in a known language are wanted, the score that a text must reach is found on the labelled texts:
+nearly all of them reach it when they are scored by a model that has not learnt them.
+
 A text that is null or has no letter gets ``und`` and 0; repeated rows are judged alike; an
 empty table gives an empty result; without any known language every text gets ``und``.
 Columns other than ``doc_id``, ``text`` and, to learn, ``lang`` are not read.
@@ -33,6 +36,9 @@ WIDTH = sum(WIDTHS.values())
 #: Rows of the matrices multiplied at once.
 ROWS = 64
 UNKNOWN = "und"
+#: Share of the labelled texts that may score lower than a known language must, and how far from there to the score
+#: of a text that is like all languages the line is drawn.
+MISSED, SLACK = 0.001, 0.1
 
 _LETTER = regex.compile(r"\p{L}").search
 _LOWER = np.arange(256, dtype=np.uint32)
@@ -69,6 +75,7 @@ def normed(rows: np.ndarray) -> np.ndarray:
 class Model:
     languages: list[str]
     matrix: np.ndarray  # WIDTH x languages
+    least: float = 0.0  # score of a text whose language counts as known
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """Mean scores of the segments of each text."""
@@ -109,14 +116,43 @@ def fit_texts(texts: list[bytes], langs: list[str], seed: int = 5) -> Model:
     return Model(names, (land.T @ (whiten @ solved)).astype(np.float32))
 
 
-def fit(docs: DataFrame, budget: int = BUDGET) -> Model:
-    """Learn from the rows that have a language and are not held out, a sample of every language."""
+def least_score(texts: list[bytes], langs: list[str]) -> float:
+    """The score that a text of a learnt language reaches, but for a share of ``MISSED``.
+
+    Each half of the texts is scored by what the other half teaches; only texts whose language is found count.
+    """
+    names = sorted(set(langs))
+    turn = {n: 0 for n in names}
+    half = np.zeros(len(texts), int)
+    for k, lang in enumerate(langs):
+        half[k], turn[lang] = turn[lang] % 2, turn[lang] + 1
+    scores = []
+    for h in (0, 1):
+        learnt, asked = np.flatnonzero(half != h), np.flatnonzero(half == h)
+        model = fit_texts([texts[k] for k in learnt], [langs[k] for k in learnt])
+        found, score = predict([texts[k].decode() for k in asked], model)
+        scores += [s for k, f, s in zip(asked, found, score) if f == langs[k]]
+    if not scores:
+        return 0.0
+    low = float(np.quantile(scores, MISSED, method="lower"))
+    return low - SLACK * (low - 1 / len(names))
+
+
+def fit(docs: DataFrame, budget: int = BUDGET, calibrated: bool = False) -> Model:
+    """Learn from the rows that have a language and are not held out, a sample of every language.
+
+    If ``calibrated`` the same rows say which score a known language has (``least``).
+    """
     rows = docs.filter("text is not null and lang is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
     rows = rows.select("doc_id", "text", "lang")
     sample = class_sample(rows, "lang", F.col("doc_id"), F.length("text"), budget)
     some = rows.filter(sample.takes(F.col("lang"), F.col("doc_id"))).select(sample.cut(F.col("lang"), F.col("text")).alias("text"), "lang")
     some = some.orderBy("lang", "text").toPandas()
-    return fit_texts([t.encode() for t in some["text"]], some["lang"].tolist())
+    texts, langs = [t.encode() for t in some["text"]], some["lang"].tolist()
+    model = fit_texts(texts, langs)
+    if calibrated:
+        model.least = least_score(texts, langs)
+    return model
 
 
 def predict(texts, model: Model) -> tuple[list[str], np.ndarray]:

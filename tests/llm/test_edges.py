@@ -647,3 +647,32 @@ def test_sums_of_keys_in_ranges():
         assert [x.tolist() for x in jaccard._sums(keys, counts)] == [[whole[a] for a in k.tolist()] for k in keys]
     most = [np.array([5], np.uint64)] * 2, [np.array([2**32 - 1], np.uint32)] * 2
     assert [x.tolist() for x in jaccard._sums(*most)] == [[2**32 - 1]] * 2
+
+
+def test_texts_in_no_learnt_language_go(spark):
+    """Planted foreign texts go in the pipeline's stage, and the documents of the learnt languages stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    good = quality_rules.kept_documents(docs)
+    foreign = {
+        "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "it": "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza.",
+        "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        "zh": "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。",
+    }
+    rows = [(10**9 + k, text, None, "planted", len(text)) for k, text in enumerate(foreign.values())]
+    planted = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").select(*docs.columns)
+    stage = dict(corpus_pipeline.STAGES)["language identification"]
+    kept = stage(spark, good.unionByName(planted), "")
+    assert kept.filter(F.col("doc_id") >= 10**9).count() == 0
+    assert kept.count() >= 0.995 * good.count()
+    model = language.fit(good, calibrated=True)
+    assert 1 / len(model.languages) < model.least < 0.9
+    assert language.known_documents(planted, language.fit(good)).count() == len(foreign)
+    assert language.fit(good.limit(0), calibrated=True).least == 0
+
+
+def test_the_least_score_of_few_texts():
+    assert language.least_score([], []) == 0.0
+    assert language.least_score([b"one text"], ["en"]) == 0.0
+    assert 0 <= language.least_score([b"the house of the man", b"the man in the house"], ["en", "en"]) <= 1
