@@ -166,3 +166,32 @@ def test_exact_distances_move_no_vector(spark):
         found = nearest.distances(q, rows, pairs, block_bytes=size)
         assert "Exchange" not in plan(found)
         assert str(rows_of(found)) == wanted and "nan" in wanted
+
+
+def test_a_match_is_moved_once_for_its_position(spark):
+    """Also where a query fills several ranges and Arrow batches."""
+    rng = random.Random(5)
+    rows = [("hot" if rng.random() < 0.8 else f"q{i % 5}", i, rng.choice([0.1, 0.1, 0.3])) for i in range(900)] + [(None, 7, 0.5), (None, 8, 0.6)]
+    df = spark.createDataFrame(rows, "qid string, id long, r float").repartition(5)
+    wanted = {(q, i): 1 + sum(p == q and (-x, j) < (-r, i) for p, j, x in rows) for q, i, r in rows}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = fulltext.fts_positions(df)
+        assert {(x.qid, x.id): x.fts_rk for x in found.collect()} == wanted
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # The rows themselves are read and met with what is sent; only counts are shuffled.
+    shuffled = [line for line in plan(found).splitlines() if "Exchange hashpartitioning" in line]
+    assert "BroadcastHashJoin" in plan(found) and "SortMergeJoin" not in plan(found) and all("range_no" in x or "qid" in x for x in shuffled)
+    assert len(shuffled) <= 2
+
+
+def test_positions_reach_their_queries_without_a_shuffle(spark):
+    queries, docs = random_case(10, n_queries=30)
+    terms = fulltext.query_terms(asked(spark, queries), "simple")
+    sets = ranked_sets.RankedSets(terms, corpus(spark, docs), "summary_text", "simple", block_sets=3)
+    assert sets.blocks > 2
+    rows = scratch.kept(sets.ranks())
+    found = sets.of_queries(rows)
+    assert "Exchange hashpartitioning" not in plan(found)
+    assert rows_of(found, "qid", "id", "r") == rows_of(rows.join(sets.members, "sid"), "qid", "id", "r")
